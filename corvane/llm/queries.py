@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language_id, quality_classifier, token_counts
+from corvane.llm import language_id, quality_classifier, quality_rules, source_mixing, token_counts
 from corvane.llm.base import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     if tokenizer_file is None:
         import public_tokenizers
@@ -30,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer_file: str | Non
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold(F.col("doc_id"), 4) != 2)
@@ -39,7 +47,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_source_mixing": op5_source_mixing,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL}
