@@ -81,21 +81,17 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         whole = {i for i, t in enumerate(texts) if not self.by_lookup or any(a in t for a in self.added) or self.unsure(t)}
         parts = [() if i in whole else self.split(t) for i, t in enumerate(texts)]
-        misses = list(set().union(*parts) - self.known.keys())
-        brief = {}
-        if misses:
-            found = dict(zip(misses, self.lengths(misses), strict=True))
-            if len(self.known) + len(found) > self.room:
-                self.known = dict(self.hot)
-            brief = {k: v for k, v in found.items() if len(k) > LONGEST_CACHED}
-            self.known.update((k, v) for k, v in found.items() if len(k) <= LONGEST_CACHED)
-            if len(self.known) < len(self.hot) + len(found) or brief:  # words of this batch may have left the cache
-                gone = list(set().union(*parts) - self.known.keys() - brief.keys())
-                brief.update(zip(gone, self.lengths(gone), strict=True))
+        need = set().union(*parts)
+        misses = list(need - self.known.keys())
+        if len(self.known) + len(misses) > self.room:
+            self.known = dict(self.hot)
+            misses = list(need - self.known.keys())
+        self.known.update(zip(misses, self.lengths(misses), strict=True))
         get = self.known.__getitem__
-        if brief:
-            get = lambda k: brief[k] if k in brief else self.known[k]
         out = [sum(map(get, p)) for p in parts]
+        for k in misses:
+            if len(k) > LONGEST_CACHED:
+                del self.known[k]
         for i, n in zip(whole, self.lengths([texts[i] for i in whole]), strict=True):
             out[i] = n
         return out
