@@ -116,9 +116,9 @@ class Words:
         if len(short):
             extra = np.zeros(len(short), np.uint64)
             for m, d in enumerate(short):
-                x = U(self.count[d])
-                for y in h[self.first[d] : self.first[d + 1]]:
-                    x = (x * U(0x100000001B3) + y) ^ U(0xA5A5)
+                x = int(self.count[d])
+                for y in h[self.first[d] : self.first[d + 1]].tolist():
+                    x = ((x * 0x100000001B3 + y) ^ 0xA5A5) & 0xFFFFFFFFFFFFFFFF
                 extra[m] = x
             out, docs = np.concatenate((out, extra)), np.concatenate((docs, short))
         out = mix(out)

@@ -176,3 +176,9 @@ def quality_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, score double")
+
+
+def good_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows, all columns, that the model does not reject."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text].alias(text))
+    return quality_scores(rows, model, ("__row",), text).filter(F.col("score") >= CUT).select("__row.*")

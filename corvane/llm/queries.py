@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language_id, quality_classifier, quality_rules, source_mixing, token_counts
+from corvane.llm import (
+    decontamination,
+    language_id,
+    license_scans,
+    lm_scoring,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scans,
+    source_mixing,
+    token_counts,
+)
 from corvane.llm.base import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +36,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     if tokenizer_file is None:
         import public_tokenizers
@@ -38,6 +53,26 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: a row for each benchmark item that one holds."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "at_word", "n_words", "similarity")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.lm_scores(docs, lm_scoring.train(docs, fold(F.col("doc_id"), 7) != 2))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold(F.col("doc_id"), 4) != 2)
@@ -46,10 +81,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_classifier": op1_quality_classifier,
-    "op2_quality_rules": op2_quality_rules,
-    "op4_token_counts": op4_token_counts,
-    "op5_source_mixing": op5_source_mixing,
-    "op10_language_id": op10_language_id,
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_quality_rules,
+        op3_secret_scans,
+        op4_token_counts,
+        op5_source_mixing,
+        op6_license_scans,
+        op7_minhash_near_dedup,
+        op8_benchmark_decontamination,
+        op9_lm_scoring,
+        op10_language_id,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_secret_scans": secret_scans.ORACLE_SQL,
+    "op6_license_scans": license_scans.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL}
