@@ -39,3 +39,6 @@ def sentence_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("hits", hits).filter("hits > 0").withColumn("score", F.round(0.65 * F.col("hits") / 3.0 + 0.35 * quality / 5.0, 4))
     w = Window.partitionBy("source").orderBy(F.desc("score"), F.desc("hits"), "doc_id", "pos")
     return s.withColumn("rk", F.row_number().over(w)).filter("rk <= 3").select("source", "doc_id", "pos", "hits", "score", "rk")
+
+
+from corvane.plans import claim_queries  # noqa: E402, F401
