@@ -41,4 +41,4 @@ def sentence_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rk", F.row_number().over(w)).filter("rk <= 3").select("source", "doc_id", "pos", "hits", "score", "rk")
 
 
-from corvane.plans import claim_queries  # noqa: E402, F401
+from corvane.plans import claim_queries, document_queries, retrieval_queries  # noqa: E402, F401
