@@ -157,12 +157,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc
     index = stash(index, "trigram-index")
     able = candidates(index, grams, rules)
     d = docs.select(*keep, _key(docs, id_column, text).alias("__key"), F.coalesce(docs[text], F.lit("")).alias("__text"))
-    d = d.join(able, d["__key"] == able["key"], "left").drop("key")
+    able = able.select(F.col("key").alias("__of"), F.col("rules").alias("__rules"))
+    d = d.join(able, F.col("__key") == F.col("__of"), "left")
     names = []
     cols: list[Column | str] = [*keep, "__text"]
     for n, r in enumerate(rules):
         full = trigram_query(r.pattern) == ALWAYS
-        apply = F.lit(True) if full else (F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0)
+        apply = F.lit(True) if full else (F.coalesce("__rules", F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0)
         cols.append(F.when(apply, F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0))).alias(f"__m{n}"))
         if r.group:
             cols.append(F.when(apply, F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(r.group))).alias(f"__g{n}"))
@@ -205,15 +206,15 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: s
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with every span (overlapping ones as one) replaced by MASK; a null text stays null."""
-    others = tuple(c for c in docs.columns if c != text)
-    d = scan(docs.withColumn("__null", docs[text].isNull()), rules, id_column, text, (*others, "__null"))
+    packed = docs.select(docs[id_column], docs[text], F.struct(*[docs[c] for c in docs.columns if c != text]).alias("__row"), docs[text].isNull().alias("__null"))
+    d = scan(packed, rules, id_column, text, ("__row", "__null"))
     built = F.expr(
         f"""aggregate(__spans, named_struct('o', 0, 't', ''),
           (a, s) -> if(s.end <= a.o, a, named_struct('o', s.end, 't', concat(a.t, if(s.start < a.o, '', concat(substring(__text, a.o + 1, s.start - a.o), '{MASK}'))))),
           a -> concat(a.t, substring(__text, a.o + 1)))"""
     )
     new = F.when(F.col("__null"), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(built)
-    return d.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns])
+    return d.select(*[new.alias(text) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
