@@ -1,19 +1,20 @@
 """Vectorised text kernels over Arrow string buffers, used by the operators that run in Python.
 
 A batch of texts is handled as one byte array with document offsets; words, word hashes and shingles of
-all its documents come out of a few NumPy passes, in pieces of about a megabyte so that memory stays
+all its documents come out of a few NumPy passes, in pieces of half a megabyte so that memory stays
 bounded.  Hashes are 64 bits wide and equal on every worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _R = U(0x9E3779B97F4A7C15)
@@ -25,6 +26,22 @@ LOWER[65:91] += 32
 _powers = {"n": 0}
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function whose worker gives its memory back when it ends: idle workers stay small."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = h ^ (h >> U(30))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import pieces, utf8
+from corvane.llm.kernel import pieces, tidy, utf8
 
 BITS = 13
 BUCKETS = 1 << BITS
@@ -131,13 +131,13 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in counts:
                 at = np.flatnonzero(r)
                 out.append(np.stack((at.astype(np.int32), r[at].astype(np.int32))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary()), batch.column(2).slice(a, b - a)], names=["lang", "x", "h"])
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", max_fit_rows: int = 4_096) -> Model | None:
     """Model of the rows where learn holds and text and language are given."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    df = rows.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
+    df = rows.select("text").mapInArrow(tidy(_frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
     if not df:
         return None
     seen = np.zeros(BUCKETS + 1, np.int64)
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     # choose by hash of the text before its features are made; the threshold keeps the sample near its bound
     share = min(1.0, 1.2 * max_fit_rows / max(1, int(seen[-1])))
     least = rows.filter((F.xxhash64("text") / F.lit(2.0**63)) <= F.lit(2 * share - 1)) if share < 1 else rows
-    got = least.orderBy(F.xxhash64("text"), F.xxhash64("lang"), F.length("text")).limit(max_fit_rows).mapInArrow(_sparse, "lang string, x binary").collect()
+    least = least.select("lang", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(_sparse), "lang string, x binary, h long")
+    got = least.orderBy("h", "lang", "x").limit(max_fit_rows).collect()
     got = sorted(got, key=lambda r: (r.lang, bytes(r.x)))
     languages = sorted({r.lang for r in got})
     y = np.array([languages.index(r.lang) for r in got])
@@ -192,4 +193,4 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(said, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")

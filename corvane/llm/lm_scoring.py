@@ -34,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.base import scratch_path
-from corvane.llm.kernel import U, Words, mix, pieces, utf8
+from corvane.llm.kernel import U, Words, mix, pieces, tidy, utf8
 
 END = U(0xE2D0E2D0E2D0E2D1)
-VOCAB_PARTS = 64
+#: The vocabulary is cut by leading bits of the hash, into 2**6 parts or more for more input partitions.
+LEAST_BITS, MOST_BITS = 6, 12
 IDS_PER_PART = 1 << 20
 BUCKET_KEYS = 4_000_000
 FLUSH_KEYS = 6_000_000
@@ -114,7 +115,7 @@ class Vocabulary:
     """Numbers of words: places in the sorted hashes.  unknown is the number of every other word, start follows."""
 
     def __init__(self, files: Files, sizes: list[int]):
-        self.files = files
+        self.files, self.parts = files, len(sizes)
         self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64)
         self.unknown = int(self.first[-1])
         self.start = self.unknown + 1
@@ -122,7 +123,7 @@ class Vocabulary:
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of sorted distinct hashes."""
         out, count = np.full(len(hashes), self.unknown, np.uint64), np.zeros(len(hashes), np.uint64)
-        cut = np.searchsorted(hashes, np.arange(1, VOCAB_PARTS, dtype=np.uint64) << U(58))
+        cut = np.searchsorted(hashes, np.arange(1, self.parts, dtype=np.uint64) << U(64 - self.parts.bit_length() + 1))
         for b, (s, e) in enumerate(zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(hashes)])), strict=True)):
             if s == e or self.first[b] == self.first[b + 1]:
                 continue
@@ -338,9 +339,10 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> tuple[str, dict
     folder = scratch_path(spark, "lm")
     texts = docs.filter(learn).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     blob = "bucket long, blob binary"
-    by_range = texts.mapInArrow(_collect(lambda w: _tokens(w)[0], lambda k: (k >> U(58)).astype(np.int64)), blob)
-    parts = by_range.groupBy("bucket").applyInArrow(_vocabulary_part(folder), "bucket long, n long, total long").collect()  # VOCAB_PARTS rows
-    sizes = [0] * VOCAB_PARTS
+    bits = min(MOST_BITS, max(LEAST_BITS, (texts.rdd.getNumPartitions() // 8).bit_length()))
+    by_range = texts.mapInArrow(tidy(_collect(lambda w: _tokens(w)[0], lambda k: (k >> U(64 - bits)).astype(np.int64))), blob)
+    parts = by_range.groupBy("bucket").applyInArrow(_vocabulary_part(folder), "bucket long, n long, total long").collect()  # at most 2**bits rows
+    sizes = [0] * (1 << bits)
     for r in parts:
         sizes[r.bucket] = r.n
     tokens, vocabulary = sum(r.total for r in parts), sum(sizes)
@@ -352,7 +354,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> tuple[str, dict
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _collect(_bigrams_of(Vocabulary(Files(folder), sizes)), _bigram_bucket(n))(batches)
 
-    types = texts.mapInArrow(bigrams, blob).groupBy("bucket").applyInArrow(_bigram_part(folder), blob)
+    types = texts.mapInArrow(tidy(bigrams), blob).groupBy("bucket").applyInArrow(_bigram_part(folder), blob)
     rows = types.groupBy("bucket").applyInArrow(_statistics_part(folder), blob).collect()  # a row for each 2**20 words
     got = {r.bucket: [int(x) for x in np.frombuffer(r.blob, np.uint64)] for r in rows}
     of_counts = got.pop(-1, [0, 0, 0, 0])
@@ -382,4 +384,4 @@ def lm_scores(docs: DataFrame, model: tuple[str, dict], keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*given, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(total), pa.array(base), pa.array(score)], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import BLANK, Words, pieces, utf8
+from corvane.llm.kernel import BLANK, Words, pieces, tidy, utf8
 
 BUCKETS = 512
 CUT = 0.3
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     spark = docs.sparkSession
     known = spark.createDataFrame(ids.collect(), ids.schema)  # at most max_fit_rows rows, so it may be broadcast
     rows = docs.select(id_column, text).join(F.broadcast(known), id_column).select(F.col("quality"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    got = rows.mapInArrow(_features_of, "quality int, x binary").collect()
+    got = rows.mapInArrow(tidy(_features_of), "quality int, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (bytes(r.x), r.quality))  # the order of arrival must not matter
@@ -175,7 +175,7 @@ def quality_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(score, pa.float64())], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, score double")
 
 
 def good_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

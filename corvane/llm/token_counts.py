@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import word_pieces
+from corvane.llm.kernel import tidy, word_pieces
 
 #: Characters whose general category is younger than some Unicode tables: texts with them skip the lookup.
 UNSURE = "[՘֋֌࢏౜೜₏₝-₟Ꟁ-꯿힤-\U0010ffff]"
@@ -141,7 +141,7 @@ def token_counts(
     filled = docs.select(*keep, F.octet_length(F.coalesce(docs[text], F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(docs[text], F.lit("")).alias("__text"))
     hot: dict[str, int] = {}
     if is_json:
-        summary = filled.select("__text").mapInArrow(frequent_words, "word string, n long")
+        summary = filled.select("__text").mapInArrow(tidy(frequent_words), "word string, n long")
         top = summary.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_entries // 2).collect()
         names = [w for r in top for w in (f" {r.word}", r.word)]
         hot = dict(zip(names, Counter(blob.decode(), {}, 0).lengths(names), strict=True))
@@ -154,4 +154,4 @@ def token_counts(
 
     run = _counting(make, len(keep) + 1)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in filled.schema.fields[:-1])
-    return filled.mapInArrow(run, f"{schema}, n_tokens long")
+    return filled.mapInArrow(tidy(run), f"{schema}, n_tokens long")
