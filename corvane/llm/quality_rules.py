@@ -23,7 +23,7 @@ MIN_WORDS = 50
 MIN_GROUP = 30
 BROADCAST_ROWS = 10_000
 #: Rate, and what a fence allows beyond the quartiles' spread (per mille; hundredths of characters a word).
-SLACK = {"symbols": 100, "repeats": 200, "dup_lines": 200, "word_length": 200}
+SLACK = {"symbols": 100, "repeats": 200, "dup_lines": 500, "word_length": 200}
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
@@ -168,7 +168,7 @@ u as (select 0 lv, lang, source, rate, bucket, n from k
 cu as (select *, sum(n) over (partition by lv, lang, source, rate order by bucket) cum, sum(n) over (partition by lv, lang, source, rate) total from u),
 q as (select lv, lang, source, rate, min(bucket) filter (where 4 * cum >= total) q1, min(bucket) filter (where 4 * cum >= 3 * total) q3 from cu group by all),
 f as (select lv, lang, source, max(case when rate = 1 then q3 + 3 * (q3 - q1) + 100 end) h1, max(case when rate = 2 then q3 + 3 * (q3 - q1) + 200 end) h2,
-   max(case when rate = 3 then q3 + 3 * (q3 - q1) + 200 end) h3, max(case when rate = 4 then q3 + 3 * (q3 - q1) + 200 end) h4,
+   max(case when rate = 3 then q3 + 3 * (q3 - q1) + 500 end) h3, max(case when rate = 4 then q3 + 3 * (q3 - q1) + 200 end) h4,
    max(case when rate = 4 then q1 - 3 * (q3 - q1) - 200 end) l4 from q group by all),
 pf as (select p.lang, p.source, h1, h2, h3, h4, l4 from p join f on p.lv = f.lv
    and (case when p.lv < 2 then p.lang end) is not distinct from f.lang and (case when p.lv < 1 then p.source end) is not distinct from f.source)
