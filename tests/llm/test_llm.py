@@ -264,9 +264,10 @@ def _family(n, edits, seed):
     return out
 
 
-def test_large_groups_branch_and_stay_whole(spark, monkeypatch):
-    """Small limits drive every path: branching, unsplittable nodes in chunks, blocks compared node by node."""
-    for name, value in (("NODE_LIMIT", 12), ("MAX_LEVEL", 4), ("CHUNK", 8), ("BLOCK_CLASSES", 20)):
+@pytest.mark.parametrize("block", [20, 4096])
+def test_large_groups_branch_and_stay_whole(spark, monkeypatch, block):
+    """Small limits drive every path: branching, unsplittable nodes in chunks, blocks compared by cells or by nodes."""
+    for name, value in (("NODE_LIMIT", 12), ("MAX_LEVEL", 4), ("CHUNK", 8), ("PART_CLASSES", 9), ("BLOCK_CLASSES", block)):
         monkeypatch.setattr(near_dedup, name, value)
     texts = _family(60, 1, 1) + _family(40, 2, 2) + [f"other {i} text of its own number {i * 7}" for i in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
