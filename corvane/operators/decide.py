@@ -166,6 +166,7 @@ def normalised_items(rows: DataFrame, key: str, raw: str, required: Sequence[str
         ok = ok & F.element_at("m", f).isNotNull()
     made_rows = items.withColumn("m", made).withColumn("ok", F.col("m").isNotNull() & F.coalesce(ok, F.lit(False)))
     counts = made_rows.groupBy(key).agg(F.count("*").alias("received"), F.count_if("ok").alias("valid"))
+    counts = rows.select(key).join(counts, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("received", "valid")])
     return made_rows.filter("ok").select(key, "pos", "m"), counts.withColumn("dropped", F.col("received") - F.col("valid"))
 
 

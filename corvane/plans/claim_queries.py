@@ -105,9 +105,6 @@ def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.scored(c, _TERMS, _ASKED).select("id", "relevance_score", "specificity_score", "quantitative_score", "overall_score")
 
 
-_ENABLED = ", ".join(f"when {K.quoted(k)} then {{x}}" for k in L.RETRIEVAL_DEFAULTS)
-
-
 def _default_sql(i: int) -> str:
     return "case store_type " + " ".join(f"when {K.quoted(k)} then {str(v[i]).lower()}" for k, v in L.RETRIEVAL_DEFAULTS.items()) + " end"
 
@@ -222,17 +219,14 @@ def duration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contradict.duration_pairs(_branded(spark, sf_dir))
 
 
-_Q = "1 + {k} % 5"
-
-
 @query(
     f"""select a, b, qa, qb, case when qa >= 4 and qb >= 4 then 'high' when abs(qa - qb) >= 3 then 'low' else 'medium' end confidence from (
-    select a, b, coalesce(x.q, 3) qa, coalesce(y.q, 3) qb from ({_numeric_sql()}) n left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_partkey % 7 <> 0) x on n.a = x.k
-    left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_partkey % 7 <> 0) y on n.b = y.k where outcome = 'conflict')"""
+    select a, b, coalesce(x.q, 3) qa, coalesce(y.q, 3) qb from ({_numeric_sql()}) n left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_retailprice > 1000) x on n.a = x.k
+    left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_retailprice > 1000) y on n.b = y.k where outcome = 'conflict')"""
 )
 def conflict_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contradict.numeric_pairs(_branded(spark, sf_dir), units=_UNITS).filter("outcome = 'conflict'")
-    q = K.table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("k"), (1 + F.col("p_partkey") % 5).alias("q"))
+    q = K.table(spark, sf_dir, "part").filter("p_retailprice > 1000").select(F.col("p_partkey").alias("k"), (1 + F.col("p_partkey") % 5).alias("q"))
     x, y = q.toDF("ka", "qa0"), q.toDF("kb", "qb0")
     j = c.join(x, c["a"] == x["ka"], "left").join(y, c["b"] == y["kb"], "left")
     j = j.select("a", "b", F.coalesce("qa0", F.lit(3)).alias("qa"), F.coalesce("qb0", F.lit(3)).alias("qb"))

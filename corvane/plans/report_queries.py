@@ -191,7 +191,7 @@ def chunks_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select event_id, case event_id % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 0 end received, case event_id % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 0 end valid, case event_id % 4 when 0 then 1 when 1 then 1 else 0 end dropped from events where event_id % 4 < 3"""
+    """select event_id, case event_id % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 0 end received, case event_id % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 0 end valid, case event_id % 4 when 0 then 1 when 1 then 1 else 0 end dropped from events"""
 )
 def normalised_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("event_id") % 4
@@ -240,11 +240,11 @@ def templated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with p as (select s_suppkey id, 'region_' || n_regionkey profile from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 4 <> 0), r as (select l_orderkey k, list(distinct l_suppkey) ids from lineitem where l_quantity > 40 group by 1),
+    """with p as (select s_suppkey id, 'region_' || n_regionkey profile from supplier join nation on n_nationkey = s_nationkey where s_acctbal > 0), r as (select l_orderkey k, list(distinct l_suppkey) ids from lineitem where l_quantity > 40 group by 1),
     e as (select k, unnest(ids) id from r), g as (select k, list_sort(list(distinct profile)) ps from e join p using (id) group by k) select r.k, coalesce(array_to_string(ps, ','), '') profiles from r left join g on r.k = g.k"""
 )
 def contributing_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 0").join(K.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    s = K.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(K.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     p = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("profile"))
     r = K.table(spark, sf_dir, "lineitem").filter("l_quantity > 40").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_suppkey").alias("ids"))
     return decide.contributing(r, "k", "ids", p).select("k", F.array_join("profiles", ",").alias("profiles"))
@@ -303,13 +303,13 @@ def question_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with b as (select doc_id, quality s from labels where doc_id % 2 = 0), a as (select doc_id, (quality + toxic) / 2.0 s from labels where doc_id % 3 <> 0)
+    """with b as (select doc_id, quality s from labels where toxic = 0), a as (select doc_id, (quality + length(doc_id::varchar) % 2) / 2.0 s from labels)
     select count(*) n, round(avg(b.s), 4) before_, round(avg(a.s), 4) after_, round(avg(a.s) - avg(b.s), 4) delta, count(*) filter (where a.s > b.s) improved from b join a on a.doc_id = b.doc_id"""
 )
 def improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = K.table(spark, sf_dir, "labels")
-    b = lab.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("b"))
-    a = lab.filter("doc_id % 3 <> 0").select("doc_id", ((F.col("quality") + F.col("toxic")) / 2.0).alias("a"))
+    b = lab.filter("toxic = 0").select("doc_id", F.col("quality").alias("b"))
+    a = lab.select("doc_id", ((F.col("quality") + F.length(F.col("doc_id").cast("string")) % 2) / 2.0).alias("a"))
     return b.join(a, "doc_id").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("before_"), F.round(F.avg("a"), 4).alias("after_"), F.round(F.avg("a") - F.avg("b"), 4).alias("delta"), F.count_if(F.col("a") > F.col("b")).alias("improved"))
 
 

@@ -11,7 +11,6 @@ from corvane.operators import classify, evaluate, link, retrieve, score, select
 from corvane.plans import carriers as K
 from corvane.plans.catalog import ORACLES, query
 
-_TERMS = ("power", "kw", "risk")
 _META = "(select doc_id, toxic = 0 enabled, 1 + doc_id % 5 priority, round((doc_id % 11) / 10.0, 2)::double as worth, (1 + doc_id % 4 + quality)::double overall from labels)"
 _FACTOR = "((0.8::double + (overall - 1.0::double) / 4.0::double * 0.4::double) * (0.9::double + (priority - 1) / 4.0::double * 0.2::double) * (0.9::double + worth * 0.2::double))"
 _WORDS = ("that", "with", "risk", "eaux")
@@ -83,13 +82,13 @@ def hybrid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with s as (select d.doc_id, round({_LEX} * {_FACTOR}, 4) score from documents d join {_META} m on d.doc_id = m.doc_id where enabled), o as (select doc_id, min(position) position from (select doc_id, doc_id % 17 position from documents where doc_id % 50 < 3 union all select doc_id, 99 from documents where doc_id % 50 = 0) group by doc_id)
+    f"""with s as (select d.doc_id, round({_LEX} * {_FACTOR}, 4) score from documents d join {_META} m on d.doc_id = m.doc_id where enabled), o as (select doc_id, min(position) position from (select doc_id, doc_id % 17 position from labels where toxic = 1 union all select doc_id, 99 from labels where quality = 1) group by doc_id)
     select s.doc_id, row_number() over (order by o.position is null, o.position, score desc, s.doc_id) as rank from s left join o on s.doc_id = o.doc_id where score >= 0.01 order by o.position is null, o.position, score desc, s.doc_id limit 30"""
 )
 def reranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieve.scored(retrieve.candidates(_statements(spark, sf_dir), _metadata(spark, sf_dir), "doc_id"), "lexical", _WORDS)
-    d = K.table(spark, sf_dir, "documents").select("doc_id")
-    order = d.filter("doc_id % 50 < 3").select("doc_id", (F.col("doc_id") % 17).alias("position")).unionByName(d.filter("doc_id % 50 = 0").select("doc_id", F.lit(99).cast("long").alias("position")))
+    lab = K.table(spark, sf_dir, "labels")
+    order = lab.filter("toxic = 1").select("doc_id", (F.col("doc_id") % 17).alias("position")).unionByName(lab.filter("quality = 1").select("doc_id", F.lit(99).cast("long").alias("position")))
     return retrieve.reranked(c, order, "doc_id", 30).select("doc_id", "rank")
 
 
@@ -154,9 +153,9 @@ def recommendation_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.shared_links(r, "rec", a, "asm", ("p", "h")).groupBy("rec").agg(F.count("*").alias("linked"), F.min("asm").alias("first_"))
 
 
-@query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_partkey % 3 = 0)")
+@query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_discount > 0.06)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = K.table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_partkey % 3 = 0").select(F.col("l_suppkey").alias("s_suppkey"))
+    used = K.table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_discount > 0.06").select(F.col("l_suppkey").alias("s_suppkey"))
     return link.orphans(K.table(spark, sf_dir, "supplier"), used, "s_suppkey")
 
 
@@ -184,36 +183,37 @@ def run_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with b as (select doc_id, quality = 1 passed from labels where doc_id % 10 <> 0), c as (select doc_id, (quality + (doc_id % 7 = 0)::int) % 2 = 1 passed from labels where doc_id % 11 <> 0)
+    """with l as (select l.doc_id, quality, toxic, lang from labels l join documents d using (doc_id)), b as (select doc_id, quality = 1 passed from l where lang <> 'fr'), c as (select doc_id, (quality + toxic) % 2 = 1 passed from l where lang <> 'es')
     select coalesce(b.doc_id, c.doc_id) doc_id, case when b.doc_id is null then 'new' when c.doc_id is null then 'removed' when not b.passed and c.passed then 'improved' when b.passed and not c.passed then 'regressed' when b.passed then 'unchanged_pass' else 'unchanged_fail' end as status from b full join c on b.doc_id = c.doc_id"""
 )
 def regression_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = K.table(spark, sf_dir, "labels")
-    b = lab.filter("doc_id % 10 <> 0").select("doc_id", (F.col("quality") == 1).alias("passed"))
-    c = lab.filter("doc_id % 11 <> 0").select("doc_id", ((F.col("quality") + (F.col("doc_id") % 7 == 0).cast("int")) % 2 == 1).alias("passed"))
+    """The earlier run knew no French items, the later one no Spanish ones."""
+    lab = K.table(spark, sf_dir, "labels").join(K.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    b = lab.filter("lang <> 'fr'").select("doc_id", (F.col("quality") == 1).alias("passed"))
+    c = lab.filter("lang <> 'es'").select("doc_id", ((F.col("quality") + F.col("toxic")) % 2 == 1).alias("passed"))
     return evaluate.item_diff(b, c, "doc_id")
 
 
 @query(
-    """with m as (select doc_id % 12 k, avg(quality) q, avg((quality + (doc_id % 7 = 0)::int) % 2) c from labels group by 1), b as (select 'metric_' || k metric, round(q, 6) v from m where k <> 3), c as (select 'metric_' || k metric, round(c, 6) v from m where k <> 4)
+    """with m as (select source k, avg(quality) q, avg((quality + toxic) % 2) c from labels join documents using (doc_id) group by 1), b as (select k metric, round(q, 6) v from m where k <> 'src3'), c as (select k metric, round(c, 6) v from m where k <> 'src4')
     select coalesce(b.metric, c.metric) metric, coalesce(b.v, 0) baseline, coalesce(c.v, 0) as current, round(coalesce(c.v, 0) - coalesce(b.v, 0), 6) delta,
-    case when (case when coalesce(b.metric, c.metric) = 'metric_1' then -1 else 1 end) * round(coalesce(c.v, 0) - coalesce(b.v, 0), 6) < -0.03::double then 'fail' when (case when coalesce(b.metric, c.metric) = 'metric_1' then -1 else 1 end) * round(coalesce(c.v, 0) - coalesce(b.v, 0), 6) > 0.03::double then 'improved' else 'pass' end as status
+    case when (case when coalesce(b.metric, c.metric) = 'src1' then -1 else 1 end) * round(coalesce(c.v, 0) - coalesce(b.v, 0), 6) < -0.03::double then 'fail' when (case when coalesce(b.metric, c.metric) = 'src1' then -1 else 1 end) * round(coalesce(c.v, 0) - coalesce(b.v, 0), 6) > 0.03::double then 'improved' else 'pass' end as status
     from b full join c on b.metric = c.metric"""
 )
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = K.table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 12).alias("k")).agg(F.avg("quality").alias("q"), F.avg((F.col("quality") + (F.col("doc_id") % 7 == 0).cast("int")) % 2).alias("c"))
-    name = F.concat(F.lit("metric_"), F.col("k").cast("string")).alias("metric")
-    return evaluate.metric_diff(m.filter("k <> 3").select(name, F.round("q", 6).alias("value")), m.filter("k <> 4").select(name, F.round("c", 6).alias("value")), ("metric_1",))
+    lab = K.table(spark, sf_dir, "labels").join(K.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("metric")), "doc_id")
+    m = lab.groupBy("metric").agg(F.avg("quality").alias("q"), F.avg((F.col("quality") + F.col("toxic")) % 2).alias("c"))
+    return evaluate.metric_diff(m.filter("metric <> 'src3'").select("metric", F.round("q", 6).alias("value")), m.filter("metric <> 'src4'").select("metric", F.round("c", 6).alias("value")), ("src1",))
 
 
 @query(
-    """with s as (select d.doc_id, lang as domain, quality::double coverage, quality = 1 passed, round((quality + toxic) / 2.0, 2)::double overall, doc_id % 13 = 0 e, doc_id % 17 = 0 k from labels l join documents d using (doc_id))
+    """with s as (select d.doc_id, lang as domain, quality::double coverage, quality = 1 passed, round((quality + toxic) / 2.0, 2)::double overall, toxic = 1 e, n_chars < 100 k from labels l join documents d using (doc_id))
     select domain, count(*) n, round(avg(coverage), 4) coverage, round(avg(passed::int), 4) pass_rate, round(avg(overall), 4) overall from s where not e and not k group by grouping sets ((domain), ())"""
 )
 def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = K.table(spark, sf_dir, "labels").join(K.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    d = K.table(spark, sf_dir, "labels").join(K.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("domain")), "doc_id")
     s = d.select(
-        "doc_id", "domain", F.col("quality").cast("double").alias("coverage"), (F.col("quality") == 1).alias("passed"), F.round((F.col("quality") + F.col("toxic")) / 2.0, 2).alias("overall"), (F.col("doc_id") % 13 == 0).alias("benchmark_error"), (F.col("doc_id") % 17 == 0).alias("known_limitation")
+        "doc_id", "domain", F.col("quality").cast("double").alias("coverage"), (F.col("quality") == 1).alias("passed"), F.round((F.col("quality") + F.col("toxic")) / 2.0, 2).alias("overall"), (F.col("toxic") == 1).alias("benchmark_error"), (F.col("n_chars") < 100).alias("known_limitation")
     )
     return evaluate.benchmark_summary(s, "domain")
 
@@ -310,12 +310,12 @@ def recommendation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with w as (select p_partkey k, p_size, unnest(list_filter(['a', 'b', 'c'], lambda p: (p = 'a' and p_partkey % 2 = 0) or (p = 'b' and p_partkey % 3 = 0) or (p = 'c' and p_partkey % 5 = 0))) profile from part), f as (select *, row_number() over (partition by k order by profile) rn from w),
+    """with w as (select p_partkey k, p_size, unnest(list_filter(['a', 'b', 'c'], lambda p: (p = 'a' and p_size > 25) or (p = 'b' and p_retailprice > 1050) or (p = 'c' and p_size < 10))) profile from part), f as (select *, row_number() over (partition by k order by profile) rn from w),
     q as (select *, row_number() over (partition by profile order by p_size desc, k) turn from f where rn = 1) select k, profile, turn from q where turn <= 10"""
 )
 def profile_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    wants = F.array_compact(F.array(F.when(k % 2 == 0, "a"), F.when(k % 3 == 0, "b"), F.when(k % 5 == 0, "c")))
+    wants = F.array_compact(F.array(F.when(F.col("p_size") > 25, "a"), F.when(F.col("p_retailprice") > 1050, "b"), F.when(F.col("p_size") < 10, "c")))
     w = K.table(spark, sf_dir, "part").select(k.alias("k"), "p_size", F.explode(wants).alias("profile"))
     return select.interleaved(w, "profile", "profile", [F.desc("p_size"), F.asc("k")], "k", 10).select("k", "profile", "turn")
 
