@@ -113,3 +113,41 @@ def extraction_key(rows: DataFrame, question: str, chunk: str) -> DataFrame:
     """(question, cache_key) from a question and its sorted chunk ids."""
     g = rows.groupBy(question).agg(F.array_join(F.array_sort(F.collect_list(F.col(chunk).cast("string"))), ",").alias("__c"))
     return g.select(question, X.cache_key(F.col(question), F.col("__c")).alias("cache_key"))
+
+
+def question_list(text: str) -> list[str]:
+    """Questions of a plain list: one a line, with or without a dash, number or quotes; # starts a comment."""
+    import re
+
+    found = []
+    for line in text.splitlines():
+        item = re.sub(r"^\s*(?:[-*]|\d+[.)])\s*", "", line.split("#", 1)[0]).strip().strip("\"'")
+        if item and not item.endswith(":"):
+            found.append(item.removeprefix("question:").strip().strip("\"'"))
+    return found
+
+
+#: Parts that an engagement must name, and whether each is a list.
+ENGAGEMENT = {"title": False, "question": False, "objectives": True, "profiles": True}
+
+
+def engagement(spec: Mapping[str, object]) -> dict[str, object]:
+    """A checked engagement; a missing or misshapen part raises ValueError that names it."""
+    out: dict[str, object] = {}
+    for name, is_list in ENGAGEMENT.items():
+        value = spec.get(name)
+        if is_list:
+            value = [value] if isinstance(value, str) else list(value or [])
+        if not value or (not is_list and not isinstance(value, str)):
+            raise ValueError(f"engagement: {name} is missing or has the wrong shape")
+        out[name] = value
+    return out
+
+
+def web_chunks(pages: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """One chunk for each page with text, numbered by its address."""
+    from pyspark.sql import Window
+
+    kept = pages.filter(F.trim(text) != "").withColumn("__h", F.pmod(F.xxhash64(url), F.lit(1024)))
+    n = F.row_number().over(Window.partitionBy("__h").orderBy(url)) - 1
+    return kept.select(F.format_string("web_%04d_%04d", F.col("__h"), n).alias("chunk_id"), F.col(url).alias("document_name"), F.col(text).alias("chunk_text"), F.lit("web").alias("source_type"))

@@ -196,3 +196,37 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).collect()[0].b == "x"
     assert "| 1 | x |" in sinks.markdown_table(d)
     assert "- one" in sinks.memo("T", {"S": ["one"]})
+
+
+def test_extension_points(spark):
+    import pandas as pd
+
+    from corvane.operators import plugin
+
+    d = spark.createDataFrame([(1, LONG), (2, "")], "doc_id long, text string")
+    assert {r.doc_id for r in plugin.extract(d, None, "").collect()} == {1}
+    own = plugin.extract(d, lambda: lambda b: pd.DataFrame({"doc_id": b.doc_id, "n": b.text.str.len()}), "doc_id long, n long")
+    assert {r.doc_id: r.n for r in own.collect()} == {1: len(LONG), 2: 0}
+    rows = spark.createDataFrame([("a", "power grid"), ("b", "power grid"), ("c", "")], "evidence_id string, statement string")
+    first = plugin.embeddings(rows, None)
+    got = {r.evidence_id: r.vector for r in first.collect()}
+    assert set(got) == {"a", "b"} and got["a"] == got["b"]
+    assert plugin.embeddings(rows, first).count() == 0
+    known = spark.createDataFrame([("E1",)], "e string")
+    named = spark.createDataFrame([(1, ["E1", "E2"])], "k long, ids array<string>")
+    assert [tuple(r) for r in plugin.unknown(named, "k", "ids", known, "e").collect()] == [(1, "E2")]
+    assert plugin.all_covered(known, known, "e")
+
+
+def test_small_readers(spark):
+    import pytest
+
+    assert readers.question_list("# x\n- How much?\n2) 'Why?'\nlist:\n") == ["How much?", "Why?"]
+    assert readers.engagement({"title": "t", "question": "q", "objectives": "o", "profiles": ["p"]})["objectives"] == ["o"]
+    with pytest.raises(ValueError, match="profiles"):
+        readers.engagement({"title": "t", "question": "q", "objectives": ["o"]})
+    w = readers.web_chunks(spark.createDataFrame([("u1", "x"), ("u2", " ")], "url string, text string")).collect()
+    assert [r.document_name for r in w] == ["u1"]
+    v = readers.vocabulary(spark, "p", {"topics": {"a": ["X", "y"]}, "terms": ["z"]})
+    assert v.count() == 3 and readers.topic_terms(v, "topics").first().terms == ["x", "y"]
+    assert readers.domain_of("/a/b/", {}) == "b"
