@@ -10,10 +10,10 @@ above 0.99999, then on the full shingle sets.  The trees are independent; a pair
 
 A near-copy group can be large, so pairs are never emitted: a node gives the star of each of its sketch
 components.  The components of these stars are blocks that no link leaves.  The full sets of a block of at most
-PART_CLASSES classes meet in one place; a larger block, up to BLOCK_CLASSES classes and BLOCK_SHINGLES
-shingles, is dealt to parts whose pairs meet in cells.  Still larger blocks are compared node by node (nodes
-are bounded), and nodes that MAX_LEVEL branchings could not reduce, which hold all but equal sets, in chunks
-that share the node's first class.
+PART_CLASSES classes meet in one place; a larger block is dealt to parts whose pairs meet in cells.  A block beyond
+BLOCK_CLASSES classes or BLOCK_SHINGLES shingles is compared node by node where that ships fewer sets.  A node that
+branching does not bring within the limit is dealt to pieces of CHUNK classes, and every pair of pieces meets in a
+cell: the work grows with the square of such a node, and no pair of it is left out.
 
 Cases: a null text or one without words has an empty set and is linked with nothing; texts with fewer words
 than a shingle are one shingle; a null id gets a null component and is kept; repeated rows share a component;
@@ -272,6 +272,13 @@ def _gathered(rows: DataFrame, key: str, parts: int) -> DataFrame:
     return rows.repartition(parts, key).sortWithinPartitions(key)
 
 
+def _dealt(large: DataFrame) -> DataFrame:
+    """(node, id) of cells in which every pair of a node's classes meets: node, id, n -> pieces of CHUNK, two by two."""
+    pieces = F.ceil(F.col("n") / CHUNK)
+    d = large.select("node", "id", F.pmod(F.xxhash64("id"), pieces).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
+    return d.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id column, n_shingles, component_id and kept of every row; linked from percent / 100 on."""
     spark = docs.sparkSession
@@ -301,22 +308,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
         rows = counted(children.distinct(), f"nodes-{level}")
         small = small.unionByName(rows.filter(F.col("n") <= NODE_LIMIT).select("node", "id"))
     if large.limit(1).count():
-        piece = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-        chunks = large.withColumn("piece", piece)
-        heads = large.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-        heads = heads.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CHUNK) - 1)))
-        both = chunks.select("node", "piece", "id").unionByName(heads.select("node", "piece", "id")).distinct()
-        small = small.unionByName(both.select(F.xxhash64("node", "piece").alias("node"), "id"))
+        small = small.unionByName(_dealt(large))
 
     sketches = classes.select("id", "sig").mapInArrow(tidy(_sketch), "id long, sketch binary")
     compared = _gathered(small.join(sketches, "id").select("node", "id", "sketch"), "node", parts)
     stars = compared.mapInArrow(tidy(_star_edges(pass_at)), "a long, b long")
     blocks = stash(components(stars).select("id", F.col("component").alias("block")), "blocks")
     sizes = blocks.join(classes.select("id", "n_shingles"), "id").groupBy("block").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    kind = F.when((F.col("n") > BLOCK_CLASSES) | (F.col("m") > BLOCK_SHINGLES), BY_NODE).when(F.col("n") > PART_CLASSES, BY_CELL)
+    sizes = stash(sizes.withColumn("parts", F.greatest(F.ceil(F.col("n") / PART_CLASSES), F.ceil(F.col("m") / BLOCK_SHINGLES))), "block-sizes")
+    huge = sizes.filter((F.col("n") > BLOCK_CLASSES) | (F.col("m") > BLOCK_SHINGLES)).select("block")
+    # cells hold every pair of a block; nodes are taken where they ship fewer sets than that
+    by_node = small.join(blocks.join(huge, "block", "left_semi"), "id").groupBy("block").agg(F.count("*").alias("node_rows"))
+    sizes = sizes.join(by_node, "block", "left")
+    kind = F.when(F.col("node_rows") < F.col("n") * F.col("parts"), BY_NODE).when((F.col("parts") > 1) | F.col("node_rows").isNotNull(), BY_CELL)
     sizes = stash(sizes.withColumn("kind", kind).filter("kind is not null"), "large-blocks")
     kinds = {r.kind for r in sizes.select("kind").distinct().collect()}  # at most two rows
-    sketched = blocks.join(sketches, "id").join(sizes.select("block", "kind", F.ceil(F.col("n") / PART_CLASSES).alias("parts")), "block", "left")
+    sketched = blocks.join(sketches, "id").join(sizes.select("block", "kind"), "block", "left")
     sketched = stash(sketched, "sketched")
     # full sets, once for every class that has a possible partner
     full = "block long, id long, sketch binary, grams binary"
@@ -338,7 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     if BY_CELL in kinds:
         # a block's classes are dealt to parts; every pair of parts meets in a cell of its own
         cells = sets_of(sketched.filter(F.col("kind") == BY_CELL), F.col("block"))
-        n = sizes.select(F.col("block"), F.ceil(F.col("n") / PART_CLASSES).alias("parts"))
+        n = sizes.select("block", "parts")
         own = F.pmod(F.xxhash64("id"), F.col("parts"))
         cells = cells.join(n, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         cell = F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other"))

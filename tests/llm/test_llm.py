@@ -276,6 +276,22 @@ def test_large_groups_branch_and_stay_whole(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk, part", [(8, 9), (30, 1)])
+def test_unsplittable_nodes_keep_links_to_a_hub(spark, monkeypatch, chunk, part):
+    """Copies that link to their original only, which is not the least id; compared by cells and by nodes."""
+    for name, value in (("NODE_LIMIT", 12), ("MAX_LEVEL", 1), ("CHUNK", chunk), ("PART_CLASSES", part), ("BLOCK_CLASSES", 20)):
+        monkeypatch.setattr(near_dedup, name, value)
+    base = [f"w{i}" for i in range(160)]
+    texts = [" ".join(base[: 7 * (k % 20) + 8] + [f"e{k}"] + base[7 * (k % 20) + 9 : 150] + [f"f{k}"] + base[151:]) for k in range(80)]
+    texts.insert(50, " ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = _sets(docs)
+    want = _components(sets, 87)
+    assert set(want.values()) == {0} and len(set(_components({k: v for k, v in sets.items() if k != 50}, 87).values())) == 20
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 87).collect()}
+    assert got == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(50)] + [(100, x) for x in range(101, 120)] + [(7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
