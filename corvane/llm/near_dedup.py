@@ -2,11 +2,11 @@
 
 Texts that are equal as word sequences are one class.  A class's shingle set is summed up by SIZE minwise
 tokens.  Each of TREES trees branches the classes by the value of a chosen token; a node of more than
-NODE_LIMIT classes is branched again by further tokens, chosen by the node (on average 1/similarity of them,
-so that a pair at the threshold is expected to stay together in one child).  Nodes within the limit are
-compared exhaustively: first by sketches of the tokens, which pass a pair at the threshold with probability
-above 0.99999, then on the full shingle sets.  The trees are independent; a pair at similarity 0.8 misses all
-12 of them at the first level with probability 4e-9.
+NODE_LIMIT classes is branched again by further tokens, so many (see children_for) that a pair at the threshold
+stays together at any depth: at 0.8, with three children, all 12 trees lose it with probability 2e-7 by calculation
+(at the roots alone 4e-9).  A child that keeps so much of its parent that branching saves no comparisons is not
+branched on but compared whole.  Nodes are compared exhaustively: first by sketches of the tokens, which pass a pair
+at the threshold with probability above 0.99999, then on the full shingle sets.
 
 A near-copy group can be large, so pairs are never emitted: a node gives the star of each of its sketch
 components.  The components of these stars are blocks that no link leaves.  The full sets of a block of at most
@@ -22,6 +22,7 @@ long texts are read whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ SIZE = 64
 TREES = 12
 NODE_LIMIT = 2048
 MAX_LEVEL = 24
+#: Probability, over all levels of branching, with which a pair at the threshold may be lost.
+LOST = 1e-6
 CHUNK = 512
 PART_CLASSES = 384
 BLOCK_CLASSES = 4096
@@ -114,27 +117,50 @@ def _branch_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = _matrix(batch.column(1), np.uint32, SIZE)
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         nodes = [mix(sig[:, j].astype(np.uint64) * U(2654435769) + U(t + 1)) for t, j in enumerate(_TREE)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(ids, TREES))], names=["node", "id"])
+        used = np.repeat(U(1) << _TREE.astype(np.uint64), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(ids, TREES)), pa.array(used.view(np.int64))], names=["node", "id", "used"])
 
 
-def _branch(similarity: float) -> Callable:
-    extra = 1 / similarity - 1
+def children_for(similarity: float) -> int:
+    """Least number of children a branching (3 at 0.8, 2 at 0.85) with which a pair at the threshold loses little, at any depth."""
+    return next((c for c in range(2, 5) if lost(similarity, c, MAX_LEVEL) <= max(LOST, 2 * lost(similarity, c, 1))), 5)
+
+
+def lost(similarity: float, children: int, levels: int) -> float:
+    """Probability that all trees lose a pair whose tokens agree independently, with that many levels of branching."""
+    total, draws = 0.0, np.arange(SIZE + 1)
+    for k in draws:
+        a, out = k / SIZE, 0.0
+        for _ in range(levels - 1):
+            out = (1 - a + a * out) ** children
+        # the roots of the trees take distinct positions, the deeper draws about the same share of agreeing ones
+        total += math.comb(SIZE, int(k)) * similarity**k * (1 - similarity) ** (SIZE - k) * (1 - a + a * out) ** TREES
+    return float(total)
+
+
+def _branch(children: int) -> Callable:
+    """Rows of the children of nodes: each node draws token positions of its own that its path has not used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
             sig = _matrix(batch.column(2), np.uint32, SIZE)
-            draw = mix(node ^ U(0x51ED270B))
-            j1 = (draw % U(SIZE)).astype(int)
-            j2 = (j1 + 1 + ((draw >> U(8)) % U(SIZE - 1)).astype(int)) % SIZE
-            more = (draw >> U(32)).astype(float) / 2**32 < extra
-            rows = np.arange(len(ids))
-            child = lambda j: mix(mix(node + j.astype(np.uint64)) ^ (sig[rows, j].astype(np.uint64) * U(0x9E3779B1)))
-            out, who = np.concatenate((child(j1), child(j2)[more])), np.concatenate((ids, ids[more]))
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(who)], names=["node", "id"])
+            used = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows, taken, out, path = np.arange(len(node)), used.copy(), [], []
+            for c in range(children):
+                draw = mix(node ^ U(0x51ED270B + c))
+                j, step = draw % U(SIZE), (draw >> U(8)) | U(1)
+                while len(busy := np.flatnonzero((taken >> j) & U(1))):
+                    j[busy] = (j[busy] + step[busy] % U(SIZE)) % U(SIZE)
+                taken |= U(1) << j
+                path.append(used | (U(1) << j))
+                out.append(mix(mix(node + j) ^ (sig[rows, j.astype(int)].astype(np.uint64) * U(0x9E3779B1))))
+            again = lambda k: pa.concat_arrays([batch.column(k)] * children)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out).view(np.int64)), again(1), again(3), pa.array(np.concatenate(path).view(np.int64))], names=["node", "id", "above", "used"]
+            )
 
     return run
 
@@ -299,14 +325,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
         n = stash(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), f"{tag}-sizes")
         return stash(rows.join(n, "node"), tag)
 
-    rows = counted(classes.select("id", "sig").mapInArrow(tidy(_branch_root), "node long, id long"), "nodes-1")
+    rows = counted(classes.select("id", "sig").mapInArrow(tidy(_branch_root), "node long, id long, used long"), "nodes-1")
     small = rows.filter(F.col("n") <= NODE_LIMIT).select("node", "id")
-    level = 1
-    while (large := rows.filter(F.col("n") > NODE_LIMIT)).limit(1).count() and level < MAX_LEVEL:
+    level, children = 1, children_for(similarity)
+    large = rows.filter(F.col("n") > NODE_LIMIT)
+    while level < min(MAX_LEVEL, SIZE - children) and large.limit(1).count():
         level += 1
-        children = large.select("node", "id").join(classes.select("id", "sig"), "id").select("node", "id", "sig").mapInArrow(tidy(_branch(similarity)), "node long, id long")
-        rows = counted(children.distinct(), f"nodes-{level}")
+        branched = large.select("node", "id", F.col("n").alias("above"), "used").join(classes.select("id", "sig"), "id").select("node", "id", "sig", "above", "used")
+        rows = counted(branched.mapInArrow(tidy(_branch(children)), "node long, id long, above long, used long"), f"nodes-{level}")
         small = small.unionByName(rows.filter(F.col("n") <= NODE_LIMIT).select("node", "id"))
+        # where children hold no fewer pairs than their parent, branching on would only repeat these
+        stuck = F.col("n") > children**-0.5 * F.col("above")
+        small = small.unionByName(_dealt(rows.filter((F.col("n") > NODE_LIMIT) & stuck)))
+        large = rows.filter((F.col("n") > NODE_LIMIT) & ~stuck)
     if large.limit(1).count():
         small = small.unionByName(_dealt(large))
 
