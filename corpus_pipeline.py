@@ -34,8 +34,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mixing.mix(docs)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The shares of the documents in the mix; the mix itself is written to path (else to the shared folder)."""
+    return source_mixing.mix(docs, path=path)
 
 
 STAGES = [
@@ -49,10 +50,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """What the last stage returns; the blocks of the mix are written to path, if one is given."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, path) if stage is mix_sources else stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = stash(docs, f"stage-{n + 1}")
     return docs

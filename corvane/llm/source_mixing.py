@@ -6,7 +6,9 @@ shared out again by weight.  The output is a row of slots of one block each, dea
 Every shard draws multinomial counts of the sources; draws beyond a source's quota of slots are returned and
 fill the quotas that came out short (about the square root of the slots; they form one more shard).  The k-th
 slot of a source takes the block at the k-th place of the source's permutation (swap-or-not shuffle of the
-block indexes, another one for every pass over the source), and blocks are joined by index.
+block indexes, another one for every pass over the source), and blocks are joined by index.  The mix itself, a row
+of (shard, slot, sid, block, words, parts) for every slot, is written as Parquet; a shard is its rows by slot, in
+which the sources are shuffled.  Words of a block are joined by one blank.
 
 Offsets of documents come from two levels of running sums (buckets of a source, documents of a bucket), so no
 task holds a source.  The result depends on the rows only: reruns agree.
@@ -32,7 +34,7 @@ BROADCAST_ROWS = 10_000
 def sizes(docs: DataFrame, keep: tuple[str, ...], source: str = "source", text: str = "text") -> DataFrame:
     t = F.coalesce(docs[text], F.lit(""))
     words = F.when(F.btrim(t, F.lit(BLANKS)) == "", 0).otherwise(F.size(words_of(t)))
-    return docs.select(*keep, docs[source].alias("__source"), words.cast("long").alias("size"))
+    return docs.select(*keep, docs[source].alias("__source"), t.alias("__text"), words.cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
@@ -57,15 +59,19 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return s.select("__source", "sid", "source_size", "weight", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def packed(sized: DataFrame, n_docs: int, keep: tuple[str, ...]) -> DataFrame:
-    """Offset of every document with words in its source's stream of words."""
-    buckets = max(math.ceil(n_docs / 65_536), min(256, math.ceil(n_docs / 64)), 1)
+def packed(sized: DataFrame, narrow: DataFrame, n_docs: int, keep: tuple[str, ...]) -> DataFrame:
+    """Offset of every document with words in its source's stream of words; the text goes along.
+
+    narrow: the same rows without their texts, from which the buckets' sums come."""
+    buckets = max(math.ceil(n_docs / 4_096), min(256, math.ceil(n_docs / 64)), 1)
     h = F.xxhash64(*[F.col(c) for c in keep], "size")
-    d = sized.filter("size > 0").withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
-    sums = d.groupBy("sid", "__bucket").agg(F.sum("size").alias("n"))
+    bucketed = lambda rows: rows.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    # the same as size > 0, which would split the words once more in the filter
+    d = bucketed(sized.filter(F.btrim("__text", F.lit(BLANKS)) != ""))
+    sums = bucketed(narrow.filter("size > 0")).groupBy("sid", "__bucket").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "__bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("sid", "__bucket").orderBy("__h", *keep, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "__bucket").orderBy("__h", *keep, "size", F.xxhash64("__text")).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return d.join(sums, ["sid", "__bucket"]).withColumn("off", F.col("__before") + F.col("__in")).drop("__before", "__in", "__bucket", "__h")
 
@@ -81,13 +87,13 @@ def permuted(x: Column, n: Column, *key: Column, seed: int = 0) -> Column:
 
 
 def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataFrame:
-    """One row for every output slot: shard, sid and block.  quotas: sid, blocks, slots."""
+    """One row for every output slot: shard, slot, sid and block.  quotas: sid, blocks, slots."""
     spark = quotas.sparkSession
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     q = quotas.filter("slots > 0").withColumn("lo", F.coalesce(F.sum("slots").over(w), F.lit(0))).withColumn("hi", F.col("lo") + F.col("slots"))
     total = q.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
     if not total:
-        return quotas.select(F.lit(0).cast("long").alias("shard"), "sid", F.lit(0).cast("long").alias("block")).limit(0)
+        return quotas.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("block")).limit(0)
     width = max(1, -(-total // 1024))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = q.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
@@ -104,30 +110,86 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     # even pieces, so that no task gets a long run
     piece = 4096
     runs = runs.unionByName(short.filter("first < last"))
-    runs = runs.select("shard", "sid", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
+    in_shard = Window.partitionBy("shard")
+    here = F.col("last") - F.col("first")
+    runs = runs.withColumns({"filled": F.sum(here).over(in_shard), "place": F.sum(here).over(in_shard.orderBy("sid")) - F.col("last")})  # place + k: a row of the shard
+    runs = runs.select("shard", "sid", "filled", "place", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
     runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks"), "sid")
-    slots = runs.select("shard", "sid", "blocks", F.explode(F.sequence("first", F.least(F.col("first") + piece, "last") - 1)).alias("k"))
+    slots = runs.select("shard", "sid", "filled", "place", "blocks", F.explode(F.sequence("first", F.least(F.col("first") + piece, "last") - 1)).alias("k"))
     epoch = F.floor(F.col("k") / F.col("blocks"))
-    return slots.select("shard", "sid", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), epoch, seed=seed + 7).alias("block"))
+    slot = permuted(F.col("place") + F.col("k"), F.col("filled"), F.col("shard"), seed=seed + 11)
+    return slots.select("shard", slot.alias("slot"), "sid", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), epoch, seed=seed + 7).alias("block"))
+
+
+def blocks_of(offsets: DataFrame, block: int) -> DataFrame:
+    """sid, block, words and parts (off, n: words taken from the document at that offset) of every block of the sources."""
+    low = lambda b: F.greatest(F.col("off"), b * block)
+    high = lambda b: F.least(F.col("off") + F.col("size"), (b + 1) * block)
+
+    def cut(w: Column) -> Column:
+        at = F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))
+        piece = lambda b: F.array_join(F.slice(w, (low(b) - F.col("off") + 1).cast("int"), (high(b) - low(b)).cast("int")), " ")
+        return F.transform(at, lambda b: F.struct(b.alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
+
+    # within the lambda the words are split once a document
+    cuts = F.get(F.transform(F.array(words_of(F.col("__text"))), cut), 0)
+    rows = offsets.select("sid", "off", F.inline(cuts))
+    held = rows.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
+    parts = F.transform("p", lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n")))
+    return held.select("sid", "block", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("words"), parts.alias("parts"))
+
+
+def mixed(
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    block: int = 128,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeats: int = 3,
+    path: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The mix and the documents it was made from.
+
+    The mix has a row for every slot: shard, slot, sid, block, words, and parts, the (off, n) of the documents in it.
+    It is written to path as Parquet (without one to the shared folder, where it lasts as long as the session).
+    Documents: keep columns, size, source_size, target, sid and off; off is null without words."""
+    sized = sizes(docs, keep, source, text)
+    narrow = stash(sized.drop("__text"), "sizes")
+    goals = stash(targets(narrow, weights, max_repeats), "targets")
+    n_docs = narrow.count()
+    g = bounded_broadcast(goals, BROADCAST_ROWS).alias("g")
+
+    def with_sid(rows: DataFrame) -> DataFrame:
+        own = rows.drop("__source").columns
+        return rows.alias("d").join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in own], "g.sid", "g.source_size", "g.target")
+
+    # written once: the blocks are cut from it, and the documents' shares are counted by it
+    offsets = stash(packed(with_sid(sized), with_sid(narrow), n_docs, keep), "offsets")
+    blocks = F.ceil(F.col("source_size") / block)
+    quotas = goals.filter("source_size > 0").select("sid", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), max_repeats * blocks).alias("slots"))
+    out = picks(quotas).join(blocks_of(offsets, block), ["sid", "block"]).select("shard", "slot", "sid", "block", "words", "parts")
+    if path is None:
+        out = stash(out, "mix")
+    else:
+        out.write.parquet(path)
+        out = docs.sparkSession.read.schema(out.schema).parquet(path)
+    nothing = with_sid(narrow).filter("size = 0").withColumn("off", F.lit(None).cast("long"))
+    return out, offsets.select(*nothing.columns).unionByName(nothing)
 
 
 def mix(
-    docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = 128, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    block: int = 128,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeats: int = 3,
+    path: str | None = None,
 ) -> DataFrame:
-    """keep columns, size, source_size, target and taken of every row."""
-    sized = stash(sizes(docs, keep, source, text), "sizes")
-    goals = stash(targets(sized, weights, max_repeats), "targets")
-    n_docs = sized.count()
-    d, g = sized.alias("d"), bounded_broadcast(goals, BROADCAST_ROWS).alias("g")
-    with_sid = d.join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in (*keep, "size")], "g.sid", "g.source_size", "g.target")
-    offsets = packed(with_sid, n_docs, keep)
-    blocks = F.ceil(F.col("source_size") / block)
-    quotas = goals.filter("source_size > 0").select("sid", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), max_repeats * blocks).alias("slots"))
-    times = picks(quotas).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    spans = offsets.select("*", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))).alias("block"))
-    part = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("off", F.col("block") * block)
-    taken = spans.withColumn("__part", part).join(times, ["sid", "block"], "left").groupBy("sid", "off", *keep, "size", "source_size", "target")
-    taken = taken.agg(F.sum(F.col("__part") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    out = [*keep, "size", "source_size", "target", "taken"]
-    nothing = with_sid.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.select(*out).unionByName(nothing.select(*out))
+    """keep columns, size, source_size, target and taken of every row; taken is counted in the blocks of the written mix."""
+    out, rows = mixed(docs, source, text, keep, block, weights, max_repeats, path)
+    taken = out.select("sid", F.inline("parts")).groupBy("sid", "off").agg(F.sum("n").alias("n"))
+    rows = rows.join(taken, ["sid", "off"], "left")
+    return rows.select(*keep, "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))

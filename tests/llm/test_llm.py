@@ -180,6 +180,37 @@ def test_mix_reaches_its_targets_and_repeats(spark):
     assert a[key].sort_values(key).values.tolist() == b[key].sort_values(key).values.tolist()
 
 
+def test_mix_holds_the_words_it_counts(spark, tmp_path):
+    """The written blocks are the blocks of the sources, in slots 0.. of each shard, and taken is what they hold."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([(-1, " a\tb  c ", "en", None, 7), (-1, "c b a", "en", None, 5), (-2, None, "en", None, 0)], SCHEMA))
+    path = str(tmp_path / "mix")
+    got = collections.Counter()
+    for r in source_mixing.mix(docs, path=path).collect():
+        got[r.doc_id] += r.taken
+    out = spark.read.parquet(path).collect()
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert out and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    _, rows_ = source_mixing.mixed(docs)
+    place = {(r.sid, r.off): r for r in rows_.collect() if r.off is not None}
+    words = collections.defaultdict(list)
+    for r in docs.collect():
+        words[r.doc_id].append(WORD.findall(r.text or ""))
+    held = collections.Counter()
+    for r in out:
+        w, at = r.words.split(" "), 0
+        last = -(-place[(r.sid, r.parts[0].off)].source_size // 128) - 1 if len(w) < 128 else None
+        assert len(w) == 128 or r.block == last
+        for p in r.parts:
+            d, start = place[(r.sid, p.off)], max(0, r.block * 128 - p.off)
+            assert w[at : at + p.n] in [x[start : start + p.n] for x in words[d.doc_id] if len(x) == d["size"]]
+            held[d.doc_id] += p.n
+            at += p.n
+        assert at == len(w)
+    assert held == +got and len({r.sid for r in out}) > 1
+
+
 def test_targets_share_out_what_caps_cut(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "__source string, size long")
     got = {r["__source"]: r.target for r in source_mixing.targets(sized).collect()}
