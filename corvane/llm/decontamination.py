@@ -1,22 +1,29 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-Words are lower-cased (A-Z) and give SHINGLE-word shingles.  A window as long as a benchmark item can only be
-similar to it if both share a shingle, so windows are laid where a shingle of the item occurs (its place in
-the item aligns the window).  A bitmap of the benchmark's shingles, of fixed size, keeps other places from
-leaving the scan; a join with the shingles themselves removes what the bitmap lets through.
-
-Each window gets a 64-bit SimHash of its shingles, weighted by how often they occur.  With ``radius`` + 1
-blocks, two fingerprints within the radius agree in a block at least, so an equi-join on (length, block,
-value) finds all of them; a pair is kept if its weighted Jaccard similarity is at least ``similarity``.
-
-Cases: null or empty texts and items match nothing; an item or text of fewer than SHINGLE words is one
-shingle of all its words, so it matches only windows of just these words; repeated rows and items are
-compared once by content and reported for every id; long texts are read whole; empty tables give no rows.
+Words are lower-cased (A-Z) and give SHINGLE-word shingles.  A window as long as a benchmark item that is similar to
+it to ``similarity`` shares most of its shingles with it: of n shingles at least 2 n s / (1 + s).  Windows of every
+item length are laid at every place where that many of their shingles are the benchmark's; at other places none can
+reach the similarity, so no window is lost, however the item's parts are edited, moved or interrupted.
+
+1. One narrow pass over the texts marks places whose shingle is in a bitmap of the benchmark's (sized by its
+   shingles) and cuts out the regions dense enough to hold a window, as tiles of bounded width.  Documents stay behind.
+2. Tiles' places are joined with the shingles themselves, by item length; the runs that are dense for a length give
+   the windows' starts.
+3. Each window gets a 64-bit SimHash of its shingles, weighted by how often they occur.  With ``radius`` + 1 blocks,
+   two fingerprints within the radius agree in a block at least, so an equi-join on (length, block, value) finds all
+   items within the radius of a window; equal windows are looked up once.
+4. A pair is kept if its weighted Jaccard similarity, counted exactly, is at least ``similarity``.
+
+Cases: null or empty texts and items match nothing; an item or text of fewer than SHINGLE words is one shingle of all
+its words, so it matches only windows of just these words; a text shorter than an item is one window; repeated rows
+and items are compared once by content and reported for every id; of windows equally similar the first is reported;
+long texts are read whole; empty tables give no rows; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +31,9 @@ from pyspark.sql import functions as F
 from corvane.llm.base import BLANKS, bounded_broadcast, stash, words_of
 
 SHINGLE = 5
-BITMAP_BITS = 1 << 21
+#: The bitmap has 16 bits a shingle within these bounds; beyond them it only lets more places through.
+LEAST_BITMAP, MOST_BITMAP = 1 << 16, 1 << 25
+TILE = 1024
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,18 +58,21 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     return w.select("item", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), grams.alias("grams"))
 
 
-def _place(h: Column) -> Column:
-    return F.pmod(F.call_function("shiftright", h, F.lit(20)), F.lit(BITMAP_BITS))
+def _place(h: Column, bits: int) -> Column:
+    return F.pmod(F.call_function("shiftright", h, F.lit(20)), F.lit(bits))
 
 
-def bitmap(grams: DataFrame) -> Column:
-    """The benchmark's shingles as a literal array of BITMAP_BITS / 64 longs."""
-    at = _place(F.col("gram"))
+def bitmap(grams: DataFrame) -> tuple[Column, int]:
+    """The shingles of column gram as a literal array of longs, and its number of bits."""
+    bits = LEAST_BITMAP
+    while bits < min(MOST_BITMAP, 16 * grams.count()):
+        bits *= 2
+    at = _place(F.col("gram"), bits)
     rows = grams.select(F.floor(at / 64).cast("int").alias("w"), (at % 64).cast("int").alias("b")).groupBy("w")
-    words = [0] * (BITMAP_BITS // 64)
-    for r in rows.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("v")).collect():  # at most BITMAP_BITS / 64 rows
+    words = [0] * (bits // 64)
+    for r in rows.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("v")).collect():  # at most MOST_BITMAP / 64 rows
         words[r.w] = r.v
-    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), bits
 
 
 def simhash(grams: str) -> Column:
@@ -81,36 +93,75 @@ def _blocks(print_: str, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), cut(edges[i], edges[i + 1]).alias("value")) for i in range(n)])
 
 
-def _weighted_jaccard(a: str, b: str) -> tuple[Column, Column]:
-    """(sum of minima, sum of maxima) of the counts of two arrays."""
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    both = F.array_distinct(F.array_intersect(a, b))
-    least = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
-    return least, F.size(a) + F.size(b) - least
+def _numbered(grams: Column) -> Column:
+    """The shingles, each with the number of its occurrence: a set in the place of a multiset."""
+    return F.get(F.transform(F.array(F.array_sort(grams)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(a, x)).alias("i")))), 0)
 
 
-def windows_of(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct windows (id, key, at, n_words, k, grams) of documents that share a shingle with an item of their length."""
-    gram_rows = items.select("k", "n_words", F.posexplode("grams").alias("q", "gram"))
-    known = stash(gram_rows.groupBy("k", "n_words", "gram").agg(F.array_sort(F.collect_set("q")).alias("q")), "benchmark-shingles")
-    lengths = sorted(r.k for r in known.select("k").distinct().collect())  # at most SHINGLE rows
+def _needed(items: Column, size: Column, similarity: float) -> Column:
+    """Least number of shingles that a window of size shingles shares with an item if it is similar to it."""
+    return F.ceil(similarity * (items + size) / (1 + similarity) - 1e-9).cast("int")
+
+
+def _tiles(g: str, hits: Column, least: int, gap: int, width: int, longest: int) -> Column:
+    """Tiles (at, n, grams) of the regions with at least ``least`` hits, in which hits are at most ``gap`` places apart."""
+
+    def of_regions(p: Column, heads: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(heads, j + 1), F.size(p))
+        regions = F.transform(heads, lambda h, j: F.struct(F.get(p, h).alias("first"), F.get(p, after(j) - 1).alias("last"), (after(j) - h).alias("hits")))
+        low = lambda r: F.greatest(F.lit(0), r["first"] - gap)
+        high = lambda r: F.least(F.size(g) - 1, r["last"] + gap)
+        cut = lambda r, t: F.slice(g, t + 1, F.least(F.lit(width + longest), high(r) - t + 1))
+        tiles = lambda r: F.transform(F.sequence(low(r), high(r), F.lit(width)), lambda t: F.struct(t.alias("at"), F.size(g).alias("n"), cut(r, t).alias("grams")))
+        return F.flatten(F.transform(F.filter(regions, lambda r: r["hits"] >= least), tiles))
+
+    def of_hits(p: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i) - F.get(p, i - 1) > gap + 1))
+        return F.get(F.transform(F.array(heads), lambda h: of_regions(p, h)), 0)
+
+    # arrays of one element bind what is used more than once
+    return F.flatten(F.transform(F.filter(F.array(hits), lambda p: F.size(p) >= least), of_hits))
+
+
+def tiles_of(docs: DataFrame, items: DataFrame, similarity: float, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """The tiles (id, key, k, at, n, grams) in which windows may lie; the number of starts in a tile by k."""
     w = docs.select(F.col(id_column).alias("id"), F.xxhash64(id_column, text).alias("key"), _words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    out = None
-    for k in lengths:
-        of_k = known.filter(F.col("k") == k)
-        held = bitmap(of_k)
-        g = w.filter(F.size("w") >= k).select("id", "key", _shingles("w", k).alias("g"))
-        hit = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.getbit(F.get(held, F.floor(_place(F.get("g", i)) / 64).cast("int")), F.pmod(F.call_function("shiftright", F.get("g", i), F.lit(20)), F.lit(64)).cast("int")) == 1)
-        g = g.select("id", "key", "g", F.explode(hit).alias("p")).withColumn("gram", F.get("g", F.col("p")))
-        g = g.join(bounded_broadcast(of_k, BROADCAST_ROWS), "gram").select("id", "key", "g", "p", "k", "n_words", F.explode("q").alias("q"))
-        size = F.least(F.col("n_words") - k + 1, F.size("g"))  # shingles of the window
-        at = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("g") - size))
-        g = g.select("id", "key", at.alias("at"), "n_words", "k", F.slice("g", at + 1, size).alias("grams"))
-        g = g.groupBy("id", "key", "at", "n_words", "k").agg(F.first("grams").alias("grams"))
+    out, widths = None, {}
+    for r in items.groupBy("k").agg(F.min(F.size("grams")).alias("least"), F.max(F.size("grams")).alias("most")).collect():  # at most SHINGLE rows
+        held, bits = bitmap(items.filter(F.col("k") == r.k).select(F.explode("grams").alias("gram")).distinct())
+        gap = int(r.most * (1 - similarity) / (1 + similarity)) + 1
+        widths[r.k] = max(TILE, 4 * r.most)
+        g = w.filter(F.size("w") >= r.k).select("id", "key", _shingles("w", r.k).alias("g"))
+        bit = lambda h: F.getbit(F.get(held, F.floor(_place(h, bits) / 64).cast("int")), F.pmod(F.call_function("shiftright", h, F.lit(20)), F.lit(64)).cast("int")) == 1  # noqa: B023, E731
+        hits = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: bit(F.get("g", i)))  # noqa: B023
+        least = max(1, math.ceil(similarity * r.least - 1e-9))
+        g = g.select("id", "key", F.lit(r.k).alias("k"), F.inline(_tiles("g", hits, least, gap, widths[r.k], r.most)))
         out = g if out is None else out.unionByName(g)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "id long, key long, at int, n_words int, k int, grams array<bigint>")
-    return out
+        out = docs.sparkSession.createDataFrame([], "id long, key long, k int, at int, n int, grams array<bigint>").withColumn("id", F.lit(None).cast(docs.schema[id_column].dataType))
+    return out, widths
+
+
+def windows_of(tiles: DataFrame, items: DataFrame, widths: dict[int, int], similarity: float) -> DataFrame:
+    """(key, at, k, m, s, size): windows, laid for items of m shingles from place s of a tile, that hold enough of these items' shingles."""
+    known = items.select("k", F.size("grams").alias("m"), F.explode("grams").alias("gram")).groupBy("k", "gram").agg(F.collect_set("m").alias("m"))
+    known = bounded_broadcast(stash(known, "benchmark-shingles"), BROADCAST_ROWS)
+    places = tiles.select("key", "at", "k", "n", F.size("grams").alias("long"), F.posexplode("grams").alias("p", "gram"))
+    places = places.join(known, ["k", "gram"]).select("key", "at", "k", "n", "long", "p", F.explode("m").alias("m"))
+    # a group is a tile's places, at most its width
+    held = places.groupBy("key", "at", "k", "n", "long", "m").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    size = F.least("m", "n")
+    held = held.withColumns({"size": size, "need": _needed(F.col("m"), size, similarity)})
+    width = F.lit(1)
+    for k, n in widths.items():
+        width = F.when(F.col("k") == k, n).otherwise(width)
+    # every window has one first hit, the i-th: it starts behind the one before, and holds need hits from there on
+    spare = F.col("size") - F.col("need")
+    low = lambda i: F.greatest(F.lit(0), F.coalesce(F.get("p", i - 1) + 1, F.lit(0)), F.get("p", i) - spare, F.get("p", i + F.col("need") - 1) - F.col("size") + 1)
+    high = lambda i: F.least(F.get("p", i), width - 1, F.col("long") - F.col("size"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: F.struct(low(i).alias("lo"), high(i).alias("hi")))
+    starts = F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"])))
+    return held.filter(F.size("p") >= F.col("need")).select("key", "at", "k", "m", "size", F.explode(starts).alias("s"))
 
 
 def contaminated(
@@ -118,22 +169,29 @@ def contaminated(
 ) -> DataFrame:
     """Rows (id, key, item, at_word, n_words, similarity): for every document the best window of each item that it holds."""
     items = stash(items_of(benchmark, item, item_text), "benchmark-items")
-    # documents' own columns cannot clash with these names: everything else is dropped at once
-    windows = stash(windows_of(docs, items, id_column, text), "windows")
-    # windows of the same length and content are compared once
-    shapes = windows.select("n_words", "k", "grams").distinct().withColumn("print", simhash("grams"))
+    tiles, widths = tiles_of(docs, items, similarity, id_column, text)
+    tiles = stash(tiles, "tiles")
+    windows = windows_of(tiles.drop("id"), items, widths, similarity).distinct()
+    windows = windows.join(tiles, ["key", "at", "k"]).withColumn("grams", F.slice("grams", F.col("s") + 1, F.col("size")))
+    windows = windows.select("id", "key", "at", "k", "m", "s", "size", F.xxhash64("grams").alias("shape"), simhash("grams").alias("print"))
+    windows = stash(windows, "windows")
+    # windows of the same length and content are looked up once
+    shapes = windows.groupBy("k", "m", "shape").agg(F.first("print").alias("print"), F.min(F.struct("key", "at", "s", "size")).alias("one"))
     shapes = stash(shapes, "window-prints")
-    prints = items.select("item", "n_words", "k", F.col("grams").alias("item_grams"), simhash("grams").alias("item_print"))
-    prints = stash(prints, "item-prints")
-    left = shapes.select("*", F.inline(_blocks("print", radius)))
-    right = prints.select("item", "n_words", "k", "item_print", F.inline(_blocks("item_print", radius)))
-    pairs = left.join(right, ["n_words", "k", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = pairs.select("n_words", "k", "grams", "item").distinct().join(prints.select("item", "item_grams"), "item")
-    least, most = _weighted_jaccard("grams", "item_grams")
-    pairs = pairs.withColumns({"__least": least, "__most": most}).filter(F.col("__least") >= F.lit(similarity) * F.col("__most"))
-    pairs = stash(pairs.select("n_words", "k", "grams", "item", (F.col("__least") / F.col("__most")).alias("similarity")), "verified")
-    found = windows.join(pairs, ["n_words", "k", "grams"])
-    best = F.max_by(F.struct("at", "n_words", "similarity"), F.struct("similarity", -F.col("at"))).alias("b")
+    prints = stash(items.select("item", "k", F.size("grams").alias("m"), _numbered(F.col("grams")).alias("has"), simhash("grams").alias("item_print")), "item-prints")
+    left = shapes.select("k", "m", "shape", "print", F.inline(_blocks("print", radius)))
+    right = bounded_broadcast(prints.select("item", "k", "m", "item_print", F.inline(_blocks("item_print", radius))), BROADCAST_ROWS)
+    pairs = left.join(right, ["k", "m", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    pairs = stash(pairs.select("k", "m", "shape", "item").distinct(), "candidates")
+    shown = shapes.select("k", "m", "shape", "one.*").join(tiles.select("key", "at", "k", "grams").dropDuplicates(["key", "at", "k"]), ["key", "at", "k"])
+    shown = shown.select("k", "m", "shape", _numbered(F.slice("grams", F.col("s") + 1, F.col("size"))).alias("a"))
+    pairs = pairs.join(shown, ["k", "m", "shape"]).alias("p").join(prints.select("item", "k", "m", "has").alias("q"), (F.col("p.item").eqNullSafe(F.col("q.item"))) & (F.col("p.k") == F.col("q.k")) & (F.col("p.m") == F.col("q.m")))
+    both = F.size(F.array_intersect("a", "has"))
+    pairs = pairs.select("p.k", "p.m", "shape", "p.item", both.alias("least"), (F.size("a") + F.size("has") - both).alias("most")).filter(F.col("least") >= F.lit(similarity) * F.col("most"))
+    pairs = stash(pairs.select("k", "m", "shape", "item", (F.col("least") / F.col("most")).alias("similarity")).distinct(), "verified")
+    found = windows.join(bounded_broadcast(pairs, BROADCAST_ROWS), ["k", "m", "shape"])
+    place = F.col("at") + F.col("s")
+    best = F.max_by(F.struct(place.alias("at"), (F.col("size") + F.col("k") - 1).alias("n_words"), "similarity"), F.struct("similarity", -place)).alias("b")
     return found.groupBy("id", "key", "item").agg(best).select("id", "key", "item", F.col("b.at").alias("at_word"), "b.n_words", F.round("b.similarity", 6).alias("similarity"))
 
 

@@ -357,28 +357,74 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(51)} == {0} and {got[i] for i in range(100, 120)} == {100}
 
 
-def test_decontamination_equals_brute_force(spark):
-    docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
-    grams = lambda t: [tuple(w[i : i + 5]) for w in [[x.translate(LOW) for x in WORD.findall(t)]] for i in range(len(w) - 4)]
-    items = {r.item_id: grams(r.text) for r in bench.collect()}
+def _contaminated(texts, items):
+    """(text id, item id) of all pairs with a similar window, by trying every window."""
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [[x.translate(LOW) for x in WORD.findall(t or "")]] for i in range(len(w) - 4)]
+    items = {i: grams(x) for i, x in items}
     index = collections.defaultdict(set)
     for i, g in items.items():
         for x in g:
             index[x].add(i)
     want = set()
-    for r in docs.collect():
-        g = grams(r.text)
+    for k, text in texts:
+        g = grams(text)
         for i in {i for x in g for i in index.get(x, ())}:
             it, size = collections.Counter(items[i]), min(len(items[i]), len(g))
             for p in range(len(g) - size + 1):
                 both = sum((it & collections.Counter(g[p : p + size])).values())
                 if both >= 0.8 * (len(items[i]) + size - both):
-                    want.add((r.doc_id, i))
+                    want.add((k, i))
                     break
+    return want
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    want = _contaminated([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
     got = {(r.id, r.item) for r in decontamination.contaminated(docs, bench).collect()}
     assert want and got == want
 
 
+@pytest.mark.parametrize("tile", [40, 1024])
+def test_edited_passages_are_found_as_by_brute_force(spark, monkeypatch, tile):
+    """Items whose parts are moved, cut, interrupted or edited, in long and short texts; items of up to 240 words."""
+    monkeypatch.setattr(decontamination, "TILE", tile)
+    rng = np.random.default_rng(8)
+    word = lambda n, tag: [f"{tag}{x}" for x in rng.integers(0, 400, n)]
+    items = [(i, " ".join(word(int(rng.choice([6, 20, 30, 45, 60, 120, 240])), "b"))) for i in range(60)]
+    items.append((60, "la " * 40))
+    texts, k = [], 0
+    for i, text in items:
+        for _ in range(8):
+            w = text.split()
+            for _ in range(int(rng.integers(0, 4))):
+                at, n = sorted(rng.integers(0, len(w) + 1, 2))
+                edit = rng.integers(0, 5)
+                if edit == 0:
+                    w = w[n:] + w[:n]  # parts moved
+                elif edit == 1:
+                    w = w[:at] + word(int(rng.integers(1, max(2, len(w) // 15 + 2))), "x") + w[at:]
+                elif edit == 2:
+                    w = w[:at] + w[at + int(rng.integers(1, max(2, len(w) // 20 + 2))) :]
+                elif edit == 3 and w:
+                    w[int(rng.integers(0, len(w)))] = "edited"
+                elif len(w) > 6:
+                    w[2], w[-3] = "early", "late"
+            around = int(rng.choice([0, 3, 50, 300]))
+            texts.append((k, " ".join(word(around, "c") + w + word(around, "c"))))
+            k += 1
+    # two edits at the ends and an insertion in the middle: the best window starts where no shingle is aligned
+    middle = word(204, "m")
+    items.append((99, " ".join(middle)))
+    texts.append((k, " ".join([*word(30, "c"), *middle[:4], "e1", *middle[5:102], *word(14, "x"), *middle[102:199], "e2", *middle[200:], *word(30, "c")])))
+    want = _contaminated(texts, items)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item) for r in decontamination.contaminated(docs, bench).collect()}
+    assert (k, 99) in want and 100 < len(want) < 480
+    # a pair at the threshold is within the radius with probability 0.9998
+    assert got <= want and len(want - got) <= 1
+
+
 def test_blocks_catch_all_prints_within_the_radius(spark):
     radius = 20
     rng = np.random.default_rng(5)
