@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,21 @@ def words_of(text: Column) -> Column:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only where a count proves that df has at most max_rows; else the planner shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def before_each(values: Column, start: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array the fold of those before it, in blocks of about the square root of their number."""
+
+    def of(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda j: F.aggregate(F.slice(v, j * width + 1, width), start, plus))
+        heads = lambda s: F.transform(s, lambda _, j: F.aggregate(F.slice(s, F.lit(1), j), start, plus))
+        inner = lambda h: F.transform(v, lambda _, i: F.aggregate(F.slice(v, i - i % width + 1, i % width), F.get(h, F.floor(i / width).cast("int")), plus))
+        return bound(sums, lambda s: bound(heads(s), inner))
+
+    return F.when(F.size(values) > 0, bound(values, of)).otherwise(F.slice(values, 1, 0))

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import BLANKS, bounded_broadcast, stash, words_of
+from corvane.llm.base import BLANKS, bound, bounded_broadcast, stash, words_of
 
 SHINGLE = 5
 #: The bitmap has 16 bits a shingle within these bounds; beyond them it only lets more places through.
@@ -95,7 +95,7 @@ def _blocks(print_: str, radius: int) -> Column:
 
 def _numbered(grams: Column) -> Column:
     """The shingles, each with the number of its occurrence: a set in the place of a multiset."""
-    return F.get(F.transform(F.array(F.array_sort(grams)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(a, x)).alias("i")))), 0)
+    return bound(F.array_sort(grams), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(a, x)).alias("i"))))
 
 
 def _needed(items: Column, size: Column, similarity: float) -> Column:
@@ -117,7 +117,7 @@ def _tiles(g: str, hits: Column, least: int, gap: int, width: int, longest: int)
 
     def of_hits(p: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i) - F.get(p, i - 1) > gap + 1))
-        return F.get(F.transform(F.array(heads), lambda h: of_regions(p, h)), 0)
+        return bound(heads, lambda h: of_regions(p, h))
 
     # arrays of one element bind what is used more than once
     return F.flatten(F.transform(F.filter(F.array(hits), lambda p: F.size(p) >= least), of_hits))

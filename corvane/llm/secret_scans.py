@@ -1,14 +1,16 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Every rule's regex yields a Boolean query over trigrams of lower-cased text, in disjunctive form.  The index
-holds a posting (trigram, document key) for each trigram that some query names; intersecting the postings of
-a document decides which rules it is a candidate of, and only those rules' regexes run on it.  A rule whose
-regex has no mandatory trigram scans every text.
+Every rule's regex yields a Boolean query over trigrams of lower-cased text, in disjunctive form.  The index is
+local to each document: its postings, limited to the trigrams that some query names, are bits of a few longs.
+Intersecting them decides which rules the document is a candidate of, and only those rules' regexes run on it, in the
+same pass: neither texts nor postings are shuffled.  A rule whose regex has no mandatory trigram scans every text.
 
 Spans are code points, end exclusive, leftmost and non-overlapping per rule.
 
 Cases: a null text is an empty one; texts without a match have no spans, the hash of the empty string, and
-counts of 0; rows equal in id and text share postings and so results; null ids are kept; texts are read whole.
+counts of 0; repeated rows give equal rows; null ids are kept; an empty table gives an empty result; texts are read
+whole, and what is done with their matches is folded in blocks, so that no text's work grows with the square of its
+matches; other columns may have any names: masked rows keep them, a digest reads the id and the text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.base import stash
+from corvane.llm.base import before_each, bound
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,7 @@ RULES = (
 )
 BASE = 3
 MASK = "[SECRET]"
+CHUNK = 1024
 Query = frozenset[frozenset[str]]
 ALWAYS: Query = frozenset([frozenset()])
 
@@ -114,26 +117,26 @@ def trigram_query(pattern: str) -> Query:
     return _both(query, _of_strings(run))
 
 
-def _key(docs: DataFrame, id_column: str, text: str) -> Column:
-    return F.xxhash64(docs[id_column], docs[text])
+def trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries name, in order."""
+    return sorted({g for r in rules for clause in trigram_query(r.pattern) for g in clause})
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...], id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """The index (trigram number, document key), limited to the trigrams that the rules' queries name."""
-    grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for g in clause})
-    low = docs.select(_key(docs, id_column, text).alias("key"), F.lower(F.coalesce(docs[text], F.lit(""))).alias("__low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return low.select("key", F.explode(found).alias("gram")), grams
+def postings(text: Column, grams: list[str]) -> Column:
+    """A document's postings: bit i % 62 of word i // 62 tells whether its text has the i-th trigram."""
+    return bound(F.lower(text), lambda low: F.array(*[_any_bits([(F.contains(low, F.lit(g)), i) for i, g in enumerate(grams[w : w + 62])]) for w in range(0, len(grams), 62)]))
 
 
-def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, rules): bits of the indexed rules whose query a document's postings satisfy."""
-    words = range(-(-len(grams) // 62))
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    held = index.groupBy("key").agg(
-        *[F.coalesce(F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, bit((F.col("gram") % 62).cast("int")))), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
-    )
-    said = F.lit(0).cast("long")
+def _any_bits(held: list[tuple[Column, int]]) -> Column:
+    out = F.lit(0).cast("long")
+    for has, i in held:
+        out = out + F.when(has, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return out
+
+
+def candidates(held: Column, grams: list[str], rules: tuple[Rule, ...]) -> Column:
+    """Bits of the indexed rules whose query a document's postings satisfy."""
+    said = []
     for n, r in enumerate(rules):
         query = trigram_query(r.pattern)
         if query == ALWAYS:
@@ -142,49 +145,44 @@ def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> D
         for clause in sorted(query, key=sorted):
             at = [grams.index(g) for g in clause]
             every = F.lit(True)
-            for w in words:
+            for w in sorted({i // 62 for i in at}):
                 mask = sum(1 << (i % 62) for i in at if i // 62 == w)
-                if mask:
-                    every &= F.col(f"w{w}").bitwiseAND(F.lit(mask)) == mask
+                every &= F.get(held, F.lit(w)).bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long")
             hit |= every
-        said += F.when(hit, F.lit(1 << n)).otherwise(0)
-    return held.select("key", said.alias("rules")).filter("rules != 0")
+        said.append((hit, n))
+    return _any_bits(said)
+
+
+def _rule_spans(text: Column, n: int, r: Rule) -> Column:
+    """(start, rank, end) of a rule's matches that are long enough."""
+    find = lambda group: F.regexp_extract_all(text, F.lit(r.pattern), F.lit(group))
+
+    def of(m: Column) -> Column:
+        value = find(r.group) if r.group else m
+        parts = F.zip_with(F.slice(F.split(text, r.pattern, -1), F.lit(1), F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("p"), F.length(x).alias("m")))
+        at = lambda z: before_each(F.transform(z, lambda x: x["p"] + x["m"]), F.lit(0), lambda a, x: a + x)
+        spans = lambda z: F.zip_with(z, at(z), lambda x, o: F.struct((o + x["p"]).alias("start"), F.lit(n).alias("rank"), (o + x["p"] + x["m"]).alias("end")))
+        return F.array_compact(F.zip_with(bound(parts, spans), value, lambda s, v: F.when(F.length(v) >= r.least, s)))
+
+    return bound(find(0), lambda m: F.when(F.size(m) > 0, of(m)).otherwise(_NONE()))
+
+
+def _NONE() -> Column:
+    return F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns and the text, with __spans: array of (start, rank, end) of every row, in order."""
-    index, grams = postings(docs, rules, id_column, text)
-    index = stash(index, "trigram-index")
-    able = candidates(index, grams, rules)
-    d = docs.select(*keep, _key(docs, id_column, text).alias("__key"), F.coalesce(docs[text], F.lit("")).alias("__text"))
-    able = able.select(F.col("key").alias("__of"), F.col("rules").alias("__rules"))
-    d = d.join(able, F.col("__key") == F.col("__of"), "left")
-    names = []
-    cols: list[Column | str] = [*keep, "__text"]
+    grams = trigrams(rules)
+    d = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
+    d = d.select(*keep, "__text", candidates(postings(F.col("__text"), grams), grams, rules).alias("__rules"))
+    found = []
     for n, r in enumerate(rules):
-        full = trigram_query(r.pattern) == ALWAYS
-        apply = F.lit(True) if full else (F.coalesce("__rules", F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0)
-        cols.append(F.when(apply, F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(0))).alias(f"__m{n}"))
-        if r.group:
-            cols.append(F.when(apply, F.regexp_extract_all("__text", F.lit(r.pattern), F.lit(r.group))).alias(f"__g{n}"))
-    d = d.select(*cols)
-    spans = []
-    for n, r in enumerate(rules):
-        pattern = r.pattern.replace("\\", "\\\\").replace("'", "\\'")
-        matches, m, v = (f"arrays_zip(__m{n}, __g{n})", f"x.__m{n}", f"x.__g{n}") if r.group else (f"__m{n}", "x", "x")
-        fold = F.expr(
-            f"""aggregate(
-              zip_with(slice(split(__text, '{pattern}', -1), 1, size(__m{n})), {matches},
-                (p, x) -> named_struct('p', length(p), 'm', length({m}), 'v', length({v}))),
-              named_struct('o', 0, 's', cast(array() as array<struct<start:int,rank:int,end:int>>)),
-              (a, x) -> named_struct('o', a.o + x.p + x.m, 's', if(x.v >= {r.least},
-                array_append(a.s, named_struct('start', a.o + x.p, 'rank', {n}, 'end', a.o + x.p + x.m)), a.s)),
-              a -> a.s)"""
-        )
-        names.append(f"__s{n}")
-        spans.append(F.when(F.size(F.coalesce(f"__m{n}", F.array().cast("array<string>"))) > 0, fold).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")).alias(names[-1]))
-    d = d.select(*keep, "__text", *spans)
-    return d.select(*keep, "__text", F.sort_array(F.concat(*names)).alias("__spans"))
+        spans = _rule_spans(F.col("__text"), n, r)
+        if trigram_query(r.pattern) != ALWAYS:
+            spans = F.when(F.col("__rules").bitwiseAND(F.lit(1 << n).cast("long")) != 0, spans).otherwise(_NONE())
+        found.append(spans)
+    return d.select(*keep, "__text", F.sort_array(F.concat(*found)).alias("__spans"))
 
 
 def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -194,7 +192,7 @@ def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, counts of the base rules, the hash of their spans, and all spans."""
-    d = scan(docs, rules, id_column, text, (id_column,))
+    d = scan(docs, rules, text, (id_column,))
     base = F.filter("__spans", lambda s: s["rank"] < BASE)
 
     def count(n: int) -> Column:
@@ -204,16 +202,28 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: s
     return d.select(id_column, *counts, F.sha2(_said(base, rules), 256).alias("base_sha256"), _said(F.col("__spans"), rules).alias("spans"))
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its spans masked; pieces between them are put together from chunks of CHUNK characters."""
+    end = lambda s: F.aggregate(s, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    reached = before_each(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+
+    def with_chunks(chunks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            part = lambda j: F.substring(F.get(chunks, j), F.greatest(a - j * CHUNK, F.lit(0)) + 1, F.least(b, (j + 1) * CHUNK) - F.greatest(a, j * CHUNK))
+            at = F.sequence(F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int"))
+            return F.when(a < b, F.array_join(F.transform(at, part), "")).otherwise("")
+
+        pieces = F.array_compact(F.zip_with(spans, reached, lambda s, o: F.when(s["start"] >= o, F.concat(cut(o, s["start"]), F.lit(MASK)))))
+        return F.concat(F.array_join(pieces, ""), cut(end(spans), F.length(text)))
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), with_chunks)
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows with every span (overlapping ones as one) replaced by MASK; a null text stays null."""
-    packed = docs.select(docs[id_column], docs[text], F.struct(*[docs[c] for c in docs.columns if c != text]).alias("__row"), docs[text].isNull().alias("__null"))
-    d = scan(packed, rules, id_column, text, ("__row", "__null"))
-    built = F.expr(
-        f"""aggregate(__spans, named_struct('o', 0, 't', ''),
-          (a, s) -> if(s.end <= a.o, a, named_struct('o', s.end, 't', concat(a.t, if(s.start < a.o, '', concat(substring(__text, a.o + 1, s.start - a.o), '{MASK}'))))),
-          a -> concat(a.t, substring(__text, a.o + 1)))"""
-    )
-    new = F.when(F.col("__null"), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(built)
+    packed = docs.select(docs[text], F.struct(*[docs[c] for c in docs.columns if c != text]).alias("__row"), docs[text].isNull().alias("__null"))
+    d = scan(packed, rules, text, ("__row", "__null"))
+    new = F.when(F.col("__null"), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(_masked(F.col("__text"), F.col("__spans")))
     return d.select(*[new.alias(text) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
