@@ -79,11 +79,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about limit bytes; a longer document is a piece of its own."""
+def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most rows documents with about limit bytes; a longer document is a piece of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        last = min(last, first + rows)
         yield first, last
         first = last
 

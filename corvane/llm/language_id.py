@@ -2,12 +2,16 @@
 
 Characters (lower-cased where that is one character) give n-grams of 1 to 3, hashed to BUCKETS.  Document
 frequencies are counted over all learning documents.  Weights are trained by follow-the-regularised-leader
-(FTRL-proximal) with elastic-net penalties on a bounded sample (``max_fit_rows`` learning rows of least hash);
-a temperature fitted on rows of the sample kept aside calibrates the probabilities.  Texts are read whole.
+(FTRL-proximal) with elastic-net penalties on a bounded sample; a temperature fitted on rows of the sample kept
+aside calibrates the probabilities.  Texts are read whole.
+
+The sample has at most ``max_fit_rows`` rows, one for each distinct text of a language.  The languages take turns
+with their texts of least hash, so copies cannot crowd it out and a rare language is in it at any size.
 
 Cases: ``und`` with score 0 for a null text or one without a letter; rows of null language teach nothing; a
-single learnt language is predicted with score 1; without any, all is ``und``; ties go to the language that
-sorts first.
+single learnt language is predicted with score 1; without any, and in an empty table, all is ``und``; ties go to the
+language that sorts first; repeated rows count in the document frequencies and once in the sample; a text given in
+two languages is learnt in both; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.kernel import pieces, tidy, utf8
@@ -25,6 +29,8 @@ from corvane.llm.kernel import pieces, tidy, utf8
 BITS = 13
 BUCKETS = 1 << BITS
 UND = "und"
+#: Documents of a piece: its dense counts take this many times BUCKETS numbers.
+PIECE_ROWS = 128
 _luts: dict[str, np.ndarray] = {}
 
 
@@ -113,7 +119,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, rows=PIECE_ROWS):
             counts, _ = counts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             df += (counts > 0).sum(0)
         n += batch.num_rows
@@ -123,9 +129,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse counts of the chosen texts, each (language, hash) once a task: at most the sample's size."""
+    seen = set()
     for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        if not new:
+            continue
+        batch = batch.take(pa.array(new))
         data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, rows=PIECE_ROWS):
             counts, _ = counts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             out = []
             for r in counts:
@@ -144,11 +157,12 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     for r in df:
         seen[r.bucket] = r.n
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
-    # choose by hash of the text before its features are made; the threshold keeps the sample near its bound
-    share = min(1.0, 1.2 * max_fit_rows / max(1, int(seen[-1])))
-    least = rows.filter((F.xxhash64("text") / F.lit(2.0**63)) <= F.lit(2 * share - 1)) if share < 1 else rows
-    least = least.select("lang", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(_sparse), "lang string, x binary, h long")
-    got = least.orderBy("h", "lang", "x").limit(max_fit_rows).collect()
+    keyed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = keyed.select("lang", "h").distinct().withColumn("turn", turn).filter(F.col("turn") <= max_fit_rows).orderBy("turn", "lang").limit(max_fit_rows)
+    known = docs.sparkSession.createDataFrame(chosen.select("lang", "h").collect(), "lang string, h long")  # at most max_fit_rows rows, so it may be broadcast
+    sample = keyed.join(F.broadcast(known), ["lang", "h"]).select("lang", "text", "h").mapInArrow(tidy(_sparse), "lang string, x binary, h long")
+    got = sample.groupBy("lang", "h").agg(F.min("x").alias("x")).collect()  # at most max_fit_rows rows
     got = sorted(got, key=lambda r: (r.lang, bytes(r.x)))
     languages = sorted({r.lang for r in got})
     y = np.array([languages.index(r.lang) for r in got])
@@ -184,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
         for batch in batches:
             data, offsets = utf8(batch.column(len(names)))
             said, score = [], np.zeros(batch.num_rows)
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, rows=PIECE_ROWS):
                 counts, has = counts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 p = m.probabilities(counts)
                 top = p.argmax(1)
