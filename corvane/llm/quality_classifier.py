@@ -4,12 +4,14 @@ Preference pairs (a document labelled good, one labelled bad) give a logistic lo
 their features; its minimiser is a linear score.  The cut is a quantile of the scores of the learning rows:
 the share of bad labels among them.  The score is then moved and stretched so that the cut is at 0.3.
 
-Only the fit uses a bounded sample: at most ``max_fit_rows`` labelled rows, those of least hash.  Every text
-is scored whole.  Labels, language, source and id are no inputs of a score.
+Only the fit uses a bounded sample: at most ``max_fit_rows`` labelled ids, those of least hash, with one row each.
+Every text is scored whole.  Labels, language, source and id are no inputs of a score.
 
 Cases: a null text is scored as an empty one; empty texts get the score of all-zero counts; rows without a
 label are scored but not learnt from; labels other than 0 and 1, and null ids, teach nothing; with several
-labels for an id the least counts; without both labels among the learning rows every score is 0.5.
+labels for an id the least counts; of several rows of an id the one of least features teaches; equal texts get equal
+scores; a score at the cut is kept; without both labels among the learning rows every score is 0.5; an empty table
+gives an empty result; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ _KIND[ord("\n")] = 9
 KINDS = 10
 DENSE = KINDS + 6
 WIDTH = DENSE + BUCKETS
+PIECE_ROWS = 1024
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -128,33 +131,39 @@ def fit_bradley_terry(x: np.ndarray, good: np.ndarray, pairs: int = 32_768, epoc
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least features of each place of the sample among a task's rows: at most the sample's size."""
+    least: dict[int, bytes] = {}
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
-            x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+        place = batch.column(0).to_pylist()
+        for a, b in pieces(offsets, rows=PIECE_ROWS):
+            for p, r in zip(place[a:b], features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), strict=True):
+                x = r.tobytes()
+                if p not in least or x < least[p]:
+                    least[p] = x
+    yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.binary())], names=["place", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", max_fit_rows: int = 8_192) -> Model | None:
-    """Model of the labelled learning rows: at most max_fit_rows of them, those whose ids hash least."""
+    """Model of the labelled learning rows: one row of each of at most max_fit_rows ids, those that hash least."""
     ids = (
         labels.filter(learn & F.col(id_column).isNotNull() & F.col("quality").isin(0, 1))
         .groupBy(id_column)
         .agg(F.min("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64(id_column), id_column)
         .limit(max_fit_rows)
+        .collect()
     )
-    spark = docs.sparkSession
-    known = spark.createDataFrame(ids.collect(), ids.schema)  # at most max_fit_rows rows, so it may be broadcast
-    rows = docs.select(id_column, text).join(F.broadcast(known), id_column).select(F.col("quality"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    got = rows.mapInArrow(tidy(_features_of), "quality int, x binary").collect()
+    schema = f"`{id_column}` {labels.schema[id_column].dataType.simpleString()}, __place int"
+    known = docs.sparkSession.createDataFrame([(r[0], n) for n, r in enumerate(ids)], schema)  # at most max_fit_rows rows, so it may be broadcast
+    rows = docs.select(id_column, F.coalesce(docs[text], F.lit("")).alias("__text")).join(F.broadcast(known), id_column).select("__place", "__text")
+    # of an id's rows the one of least features, in each task and then among the tasks: the order of arrival does not matter
+    got = rows.mapInArrow(tidy(_features_of), "place int, x binary").groupBy("place").agg(F.min("x").alias("x")).orderBy("place").collect()  # at most max_fit_rows rows
     if not got:
         return None
-    got.sort(key=lambda r: (bytes(r.x), r.quality))  # the order of arrival must not matter
-    if len(got) > 2 * max_fit_rows:  # repeated ids: the bound holds for rows as well
-        got = got[:: -(-len(got) // max_fit_rows)]
+    got.sort(key=lambda r: (bytes(r.x), ids[r.place].quality))
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), WIDTH)
-    return fit_bradley_terry(x, np.array([r.quality == 1 for r in got]))
+    return fit_bradley_terry(x, np.array([ids[r.place].quality == 1 for r in got]))
 
 
 def quality_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -170,7 +179,7 @@ def quality_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
         for batch in batches:
             data, offsets = utf8(batch.column(len(names)))
             score = np.zeros(batch.num_rows)
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, rows=PIECE_ROWS):
                 score[a:b] = m.score(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(score, pa.float64())], names=[*names, "score"])
 
