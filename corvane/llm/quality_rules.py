@@ -2,13 +2,14 @@
 
 Each document gets base counts (words, symbols, repeated lines, words in repeated word triples).  Four rates
 made of them go into bucket-count sketches per (language, source): a bucket keeps the five leading bits of a
-value, so a sketch is small, merges by adding counts, and its quantiles are right to a sixteenth.  Fences
-around the quartiles replace fixed cutoffs; a pair with fewer than MIN_GROUP documents takes the merged sketch
-of its language, or of all documents.  The fences are then joined to the documents.
+value, so a sketch is small, merges by adding counts, and its quantiles are right to a sixteenth.  The fences, which
+replace fixed cutoffs, are tail quantiles of these sketches: a document stays if each of its rates lies in the bucket of
+the quantile 1 - TAIL or below (its word length also in that of the quantile TAIL or above).  A pair with fewer than
+MIN_GROUP documents takes the merged sketch of its language, or of all documents.  The fences are joined back.
 
 Cases: a null text has no words, so it fails; null languages and sources are groups of their own; repeated
 rows count as often as they occur; ties at a fence are kept; texts are read whole; an empty table gives an
-empty result.  Triples are compared by 64-bit hashes.
+empty result; other columns may have any names, as only the named ones are read.  Triples are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from corvane.llm.base import BLANKS, bounded_broadcast, stash, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
-MIN_GROUP = 30
+#: The least group that has a tail of its own.
+MIN_GROUP = 100
 BROADCAST_ROWS = 10_000
-#: Rate, and what a fence allows beyond the quartiles' spread (per mille; hundredths of characters a word).
-SLACK = {"symbols": 100, "repeats": 200, "dup_lines": 500, "word_length": 200}
+#: Per cent of a group's documents beyond a fence, at most.
+TAIL = 1
+#: Rates: per mille, the last in hundredths of characters a word.
+RATES = ("symbols", "repeats", "dup_lines", "word_length")
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
@@ -70,10 +74,18 @@ def _rates() -> dict[str, Column]:
     }
 
 
+def _shift(v: Column) -> Column:
+    return F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
+
+
 def bucket(v: Column) -> Column:
     """Lower bound of a value's bucket: its five leading bits."""
-    shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", v, _shift(v)), _shift(v))
+
+
+def bucket_end(low: Column) -> Column:
+    """Largest value of the bucket with that lower bound."""
+    return low + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(low)) - 1
 
 
 def sketches(counted: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -86,19 +98,13 @@ def sketches(counted: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartile fences of every key from its sketch: one row with <rate>_low and <rate>_high, and the count."""
+    """Tail quantiles of every key from its sketch: one row with <rate>_low and <rate>_high, and the count."""
     w = Window.partitionBy(*keys, "rate")
     c = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    q = c.groupBy(*keys, "rate").agg(
-        F.max("total").alias("total"),
-        *[F.min(F.when(4 * F.col("cum") >= k * F.col("total"), F.col("bucket"))).alias(f"q{k}") for k in (1, 3)],
-    )
-    low, high, n = [], [], F.max("total").alias("group_n")
-    for name, slack in SLACK.items():
-        spread = 3 * (F.col("q3") - F.col("q1")) + slack
-        high.append(F.max(F.when(F.col("rate") == name, F.col("q3") + spread)).alias(f"{name}_high"))
-        low.append(F.max(F.when(F.col("rate") == name, F.col("q1") - spread)).alias(f"{name}_low"))
-    return q.groupBy(*keys).agg(n, *low, *high)
+    quantile = lambda share: F.min(F.when(100 * F.col("cum") >= share * F.col("total"), F.col("bucket")))
+    q = c.groupBy(*keys, "rate").agg(F.max("total").alias("total"), quantile(TAIL).alias("low"), bucket_end(quantile(100 - TAIL)).alias("high"))
+    of = lambda name, side: F.max(F.when(F.col("rate") == name, F.col(side))).alias(f"{name}_{side}")
+    return q.groupBy(*keys).agg(F.max("total").alias("group_n"), *[of(name, side) for name in RATES for side in ("low", "high")])
 
 
 def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -128,12 +134,12 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] =
         & F.when(F.col("p.level") < 2, F.col(f"p.{lang}")).eqNullSafe(F.col(f"f.{lang}"))
         & F.when(F.col("p.level") < 1, F.col(f"p.{source}")).eqNullSafe(F.col(f"f.{source}"))
     )
-    sides = [f"{k}_{s}" for k in SLACK for s in ("low", "high")]
+    sides = [f"{k}_{s}" for k in RATES for s in ("low", "high")]
     resolved = stash(p.join(own, on).select(f"p.{lang}", f"p.{source}", *sides), "fences")
     d, r = counted.alias("d"), bounded_broadcast(resolved, BROADCAST_ROWS).alias("r")
     joined = d.join(r, F.col(f"d.{lang}").eqNullSafe(F.col(f"r.{lang}")) & F.col(f"d.{source}").eqNullSafe(F.col(f"r.{source}")), "left")
     inside = F.lit(True)
-    for k in SLACK:
+    for k in RATES:
         inside &= F.col(f"d.__{k}") <= F.col(f"r.{k}_high")
         if k == "word_length":
             inside &= F.col(f"d.__{k}") >= F.col(f"r.{k}_low")
@@ -161,15 +167,15 @@ x as (select lang, source, rate, (v >> s) << s bucket from (select lang, source,
 k as (select lang, source, rate, bucket, count(*) n from x group by all),
 z as (select lang, source, sum(n) n from k where rate = 1 group by all),
 zl as (select lang, sum(n) n from z group by all),
-p as (select z.lang, z.source, case when z.n >= 30 then 0 when zl.n >= 30 then 1 else 2 end lv from z join zl on z.lang is not distinct from zl.lang),
+p as (select z.lang, z.source, case when z.n >= 100 then 0 when zl.n >= 100 then 1 else 2 end lv from z join zl on z.lang is not distinct from zl.lang),
 u as (select 0 lv, lang, source, rate, bucket, n from k
    union all select 1, lang, null, rate, bucket, sum(n) from k group by lang, rate, bucket
    union all select 2, null, null, rate, bucket, sum(n) from k group by rate, bucket),
 cu as (select *, sum(n) over (partition by lv, lang, source, rate order by bucket) cum, sum(n) over (partition by lv, lang, source, rate) total from u),
-q as (select lv, lang, source, rate, min(bucket) filter (where 4 * cum >= total) q1, min(bucket) filter (where 4 * cum >= 3 * total) q3 from cu group by all),
-f as (select lv, lang, source, max(case when rate = 1 then q3 + 3 * (q3 - q1) + 100 end) h1, max(case when rate = 2 then q3 + 3 * (q3 - q1) + 200 end) h2,
-   max(case when rate = 3 then q3 + 3 * (q3 - q1) + 500 end) h3, max(case when rate = 4 then q3 + 3 * (q3 - q1) + 200 end) h4,
-   max(case when rate = 4 then q1 - 3 * (q3 - q1) - 200 end) l4 from q group by all),
+q0 as (select lv, lang, source, rate, min(bucket) filter (where 100 * cum >= total) lo, min(bucket) filter (where 100 * cum >= 99 * total) hi0 from cu group by all),
+q as (select *, hi0 + (1::bigint << greatest(length(bin(hi0)) - 5, 0)::bigint) - 1 hi from q0),
+f as (select lv, lang, source, max(case when rate = 1 then hi end) h1, max(case when rate = 2 then hi end) h2, max(case when rate = 3 then hi end) h3,
+   max(case when rate = 4 then hi end) h4, max(case when rate = 4 then lo end) l4 from q group by all),
 pf as (select p.lang, p.source, h1, h2, h3, h4, l4 from p join f on p.lv = f.lv
    and (case when p.lv < 2 then p.lang end) is not distinct from f.lang and (case when p.lv < 1 then p.source end) is not distinct from f.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
