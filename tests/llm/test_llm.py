@@ -7,9 +7,11 @@ import hashlib
 import math
 import re
 import string
+import textwrap
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import DATA
@@ -358,11 +360,83 @@ def test_fences_follow_the_tails_of_their_groups(spark):
 
 
 def test_licences_in_rule_order(spark):
-    d = spark.createDataFrame([(1, "Released under the MIT License. All rights reserved."), (2, "x"), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "Released under the MIT License. All rights reserved."), (2, "x"), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer")], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.restricted, r.n_sentences) for r in license_scans.licenses(d).collect()}
     assert got == {1: ("MIT,All-Rights-Reserved", True, 2), 2: ("", False, 0), 3: ("", False, 2)}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD_TEXT = """Copyright (c) 2001, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GNU_HEAD = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+LICENCE_TEXTS = {
+    "MIT": MIT_TEXT,
+    "BSD-2-Clause": BSD_TEXT.replace(" All rights reserved.", ""),
+    "BSD-3-Clause": BSD_TEXT.replace(" All rights reserved.", "") + BSD3,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "GPL-2.0-or-later": GNU_HEAD.format("program", ";", "", 2),
+    "GPL-3.0-or-later": GNU_HEAD.format("program", ":", "", 3),
+    "LGPL-2.1-or-later": GNU_HEAD.format("library", ";", "Lesser ", "2.1"),
+    "LGPL-3.0-or-later": GNU_HEAD.format("library", ":", "Lesser ", 3),
+    "AGPL-3.0-or-later": GNU_HEAD.format("program", ":", "Affero ", 3),
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file.)",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "CDDL-1.0": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License").',
+    "Artistic-2.0": "This project is licensed under the terms of the Artistic License 2.0.",
+    "CC-BY-4.0": "This work is licensed under a".replace(" a", " the") + " Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": "Released under CC0 1.0 Universal.",
+    "PostgreSQL": "Released under the PostgreSQL License.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Public-Domain": "This work is in the public domain.",
+}
+
+
+def _wrapped(text, lead):
+    return "\n".join(lead + line for part in text.split("\n") for line in (textwrap.wrap(part, 66) or [""]))
+
+
+def test_licences_are_found_wrapped_and_in_comments(spark):
+    """28 licences as one line a sentence, wrapped, in three styles of comments, amid prose; SPDX notices by rule."""
+    forms = [lambda t: t, lambda t: _wrapped(t, ""), lambda t: _wrapped(t, "# "), lambda t: "/*\n" + _wrapped(t, " * ") + "\n */", lambda t: _wrapped(t, "// "), lambda t: "Some words before it.\n\n" + _wrapped(t, "    ") + "\n\nSome words behind it."]
+    cases = [(name, f(text)) for name, text in LICENCE_TEXTS.items() for f in forms]
+    spdx = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "ISC", "CC-BY-NC-SA-4.0", "EPL-2.0", "0BSD", "Zlib"]
+    cases += [(x, f"{lead}SPDX-License-Identifier: {x}{tail}\nint main() {{}}") for x in spdx for lead, tail in (("", ""), ("// ", ""), ("/* ", " */"), ("# ", "\n#"))]
+    cases += [("GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0\n"), ("Apache-2.0,MIT", "# SPDX-License-Identifier: Apache-2.0 OR MIT\n"), ("", "The licence of this text is a matter of its own. No rights reserved."), ("", "released under the quiet sky")]
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scans.licenses(docs).collect()}
+    assert {(cases[i][0], got[i], cases[i][1]) for i in got if got[i] != cases[i][0]} == set()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert rows(con.sql(license_scans.ORACLE_SQL).df()) == rows(license_scans.licenses(docs).toPandas())
+
+
+def test_known_sentences_hold_an_anchor():
+    assert all(any(a in s for a in license_scans.ANCHORS) for s in license_scans.SENTENCES)
+
+
 def _sets(docs):
     out = {}
     for r in docs.collect():
