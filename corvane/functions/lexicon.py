@@ -184,6 +184,16 @@ COMPARISON_CLAUSE = r"(?i)\bcompared\s+to\s+(?:traditional|conventional|standard
 UNITS = ("kw", "mw", "gw", "w", "gpu", "tb", "gb", "°c", "c", "rack", "node", "%", "x")
 UNIT_TOPIC = {"kw": "rack power", "mw": "rack power", "gw": "rack power", "°c": "cooling temperature", "c": "cooling temperature", "gpu": "gpu count"}
 SCOPE_POWER = {"rack": "rack_power", "component": "power_shelf_power", "tray": "tray_power", "node": "node_power", "cluster": "cluster_power", "facility": "facility_power", "unit": "installed_capacity", "reactor": "installed_capacity", "fleet": "fleet_capacity"}
+SCOPED_POWER = r"^(rack_power_|power_shelf_power_|tray_power_|node_power_|gpu_power_|cluster_power_|facility_power_|installed_capacity_|fleet_capacity_)"
+#: contradiction topics of the profiles, in order
+CONTRADICTION_TOPICS_AI_DC = (
+    ("power", ("kw", "mw", "gw", "power", "watt", "consumption", "load")),
+    ("cooling", ("cooling", "liquid cool", "air cool", "cdu", "heat rejection", "thermal")),
+    ("networking", ("network", "bandwidth", "nvlink", "infiniband")),
+    ("rack_architecture", ("rack", "nvl72", "nvl36", "gpu")),
+    ("timeline", ("2025", "2026", "2027", "2028")),
+    ("resiliency", ("redundancy", "backup", "failover")),
+)
 DISTINCT_PRODUCTS = (
     ("product_mismatch", ("nvl8",), ("nvl36",)),
     ("product_mismatch", ("nvl8",), ("nvl72",)),

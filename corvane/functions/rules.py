@@ -6,7 +6,7 @@ and in a list of rules the first that matches wins.  Everything here stays insid
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,3 +69,8 @@ def densest(text: Column, groups: Sequence[tuple[str, Sequence[str]]], default:
 def labels(text: Column, groups: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """All labels of which the text holds a term, in the groups' order."""
     return F.array_compact(F.array(*[F.when(any_term(text, terms), label) for label, terms in groups]))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it: plans stay small as well."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -1,9 +1,13 @@
-"""Contradictions between claims, by blocked joins instead of all pairs.
+"""Contradictions between claims, by classes of equal claims instead of all pairs of claims.
 
-A conflict needs something in common: a unit with a value, an exclusive pair of terms on opposite sides, or a
-subject token of two durations.  That is what the self-joins block on; gates then suppress pairs that differ
-in entity, product, scope, metric, time, context or meaning.  With ``entity_blocks`` a known entity blocks as
-well, which drops suppressions for entity mismatch from the report but keeps every conflict of equal entities.
+Whether two claims conflict, and why a pair is passed over, depends on few properties of each: its signature.  It is
+computed once a claim; claims of equal signature are a class, named by its least key, and classes are compared, so a
+report gives pairs of classes with the number of claim pairs that each stands for, and ``members`` the classes of claims.
+
+Classes meet where a conflict is possible: on a unit with a value on both sides, on opposite sides of an exclusive pair of
+terms, or on a subject token of two durations; and, but for durations, on names that are compatible: equal, contained in one
+another, or unknown on one side.  Names meet by equi-join on their substrings.  Pairs that differ in entity are never
+formed: ``mismatches`` counts them from the sizes of the classes.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
 from corvane.operators import classify as C
+from corvane.sources.scratch import stash
 
 
 def _pair_in(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -77,26 +82,48 @@ def names_compatible(a: Column, b: Column) -> Column:
     return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x)
 
 
+def compatible_names(classes: DataFrame) -> DataFrame:
+    """Pairs (e, other) of the classes' entity names that may be the same subject, in both orders; equal ones once."""
+    names = classes.select("e").distinct()
+    starts = F.sequence(F.lit(0), F.length("e") - 1)
+    cuts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("e") - i), lambda n: F.substring("e", i + 1, n))))
+    parts = names.select("e", F.explode(F.when(F.col("e") == "", F.array(F.lit(""))).otherwise(F.array_union(cuts, F.array(F.lit(""))))).alias("other"))
+    held = parts.join(names.select(F.col("e").alias("other")), "other").select("e", "other")
+    return held.unionByName(held.select(F.col("other").alias("e"), F.col("e").alias("other"))).distinct()
+
+
 def scopes_compatible(a: Column, b: Column) -> Column:
     x, y = F.when(a == "reactor", "unit").otherwise(a), F.when(b == "reactor", "unit").otherwise(b)
     return (x == "unknown") | (y == "unknown") | (x == y) | ~_pair_in(x, y, L.INCOMPATIBLE_SCOPES)
 
 
+def _power(metric: Column) -> Column:
+    return metric.rlike(L.SCOPED_POWER)
+
+
 def metrics_compatible(a: Column, b: Column) -> Column:
     staged = lambda x: x.isin(*L.LIFECYCLE)
     year = lambda x: x.startswith("year_") | staged(x)
-    power = lambda x: x.rlike("^(rack_power_|power_shelf_power_|tray_power_|node_power_|gpu_power_|cluster_power_|facility_power_|installed_capacity_|fleet_capacity_)")
     bad_year = a.isin("year_generic", "year_event") | b.isin("year_generic", "year_event") | (staged(a) & staged(b) & (a != b))
-    bad_other = (a != b) & ((power(a) & power(b)) | (a.endswith("_rate") != b.endswith("_rate")))
+    bad_other = (a != b) & ((_power(a) & _power(b)) | (a.endswith("_rate") != b.endswith("_rate")))
     return F.when(year(a) | year(b), ~bad_year).otherwise(~bad_other)
 
 
+def product_bits(claim: Column) -> Column:
+    """Two bits for each of the distinct products: whether a claim names one of the first, of the second."""
+    out = F.lit(0)
+    for i, (_, xs, ys) in enumerate(L.DISTINCT_PRODUCTS):
+        out = out + F.when(R.any_term(claim, xs), 1 << 2 * i).otherwise(0) + F.when(R.any_term(claim, ys), 2 << 2 * i).otherwise(0)
+    return out
+
+
 def product_reason(a: Column, b: Column) -> Column:
-    """product_mismatch or generation_progression if the claims name distinct products, else null."""
+    """product_mismatch or generation_progression if the claims with these bits name distinct products, else null."""
     out = None
-    for reason, xs, ys in L.DISTINCT_PRODUCTS:
-        hit = (R.any_term(a, xs) & R.any_term(b, ys)) | (R.any_term(a, ys) & R.any_term(b, xs))
-        out = R.when(out, hit, reason)
+    has = lambda x, bit: x.bitwiseAND(F.lit(bit)) != 0
+    for i, (reason, _, _) in enumerate(L.DISTINCT_PRODUCTS):
+        x, y = 1 << 2 * i, 2 << 2 * i
+        out = R.when(out, (has(a, x) & has(b, y)) | (has(a, y) & has(b, x)), reason)
     return out
 
 
@@ -104,125 +131,258 @@ def contexts_clash(a: Column, b: Column) -> Column:
     return (a == "example_deployment") | (b == "example_deployment") | _pair_in(a, b, L.INCOMPATIBLE_CONTEXTS)
 
 
+def topic_bits(claim: Column, topics: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """A bit for each of a profile's topics of which a claim holds a keyword."""
+    return sum((F.when(R.any_term(claim, terms), 1 << i).otherwise(0) for i, (_, terms) in enumerate(topics)), F.lit(0))
+
+
+def first_topic(bits: Column, topics: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The first topic in the bits, else other."""
+    out = None
+    for i, (name, _) in enumerate(topics):
+        out = R.when(out, bits.bitwiseAND(F.lit(1 << i)) != 0, name)
+    return F.lit("other") if out is None else out.otherwise("other")
+
+
 def enriched(claims: DataFrame, claim: str = "claim") -> DataFrame:
-    """Claims with entity, entity_type and scope."""
-    e = claims.withColumn("__e", C.entity(F.col(claim)))
-    e = e.withColumns({"entity": F.col("__e.entity"), "entity_type": F.col("__e.entity_type")}).drop("__e")
-    return e.withColumn("scope", C.scope(F.col(claim), F.col("entity_type")))
-
-
-def numeric_pairs(claims: DataFrame, key: str = "id", claim: str = "claim", units: tuple[str, ...] = L.UNITS, entity_blocks: bool = True) -> DataFrame:
-    """One row for each pair and unit with a value on both sides: outcome (suppression reason, agree, conflict) and severity.
-
-    claims: key, claim, entity, scope.  Of a pair, rows after its first conflict are left out."""
-    low = F.lower(F.col(claim))
-    made = []
-    for o, u in enumerate(units):
-        v = unit_value(low, u)
-        made.append(
-            F.when(
-                F.contains(low, F.lit(u)) & v.isNotNull(),
-                F.struct(F.lit(o).alias("o"), F.lit(u).alias("unit"), v.alias("value"), metric_type(low, u, F.col("scope")).alias("metric"), unit_range(low, u).alias("range"), value_meaning(low, v, u).alias("meaning")),
+    """Claims with entity, entity_type and scope; a claim that has any of them set is left as it is."""
+    given = F.lit(False)
+    for c in ("entity", "entity_type", "scope"):
+        if c in claims.columns:
+            given = given | (F.coalesce(F.col(c), F.lit("")) != "")
+    found = R.bound(C.entity(F.col(claim)), lambda e: F.struct(e["entity"].alias("entity"), e["entity_type"].alias("entity_type"), C.scope(F.col(claim), e["entity_type"]).alias("scope")))
+    old = F.struct(*[(F.coalesce(F.col(c), F.lit("")) if c in claims.columns else F.lit("")).alias(c) for c in ("entity", "entity_type", "scope")])
+    # exploded, so that what is found is computed once
+    e = claims.select("*", F.explode(F.array(F.when(given, old).otherwise(found))).alias("__e"))
+    return e.withColumns({c: F.col(f"__e.{c}") for c in ("entity", "entity_type", "scope")}).drop("__e")
+
+
+def _subject(claim: Column) -> dict[str, Column]:
+    """The properties that numeric and categorical comparisons share."""
+    scope = F.when(F.coalesce("scope", F.lit("")) == "", C.scope(claim, F.lit(""))).otherwise(F.col("scope"))
+    return {"e": F.lower(F.trim(F.coalesce("entity", F.lit("")))), "s": scope, "ctx": C.comparison_context(claim), "prod": product_bits(claim)}
+
+
+def numeric_signatures(claims: DataFrame, key: str = "id", claim: str = "claim", units: tuple[str, ...] = L.UNITS, also: tuple[str, ...] = ()) -> DataFrame:
+    """k and the signature of every claim with a value: e, s, ctx, prod, kind, the columns also, and m, an array of its
+    values (o, unit, value, metric, lo, hi, meaning) by unit.  claims: key, claim, entity, scope and the columns also."""
+    c = F.col(claim)
+
+    def value(low: Column, scope: Column, o: int, u: str) -> Column:
+        def of(x: Column) -> Column:
+            v, r = x["v"], x["r"]
+            one = F.struct(F.lit(o).alias("o"), F.lit(u).alias("unit"), v.alias("value"), metric_type(low, u, scope).alias("metric"), r["lo"].alias("lo"), r["hi"].alias("hi"), value_meaning(low, v, u).alias("meaning"))
+            return F.when(v.isNotNull(), one)
+
+        return F.when(F.contains(low, F.lit(u)), R.bound(F.struct(unit_value(low, u).alias("v"), unit_range(low, u).alias("r")), of))
+
+    subject = F.struct(F.lower(c).alias("low"), *[v.alias(n) for n, v in _subject(c).items()], C.temporal_kind(c).alias("kind"))
+    own = lambda x: x.withField("m", F.array_compact(F.array(*[value(x["low"], x["s"], o, u) for o, u in enumerate(units)])))
+    made = claims.select(F.col(key).alias("k"), *also, F.explode(F.transform(F.array(subject), own)).alias("x"))
+    return made.select("k", *[f"x.{n}" for n in ("e", "s", "ctx", "prod", "kind")], *also, "x.m").filter(F.size("m") > 0)
+
+
+def categorical_signatures(claims: DataFrame, key: str = "id", claim: str = "claim", also: tuple[str, ...] = ()) -> DataFrame:
+    """k and the signature of every claim with a term of an exclusive pair: e, s, ctx, prod, also, and m (o, side, term, metric)."""
+    c = F.col(claim)
+
+    def side_of(low: Column, o: int, side: int, terms: tuple[str, ...]) -> Column:
+        def of(term: Column) -> Column:
+            metric = (
+                F.when(term.rlike("^20[0-9][0-9]$"), C.year_context(low, term))
+                .when(term.rlike("cool|dlc|liquid"), "cooling_method")
+                .when(term.contains("phase"), "cooling_phase")
+                .when(term.contains("gpu"), "gpu_count")
+                .when(term.contains("nvl"), "rack_type")
+                .otherwise("categorical_specification")
             )
-        )
-    base = claims.select(F.col(key).alias("k"), F.col(claim).alias("c"), F.coalesce("entity", F.lit("")).alias("e"), F.col("scope").alias("s"), C.temporal_kind(F.col(claim)).alias("kind"), C.comparison_context(F.col(claim)).alias("ctx"), F.explode(F.array_compact(F.array(*made))).alias("m"))
-    base = base.select("k", "c", "e", "s", "kind", "ctx", "m.*")
-    a, b = base.alias("a"), base.alias("b")
-    on = (F.col("a.unit") == F.col("b.unit")) & (F.col("a.k") < F.col("b.k"))
-    if entity_blocks:
-        on = on & (F.col("a.e") == F.col("b.e"))
+            return F.when(term.isNotNull(), F.struct(F.lit(o).alias("o"), F.lit(side).alias("side"), term.alias("term"), metric.alias("metric")))
+
+        return R.bound(F.coalesce(*[F.when(F.contains(low, F.lit(t)), t) for t in terms]), of)
+
+    sides = lambda low: F.array_compact(F.array(*[side_of(low, o, side, terms) for o, two in enumerate(L.EXCLUSIVE) for side, terms in enumerate(two)]))
+    subject = F.struct(F.lower(c).alias("low"), *[v.alias(n) for n, v in _subject(c).items()])
+    made = claims.select(F.col(key).alias("k"), *also, F.explode(F.transform(F.array(subject), lambda x: x.withField("m", sides(x["low"])))).alias("x"))
+    return made.select("k", *[f"x.{n}" for n in ("e", "s", "ctx", "prod")], *also, "x.m").filter(F.size("m") > 0)
+
+
+def duration_signatures(claims: DataFrame, key: str = "id", claim: str = "claim") -> DataFrame:
+    """k and the signature of every claim with a duration: lo and hi in months, metric, and w, its subject tokens."""
+    c, low = F.col(claim), F.lower(F.col(claim))
+    months = F.when(F.lower(F.regexp_extract(c, L.DURATION, 3)).startswith("year"), 12).otherwise(1)
+    lo = F.nullif(F.regexp_extract(c, L.DURATION, 1), F.lit("")).cast("double") * months
+    hi = F.coalesce(F.nullif(F.regexp_extract(c, L.DURATION, 2), F.lit("")).cast("double") * months, lo)
+    words = T.tokens(low, r"\b[a-z][a-z0-9_-]*\b", L.DURATION_STOP, 3, distinct=True)
+    metric = R.first_pattern(c, L.DURATION_METRICS, "duration_generic")
+    return claims.select(F.col(key).alias("k"), lo.alias("lo"), hi.alias("hi"), metric.alias("metric"), F.array_sort(words).alias("w")).filter(F.col("lo").isNotNull())
+
+
+def classes(signatures: DataFrame) -> DataFrame:
+    """The distinct signatures: class, its least key, and n, its claims.  Written, so that claims are read once."""
+    return stash(signatures.groupBy(*[c for c in signatures.columns if c != "k"]).agg(F.min("k").alias("class"), F.count("*").alias("n")), "classes")
+
+
+def members(signatures: DataFrame) -> DataFrame:
+    """(k, class) of every claim with a signature."""
+    by = [c for c in signatures.columns if c != "k"]
+    signatures = stash(signatures, "signatures")
+    s, c = signatures.alias("s"), classes(signatures).alias("c")
+    same = F.lit(True)
+    for x in by:
+        same &= F.col(f"s.{x}").eqNullSafe(F.col(f"c.{x}"))
+    return s.join(c, same).select("s.k", "c.class")
+
+
+def _compared(found: DataFrame, on: str, own: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Classes joined on compatible names and ``on``, as aliases a and b; each pair once, a class with itself if it has
+    two claims.  The number of claim pairs that a row stands for."""
+    flat = found.select("class", "n", "e", *own, F.inline("m"))
+    # few classes make many pairs: they are spread whatever their bytes
+    left = flat.join(compatible_names(found), "e").repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class")
+    a, b = left.alias("a"), flat.alias("b")
     A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    in_range = lambda r, v: r.isNotNull() & (v >= r["lo"] * 0.85) & (v <= r["hi"] * 1.15)
-    ratio = F.abs(A("value") - B("value")) / F.greatest(A("value"), B("value"))
+    meet = (A("other") == B("e")) & (A(on) == B(on)) & ((A("class") < B("class")) | ((A("class") == B("class")) & (A("n") > 1)))
+    pairs = F.when(A("class") == B("class"), A("n") * (A("n") - 1) / 2).otherwise(A("n") * B("n")).cast("long")
+    return a.join(b, meet), pairs
+
+
+def _until_conflict(pairs: DataFrame, order: Column) -> DataFrame:
+    """Rows with an outcome; of a pair of classes those up to its first conflict."""
+    first = F.min(F.when(F.col("outcome") == "conflict", F.col("__o"))).over(Window.partitionBy("class_a", "class_b"))
+    pairs = pairs.withColumn("__o", order).filter(F.col("outcome").isNotNull()).withColumn("__first", first)
+    return pairs.filter(F.col("__first").isNull() | (F.col("__o") <= F.col("__first"))).drop("__o", "__first")
+
+
+def numeric_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
+    """One row for each pair of classes and unit with a value on both sides that conflicts or is passed over: outcome
+    (conflict, or the reason), ratio, severity and topic of a conflict, pairs (claim pairs), and a_/b_ of the columns also.
+
+    found: classes of numeric_signatures.  Units are compared in order until the first that conflicts; of pairs that
+    differ in entity none is formed (see mismatches), and values that agree, or measure different things, give no row."""
+    joined, pairs = _compared(found, "unit", ("s", "ctx", "prod", "kind", *also))
+    A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    in_range = lambda x, y: x("lo").isNotNull() & y("lo").isNull() & (y("value") >= x("lo") * 0.85) & (y("value") <= x("hi") * 1.15)
+    ratio = F.abs(A("value") - B("value")) / F.nullif(F.greatest(A("value"), B("value")), F.lit(0.0))
     kinds = F.array_sort(F.array(A("kind"), B("kind")))
-    ranged = (in_range(A("range"), B("value")) & B("range").isNull()) | (in_range(B("range"), A("value")) & A("range").isNull())
     outcome = (
-        F.when(~names_compatible(A("e"), B("e")), "entity_mismatch")
-        .when(product_reason(A("c"), B("c")).isNotNull(), product_reason(A("c"), B("c")))
+        F.when(product_reason(A("prod"), B("prod")).isNotNull(), product_reason(A("prod"), B("prod")))
         .when(~scopes_compatible(A("s"), B("s")), "scope_mismatch")
-        .when(~metrics_compatible(A("metric"), B("metric")), "metric_mismatch")
+        .when(~metrics_compatible(A("metric"), B("metric")), F.when(_power(A("metric")) & _power(B("metric")), "metric_scope_mismatch"))
         .when((kinds[0] == "current") & kinds[1].isin("target", "rate"), "temporal_progression")
         .when(contexts_clash(A("ctx"), B("ctx")), "context_mismatch")
-        .when(ranged, "range_average_compatible")
+        .when(in_range(A, B) | in_range(B, A), "range_average_compatible")
         .when((A("meaning") == "threshold") | (B("meaning") == "threshold"), "threshold_vs_measurement")
         .when((A("meaning") == "historical_comparison") | (B("meaning") == "historical_comparison"), "historical_progression")
-        .when(F.coalesce(ratio, F.lit(0.0)) <= 0.20, "agree")
-        .otherwise("conflict")
-    )
-    severity = F.when(ratio >= 0.50, "high").otherwise("medium")
-    pairs = a.join(b, on).select(A("k").alias("a"), B("k").alias("b"), A("unit").alias("unit"), A("o").alias("o"), outcome.alias("outcome"), F.round(ratio, 6).alias("ratio"), severity.alias("severity"))
-    pairs = pairs.withColumn("severity", F.when(F.col("outcome") == "conflict", F.col("severity")))
-    first = F.min(F.when(F.col("outcome") == "conflict", F.col("o"))).over(Window.partitionBy("a", "b"))
-    return pairs.withColumn("__first", first).filter(F.col("__first").isNull() | (F.col("o") <= F.col("__first"))).drop("__first", "o")
-
-
-def categorical_pairs(claims: DataFrame, key: str = "id", claim: str = "claim", entity_blocks: bool = True) -> DataFrame:
-    """One row for each pair on opposite sides of an exclusive pair of terms: outcome and severity."""
-    low = F.lower(F.col(claim))
-    sides = []
-    for o, (xs, ys) in enumerate(L.EXCLUSIVE):
-        for side, terms in enumerate((xs, ys)):
-            found = F.coalesce(*[F.when(F.contains(low, F.lit(t)), t) for t in terms])
-            sides.append(F.when(found.isNotNull(), F.struct(F.lit(o).alias("o"), F.lit(side).alias("side"), found.alias("term"))))
-    base = claims.select(F.col(key).alias("k"), F.col(claim).alias("c"), F.coalesce("entity", F.lit("")).alias("e"), F.col("scope").alias("s"), C.comparison_context(F.col(claim)).alias("ctx"), F.explode(F.array_compact(F.array(*sides))).alias("m"))
-    base = base.select("k", "c", "e", "s", "ctx", "m.*")
-    term, c = F.col("term"), F.lower(F.col("c"))
-    kind = (
-        F.when(term.rlike("^20[0-9][0-9]$"), C.year_context(c, term))
-        .when(term.rlike("cool|dlc|liquid"), "cooling_method")
-        .when(term.contains("phase"), "cooling_phase")
-        .when(term.contains("gpu"), "gpu_count")
-        .when(term.contains("nvl"), "rack_type")
-        .otherwise("categorical_specification")
+        .when(F.coalesce(ratio, F.lit(0.0)) > 0.20, "conflict")
     )
-    base = base.withColumn("metric", kind)
-    a, b = base.alias("a"), base.alias("b")
+    clash = outcome == "conflict"
+    topic = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.UNIT_TOPIC.items() for x in kv]), A("unit")), F.lit("numeric specification"))
+    if topics:
+        topic = first_topic(A("topics").bitwiseOR(B("topics")), topics)
+    cols = [A("class").alias("class_a"), B("class").alias("class_b"), A("unit").alias("unit"), A("o").alias("o"), outcome.alias("outcome"), F.round(ratio, 6).alias("ratio"), pairs.alias("pairs")]
+    cols += [F.when(clash, F.when(ratio >= 0.50, "high").otherwise("medium")).alias("severity"), F.when(clash, topic).alias("topic")]
+    out = joined.select(*cols, *[f(c).alias(f"{s}_{c}") for c in also for s, f in (("a", A), ("b", B))])
+    return _until_conflict(out, F.col("o")).drop("o")
+
+
+def categorical_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
+    """One row for each pair of classes on opposite sides of an exclusive pair of terms that conflicts or is passed over:
+    pair, terms, outcome, severity, topic, pairs and a_/b_ of the columns also.
+
+    found: classes of categorical_signatures.  Claims that stand on both sides are compared both ways, the lower class's
+    first side first; as numeric_pairs otherwise."""
+    joined, pairs = _compared(found, "o", ("s", "ctx", "prod", *also))
     A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    on = (A("o") == B("o")) & (A("side") != B("side")) & (A("k") < B("k"))
-    if entity_blocks:
-        on = on & (A("e") == B("e"))
     both = F.concat_ws(" ", A("term"), B("term"))
+    stages = A("metric").isin(*L.LIFECYCLE) & B("metric").isin(*L.LIFECYCLE)
     outcome = (
-        F.when(~names_compatible(A("e"), B("e")), "entity_mismatch")
-        .when(product_reason(A("c"), B("c")).isNotNull(), product_reason(A("c"), B("c")))
-        .when(~metrics_compatible(A("metric"), B("metric")), F.when(A("metric").isin(*L.LIFECYCLE) & B("metric").isin(*L.LIFECYCLE), "milestone_progression").otherwise("metric_mismatch"))
+        F.when(product_reason(A("prod"), B("prod")).isNotNull(), product_reason(A("prod"), B("prod")))
+        .when(~metrics_compatible(A("metric"), B("metric")), F.when(stages & (A("metric") != B("metric")), "milestone_progression"))
         .when(~scopes_compatible(A("s"), B("s")), "scope_mismatch")
         .when(contexts_clash(A("ctx"), B("ctx")), "context_mismatch")
         .otherwise("conflict")
     )
-    severity = F.when(both.rlike("cool|liquid|dlc|water|air"), "high").otherwise("medium")
-    pairs = a.join(b, on).select(A("k").alias("a"), B("k").alias("b"), A("o").alias("pair"), A("term").alias("term_a"), B("term").alias("term_b"), outcome.alias("outcome"), severity.alias("severity"))
-    pairs = pairs.withColumn("severity", F.when(F.col("outcome") == "conflict", F.col("severity")))
-    first = F.min(F.when(F.col("outcome") == "conflict", F.col("pair"))).over(Window.partitionBy("a", "b"))
-    return pairs.withColumn("__first", first).filter(F.col("__first").isNull() | (F.col("pair") <= F.col("__first"))).drop("__first")
-
-
-def duration_pairs(claims: DataFrame, key: str = "id", claim: str = "claim", entity_blocks: bool = True) -> DataFrame:
-    """Pairs of disjoint durations (months) of compatible kinds whose claims share a subject token.
-
-    Pairs are formed on the least frequent way to share: one row per pair, by its first shared token."""
-    low = F.lower(F.col(claim))
-    months = F.when(F.lower(F.regexp_extract(F.col(claim), L.DURATION, 3)).startswith("year"), 12).otherwise(1)
-    lo = F.nullif(F.regexp_extract(F.col(claim), L.DURATION, 1), F.lit("")).cast("double") * months
-    hi = F.coalesce(F.nullif(F.regexp_extract(F.col(claim), L.DURATION, 2), F.lit("")).cast("double") * months, lo)
-    words = T.tokens(low, r"\b[a-z][a-z0-9_-]*\b", L.DURATION_STOP, 3, distinct=True)
-    base = claims.select(F.col(key).alias("k"), F.coalesce("entity", F.lit("")).alias("e"), lo.alias("lo"), hi.alias("hi"), R.first_pattern(F.col(claim), L.DURATION_METRICS, "duration_generic").alias("metric"), F.array_sort(words).alias("w"))
-    base = base.filter(F.col("lo").isNotNull())
-    t = base.withColumn("token", F.explode("w"))
+    clash = outcome == "conflict"
+    cooling = both.rlike("cool|liquid|dlc|water|air")
+    topic = F.when(cooling, "cooling type").when(both.contains("phase"), "cooling phase").when(both.rlike("20(2[5-9]|30)"), "timeline")
+    topic = topic.when(both.contains("gpu"), "gpu count").when(both.contains("nvl"), "rack type").otherwise("specification")
+    if topics:
+        topic = first_topic(A("topics").bitwiseOR(B("topics")), topics)
+    cols = [A("class").alias("class_a"), B("class").alias("class_b"), A("o").alias("pair"), A("side").alias("__side"), A("term").alias("term_a"), B("term").alias("term_b"), outcome.alias("outcome"), pairs.alias("pairs")]
+    cols += [F.when(clash, F.when(cooling, "high").otherwise("medium")).alias("severity"), F.when(clash, topic).alias("topic")]
+    out = joined.filter(A("side") != B("side")).select(*cols, *[f(c).alias(f"{s}_{c}") for c in also for s, f in (("a", A), ("b", B))])
+    return _until_conflict(out, 2 * F.col("pair") + F.col("__side")).drop("__side")
+
+
+def duration_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of classes with disjoint durations (months) of one kind whose claims share a subject token: ratio, severity,
+    topic and pairs.  found: classes of duration_signatures; a pair is formed at its first shared token."""
+    t = found.withColumn("token", F.explode("w"))
     a, b = t.alias("a"), t.alias("b")
     A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    on = (A("token") == B("token")) & (A("k") < B("k")) & ((A("hi") < B("lo")) | (B("hi") < A("lo")))
-    on = on & ((A("metric") == B("metric")) | (A("metric") == "duration_generic") | (B("metric") == "duration_generic"))
-    if entity_blocks:
-        on = on & (A("e") == B("e"))
-    # of the tokens that a pair shares only the first makes a row
+    on = (A("token") == B("token")) & (A("metric") == B("metric")) & (A("class") < B("class")) & ((A("hi") < B("lo")) | (B("hi") < A("lo")))
     on = on & (F.array_min(F.array_intersect(A("w"), B("w"))) == A("token"))
     mid_a, mid_b = (A("lo") + A("hi")) / 2, (B("lo") + B("hi")) / 2
     ratio = F.abs(mid_a - mid_b) / F.greatest(mid_a, mid_b)
-    topic = F.when((A("metric") == "duration_construction") | (B("metric") == "duration_construction"), "construction duration").otherwise("timeline")
-    return a.join(b, on).select(A("k").alias("a"), B("k").alias("b"), F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.5, "high").otherwise("medium").alias("severity"), topic.alias("topic"))
-
-
-def suppression_metrics(pairs: DataFrame) -> DataFrame:
-    """Pairs by outcome."""
-    return pairs.groupBy("outcome").agg(F.count("*").alias("n"))
+    topic = F.when(A("metric") == "duration_construction", "construction duration").otherwise("timeline")
+    return a.join(b, on).select(A("class").alias("class_a"), B("class").alias("class_b"), F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.5, "high").otherwise("medium").alias("severity"), topic.alias("topic"), (A("n") * B("n")).alias("pairs"))
+
+
+def mismatches(found: DataFrame, on: str) -> DataFrame:
+    """(pairs): comparisons that incompatible names rule out: all that share ``on`` (unit, or o on opposite sides) but those of compatible names.
+
+    Counted from sizes alone, by name and ``on``."""
+    sided = on == "o"
+    flat = found.select("class", "n", "e", F.inline("m"))
+    side = F.col("side") if sided else F.lit(0)
+    by = flat.groupBy("e", on).agg(*[F.sum(F.when(side == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in (0, 1)])
+    names = compatible_names(found)
+    a, b = by.join(names, "e").alias("a"), by.alias("b")
+    met = a.join(b, (F.col("a.other") == F.col("b.e")) & (F.col(f"a.{on}") == F.col(f"b.{on}"))).groupBy(F.col(f"a.{on}").alias(on))
+    total = by.groupBy(on).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    # ordered pairs of claims; those of a claim with itself cancel out
+    if sided:
+        met, all_pairs = met.agg(F.sum(F.col("a.n0") * F.col("b.n1")).alias("met")), F.col("t0") * F.col("t1")
+    else:
+        met, all_pairs = met.agg((F.sum(F.col("a.n0") * F.col("b.n0"))).alias("met")), F.col("t0") * F.col("t0")
+    share = 1 if sided else 2
+    rest = total.join(met, on).agg(F.coalesce(F.sum((all_pairs - F.col("met")) / share), F.lit(0)).cast("long").alias("pairs"))
+    return rest
+
+
+def suppression_metrics(pairs: DataFrame, mismatched: DataFrame | None = None) -> DataFrame:
+    """Claim pairs by outcome; mismatched (pairs) counts as entity_mismatch."""
+    rows = pairs.select("outcome", "pairs")
+    if mismatched is not None:
+        rows = rows.unionByName(mismatched.select(F.lit("entity_mismatch").alias("outcome"), "pairs").filter("pairs > 0"))
+    return rows.groupBy("outcome").agg(F.sum("pairs").alias("n"))
+
+
+#: Presence flags of the summary and the reasons that raise them.
+FLAGS = {
+    "scope_filtering_present": ("scope_mismatch", "metric_scope_mismatch"),
+    "entity_filtering_present": ("entity_mismatch",),
+    "temporal_filtering_present": ("temporal_progression",),
+    "product_filtering_present": ("product_mismatch", "generation_progression"),
+    "range_filtering_present": ("range_average_compatible",),
+    "context_filtering_present": ("context_mismatch",),
+    "threshold_filtering_present": ("threshold_vs_measurement",),
+    "historical_filtering_present": ("historical_progression",),
+}
+
+
+def suppression_summary(metrics: DataFrame) -> DataFrame:
+    """One row from suppression_metrics: candidate, suppressed and final counts, and which filters were at work."""
+    of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
+    final = F.col("outcome") == "conflict"
+    counts = [F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("candidate_count"), of(~final).alias("suppressed_count"), of(final).alias("final_count")]
+    return metrics.agg(*counts, *[(of(F.col("outcome").isin(*reasons)) > 0).alias(flag) for flag, reasons in FLAGS.items()])
+
+
+def expanded(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The claim pairs (a, b, a < b) of pairs of classes, with the pairs' columns: as many rows as the report counts."""
+    a, b, p = member.alias("a"), member.alias("b"), pairs.alias("p")
+    rows = p.join(a, F.col("p.class_a") == F.col("a.class")).join(b, F.col("p.class_b") == F.col("b.class"))
+    rows = rows.filter((F.col("p.class_a") != F.col("p.class_b")) | (F.col("a.k") < F.col("b.k")))
+    low, high = F.least("a.k", "b.k"), F.greatest("a.k", "b.k")
+    return rows.select(low.alias("a"), high.alias("b"), *[f"p.{c}" for c in pairs.columns if c not in ("class_a", "class_b", "pairs")])

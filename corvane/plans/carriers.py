@@ -34,6 +34,16 @@ TEMPLATES = (
     "Is {b} limited to {v} kW?",
     "Reactor Alpha of {b} delivers {v} MW per year as a capacity target.",
     "The document number of {b} is on file; all rights reserved.",
+    "The GB200 NVL72 rack draws {v} kW and holds {w} GPU trays.",
+    "The NVL72 draws {w} kW at full load.",
+    "The NVL36 rack of {b} draws {v} kW.",
+    "An H100 system uses {v} GPU modules at {w} °C.",
+    "A Blackwell B200 system uses {w} GPU modules at {v} °C.",
+    "The Rubin platform of {b} reaches {v} TB and {w} GB of memory.",
+    "Each node draws {v} W, {w} x the old figure.",
+    "The plant of {b} has {v} GW; its twin has {w} rack rows.",
+    "A single-phase loop serves {b}; 72 GPU trays stay below {v} °C.",
+    "A two-phase loop serves {b}; 144 GPU trays stay below {w} °C.",
 )
 
 

@@ -126,81 +126,152 @@ def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "store_type", "confidence_value", "overall", "credibility", F.col("defaults.enabled").alias("enabled"), F.col("defaults.priority").alias("priority"), F.col("defaults.value").alias("strategic"))
 
 
-_UNITS = ("kw", "mw")
+_TOPICS = L.CONTRADICTION_TOPICS_AI_DC
 
 
 def _pairs_of(values: tuple) -> str:
     return ", ".join(K.quoted("|".join(sorted(p))) for p in values)
 
 
-def _numeric_sql() -> str:
+_PRODUCT_BITS = " + ".join(f"case when {K.sql_any('claim', terms)} then {bit << 2 * i} else 0 end" for i, (_, xs, ys) in enumerate(L.DISTINCT_PRODUCTS) for bit, terms in ((1, xs), (2, ys)))
+_TOPIC_BITS = " + ".join(f"case when {K.sql_any('claim', terms)} then {1 << i} else 0 end" for i, (_, terms) in enumerate(_TOPICS))
+_TOPIC = "case " + " ".join(f"when ((a.topics | b.topics) & {1 << i}) <> 0 then {K.quoted(name)}" for i, (name, _) in enumerate(_TOPICS)) + " else 'other' end"
+_QUALITY = "(select p_partkey id, case when p_retailprice > 1000 then 1 + p_partkey % 5 else 3 end quality from part)"
+#: Every claim with what both kinds of comparison need.
+_SUBJECTS_SQL = f"""(select c.id, claim, lower(claim) low, lower(trim(entity)) e, case when found <> 'unknown' then found {_NATURAL} else 'unknown' end s, {_CONTEXT} ctx, {_KIND} kind,
+    {_PRODUCT_BITS} prod, {_TOPIC_BITS} topics, quality from (select id, claim, {_entity_sql()[0]} entity, {_entity_sql()[1]} entity_type, {_SCOPE} found from {K.CLAIMS_SQL}) c join {_QUALITY} q on c.id = q.id)"""
+_NAMES = "(a.e = '' or b.e = '' or contains(a.e, b.e) or contains(b.e, a.e))"
+_PRODUCT = " ".join(
+    f"when ((a.prod & {1 << 2 * i}) <> 0 and (b.prod & {2 << 2 * i}) <> 0) or ((a.prod & {2 << 2 * i}) <> 0 and (b.prod & {1 << 2 * i}) <> 0) then {K.quoted(reason)}"
+    for i, (reason, _, _) in enumerate(L.DISTINCT_PRODUCTS)
+)
+_SCOPES_DIFFER = f"""not (a.s = 'unknown' or b.s = 'unknown' or replace(a.s, 'reactor', 'unit') = replace(b.s, 'reactor', 'unit')
+    or (least(replace(a.s, 'reactor', 'unit'), replace(b.s, 'reactor', 'unit')) || '|' || greatest(replace(a.s, 'reactor', 'unit'), replace(b.s, 'reactor', 'unit'))) not in ({_pairs_of(L.INCOMPATIBLE_SCOPES)}))"""
+_CONTEXTS_CLASH = f"(a.ctx = 'example_deployment' or b.ctx = 'example_deployment' or (least(a.ctx, b.ctx) || '|' || greatest(a.ctx, b.ctx)) in ({_pairs_of(L.INCOMPATIBLE_CONTEXTS)}))"
+
+
+def _numeric_sql(also: str = "topics") -> str:
+    """All pairs of claims, compared one by one: a, b (claims), ra, rb (their classes), unit, outcome, ratio and the like."""
     rows = []
-    for o, u in enumerate(_UNITS):
-        v = f"coalesce(nullif(regexp_extract(low, '\\b(\\d+(?:\\.\\d+)?)\\s*{u}\\b', 1), ''), nullif(regexp_extract(low, '\\b{u}\\s*(\\d+(?:\\.\\d+)?)\\b', 1), ''))::double"
-        f = f"regexp_extract(low, '\\b\\d+(?:\\.\\d+)?\\s*{u}\\b')"
-        lo = f"nullif(regexp_extract(low, '\\b(\\d+(?:\\.\\d+)?)\\s*[-–]\\s*(\\d+(?:\\.\\d+)?)\\+?\\s*{u}\\b', {{n}}), '')::double"
-        rows.append(f"select id, claim, brand, scope, kind, context, low, {o} o, '{u}' unit, {v} v, {f} f, {lo.format(n=1)} rlo, {lo.format(n=2)} rhi from c where contains(low, '{u}')")
+    for o, u in enumerate(L.UNITS):
+        x = contradict._escaped(u)
+        v = f"coalesce(nullif(regexp_extract(low, '\\b(\\d+(?:\\.\\d+)?)\\s*{x}\\b', 1), ''), nullif(regexp_extract(low, '\\b{x}\\s*(\\d+(?:\\.\\d+)?)\\b', 1), ''))::double"
+        f, g = f"regexp_extract(low, '\\b\\d+(?:\\.\\d+)?\\s*{x}\\b')", f"regexp_extract(low, '\\b{x}\\s*\\d+(?:\\.\\d+)?\\b')"
+        lo = f"nullif(regexp_extract(low, '\\b(\\d+(?:\\.\\d+)?)\\s*[-–]\\s*(\\d+(?:\\.\\d+)?)\\+?\\s*{x}\\b', {{n}}), '')::double"
+        rows.append(f"select *, {o} o, '{u}' unit, {v} v, {f} f, coalesce(nullif({f}, ''), {g}) ff, {lo.format(n=1)} rlo, {lo.format(n=2)} rhi from c where contains(low, '{u}')")
     prefix = " ".join(f"when {K.quoted(k)} then {K.quoted(x)}" for k, x in L.SCOPE_POWER.items())
-    power = "regexp_matches({x}, '^(rack_power_|power_shelf_power_|tray_power_|node_power_|gpu_power_|cluster_power_|facility_power_|installed_capacity_|fleet_capacity_)')"
-    return f"""with c as (select id, claim, brand, lower(claim) low, {_SCOPE} scope, {_KIND} kind, {_CONTEXT} context from {K.CLAIMS_SQL}),
-    u as ({" union all ".join(rows)}),
-    w as (select *, strpos(low, f) - 1 p, substr(low, greatest(strpos(low, f) - 1 - 80, 0) + 1, least(strpos(low, f) - 1, 80) + length(f) + 80) near from u where v is not null),
-    x as (select *, substr(low, greatest(p - 120, 0) + 1, p - greatest(p - 120, 0)) before_ from w),
-    m as (select *, coalesce(case scope {prefix} end || '_' || unit, unit || '_' || case when regexp_matches(near, {K.quoted(L.RATE)}) then 'rate' when regexp_matches(near, {K.quoted(L.TARGET)}) then 'target'
-      when regexp_matches(near, {K.quoted(L.CURRENT)}) then 'current' else 'level' end) metric,
-      case when regexp_matches(right(before_, 50), {K.quoted(L.THRESHOLD_BEFORE)}) then 'threshold'
+    power = lambda x: f"regexp_matches({x}.metric, '{L.SCOPED_POWER}')"
+    unit_topic = " ".join(f"when {K.quoted(k)} then {K.quoted(x)}" for k, x in L.UNIT_TOPIC.items())
+    return f"""with c as (select * from {_SUBJECTS_SQL}), u as ({" union all ".join(rows)}),
+    w as (select *, strpos(low, f) - 1 p, strpos(low, ff) - 1 pp from u where v is not null),
+    x as (select *, substr(low, greatest(pp - 80, 0) + 1, least(pp, 80) + length(ff) + 80) near, substr(low, greatest(p - 120, 0) + 1, p - greatest(p - 120, 0)) before_ from w),
+    m as (select *, case when unit = 'w' then case when s in ('node', 'chip') then 'gpu_power_w' else 'w_value' end when unit not in ('kw', 'mw', 'gw') then unit || '_value' else
+      coalesce(case s {prefix} end || '_' || unit, unit || '_' || case when regexp_matches(near, {K.quoted(L.RATE)}) then 'rate' when regexp_matches(near, {K.quoted(L.TARGET)}) then 'target'
+      when regexp_matches(near, {K.quoted(L.CURRENT)}) then 'current' else 'level' end) end metric,
+      case when f = '' then 'primary' when regexp_matches(right(before_, 50), {K.quoted(L.THRESHOLD_BEFORE)}) then 'threshold'
         when regexp_matches(right(before_, 80) || substr(low, p + 1, 80), {K.quoted(L.HISTORICAL)}) or regexp_matches(before_, {K.quoted(L.COMPARISON_CLAUSE)}) then 'historical_comparison' else 'primary' end meaning from x),
-    p as (select a.id a, b.id b, a.unit, a.o, abs(a.v - b.v) / greatest(a.v, b.v) ratio, case
-      when not (a.scope = 'unknown' or b.scope = 'unknown' or a.scope = b.scope or (least(a.scope, b.scope) || '|' || greatest(a.scope, b.scope)) not in ({_pairs_of(L.INCOMPATIBLE_SCOPES)})) then 'scope_mismatch'
-      when a.metric <> b.metric and (({power.format(x="a.metric")} and {power.format(x="b.metric")}) or (suffix(a.metric, '_rate') <> suffix(b.metric, '_rate'))) then 'metric_mismatch'
-      when least(a.kind, b.kind) = 'current' and greatest(a.kind, b.kind) in ('target', 'rate') then 'temporal_progression'
-      when a.context = 'example_deployment' or b.context = 'example_deployment' or (least(a.context, b.context) || '|' || greatest(a.context, b.context)) in ({_pairs_of(L.INCOMPATIBLE_CONTEXTS)}) then 'context_mismatch'
+    h as (select id, e || '|' || s || '|' || ctx || '|' || prod || '|' || kind || '|' || concat_ws('|', {also}) || '|' || string_agg(concat_ws(':', o, v, metric, coalesce(rlo::varchar, '-'), coalesce(rhi::varchar, '-'), meaning), ';' order by o) sig
+      from m group by id, e, s, ctx, prod, kind, topics, quality),
+    r as (select id, min(id) over (partition by sig) rep from h), n as (select m.*, rep from m join r on m.id = r.id),
+    p as (select a.id a, b.id b, least(a.rep, b.rep) class_a, greatest(a.rep, b.rep) class_b, a.rep <= b.rep in_order, a.quality qa, b.quality qb, a.unit, a.o, abs(a.v - b.v) / nullif(greatest(a.v, b.v), 0) ratio,
+      {_TOPIC} profile_topic, coalesce(case a.unit {unit_topic} end, 'numeric specification') unit_topic, case
+      when not {_NAMES} then 'entity_mismatch' {_PRODUCT} when {_SCOPES_DIFFER} then 'scope_mismatch'
+      when a.metric <> b.metric and (({power("a")} and {power("b")}) or (suffix(a.metric, '_rate') <> suffix(b.metric, '_rate'))) then case when {power("a")} and {power("b")} then 'metric_scope_mismatch' end
+      when least(a.kind, b.kind) = 'current' and greatest(a.kind, b.kind) in ('target', 'rate') then 'temporal_progression' when {_CONTEXTS_CLASH} then 'context_mismatch'
       when (a.rlo is not null and b.rlo is null and b.v >= a.rlo * 0.85::double and b.v <= a.rhi * 1.15::double) or (b.rlo is not null and a.rlo is null and a.v >= b.rlo * 0.85::double and a.v <= b.rhi * 1.15::double) then 'range_average_compatible'
       when a.meaning = 'threshold' or b.meaning = 'threshold' then 'threshold_vs_measurement'
       when a.meaning = 'historical_comparison' or b.meaning = 'historical_comparison' then 'historical_progression'
-      when abs(a.v - b.v) / greatest(a.v, b.v) <= 0.20::double then 'agree' else 'conflict' end outcome
-      from m a join m b on a.unit = b.unit and a.brand = b.brand and a.id < b.id),
+      when coalesce(abs(a.v - b.v) / nullif(greatest(a.v, b.v), 0), 0) > 0.20::double then 'conflict' end outcome
+      from n a join n b on a.unit = b.unit and a.id < b.id),
     q as (select *, min(case when outcome = 'conflict' then o end) over (partition by a, b) first_ from p)
-    select a, b, unit, outcome, round(ratio, 6) ratio, case when outcome = 'conflict' then case when ratio >= 0.5 then 'high' else 'medium' end end severity from q where first_ is null or o <= first_"""
+    select * from q where outcome is not null and (first_ is null or o <= first_)"""
+
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with entity, scope, topics (bits) and the quality of their source."""
+    q = F.when(F.col("p_retailprice") > 1000, 1 + F.col("p_partkey") % 5).otherwise(3)
+    quality = K.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), q.alias("quality"))
+    return contradict.enriched(K.claims(spark, sf_dir)).withColumn("topics", contradict.topic_bits(F.col("claim"), _TOPICS)).join(quality, "id")
 
-def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.claims(spark, sf_dir).select("id", "claim", F.col("brand").alias("entity"), classify.scope(F.col("claim")).alias("scope"))
 
+def _numeric(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ("topics",)) -> DataFrame:
+    return contradict.classes(contradict.numeric_signatures(_subjects(spark, sf_dir), also=also))
 
-@query(_numeric_sql())
+
+@query(
+    f"""select class_a, class_b, unit, outcome, round(ratio, 6) ratio, case when outcome = 'conflict' then case when ratio >= 0.5 then 'high' else 'medium' end end severity,
+    case when outcome = 'conflict' then unit_topic end topic, count(*) pairs from ({_numeric_sql()}) where outcome <> 'entity_mismatch' group by all"""
+)
 def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradict.numeric_pairs(_branded(spark, sf_dir), units=_UNITS)
+    return contradict.numeric_pairs(_numeric(spark, sf_dir)).select("class_a", "class_b", "unit", "outcome", "ratio", "severity", "topic", "pairs")
+
+
+@query(f"select id k, rep \"class\" from ({_numeric_sql().split(', n as (select m.*')[0]} select id, rep from r)")
+def numeric_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contradict.members(contradict.numeric_signatures(_subjects(spark, sf_dir), also=("topics",)))
+
+
+def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _numeric(spark, sf_dir)
+    return contradict.suppression_metrics(contradict.numeric_pairs(found), contradict.mismatches(found, "unit"))
 
 
 @query(f"select outcome, count(*) n from ({_numeric_sql()}) group by outcome")
 def suppression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradict.suppression_metrics(contradict.numeric_pairs(_branded(spark, sf_dir), units=_UNITS))
+    return _suppressed(spark, sf_dir)
+
+
+_FLAGS_SQL = ", ".join(f"count(*) filter (where outcome in ({', '.join(map(K.quoted, reasons))})) > 0 {flag}" for flag, reasons in contradict.FLAGS.items())
+
+
+@query(f"select count(*) candidate_count, count(*) filter (where outcome <> 'conflict') suppressed_count, count(*) filter (where outcome = 'conflict') final_count, {_FLAGS_SQL} from ({_numeric_sql()})")
+def suppression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contradict.suppression_summary(_suppressed(spark, sf_dir))
+
+
+@query(f"select profile_topic topic, count(*) n from ({_numeric_sql()}) where outcome = 'conflict' group by all")
+def conflict_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric conflicts by the topic that a domain profile gives them."""
+    c = contradict.numeric_pairs(_numeric(spark, sf_dir), also=("topics",), topics=_TOPICS).filter("outcome = 'conflict'")
+    return c.groupBy("topic").agg(F.sum("pairs").alias("n"))
 
 
 _SIDES = " union all ".join(
-    f"select id, brand, low, claim, scope, context, {o} pair, {side} side, coalesce({', '.join(f'case when contains(low, {K.quoted(t)}) then {K.quoted(t)} end' for t in terms)}) term from c"
+    f"select *, {o} o, {side} side, coalesce({', '.join(f'case when contains(low, {K.quoted(t)}) then {K.quoted(t)} end' for t in terms)}) term from c"
     for o, two in enumerate(L.EXCLUSIVE)
     for side, terms in enumerate(two)
 )
 _NEAR_YEAR = "substr(low, greatest(strpos(low, term) - 1 - 80, 0) + 1, strpos(low, term) - 1 - greatest(strpos(low, term) - 1 - 80, 0) + 84)"
 _LIFE = ", ".join(map(K.quoted, L.LIFECYCLE))
-
-
-@query(
-    f"""with c as (select id, brand, claim, lower(claim) low, {_SCOPE} scope, {_CONTEXT} context from {K.CLAIMS_SQL}), s as (select * from ({_SIDES}) where term is not null),
+_BOTH = "term_a || ' ' || term_b"
+_CATEGORICAL_SQL = f"""with c as (select * from {_SUBJECTS_SQL}), s as (select * from ({_SIDES}) where term is not null),
     m as (select *, case when regexp_matches(term, '^20[0-9][0-9]$') then {K.sql_first_pattern(_NEAR_YEAR, L.MILESTONES, "year_generic")} when regexp_matches(term, 'cool|dlc|liquid') then 'cooling_method'
       when contains(term, 'phase') then 'cooling_phase' when contains(term, 'gpu') then 'gpu_count' when contains(term, 'nvl') then 'rack_type' else 'categorical_specification' end metric from s),
-    p as (select a.id a, b.id b, a.pair, a.term term_a, b.term term_b, case
+    h as (select id, e || '|' || s || '|' || ctx || '|' || prod || '|' || string_agg(concat_ws(':', o, side, term, metric), ';' order by o, side) sig from m group by id, e, s, ctx, prod),
+    r as (select id, min(id) over (partition by sig) rep from h), n as (select m.*, rep from m join r on m.id = r.id),
+    p as (select a.id a, b.id b, a.rep class_a, b.rep class_b, a.o pair, a.side, a.term term_a, b.term term_b, case when not {_NAMES} then 'entity_mismatch' {_PRODUCT}
       when (a.metric in ({_LIFE}) or starts_with(a.metric, 'year_') or b.metric in ({_LIFE}) or starts_with(b.metric, 'year_')) and (a.metric in ('year_generic', 'year_event') or b.metric in ('year_generic', 'year_event') or (a.metric in ({_LIFE}) and b.metric in ({_LIFE}) and a.metric <> b.metric))
-        then case when a.metric in ({_LIFE}) and b.metric in ({_LIFE}) then 'milestone_progression' else 'metric_mismatch' end
-      when not (a.scope = 'unknown' or b.scope = 'unknown' or a.scope = b.scope or (least(a.scope, b.scope) || '|' || greatest(a.scope, b.scope)) not in ({_pairs_of(L.INCOMPATIBLE_SCOPES)})) then 'scope_mismatch'
-      when a.context = 'example_deployment' or b.context = 'example_deployment' or (least(a.context, b.context) || '|' || greatest(a.context, b.context)) in ({_pairs_of(L.INCOMPATIBLE_CONTEXTS)}) then 'context_mismatch' else 'conflict' end outcome
-      from m a join m b on a.pair = b.pair and a.side <> b.side and a.brand = b.brand and a.id < b.id)
-    select a, b, pair, term_a, term_b, outcome, case when outcome = 'conflict' then case when regexp_matches(term_a || ' ' || term_b, 'cool|liquid|dlc|water|air') then 'high' else 'medium' end end severity from p"""
+        then case when a.metric in ({_LIFE}) and b.metric in ({_LIFE}) and a.metric <> b.metric then 'milestone_progression' end
+      when {_SCOPES_DIFFER} then 'scope_mismatch' when {_CONTEXTS_CLASH} then 'context_mismatch' else 'conflict' end outcome
+      from n a join n b on a.o = b.o and a.side <> b.side and (a.rep < b.rep or (a.rep = b.rep and a.id < b.id))),
+    q as (select *, min(case when outcome = 'conflict' then 2 * pair + side end) over (partition by a, b) first_ from p)
+    select * from q where outcome is not null and (first_ is null or 2 * pair + side <= first_)"""
+
+
+@query(
+    f"""select class_a, class_b, pair, term_a, term_b, outcome, case when outcome = 'conflict' then case when regexp_matches({_BOTH}, 'cool|liquid|dlc|water|air') then 'high' else 'medium' end end severity,
+    case when outcome = 'conflict' then case when regexp_matches({_BOTH}, 'cool|liquid|dlc|water|air') then 'cooling type' when contains({_BOTH}, 'phase') then 'cooling phase' when regexp_matches({_BOTH}, '20(2[5-9]|30)') then 'timeline'
+      when contains({_BOTH}, 'gpu') then 'gpu count' when contains({_BOTH}, 'nvl') then 'rack type' else 'specification' end end topic, count(*) pairs from ({_CATEGORICAL_SQL}) where outcome <> 'entity_mismatch' group by all"""
 )
 def categorical_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradict.categorical_pairs(_branded(spark, sf_dir))
+    found = contradict.classes(contradict.categorical_signatures(_subjects(spark, sf_dir)))
+    return contradict.categorical_pairs(found).select("class_a", "class_b", "pair", "term_a", "term_b", "outcome", "severity", "topic", "pairs")
+
+
+@query(f"select outcome, count(*) n from ({_CATEGORICAL_SQL}) group by outcome")
+def categorical_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contradict.classes(contradict.categorical_signatures(_subjects(spark, sf_dir)))
+    return contradict.suppression_metrics(contradict.categorical_pairs(found), contradict.mismatches(found, "o"))
 
 
 _STOP = ", ".join(map(K.quoted, L.DURATION_STOP))
@@ -208,29 +279,25 @@ _MONTHS = f"case when starts_with(lower(regexp_extract(claim, {K.quoted(L.DURATI
 
 
 @query(
-    f"""with d as (select id, brand, nullif(regexp_extract(claim, {K.quoted(L.DURATION)}, 1), '')::double * {_MONTHS} lo, nullif(regexp_extract(claim, {K.quoted(L.DURATION)}, 2), '')::double * {_MONTHS} h,
-      {K.sql_first_pattern("claim", L.DURATION_METRICS, "duration_generic")} metric, list_filter(regexp_extract_all(lower(claim), '\\b[a-z][a-z0-9_-]*\\b'), lambda w: length(w) >= 3 and w not in ({_STOP})) w from {K.CLAIMS_SQL}),
-    e as (select id, brand, lo, coalesce(h, lo) hi, metric, w from d where lo is not null),
-    p as (select a.id a, b.id b, abs((a.lo + a.hi) / 2 - (b.lo + b.hi) / 2) / greatest((a.lo + a.hi) / 2, (b.lo + b.hi) / 2) ratio, a.metric ma, b.metric mb from e a join e b
-      on a.brand = b.brand and a.id < b.id and (a.hi < b.lo or b.hi < a.lo) and (a.metric = b.metric or a.metric = 'duration_generic' or b.metric = 'duration_generic') and len(list_intersect(a.w, b.w)) > 0)
-    select a, b, round(ratio, 6) ratio, case when ratio >= 0.5 then 'high' else 'medium' end severity, case when ma = 'duration_construction' or mb = 'duration_construction' then 'construction duration' else 'timeline' end topic from p"""
+    f"""with d as (select id, nullif(regexp_extract(claim, {K.quoted(L.DURATION)}, 1), '')::double * {_MONTHS} lo, nullif(regexp_extract(claim, {K.quoted(L.DURATION)}, 2), '')::double * {_MONTHS} h,
+      {K.sql_first_pattern("claim", L.DURATION_METRICS, "duration_generic")} metric, list_sort(list_distinct(list_filter(regexp_extract_all(lower(claim), '\\b[a-z][a-z0-9_-]*\\b'), lambda w: length(w) >= 3 and w not in ({_STOP})))) w from {K.CLAIMS_SQL}),
+    e as (select id, lo, coalesce(h, lo) hi, metric, w, min(id) over (partition by lo, coalesce(h, lo), metric, w) rep from d where lo is not null),
+    p as (select least(a.rep, b.rep) class_a, greatest(a.rep, b.rep) class_b, abs((a.lo + a.hi) / 2 - (b.lo + b.hi) / 2) / greatest((a.lo + a.hi) / 2, (b.lo + b.hi) / 2) ratio, a.metric from e a join e b
+      on a.id < b.id and (a.hi < b.lo or b.hi < a.lo) and a.metric = b.metric and len(list_intersect(a.w, b.w)) > 0)
+    select class_a, class_b, round(ratio, 6) ratio, case when ratio >= 0.5 then 'high' else 'medium' end severity, case when metric = 'duration_construction' then 'construction duration' else 'timeline' end topic, count(*) pairs from p group by all"""
 )
 def duration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradict.duration_pairs(_branded(spark, sf_dir))
+    return contradict.duration_pairs(contradict.classes(contradict.duration_signatures(K.claims(spark, sf_dir))))
 
 
 @query(
-    f"""select a, b, qa, qb, case when qa >= 4 and qb >= 4 then 'high' when abs(qa - qb) >= 3 then 'low' else 'medium' end confidence from (
-    select a, b, coalesce(x.q, 3) qa, coalesce(y.q, 3) qb from ({_numeric_sql()}) n left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_retailprice > 1000) x on n.a = x.k
-    left join (select p_partkey k, 1 + p_partkey % 5 q from part where p_retailprice > 1000) y on n.b = y.k where outcome = 'conflict')"""
+    f"""select class_a, class_b, unit, qa, qb, case when qa >= 4 and qb >= 4 then 'high' when abs(qa - qb) >= 3 then 'low' else 'medium' end confidence, count(*) pairs from (
+    select class_a, class_b, unit, case when in_order then qa else qb end qa, case when in_order then qb else qa end qb from ({_numeric_sql("topics, quality")}) where outcome = 'conflict') group by all"""
 )
 def conflict_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = contradict.numeric_pairs(_branded(spark, sf_dir), units=_UNITS).filter("outcome = 'conflict'")
-    q = K.table(spark, sf_dir, "part").filter("p_retailprice > 1000").select(F.col("p_partkey").alias("k"), (1 + F.col("p_partkey") % 5).alias("q"))
-    x, y = q.toDF("ka", "qa0"), q.toDF("kb", "qb0")
-    j = c.join(x, c["a"] == x["ka"], "left").join(y, c["b"] == y["kb"], "left")
-    j = j.select("a", "b", F.coalesce("qa0", F.lit(3)).alias("qa"), F.coalesce("qb0", F.lit(3)).alias("qb"))
-    return j.withColumn("confidence", score.contradiction_confidence(F.col("qa"), F.col("qb")))
+    c = contradict.numeric_pairs(_numeric(spark, sf_dir, ("topics", "quality")), also=("quality",)).filter("outcome = 'conflict'")
+    c = c.select("class_a", "class_b", "unit", F.col("a_quality").alias("qa"), F.col("b_quality").alias("qb"), "pairs")
+    return c.withColumn("confidence", score.contradiction_confidence(F.col("qa"), F.col("qb")))
 
 
 _PROHIBITED = ("legacy", "limited", "kw", "safety concern")

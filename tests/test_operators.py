@@ -36,31 +36,69 @@ def _claims(spark, rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "id long, claim string, entity string, scope string")
 
 
+def _numeric(spark, rows, units=("kw",)):
+    return contradict.classes(contradict.numeric_signatures(_claims(spark, rows), units=units))
+
+
 def _outcome(spark, a, b, ea="X", eb="X", sa="unknown", sb="unknown"):
-    p = contradict.numeric_pairs(_claims(spark, [(a, ea, sa), (b, eb, sb)]), units=("kw",), entity_blocks=False).collect()
-    return [(r.outcome, r.severity) for r in p]
+    found = _numeric(spark, [(a, ea, sa), (b, eb, sb)])
+    m = contradict.suppression_metrics(contradict.numeric_pairs(found), contradict.mismatches(found, "unit")).collect()
+    assert all(r.n == 1 for r in m)
+    return [r.outcome for r in m] + [r.severity for r in contradict.numeric_pairs(found).collect() if r.severity]
 
 
 def test_numeric_gates(spark):
-    assert _outcome(spark, "X draws 120 kW.", "X draws 180 kW.") == [("conflict", "medium")]
-    assert _outcome(spark, "X draws 60 kW.", "X draws 180 kW.") == [("conflict", "high")]
-    assert _outcome(spark, "X draws 120 kW.", "X draws 130 kW.") == [("agree", None)]
-    assert _outcome(spark, "X draws 1 kW.", "X draws 180 kW.", sa="component", sb="rack") == [("scope_mismatch", None)]
-    assert _outcome(spark, "X draws 1 kW.", "Y draws 180 kW.", eb="Y") == [("entity_mismatch", None)]
-    assert _outcome(spark, "X draws 100 kW today.", "X is expected to draw 900 kW.") == [("temporal_progression", None)]
-    assert _outcome(spark, "X draws 30-100 kW.", "X draws 60 kW.") == [("range_average_compatible", None)]
+    assert _outcome(spark, "X draws 120 kW.", "X draws 180 kW.") == ["conflict", "medium"]
+    assert _outcome(spark, "X draws 60 kW.", "X draws 180 kW.") == ["conflict", "high"]
+    assert _outcome(spark, "X draws 120 kW.", "X draws 130 kW.") == []
+    assert _outcome(spark, "X draws 1 kW.", "X draws 180 kW.", sa="component", sb="rack") == ["scope_mismatch"]
+    assert _outcome(spark, "X draws 1 kW.", "Y draws 180 kW.", eb="Y") == ["entity_mismatch"]
+    assert _outcome(spark, "X draws 100 kW today.", "X is expected to draw 900 kW.") == ["temporal_progression"]
+    assert _outcome(spark, "X draws 30-100 kW.", "X draws 60 kW.") == ["range_average_compatible"]
     assert _outcome(spark, "X is cooled by air.", "X draws 60 kW.") == []
+    assert _outcome(spark, "An H100 draws 10 kW.", "A B200 draws 60 kW.") == ["generation_progression"]
+    # a level and a rate measure different things: no record at all
+    assert _outcome(spark, "X adds 10 kW per year.", "X draws 60 kW.") == []
+
+
+def test_unknown_and_contained_names_are_compatible(spark):
+    rows = [("It draws 120 kW.", "NVL72", ""), ("It draws 300 kW.", "", ""), ("It draws 900 kW.", "GB200 NVL72", ""), ("It draws 5 kW.", "NVL36", "")]
+    found = _numeric(spark, rows)
+    pairs = {(r.class_a, r.class_b) for r in contradict.numeric_pairs(found).filter("outcome = 'conflict'").collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3), (2, 4)}
+    assert contradict.mismatches(found, "unit").first().pairs == 2
+
+
+def test_classes_stand_for_all_their_claims(spark):
+    rows = [("X draws 100 kW.", "X", ""), ("X draws 200 kW.", "X", "")] * 30 + [("X draws 9 kW.", "Y", "")] * 4
+    s = contradict.numeric_signatures(_claims(spark, rows), units=("kw",))
+    found = contradict.classes(s)
+    pairs = contradict.numeric_pairs(found)
+    assert [(r.class_a, r.class_b, r.pairs) for r in pairs.collect()] == [(1, 2, 900)]
+    assert contradict.mismatches(found, "unit").first().pairs == 60 * 4
+    whole = contradict.expanded(pairs, contradict.members(s)).collect()
+    assert len({(r.a, r.b) for r in whole}) == 900 and all(r.a < r.b and (r.b - r.a) % 2 for r in whole)
+
+
+def test_enrichment_leaves_set_rows_alone(spark):
+    rows = [("The NVL72 rack draws 1 kW", "", ""), ("The NVL72 rack draws 1 kW", "Mine", ""), ("The NVL72 rack draws 1 kW", "", "site")]
+    got = [(r.entity, r.scope) for r in contradict.enriched(_claims(spark, rows)).orderBy("id").collect()]
+    assert got == [("NVL72", "rack"), ("Mine", ""), ("", "site")]
 
 
 def test_durations(spark):
     rows = [("Alpha takes 24-36 months.", "", "unknown"), ("Alpha takes 8-12 years.", "", "unknown"), ("Alpha takes 30-40 months.", "", "unknown"), ("Beta lasts 90 years.", "", "unknown")]
-    got = {(r.a, r.b): r.severity for r in contradict.duration_pairs(_claims(spark, rows), entity_blocks=False).collect()}
+    found = contradict.classes(contradict.duration_signatures(_claims(spark, rows)))
+    got = {(r.class_a, r.class_b): r.severity for r in contradict.duration_pairs(found).collect()}
     assert got == {(1, 2): "high", (2, 3): "high"}
 
 
-def test_blocked_join_is_not_a_cross_join(spark):
-    plan = contradict.numeric_pairs(_claims(spark, [("a 1 kW", "", "rack")]), units=("kw",))._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def test_blocked_joins_are_no_cross_joins(spark):
+    rows = [("a 1 kW", "", "rack"), ("air cooled", "b", "rack")]
+    plans = [contradict.numeric_pairs(_numeric(spark, rows)), contradict.mismatches(_numeric(spark, rows), "unit"), contradict.categorical_pairs(contradict.classes(contradict.categorical_signatures(_claims(spark, rows))))]
+    for p in plans:
+        plan = p._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_retrieval_modes(spark):
