@@ -1,48 +1,23 @@
-"""Shared plumbing: the cluster-shared scratch folder, materialised tables, and text conventions."""
+"""Shared plumbing: text conventions, size-checked broadcasts, folds over arrays; scratch tables come from the sources."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.rules import bound
+from corvane.sources.scratch import scratch_path, stash
+
+__all__ = ["BLANKS", "BLANK_RE", "WORD_RE", "before_each", "bound", "bounded_broadcast", "fold", "scratch_path", "stash", "table", "text_or_empty", "words_of"]
+
 #: ASCII blanks separate words everywhere in this package.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark, "_corvane_shared", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
-            spark._corvane_shared = found
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,11 +41,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def before_each(values: Column, start: Column, plus: Callable[[Column, Column], Column]) -> Column:
     """For each element of an array the fold of those before it, in blocks of about the square root of their number."""
 
