@@ -184,3 +184,8 @@ def url_slug(url: Column) -> Column:
 
 def score_text(text: Column) -> Column:
     return F.translate(F.lower(text), "_-", "  ")
+
+
+def numbered(prefix: str, n: Column) -> Column:
+    """E001, C012, G1234: an id from a prefix and a number."""
+    return F.format_string(f"{prefix}%03d", n)

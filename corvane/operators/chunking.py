@@ -8,11 +8,13 @@ The fold reads only the offsets of the ends, in one Arrow pass over the long doc
 from __future__ import annotations
 
 import bisect
+import functools
+import math
 import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import rules as R
@@ -62,35 +64,78 @@ def chunk_id(name: Column, number: Column) -> Column:
 
 
 def windows(text: Column, size: int, step: int) -> Column:
-    """Windows of a text at every step, trimmed."""
+    """Windows of a text at every step, trimmed; made of short pieces, so that no window is sought from the text's start."""
+    unit = math.gcd(size, step)
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda i: F.trim(F.substring(text, i + 1, F.lit(size))))
+    cut = lambda parts: F.transform(starts, lambda i: F.trim(F.array_join(F.slice(parts, F.floor(i / unit).cast("int") + 1, F.lit(size // unit)), "")))
+    return R.bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{unit}}}"), F.lit(0)), cut)
+
+
+def _first_by_prefix(pieces: Column, most: int) -> Column:
+    """The first 500 characters of up to most pieces, the first of those equal in 100 characters."""
+    heads = lambda s: F.transform(s, lambda x: F.left(x, F.lit(100)))
+    pick = lambda s, h: F.transform(F.slice(F.array_distinct(h), 1, most), lambda x: F.left(F.get(s, (F.array_position(h, x) - 1).cast("int")), F.lit(500)))
+    return R.bound(pieces, lambda s: R.bound(heads(s), lambda h: pick(s, h)))
+
+
+def _of_topics(pieces: Column, groups: Sequence[tuple[str, Sequence[str]]], most: int) -> Column:
+    """For every topic its snippets among the pieces, as an array of arrays."""
+    low = F.transform(pieces, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+
+    def holding(p: Column, terms: Sequence[str]) -> Column:
+        hit = lambda x: functools.reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(t.lower())) for t in terms], F.lit(False))
+        return F.transform(F.filter(p, hit), lambda x: x["x"])
+
+    return R.bound(low, lambda p: F.array(*[_first_by_prefix(holding(p, terms), most) for _, terms in groups]))
+
+
+def topic_lists(text: Column, groups: Sequence[tuple[str, Sequence[str]]], most: int = 4) -> Column:
+    """For every topic (snippets, window) of a compacted text: sentences that hold a term, else windows that do."""
+    none = F.array(*[F.array().cast("array<string>") for _ in groups])
+
+    def chosen(direct: Column) -> Column:
+        missing = F.exists(direct, lambda d: F.size(d) == 0)
+        around = F.when(missing, _of_topics(windows(text, 500, 400), groups, most)).otherwise(none)
+        return F.zip_with(direct, around, lambda d, w: F.struct(F.when(F.size(d) > 0, d).otherwise(w).alias("snippets"), (F.size(d) == 0).alias("window")))
+
+    return R.bound(_of_topics(T.sentences(text, 40), groups, most), chosen)
 
 
 def topic_sentences(docs: DataFrame, groups: Sequence[tuple[str, Sequence[str]]], most: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, topic, n, snippet): up to most sentences per topic that hold a term, distinct in 100 characters.
+    """(key, topic, n, snippet, window): up to most sentences per topic that hold a term, distinct in 100 characters.
+
+    A document without such a sentence for a topic gives windows of 500 characters at every 400 instead.  One narrow pass."""
+    d = docs.select(key, T.compact(F.col(text)).alias("__t"))
+    d = d.select(key, F.posexplode(topic_lists(F.col("__t"), groups, most)).alias("__i", "__l"))
+    names = F.array(*[F.lit(name) for name, _ in groups])
+    d = d.select(key, F.get(names, F.col("__i")).alias("topic"), F.col("__l.window").alias("window"), F.posexplode("__l.snippets").alias("n", "snippet"))
+    return d.select(key, "topic", (F.col("n") + 1).alias("n"), "snippet", "window")
 
-    A document without such a sentence for a topic gives windows of 500 characters at every 400 instead."""
-    d = docs.select(key, T.compact(F.col(text)).alias("__t")).filter("__t <> ''")
 
-    def found(pieces: Column, fallback: bool) -> DataFrame:
-        s = d.select(key, F.posexplode(pieces).alias("pos", "s")).filter("s <> ''")
-        s = s.select(key, "pos", F.left("s", F.lit(500)).alias("snippet"), F.explode(R.labels(F.col("s"), groups)).alias("topic"))
-        w = Window.partitionBy(key, "topic", F.left("snippet", F.lit(100))).orderBy("pos")
-        s = s.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-        s = s.withColumn("n", F.row_number().over(Window.partitionBy(key, "topic").orderBy("pos"))).filter(F.col("n") <= most)
-        return s.select(key, "topic", "n", "snippet", F.lit(fallback).alias("window"))
+def first_topic_chunk(text: Column, terms: Sequence[str]) -> Column:
+    """The first sentence of a compacted text that holds a term, else the first window of 500 characters that does, else its
+    first 500 characters if a term spans two windows; null without a term."""
+    holding = lambda pieces: F.get(F.filter(pieces, lambda x: R.any_term(x, terms)), 0)
+    found = F.coalesce(F.left(holding(T.sentences(text, 40)), F.lit(500)), holding(windows(text, 500, 500)), F.left(text, F.lit(500)))
+    return F.when(R.any_term(text, terms), found)
 
-    direct = found(T.sentences(F.col("__t"), 40), False)
-    around = found(windows(F.col("__t"), 500, 400), True)
-    return direct.unionByName(around.join(direct.select(key, "topic").distinct(), [key, "topic"], "left_anti"))
+
+def snippet_list(text: Column, least: int, most: int) -> Column:
+    """Sentences of a compacted text, at most ``most``; if there are fewer than least, its windows of 500 characters fill up,
+    then the first and the last two thirds of it."""
+    sentences = F.slice(F.transform(T.sentences(text, 40), lambda x: F.left(x, F.lit(500))), 1, most)
+    plus = lambda s, more: F.concat(s, F.slice(F.array_except(more, s), F.lit(1), F.greatest(least - F.size(s), F.lit(0))))
+    pieces = F.filter(windows(text, 500, 500), lambda x: F.length(x) >= 40)
+    width = F.least(F.length(text), F.greatest(F.lit(40), F.floor(F.length(text) * 2 / 3).cast("int")))
+    ends = F.array(F.trim(F.left(text, width)), F.trim(F.right(text, width)))
+
+    def filled(s: Column) -> Column:
+        wide = F.when(F.length(text) >= 40, ends).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(s) >= least, s).otherwise(F.slice(R.bound(plus(s, pieces), lambda x: plus(x, wide)), 1, most))
+
+    return R.bound(sentences, filled)
 
 
 def snippets(docs: DataFrame, least: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, snippet): sentences of a document; if there are fewer than least, windows of 500 characters fill up."""
-    d = docs.select(key, T.compact(F.col(text)).alias("__t"))
-    s = F.transform(T.sentences(F.col("__t"), 40), lambda x: F.left(x, F.lit(500)))
-    w = F.filter(windows(F.col("__t"), 500, 500), lambda x: F.length(x) >= 40)
-    d = d.select(key, F.slice(s, 1, most).alias("s"), F.array_distinct(w).alias("w"))
-    more = F.slice(F.array_except("w", "s"), F.lit(1), F.greatest(least - F.size("s"), F.lit(0)))
-    return d.select(key, F.posexplode(F.slice(F.concat("s", F.when(F.size("s") < least, more).otherwise(F.array().cast("array<string>"))), 1, most)).alias("n", "snippet"))
+    """(key, n from 0, snippet) of snippet_list."""
+    return docs.select(key, T.compact(F.col(text)).alias("__t")).select(key, F.posexplode(snippet_list(F.col("__t"), least, most)).alias("n", "snippet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
@@ -26,9 +26,10 @@ def signal_score(s: Column) -> Column:
 
 
 def boilerplate(text: Column) -> Column:
-    pieces = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))), lambda x: x != "")
-    brief = F.filter(pieces, lambda x: F.size(F.split(x, r"\s+")) <= 8)
-    listy = (F.size(pieces) >= 5) & (F.size(brief) / F.size(pieces) > 0.6)
+    blank = lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))
+    pieces = F.filter(F.transform(F.split(text, r"[.!?\n]+"), blank), lambda x: x != "")
+    brief = lambda p: F.size(F.filter(p, lambda x: F.size(F.split(x, r"\s+", 9)) <= 8))
+    listy = R.bound(pieces, lambda p: (F.size(p) >= 5) & (brief(p) / F.size(p) > 0.6))
     return (F.length(F.btrim(text, F.lit(" \t\n\r\f\x0b"))) < 150) | (R.pattern_hits(text, L.TOC) >= 2) | (R.pattern_hits(text, L.LEGAL) >= 2) | (R.pattern_hits(text, L.NAVIGATION) >= 3) | listy
 
 
@@ -43,17 +44,27 @@ def overriding(s: Column) -> Column:
 def chunk_class(text: Column, s: Column) -> Column:
     """(type, priority) of a chunk: strong signals first, then boilerplate, references, headers, signal strength."""
     made = lambda kind, priority: F.struct(F.lit(kind).alias("chunk_type"), F.lit(priority).alias("priority"))
-    hard = hard_boilerplate(text)
     strength = signal_score(s)
-    return (
-        F.when(~hard & overriding(s), made("evidence_dense", "high"))
-        .when(hard | boilerplate(text), made("boilerplate", "skip"))
-        .when(R.pattern_hits(text, L.REFERENCES) >= 2, made("reference", "skip"))
-        .when(R.pattern_hits(F.substring(text, 1, 400), L.PRIORITY_HEADERS) >= 1, made("evidence_dense", "high"))
-        .when((strength >= 0.6) | ((s["numeric"] >= 3) & (s["unit"] >= 2)), made("evidence_dense", "high"))
-        .when((strength >= 0.3) | (s["numeric"] >= 1) | (s["policy"] >= 1), made("evidence_dense", "medium"))
-        .otherwise(made("context", "low"))
-    )
+
+    def by(hard: Column) -> Column:
+        return (
+            F.when(~hard & overriding(s), made("evidence_dense", "high"))
+            .when(hard | boilerplate(text), made("boilerplate", "skip"))
+            .when(R.pattern_hits(text, L.REFERENCES) >= 2, made("reference", "skip"))
+            .when(R.pattern_hits(F.substring(text, 1, 400), L.PRIORITY_HEADERS) >= 1, made("evidence_dense", "high"))
+            .when((strength >= 0.6) | ((s["numeric"] >= 3) & (s["unit"] >= 2)), made("evidence_dense", "high"))
+            .when((strength >= 0.3) | (s["numeric"] >= 1) | (s["policy"] >= 1), made("evidence_dense", "medium"))
+            .otherwise(made("context", "low"))
+        )
+
+    return R.bound(hard_boilerplate(text), by)
+
+
+def classified(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """Chunks with signals, chunk_type and priority.  Signals are generated, so that no later stage counts them again."""
+    c = chunks.withColumn("signals", F.explode(F.array(signals(F.col(text)))))
+    c = c.withColumn("__c", F.explode(F.array(chunk_class(F.col(text), F.col("signals")))))
+    return c.withColumns({"chunk_type": F.col("__c.chunk_type"), "priority": F.col("__c.priority")}).drop("__c")
 
 
 def evidence_type(text: Column) -> Column:

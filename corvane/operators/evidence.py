@@ -13,23 +13,22 @@ from corvane.functions import text as T
 from corvane.operators import chunking, classify, score
 
 
-def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Evidence of documents: topic sentences, at most per_doc; documents with fewer than least get plain snippets too.
 
-    (key, ord, category, snippet), distinct in (category, snippet)."""
-    order = {t: i for i, (t, _) in enumerate(groups)}
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("topic"))
-    s = chunking.topic_sentences(docs, groups, 4, key, text).select(key, rank.alias("a"), F.col("n").alias("b"), F.col("topic").alias("category"), "snippet")
-    n = s.groupBy(key).agg(F.count("*").alias("have"))
-    few = docs.select(key, text).join(n, key, "left").filter(F.coalesce("have", F.lit(0)) < least)
-    more = chunking.snippets(few, least, 12, key, text).select(key, F.lit(len(groups)).alias("a"), F.col("n").alias("b"), classify.category(F.col("snippet")).alias("category"), "snippet")
-    rows = s.unionByName(more)
-    w = Window.partitionBy(key, "category", "snippet").orderBy("a", "b")
-    rows = rows.withColumn("__d", F.row_number().over(w)).filter("__d = 1")
-    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("a", "b"))).filter(F.col("ord") <= per_doc)
+    (key, keep, ord, category, snippet, claim, relevance, confidence), distinct in (category, snippet).  One narrow pass."""
+    item = lambda category: lambda x: F.struct(category(x).alias("category"), x.alias("snippet"))
+    d = docs.select(key, *keep, T.compact(F.col(text)).alias("__t"))
+    d = d.select(key, *keep, "__t", F.explode(F.array(chunking.topic_lists(F.col("__t"), groups))).alias("__l"))
+    of_topics = F.flatten(F.array(*[F.transform(F.get("__l", i)["snippets"], item(lambda x, name=name: F.lit(name))) for i, (name, _) in enumerate(groups)]))
+    plain = F.transform(chunking.snippet_list(F.col("__t"), least, 12), item(classify.category))
+    every = R.bound(of_topics, lambda s: F.when(F.size(s) < least, F.concat(s, plain)).otherwise(s))
+    rows = d.filter("__t <> ''").select(key, *keep, F.posexplode(F.slice(F.array_distinct(every), 1, per_doc)).alias("__o", "__r"))
+    rows = rows.select(key, *keep, (F.col("__o") + 1).alias("ord"), "__r.category", "__r.snippet")
     hits = R.term_hits(F.col("snippet"), terms)
     return rows.select(
         key,
+        *keep,
         "ord",
         classify.normal_category(F.col("category")).alias("category"),
         "snippet",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import spread
+
 TEMPLATES = (
     "Rack power for {b} is {v} kW today at the facility.",
     "The {b} rack is expected to reach {v} kW by 2032 under the roadmap.",
@@ -48,7 +50,8 @@ TEMPLATES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,11 +109,9 @@ _CLASS = f"""with d as (select doc_id, {_ASCII.format(x="text")} t from document
 @query(f"{_CLASS} select doc_id, s_numeric, s_entity, s_date, s_unit, s_comparative, s_policy, total, least(100, s_numeric + s_entity + 3 * s_unit + 2 * s_policy + s_date + 2 * s_comparative) strength, class from k")
 def classify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, as chunks, with signals and class."""
-    d = K.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
-    d = d.withColumn("s", classify.signals(F.col("t")))
-    s = F.col("s")
-    d = d.withColumns({"total": classify.signal_total(s), "strength": score.signal_strength(s), "c": classify.chunk_class(F.col("t"), s)})
-    return d.select("doc_id", *[s[n].alias(f"s_{n}") for n, _ in classify.SIGNALS], "total", "strength", F.concat_ws("/", "c.chunk_type", "c.priority").alias("class"))
+    c = classify.classified(K.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    s = F.col("signals")
+    return c.select("doc_id", *[s[n].alias(f"s_{n}") for n, _ in classify.SIGNALS], classify.signal_total(s).alias("total"), score.signal_strength(s).alias("strength"), F.concat_ws("/", "chunk_type", "priority").alias("class"))
 
 
 _TERMS = ("that", "with", "from", "qui", "aquel")
@@ -213,18 +211,34 @@ def topic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "topic", "n", F.md5(F.col("snippet").cast("binary")).alias("digest"), F.col("window").alias("is_window"))
 
 
-@query(
-    f"""with d as (select doc_id, {_COMPACT} t from documents), e as (select doc_id, t, list_transform(list_filter({K.SENTENCES_SQL.format(x="t")}, lambda s: length(s) >= 40), lambda s: substr(s, 1, 500)) s,
-      list_filter(list_transform(range(0, greatest(length(t), 1), 500), lambda i: trim(substr(t, i + 1, 500))), lambda x: length(x) >= 40) w from d),
-    f as (select doc_id, s[1:12] s, w from e), g as (select doc_id, s, list_filter(w, lambda x, i: not list_contains(s, x) and list_position(w, x) = i) m from f),
-    h as (select doc_id, (case when len(s) < 4 then list_concat(s, m[1:4 - len(s)]) else s end)[1:12] a from g)
-    select doc_id, unnest(range(0, len(a))) n, md5(unnest(a)) digest from h"""
-)
+_FALLBACK_SQL = f"""fd as (select doc_id, {_COMPACT} t from documents), fe as (select doc_id, t, list_transform(list_filter({K.SENTENCES_SQL.format(x="t")}, lambda s: length(s) >= 40), lambda s: substr(s, 1, 500))[1:12] s,
+      list_filter(list_transform(range(0, greatest(length(t), 1), 500), lambda i: trim(substr(t, i + 1, 500))), lambda x: length(x) >= 40) w, least(length(t), greatest(40, length(t) * 2 // 3)) width from fd),
+    fg as (select doc_id, t, s, width, list_filter(w, lambda x, i: not list_contains(s, x) and list_position(w, x) = i) m from fe),
+    fh as (select doc_id, t, case when len(s) < 4 then list_concat(s, m[1:4 - len(s)]) else s end s, width from fg),
+    fi as (select doc_id, s, case when length(t) >= 40 then [trim(left(t, width)), trim(right(t, width))] else [] end e from fh),
+    fj as (select doc_id, s, list_filter(e, lambda x, i: not list_contains(s, x) and list_position(e, x) = i) m from fi),
+    fk as (select doc_id, (case when len(s) < 4 then list_concat(s, m[1:4 - len(s)]) else s end)[1:12] a from fj), fallback as (select doc_id, unnest(range(0, len(a))) n, unnest(a) snippet from fk)"""
+
+
+@query(f"with {_FALLBACK_SQL} select doc_id, n, md5(snippet) digest from fallback")
 def fallback_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = chunking.snippets(K.table(spark, sf_dir, "documents"), 4, 12)
     return s.select("doc_id", "n", F.md5(F.col("snippet").cast("binary")).alias("digest"))
 
 
+_HOLDS = K.sql_any("x", ("license", "keit"))
+
+
+@query(
+    f"""with d as (select doc_id, {_COMPACT} t from documents), e as (select doc_id, t, list_filter({K.SENTENCES_SQL.format(x="t")}, lambda x: length(x) >= 40 and {_HOLDS})[1] s,
+      list_filter(list_transform(range(0, greatest(length(t), 1), 500), lambda i: trim(substr(t, i + 1, 500))), lambda x: {_HOLDS})[1] w from d)
+    select doc_id, md5(coalesce(substr(s, 1, 500), w, substr(t, 1, 500))) digest from e where {K.sql_any("t", ("license", "keit"))}"""
+)
+def first_topic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = K.table(spark, sf_dir, "documents").select("doc_id", chunking.first_topic_chunk(T.compact(F.col("text")), ("license", "keit")).alias("s"))
+    return d.filter("s is not null").select("doc_id", F.md5(F.col("s").cast("binary")).alias("digest"))
+
+
 @query(
     rf"""with p as (select doc_id, unnest(a) sentence, generate_subscripts(a, 1) pos from (select doc_id, list_filter({_SENT}, lambda s: length(s) >= 40) a from documents)),
     r as (select *, {K.sql_first_pattern(_ASCII.format(x="sentence"), L.RECOVERY_REASONS, "other")} reason from p), f as (select *, row_number() over (partition by doc_id, substr(sentence, 1, 100) order by pos) d from r where reason <> 'other')
@@ -433,14 +447,52 @@ def evidence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.attributed(e, c).select("doc_id", "ord", "chunk_number")
 
 
-@query(None)
+_CATEGORY_SQL = f"case when category in ({', '.join(map(K.quoted, L.CATEGORIES))}) then category else coalesce(case category {' '.join(f'when {K.quoted(k)} then {K.quoted(v)}' for k, v in L.CATEGORY_ALIASES.items())} end, 'other') end"
+_TOPIC_ORDER = " ".join(f"when {K.quoted(n)} then {i}" for i, (n, _) in enumerate(_TOPICS))
+_SHOWN = "regexp_replace(regexp_replace(snippet, '\\s+', ' ', 'g'), '^ +| +$', '', 'g')"
+_LISTED = f"list_filter([{', '.join(f'case when contains(lower(snippet), {K.quoted(t)}) then {K.quoted(t)} end' for t in sorted(_TERMS))}], lambda x: x is not null)"
+_EXTRACTED_SQL = f"""{_TOPIC_SQL}, {_FALLBACK_SQL}, have as (select doc_id, count(*) n from ts group by doc_id),
+    rows as (select doc_id, case topic {_TOPIC_ORDER} end a, n b, topic category, snippet from ts
+      union all select f.doc_id, {len(_TOPICS)}, f.n, {K.sql_first_terms("snippet", L.CATEGORY_LADDER, "other")}, snippet from fallback f left join have h on f.doc_id = h.doc_id where coalesce(h.n, 0) < 4),
+    firsts as (select * from (select *, row_number() over (partition by doc_id, category, snippet order by a, b) d from rows) where d = 1),
+    capped as (select * from (select *, row_number() over (partition by doc_id order by a, b) as ord from firsts) where ord <= 20),
+    said as (select doc_id, ord, {_CATEGORY_SQL} category, snippet, upper(substr(category, 1, 1)) || lower(substr(category, 2)) || ' note: ' || case when length({_SHOWN}) > 180 then rtrim(substr({_SHOWN}, 1, 177)) || '...' else {_SHOWN} end claim,
+      case when len({_LISTED}) > 0 then 'Directly relevant to the question through these terms: ' || array_to_string({_LISTED}[1:5], ', ') || '.' else 'Indirect context; review against stronger source evidence before relying on it.' end relevance,
+      case when {K.sql_hits("snippet", _TERMS)} >= 3 and length(snippet) >= 80 then 'high' when {K.sql_hits("snippet", _TERMS)} >= 1 and length(snippet) >= 60 then 'medium' else 'low' end confidence from capped),
+    kept as (select s.*, d.source, {_QUALITY} quality from said s join documents d on s.doc_id = d.doc_id where not regexp_matches({_ASCII.format(x="claim")}, {K.quoted(L.CROSS_COMPARISON)})),
+    both_ as (select *, lower(claim || ' ' || snippet || ' ' || category || ' ' || relevance) hay, lower({_ASCII.format(x="claim || ' ' || snippet")}) low from kept),
+    sc as (select *, {K.sql_hits("hay", _TERMS)} hits, {K.sql_count("low", L.SPECIFIC_NUMBER)} num, {K.sql_hits("low", L.SPECIFIC_TERMS)} spec, {K.sql_count("low", L.UNIT_NUMBER)} units, {K.sql_count("low", L.BARE_NUMBER)} bare from both_),
+    scored as (select *, case when hits >= 4 or (category = 'power' and hits >= 2) then 5 when hits >= 2 or category = 'power' then 4 when hits = 1 or category <> 'other' then 3 when {K.sql_any("hay", L.DOMAIN_TERMS)} then 2 else 1 end relevance_score,
+      case when num >= 2 or spec >= 5 then 5 when num >= 1 or spec >= 3 then 4 when spec >= 1 or length(snippet) >= 140 then 3 when length(snippet) >= 60 then 2 else 1 end specificity_score,
+      case when units >= 3 then 5 when units >= 2 then 4 when units >= 1 or bare >= 3 then 3 when bare >= 1 then 2 else 1 end quantitative_score from sc),
+    overall as (select *, round(0.40 * relevance_score::double + 0.22 * quality::double + 0.25 * specificity_score::double + 0.13 * quantitative_score::double, 2) overall_score from scored)"""
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = K.table(spark, sf_dir, "documents").select("doc_id", "text", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
+    kept, _ = evidence.sanitised(evidence.extracted(d, _TERMS, _TOPICS, keep=("source", "quality")))
+    return evidence.scored(kept, _TERMS, ("power",))
+
+
+@query(
+    f"""with {_EXTRACTED_SQL.removeprefix("with ")} select doc_id, ord, category, md5(snippet) snippet, md5(claim) claim, relevance, confidence, source, quality, relevance_score, specificity_score, quantitative_score, overall_score,
+    {K.sql_first_pattern(_ASCII.format(x="claim"), L.EVIDENCE_TYPES, "fact")} evidence_type, {K.sql_densest("claim", L.PERSPECTIVES_AI_DC, "general")} perspective from overall"""
+)
 def deterministic_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction: topic sentences, fallback, caps, texts, enrichment, scores (composed of parts checked above)."""
-    d = K.table(spark, sf_dir, "documents")
-    e = evidence.extracted(d, _TERMS, _TOPICS)
-    kept, _ = evidence.sanitised(e)
-    kept = kept.join(d.select("doc_id", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality")), "doc_id")
-    return evidence.enriched(evidence.scored(kept, _TERMS, ("power",))).drop("topics")
+    """The whole extraction: topic sentences, fallback, caps, texts, scores, enrichment."""
+    e = evidence.enriched(_extracted(spark, sf_dir)).drop("topics")
+    return e.withColumns({"snippet": F.md5(F.col("snippet").cast("binary")), "claim": F.md5(F.col("claim").cast("binary"))})
+
+
+@query(
+    f"""with {_EXTRACTED_SQL.removeprefix("with ")}, r as (select doc_id, ord, overall_score, row_number() over (order by overall_score desc, relevance_score desc, specificity_score desc, lower(source), doc_id, ord) rank from overall)
+    select doc_id, ord, overall_score, rank, 'E' || lpad(rank::varchar, 3, '0') evidence_id from r where rank <= 100"""
+)
+def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best pieces of evidence, numbered by rank."""
+    order = [F.desc("overall_score"), F.desc("relevance_score"), F.desc("specificity_score"), F.lower("source"), "doc_id", "ord"]
+    r = select.ranked_top(_extracted(spark, sf_dir), order, 100)
+    return r.select("doc_id", "ord", "overall_score", "rank", T.numbered("E", F.col("rank")).alias("evidence_id"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and small tables dealt to all cores."""
 
 from __future__ import annotations
 
@@ -35,3 +35,11 @@ def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
     path = scratch_path(spark, tag)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A scan of few bytes dealt to all cores, as it may be a single row group; larger ones stay as their files split them."""
+    spark = df.sparkSession
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
