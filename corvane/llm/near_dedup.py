@@ -15,9 +15,13 @@ BLOCK_CLASSES classes or BLOCK_SHINGLES shingles is compared node by node where
 branching does not bring within the limit is dealt to pieces of CHUNK classes, and every pair of pieces meets in a
 cell: the work grows with the square of such a node, and no pair of it is left out.
 
+Rows are known by a hash of id and text, so an id may stand on several texts, each of which is compared.
+
 Cases: a null text or one without words has an empty set and is linked with nothing; texts with fewer words
-than a shingle are one shingle; a null id gets a null component and is kept; repeated rows share a component;
-long texts are read whole; an empty table gives an empty result.
+than a shingle are one shingle; a null id gets a null component and is kept; repeated rows share a component, and
+one of them is the survivor of a group; of several texts of an id each has the component of its own links; the
+smallest id names a component, whatever the order of rows; long texts are read whole; an empty table gives an empty
+result; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
@@ -82,16 +86,16 @@ def _binary(rows: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
+        data, offsets = utf8(batch.column(2))
+        for a, b in pieces(offsets, rows=4096):
             w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             docs, hashes = w.shingles(SHINGLE)
             n = np.bincount(docs, minlength=b - a)
             sig = signatures(docs, hashes, b - a)
             ka, kb = _sequence_hash(w, 1), _sequence_hash(w, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64)), _binary(sig, n > 0)],
-                names=["id", "n_shingles", "ka", "kb", "sig"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64)), _binary(sig, n > 0)],
+                names=["id", "doc", "n_shingles", "ka", "kb", "sig"],
             )
 
 
@@ -305,16 +309,29 @@ def _dealt(large: DataFrame) -> DataFrame:
     return d.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
 
 
+def _row_key(docs: DataFrame, id_column: str, text: str) -> Column:
+    return F.xxhash64(docs[id_column], docs[text])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id column, n_shingles, component_id and kept of every row; linked from percent / 100 on."""
+    rows = _grouped(docs, percent, id_column, text)
+    kept = F.coalesce(F.col("doc") == F.col("first.doc"), F.lit(True))
+    return rows.select(F.col("doc").alias(id_column), "n_shingles", F.col("first.doc").alias("component_id"), kept.alias("kept"))
+
+
+def _grouped(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFrame:
+    """Rows (id, a hash of the row; doc, its id; n_shingles; first, the (doc, id) that names its component)."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     similarity = percent / 100
     # a pair at the threshold agrees in SIZE * similarity tokens; 4.5 deviations below, and none above that
     pass_at = int(SIZE * similarity - 4.5 * np.sqrt(SIZE * similarity * (1 - similarity)))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stash(texts.mapInArrow(tidy(_sign), "id long, n_shingles long, ka long, kb long, sig binary"), "signatures")
-    some = signed.filter("id is not null and sig is not null")
+    texts = docs.select(_row_key(docs, id_column, text).alias("id"), docs[id_column].cast("long").alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    signed = stash(texts.mapInArrow(tidy(_sign), "id long, doc long, n_shingles long, ka long, kb long, sig binary"), "signatures")
+    # a class's texts are fetched by its row: those of a null id never stand for one
+    texts = texts.filter("doc is not null").select("id", "text")
+    some = signed.filter("doc is not null and sig is not null").drop("doc")
     # written, so that the joins below can split a class of very many copies
     least = stash(some.groupBy("ka", "kb").agg(F.min("id").alias("class")), "class-ids")
     classes = some.join(least.withColumnRenamed("class", "id"), ["ka", "kb", "id"], "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id"])
@@ -387,21 +404,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
         by_node = _gathered(small.join(of_big, "id").select("node", "id", "sketch", "grams"), "node", 8 * parts)
         added(whole(by_node.mapInArrow(verify, "a long, b long")))
     found = stash(links.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("component")), "components")
-    # class of each row, then its component
+    # class of each row, then its component, named by its least id
     rows = signed.drop("sig").join(least, ["ka", "kb"], "left")
     rows = rows.withColumn("class", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("class", "id")))
     rows = rows.join(found, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class"))
-    return rows.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    rows = rows.select("id", "doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component", "class")).alias("component"))
+    rows = stash(rows, "components-of-rows")
+    first = stash(rows.filter("doc is not null").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first")), "component-names")
+    return rows.join(bounded_broadcast(first, BROADCAST_IDS), "component", "left").drop("component")
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of one document of each group, the one of least id; of repeated rows of that id, one."""
-    said = stash(near_duplicates(docs, percent, id_column, text), "near-duplicates")
-    drop = said.filter("not kept").select(F.col(id_column).alias("__drop")).distinct()
-    drop = bounded_broadcast(drop, BROADCAST_IDS)
-    kept = docs.join(drop, docs[id_column].cast("long") == drop["__drop"], "left_anti")
-    if said.filter("kept and component_id is not null").groupBy("component_id").count().filter("count > 1").limit(1).count():
-        once = kept.filter(docs[id_column].isNotNull()).dropDuplicates([id_column])
-        kept = once.unionByName(kept.filter(docs[id_column].isNull()))
+    """All columns of one document of each group, the one of least id; of its repeated rows, one; rows of null ids stay."""
+    said = stash(_grouped(docs, percent, id_column, text).filter("doc is not null"), "near-duplicates")
+    drop = bounded_broadcast(said.filter("id != first.id").select(F.col("id").alias("__drop")).distinct(), BROADCAST_IDS)
+    key = _row_key(docs, id_column, text)
+    kept = docs.join(drop, (key == drop["__drop"]) & docs[id_column].isNotNull(), "left_anti")
+    if said.filter("id = first.id").groupBy("id").count().filter("count > 1").limit(1).count():
+        named = kept.filter(kept[id_column].isNotNull())
+        once = named.select(F.xxhash64(named[id_column], named[text]).alias("__key"), F.struct(*[named[c] for c in docs.columns]).alias("__row")).dropDuplicates(["__key"]).select("__row.*")
+        kept = once.unionByName(kept.filter(kept[id_column].isNull()))
     return kept
