@@ -182,7 +182,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", k
         if trigram_query(r.pattern) != ALWAYS:
             spans = F.when(F.col("__rules").bitwiseAND(F.lit(1 << n).cast("long")) != 0, spans).otherwise(_NONE())
         found.append(spans)
-    return d.select(*keep, "__text", F.sort_array(F.concat(*found)).alias("__spans"))
+    # generated, so that no filter or projection on top computes the spans again
+    return d.select(*keep, "__text", F.explode(F.array(F.sort_array(F.concat(*found)))).alias("__spans"))
 
 
 def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -224,7 +225,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     packed = docs.select(docs[text], F.struct(*[docs[c] for c in docs.columns if c != text]).alias("__row"), docs[text].isNull().alias("__null"))
     d = scan(packed, rules, text, ("__row", "__null"))
     new = F.when(F.col("__null"), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(_masked(F.col("__text"), F.col("__spans")))
-    return d.select(*[new.alias(text) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    d = d.select("__row", F.explode(F.array(new)).alias("__new"))
+    return d.select(*[F.col("__new").alias(text) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
