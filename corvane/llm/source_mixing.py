@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of a source, document after document in a pseudorandom but fixed order, are packed into blocks of
-``block`` words.  Weights give each source a target, cut at ``max_repeats`` times its size; what is cut is
+``block`` words; the source's documents are dealt to buckets of some thousands, and a bucket's last block may be shorter,
+so that blocks are cut where the documents were gathered.  Weights give each source a target, cut at ``max_repeats`` times its size; what is cut is
 shared out again by weight.  The output is a row of slots of one block each, dealt to shards of ``shard_slots``.
 Every shard draws multinomial counts of the sources; draws beyond a source's quota of slots are returned and
 fill the quotas that came out short (about the square root of the slots; they form one more shard).  The k-th
@@ -10,8 +11,8 @@ block indexes, another one for every pass over the source), and blocks are joine
 of (shard, slot, sid, block, words, parts) for every slot, is written as Parquet; a shard is its rows by slot, in
 which the sources are shuffled.  Words of a block are joined by one blank.
 
-Offsets of documents come from two levels of running sums (buckets of a source, documents of a bucket), so no
-task holds a source.  The result depends on the rows only: reruns agree.
+Indexes of blocks come from two levels of running sums (buckets of a source, documents of a bucket), so no task holds a
+source.  The result depends on the rows only: reruns agree.
 
 Cases: a null text has size 0 and is never taken; a null source is a source and sorts last; a source without
 words has target 0; rows equal in id and size are interchangeable; an empty table gives an empty result.
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.base import BLANKS, bounded_broadcast, stash, words_of
+from corvane.llm.base import BLANKS, bound, bounded_broadcast, stash, words_of
 
 WEIGHTS = (5, 2, 1)
 ROUNDS = 24
@@ -59,21 +60,28 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return s.select("__source", "sid", "source_size", "weight", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def packed(sized: DataFrame, narrow: DataFrame, n_docs: int, keep: tuple[str, ...]) -> DataFrame:
-    """Offset of every document with words in its source's stream of words; the text goes along.
-
-    narrow: the same rows without their texts, from which the buckets' sums come."""
+def _bucketed(rows: DataFrame, n_docs: int, keep: tuple[str, ...]) -> DataFrame:
+    """Rows with __h, their place in the pseudorandom order, and their bucket."""
     buckets = max(math.ceil(n_docs / 4_096), min(256, math.ceil(n_docs / 64)), 1)
-    h = F.xxhash64(*[F.col(c) for c in keep], "size")
-    bucketed = lambda rows: rows.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
-    # the same as size > 0, which would split the words once more in the filter
-    d = bucketed(sized.filter(F.btrim("__text", F.lit(BLANKS)) != ""))
-    sums = bucketed(narrow.filter("size > 0")).groupBy("sid", "__bucket").agg(F.sum("size").alias("n"))
+    return rows.withColumn("__h", F.xxhash64(*[F.col(c) for c in keep], "size")).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+
+
+def bucket_blocks(narrow: DataFrame, block: int) -> DataFrame:
+    """For every bucket (sid, __bucket) with words: first, the index of its first block, and blocks, their number.
+
+    narrow: bucketed rows without their texts."""
+    sums = narrow.filter("size > 0").groupBy("sid", "__bucket").agg(F.ceil(F.sum("size") / block).alias("blocks"))
     w = Window.partitionBy("sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "__bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    return sums.withColumn("first", F.coalesce(F.sum("blocks").over(w), F.lit(0)))
+
+
+def packed(bucketed: DataFrame, buckets: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Offset in, and first block of, its bucket's stream of words for every document with words; the text goes along."""
+    # the same as size > 0, which would split the words once more in the filter
+    d = bucketed.filter(F.btrim("__text", F.lit(BLANKS)) != "")
     inside = Window.partitionBy("sid", "__bucket").orderBy("__h", *keep, "size", F.xxhash64("__text")).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return d.join(sums, ["sid", "__bucket"]).withColumn("off", F.col("__before") + F.col("__in")).drop("__before", "__in", "__bucket", "__h")
+    d = d.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return d.join(bounded_broadcast(buckets.select("sid", "__bucket", "first"), BROADCAST_ROWS), ["sid", "__bucket"]).drop("__h")
 
 
 def permuted(x: Column, n: Column, *key: Column, seed: int = 0) -> Column:
@@ -122,20 +130,20 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
 
 
 def blocks_of(offsets: DataFrame, block: int) -> DataFrame:
-    """sid, block, words and parts (off, n: words taken from the document at that offset) of every block of the sources."""
+    """sid, block, words and parts (bucket, off, n: words taken from the document at that offset) of every block of the sources."""
     low = lambda b: F.greatest(F.col("off"), b * block)
     high = lambda b: F.least(F.col("off") + F.col("size"), (b + 1) * block)
 
     def cut(w: Column) -> Column:
         at = F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))
         piece = lambda b: F.array_join(F.slice(w, (low(b) - F.col("off") + 1).cast("int"), (high(b) - low(b)).cast("int")), " ")
-        return F.transform(at, lambda b: F.struct(b.alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
+        return F.transform(at, lambda b: F.struct((F.col("first") + b).alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
 
-    # within the lambda the words are split once a document
-    cuts = F.get(F.transform(F.array(words_of(F.col("__text"))), cut), 0)
-    rows = offsets.select("sid", "off", F.inline(cuts))
-    held = rows.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
-    parts = F.transform("p", lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n")))
+    # bound, so that the words are split once a document
+    rows = offsets.select("sid", "__bucket", "off", F.inline(bound(words_of(F.col("__text")), cut)))
+    # a block's pieces are where their bucket was gathered: no shuffle
+    held = rows.groupBy("sid", "__bucket", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
+    parts = F.transform("p", lambda x: F.struct(F.col("__bucket").alias("bucket"), x["off"].alias("off"), x["n"].alias("n")))
     return held.select("sid", "block", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("words"), parts.alias("parts"))
 
 
@@ -151,9 +159,9 @@ def mixed(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and the documents it was made from.
 
-    The mix has a row for every slot: shard, slot, sid, block, words, and parts, the (off, n) of the documents in it.
+    The mix has a row for every slot: shard, slot, sid, block, words, and parts, the (bucket, off, n) of the documents in it.
     It is written to path as Parquet (without one to the shared folder, where it lasts as long as the session).
-    Documents: keep columns, size, source_size, target, sid and off; off is null without words."""
+    Documents: keep columns, size, source_size, target, sid, bucket and off; off is null without words."""
     sized = sizes(docs, keep, source, text)
     narrow = stash(sized.drop("__text"), "sizes")
     goals = stash(targets(narrow, weights, max_repeats), "targets")
@@ -164,18 +172,23 @@ def mixed(
         own = rows.drop("__source").columns
         return rows.alias("d").join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in own], "g.sid", "g.source_size", "g.target")
 
+    sized, narrow = (_bucketed(with_sid(x), n_docs, keep) for x in (sized, narrow))
+    buckets = stash(bucket_blocks(narrow, block), "buckets")
     # written once: the blocks are cut from it, and the documents' shares are counted by it
-    offsets = stash(packed(with_sid(sized), with_sid(narrow), n_docs, keep), "offsets")
-    blocks = F.ceil(F.col("source_size") / block)
-    quotas = goals.filter("source_size > 0").select("sid", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), max_repeats * blocks).alias("slots"))
+    offsets = packed(sized, buckets, keep)
+    columns = [*keep, "size", "source_size", "target", "sid", F.col("__bucket").alias("bucket"), "off"]
+    places = stash(packed(narrow.filter("size > 0").withColumn("__text", F.lit("x")), buckets, keep).select(*columns), "offsets")
+    totals = buckets.groupBy("sid").agg(F.sum("blocks").alias("blocks"))
+    blocks = F.col("blocks")
+    quotas = goals.filter("source_size > 0").join(totals, "sid").select("sid", "blocks", F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), max_repeats * blocks).alias("slots"))
     out = picks(quotas).join(blocks_of(offsets, block), ["sid", "block"]).select("shard", "slot", "sid", "block", "words", "parts")
     if path is None:
         out = stash(out, "mix")
     else:
         out.write.parquet(path)
         out = docs.sparkSession.read.schema(out.schema).parquet(path)
-    nothing = with_sid(narrow).filter("size = 0").withColumn("off", F.lit(None).cast("long"))
-    return out, offsets.select(*nothing.columns).unionByName(nothing)
+    nothing = narrow.filter("size = 0").withColumns({"bucket": F.lit(None).cast("long"), "off": F.lit(None).cast("long")})
+    return out, places.unionByName(nothing.select(*places.columns))
 
 
 def mix(
@@ -190,6 +203,6 @@ def mix(
 ) -> DataFrame:
     """keep columns, size, source_size, target and taken of every row; taken is counted in the blocks of the written mix."""
     out, rows = mixed(docs, source, text, keep, block, weights, max_repeats, path)
-    taken = out.select("sid", F.inline("parts")).groupBy("sid", "off").agg(F.sum("n").alias("n"))
-    rows = rows.join(taken, ["sid", "off"], "left")
+    taken = out.select("sid", F.inline("parts")).groupBy("sid", "bucket", "off").agg(F.sum("n").alias("n"))
+    rows = rows.join(taken, ["sid", "bucket", "off"], "left")
     return rows.select(*keep, "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
