@@ -222,11 +222,14 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows with every span (overlapping ones as one) replaced by MASK; a null text stays null."""
-    packed = docs.select(docs[text], F.struct(*[docs[c] for c in docs.columns if c != text]).alias("__row"), docs[text].isNull().alias("__null"))
-    d = scan(packed, rules, text, ("__row", "__null"))
+    # other columns go along under names of ours, which cannot clash
+    others = [c for c in docs.columns if c != text]
+    held = {c: f"__c{i}" for i, c in enumerate(others)}
+    packed = docs.select(docs[text], *[docs[c].alias(n) for c, n in held.items()], docs[text].isNull().alias("__null"))
+    d = scan(packed, rules, text, (*held.values(), "__null"))
     new = F.when(F.col("__null"), None).when(F.size("__spans") == 0, F.col("__text")).otherwise(_masked(F.col("__text"), F.col("__spans")))
-    d = d.select("__row", F.explode(F.array(new)).alias("__new"))
-    return d.select(*[F.col("__new").alias(text) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    d = d.select(*held.values(), F.explode(F.array(new)).alias("__new"))
+    return d.select(*[F.col("__new" if c == text else held[c]).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
