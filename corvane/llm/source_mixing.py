@@ -84,14 +84,16 @@ def packed(bucketed: DataFrame, buckets: DataFrame, keep: tuple[str, ...]) -> Da
     return d.join(bounded_broadcast(buckets.select("sid", "__bucket", "first"), BROADCAST_ROWS), ["sid", "__bucket"]).drop("__h")
 
 
-def permuted(x: Column, n: Column, *key: Column, seed: int = 0) -> Column:
-    """Place of x in a permutation of 0..n-1 that the key selects: the swap-or-not shuffle."""
+def permuted(rows: DataFrame, x: str, n: str, key: tuple[str, ...], out: str, seed: int = 0) -> DataFrame:
+    """Rows with out, the place of x in a permutation of 0..n-1 that the key columns select: the swap-or-not shuffle.
 
-    def swap(v: Column, r: Column) -> Column:
-        partner = F.pmod(F.xxhash64(F.lit(seed), *key, r) % n - v, n)
-        return F.when(F.xxhash64(F.lit(seed + 1), *key, r, F.greatest(v, partner)) % 2 == 0, partner).otherwise(v)
-
-    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), x, swap)
+    A projection a step, so that all rounds are compiled code."""
+    rows = rows.withColumn(out, F.col(x))
+    for r in range(ROUNDS):
+        rows = rows.withColumn("__partner", F.pmod(F.xxhash64(F.lit(seed), *key, F.lit(r)) % F.col(n) - F.col(out), F.col(n)))
+        keep = F.xxhash64(F.lit(seed + 1), *key, F.lit(r), F.greatest(out, "__partner")) % 2 == 0
+        rows = rows.withColumn(out, F.when(keep, F.col("__partner")).otherwise(F.col(out)))
+    return rows.drop("__partner")
 
 
 def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataFrame:
@@ -124,9 +126,11 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     runs = runs.select("shard", "sid", "filled", "place", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
     runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks"), "sid")
     slots = runs.select("shard", "sid", "filled", "place", "blocks", F.explode(F.sequence("first", F.least(F.col("first") + piece, "last") - 1)).alias("k"))
-    epoch = F.floor(F.col("k") / F.col("blocks"))
-    slot = permuted(F.col("place") + F.col("k"), F.col("filled"), F.col("shard"), seed=seed + 11)
-    return slots.select("shard", slot.alias("slot"), "sid", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), epoch, seed=seed + 7).alias("block"))
+    slots = slots.withColumns({"place": F.col("place") + F.col("k"), "epoch": F.floor(F.col("k") / F.col("blocks")), "k": F.col("k") % F.col("blocks")})
+    slots = permuted(slots, "place", "filled", ("shard",), "slot", seed + 11)
+    slots = permuted(slots, "k", "blocks", ("sid", "epoch"), "block", seed + 7)
+    # written: no join on top derives constraints through all the rounds
+    return stash(slots.select("shard", "slot", "sid", "block"), "slots")
 
 
 def blocks_of(offsets: DataFrame, block: int) -> DataFrame:
