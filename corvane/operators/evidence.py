@@ -11,6 +11,7 @@ from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
 from corvane.operators import chunking, classify, score
+from corvane.sources.scratch import stash
 
 
 def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -91,11 +92,56 @@ def store_metadata(evidence: DataFrame) -> DataFrame:
 def attributed(evidence: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Evidence with the number of the first chunk of its document that holds its snippet's first 200 characters."""
     e, c = evidence.alias("e"), chunks.select(F.col(doc).alias("__d"), "chunk_number", "chunk_text").alias("c")
-    on = (F.col(f"e.{doc}") == F.col("c.__d")) & F.contains("c.chunk_text", F.left("e.snippet", F.lit(200)))
+    on = (F.col(f"e.{doc}") == F.col("c.__d")) & F.contains("c.chunk_text", F.left(F.trim("e.snippet"), F.lit(200)))
     hit = e.join(c, on).groupBy(F.col(f"e.{doc}").alias(doc), F.col("e.ord").alias("ord")).agg(F.min("c.chunk_number").alias("chunk_number"))
     return evidence.join(hit, [doc, "ord"], "left")
 
 
+def chunk_items(chunks: DataFrame, attributed_evidence: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Chunks with items, the evidence attributed to them."""
+    n = attributed_evidence.filter("chunk_number is not null").groupBy(doc, "chunk_number").agg(F.count("*").alias("__n"))
+    return chunks.join(n, [doc, "chunk_number"], "left").withColumn("items", F.coalesce("__n", F.lit(0))).drop("__n")
+
+
+def recovery_eligible(chunks: DataFrame, least: float = 0.3) -> DataFrame:
+    """Selected evidence-dense chunks (selected, chunk_type, relevance, items) without evidence."""
+    return chunks.filter(F.col("selected") & (F.col("items") == 0) & (F.col("chunk_type") == "evidence_dense") & (F.col("relevance") >= least))
+
+
+def recovery_pass(chunks: DataFrame, terms: Sequence[str], topics: Sequence[str], least_score: float = 3.5, quality: str = "quality") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, queue, metrics): recovered evidence with an overall score of at least so much; eligible chunks with what was
+    found in each; one row of metrics with the yield before and after.
+
+    chunks: doc_id, chunk_number, chunk_text, quality, selected, chunk_type, relevance and items."""
+    keys = ["doc_id", "chunk_number"]
+    eligible = recovery_eligible(chunks)
+    raw = recovered(eligible.select(*keys, T.compact(F.col("chunk_text")).alias("chunk_text"), quality), keys=(*keys, quality)).withColumn("snippet", F.left("sentence", F.lit(500)))
+    category = classify.normal_category(classify.category(F.col("snippet")))
+    hits = R.term_hits(F.col("snippet"), terms)
+    raw = raw.withColumn("category", category)
+    raw = raw.withColumns({"claim": T.claim_text(F.col("snippet"), F.col("category")), "relevance": T.relevance(F.col("snippet"), terms, hits), "confidence": T.confidence(F.col("snippet"), hits)})
+    raw = stash(scored(raw, terms, topics, quality).drop("sentence", "pos"), "recovered")
+    kept = raw.filter(F.col("overall_score") >= least_score)
+    per = raw.groupBy(*keys).agg(F.count("*").alias("recovered_evidence_count"))
+    queue = eligible.join(per, keys, "left").withColumn("recovered_evidence_count", F.coalesce("recovered_evidence_count", F.lit(0)))
+    now = kept.groupBy(*keys).agg(F.count("*").alias("__k"))
+    both = chunks.join(per, keys, "left").join(now, keys, "left").withColumn("__e", F.col("selected") & (F.col("items") == 0) & (F.col("chunk_type") == "evidence_dense") & (F.col("relevance") >= 0.3))
+    after = F.col("items") + F.coalesce("__k", F.lit(0))
+    count = lambda c: F.count_if(c)
+    m = both.agg(
+        count(F.col("__e")).alias("eligible_chunks"),
+        count(F.col("recovered_evidence_count") > 0).alias("chunks_recovered"),
+        F.coalesce(F.sum("__k"), F.lit(0)).alias("recovered_evidence_items"),
+        count(F.col("selected")).alias("chunks_selected"),
+        count(F.col("items") > 0).alias("with_evidence_before"),
+        count(after > 0).alias("with_evidence_after"),
+        F.coalesce(F.sum("items"), F.lit(0)).alias("items_before"),
+        F.coalesce(F.sum(after), F.lit(0)).alias("items_after"),
+    )
+    share = F.when(F.col("eligible_chunks") > 0, F.round(F.col("recovered_evidence_items") / F.col("eligible_chunks"), 3)).otherwise(0.0)
+    return kept, queue, m.withColumn("recovery_yield", share)
+
+
 def recovered(chunks: DataFrame, text: str = "chunk_text", keys: Sequence[str] = ("doc_id", "chunk_number"), most: int = 4) -> DataFrame:
     """Signal sentences of chunks: at most so many each, distinct in 100 characters."""
     s = chunks.select(*keys, F.posexplode(T.sentences(F.col(text), 40)).alias("pos", "sentence"))
@@ -136,21 +182,67 @@ def chunk_decisions(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"decision": decision, "reason": reason})
 
 
-FAILURE_STAGES = ("BUDGET_EXCLUSION", "PARSER_FAILURE", "ATTRIBUTION_FAILURE", "CROSS_CHUNK", "EMPTY_EXTRACTION", "DUPLICATE_SUPPRESSION")
+#: Stages in the order of the summary.
+FAILURE_STAGES = (
+    "NO_LLM_OUTPUT", "EMPTY_EXTRACTION", "PARSER_FAILURE", "SCHEMA_VALIDATION_FAILURE", "QUALITY_THRESHOLD_REJECTION", "DUPLICATE_SUPPRESSION",
+    "POST_PROCESSING_REJECTION", "UNKNOWN", "ATTRIBUTION_FAILURE", "CROSS_CHUNK", "BUDGET_EXCLUSION",
+)
+#: Why a chunk is held to have failed at a stage.
+FAILURE_REASONS = {
+    "BUDGET_EXCLUSION": "not selected: the character budget was spent",
+    "PARSER_FAILURE": "garbled or nearly empty text",
+    "SCHEMA_VALIDATION_FAILURE": "items were found, none had the fields of evidence",
+    "NO_LLM_OUTPUT": "the extractor was called and gave nothing",
+    "POST_PROCESSING_REJECTION": "all valid items were sanitised away",
+    "QUALITY_THRESHOLD_REJECTION": "all items scored below the threshold",
+    "ATTRIBUTION_FAILURE": "a snippet is in the chunk once blanks are normalised",
+    "CROSS_CHUNK": "the document's evidence comes from other chunks",
+    "EMPTY_EXTRACTION": "no topic keyword in the chunk",
+    "DUPLICATE_SUPPRESSION": "topic keywords, but no item: a duplicate or beyond the document's cap",
+    "UNKNOWN": "no text for this chunk",
+}
 
 
 def failure_stage(chunks: DataFrame, groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS) -> DataFrame:
-    """Stage at which chunks without evidence (selected, chunk_text, doc_items, snippet_match) lost it."""
+    """Chunks without evidence with the stage at which they lost it, and the reason.
+
+    chunks: selected, chunk_text, doc_items, snippet_match; where an extractor reported on a chunk also called (it was
+    asked), raw_items, valid_items, clean_items (after sanitising): null where it did not."""
     touched = F.size(R.labels(F.col("chunk_text"), groups)) > 0
+    stage = F.when(F.col("chunk_text").isNull(), "UNKNOWN").when(~F.col("selected"), "BUDGET_EXCLUSION").when(T.garbled(F.col("chunk_text")), "PARSER_FAILURE")
+    if "called" in chunks.columns:
+        asked = F.coalesce("called", F.lit(False))
+        stage = (
+            stage.when(asked & F.col("raw_items").isNull(), "NO_LLM_OUTPUT")
+            .when(asked & (F.col("raw_items") > 0) & (F.col("valid_items") == 0), "SCHEMA_VALIDATION_FAILURE")
+            .when(asked & (F.col("valid_items") > 0) & (F.col("clean_items") == 0), "POST_PROCESSING_REJECTION")
+            .when(asked & (F.col("clean_items") > 0), "QUALITY_THRESHOLD_REJECTION")
+        )
     stage = (
-        F.when(~F.col("selected"), FAILURE_STAGES[0])
-        .when(T.garbled(F.col("chunk_text")), FAILURE_STAGES[1])
-        .when((F.col("doc_items") > 0) & F.col("snippet_match"), FAILURE_STAGES[2])
-        .when(F.col("doc_items") > 0, FAILURE_STAGES[3])
-        .when(~touched, FAILURE_STAGES[4])
-        .otherwise(FAILURE_STAGES[5])
+        stage.when((F.col("doc_items") > 0) & F.col("snippet_match"), "ATTRIBUTION_FAILURE")
+        .when(F.col("doc_items") > 0, "CROSS_CHUNK")
+        .when(~touched, "EMPTY_EXTRACTION")
+        .otherwise("DUPLICATE_SUPPRESSION")
     )
-    return chunks.withColumn("stage", stage)
+    reasons = F.create_map(*[F.lit(x) for kv in FAILURE_REASONS.items() for x in kv])
+    return chunks.withColumn("stage", stage).withColumn("reason", F.element_at(reasons, F.col("stage")))
+
+
+def failures(chunks: DataFrame, evidence: DataFrame, groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS) -> DataFrame:
+    """Diagnosis of every evidence-dense chunk without items: doc_items, snippet_match, stage, reason, signal_strength and
+    parsed, its sentences with a topic keyword.
+
+    chunks: doc_id, chunk_number, chunk_text, signals, selected, chunk_type, items; evidence: doc_id, snippet."""
+    failed = chunks.filter((F.col("items") == 0) & (F.col("chunk_type") == "evidence_dense"))
+    per = evidence.groupBy("doc_id").agg(F.count("*").alias("doc_items"))
+    snippet = T.compact(F.left(F.trim("snippet"), F.lit(300)))
+    e = evidence.select(F.col("doc_id").alias("__d"), snippet.alias("__s")).filter("__s <> ''")
+    c = failed.select("doc_id", "chunk_number", T.compact(F.col("chunk_text")).alias("__t"))
+    match = c.join(e, (F.col("doc_id") == F.col("__d")) & F.contains("__t", F.col("__s"))).select("doc_id", "chunk_number").distinct().withColumn("snippet_match", F.lit(True))
+    j = failed.join(per, "doc_id", "left").join(match, ["doc_id", "chunk_number"], "left")
+    j = j.withColumns({"doc_items": F.coalesce("doc_items", F.lit(0)), "snippet_match": F.coalesce("snippet_match", F.lit(False)), "signal_strength": score.signal_strength(F.col("signals"))})
+    parsed = F.size(F.filter(T.sentences(T.compact(F.col("chunk_text"))), lambda s: F.size(R.labels(s, groups)) > 0))
+    return failure_stage(j, groups).withColumn("parsed", parsed)
 
 
 def failure_summary(failed: DataFrame) -> DataFrame:
@@ -159,6 +251,17 @@ def failure_summary(failed: DataFrame) -> DataFrame:
     return stages.join(failed.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def top_missed(failed: DataFrame, k: int = 10, keys: Sequence[str] = ("doc_id", "chunk_number")) -> DataFrame:
+    """The diagnosed chunks of strongest signals."""
+    return failed.orderBy(F.desc("signal_strength"), *keys).limit(k)
+
+
+def document_failures(failed: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Failures of every document, its most frequent stage and reason; of equally frequent ones the first by name."""
+    by = lambda c: failed.groupBy(doc, c).agg(F.count("*").alias("n")).groupBy(doc).agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(f"top_{c}"), F.sum("n").alias(f"n_{c}"))
+    return by("stage").join(by("reason").drop("n_reason"), doc).withColumnRenamed("n_stage", "failed_chunks")
+
+
 def coverage(evidence: DataFrame, topics: DataFrame, source: str = "source", text: str = "snippet") -> DataFrame:
     """Coverage of every topic (topic, terms array): items, sources, mean quality of the sources, level.
 

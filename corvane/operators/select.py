@@ -11,6 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as L
+from corvane.functions import text as T
+from corvane.sources.scratch import stash
+
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
@@ -31,40 +35,103 @@ def with_group_guarantee(rows: DataFrame, group: str, score: str, key: str, k: i
 
 
 def merged_queries(rows: DataFrame, query: str, group: str, score: str, key: str, k: int, least: float) -> DataFrame:
-    """Selections of several queries with guarantees, each chunk once with its best score: (key, score, queries)."""
+    """Selections of several queries with guarantees, each chunk once with its best score: (key, score, queries).
+
+    Of each query the top k, and of each of its groups without one the best row; ranks are limited before the shuffle."""
     order = [F.desc(score), F.asc(key)]
-    r = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
-    r = r.withColumn("__gn", F.row_number().over(Window.partitionBy(query, group).orderBy(*order)))
-    r = r.withColumn("__covered", F.min("__rn").over(Window.partitionBy(query, group)) <= k)
-    chosen = r.filter((F.col("__rn") <= k) | (~F.col("__covered") & (F.col("__gn") == 1) & (F.col(score) >= least)))
+    top = top_per_group(rows, [query], order, k).drop("rank")
+    best = top_per_group(rows, [query, group], order, 1).drop("rank").filter(F.col(score) >= least)
+    chosen = top.unionByName(best.join(top.select(query, group).distinct(), [query, group], "left_anti"))
     return chosen.groupBy(key).agg(F.max(score).alias(score), F.count("*").alias("queries"))
 
 
+def capped_selection(chosen: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The k best of the queries' selections."""
+    return chosen.orderBy(F.desc(score), F.asc(key)).limit(k)
+
+
+def rejected(scored: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scored rows that were not selected."""
+    return scored.join(chosen.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def expanded(rows: DataFrame, query: str, order: Sequence[Column | str], key: str, each: int, most: int) -> DataFrame:
+    """Union of the queries' top rows in the queries' order (a number), a row for its first query only, at most so many."""
+    top = top_per_group(rows, [query], order, each)
+    first = top_per_group(top, [key], [F.asc(query)], 1, "__first").drop("__first")
+    return first.orderBy(query, "rank").limit(most)
+
+
 def diverse(rows: DataFrame, group: str, order: Sequence[Column | str], limit: int, cap: int) -> DataFrame:
     """One row of every group, then up to cap of each, then the rest, in order, to the limit."""
-    r = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    r = top_per_group(rows, [group], order, limit, "__n")
     r = r.withColumn("pass", F.when(F.col("__n") == 1, 1).when(F.col("__n") <= cap, 2).otherwise(3)).drop("__n")
     return r.orderBy("pass", *order).limit(limit)
 
 
-def within_budget(rows: DataFrame, partition: str, order: Sequence[Column | str], key: str, size: str, budget: int) -> DataFrame:
-    """Greedy fit per partition: rows in order, each taken if it still fits; a later smaller one may."""
-    ordered = rows.withColumn("__o", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
-    listed = ordered.groupBy(partition).agg(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col(key).alias("k"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(rows.dtypes)[key]}>").alias("taken"))
-    fold = F.aggregate(
-        "rows",
-        start,
-        lambda a, r: F.when(a["used"] + r["s"] <= budget, F.struct((a["used"] + r["s"]).alias("used"), F.array_append(a["taken"], r["k"]).alias("taken"))).otherwise(a),
-    )
-    return listed.select(partition, F.posexplode(fold["taken"]).alias("position", key))
-
-
-def interleaved(rows: DataFrame, profile: str, profile_order: str, order: Sequence[Column | str], key: str, quota: int) -> DataFrame:
-    """A quota of rows for each profile, each row to the first profile that wants it, profiles by turns."""
-    first = top_per_group(rows, [key], [F.asc(profile_order)], 1, "__p").drop("__p")
-    chosen = top_per_group(first, [profile], order, quota, "turn")
-    return chosen.orderBy("turn", profile_order)
+def combined_score(relevance: Column, priority: Column, signals: Column) -> Column:
+    """Score by which chunks compete for a budget: relevance, boost of the priority, strength of the signals; null for skipped ones."""
+    boost = F.element_at(F.create_map(*[F.lit(x) for kv in L.PRIORITY_BOOST.items() for x in kv]), priority)
+    return F.when(priority != "skip", relevance + boost * 0.30 + signals * 0.25)
+
+
+def within_budget(rows: DataFrame, order: Sequence[Column | str], keys: Sequence[str], size: str, budget: int, head: int = 4096) -> DataFrame:
+    """Rows in order, each taken if it still fits the budget, so that a later smaller one may.
+
+    Heads of ``head`` rows that could fit are folded one after the other; what does not fit any more never comes back, so
+    few are needed, and no more than a head is gathered at once.  order ends in a unique key."""
+    named = rows.withColumn("__o", F.struct(*[(F.expr(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]))
+    left, last, taken = budget, None, []
+    while left > 0:
+        fits = named.filter((F.col(size) <= left) & F.col(size).isNotNull())
+        if last is not None:
+            fits = fits.filter(F.col("__o") > last)
+        got = fits.orderBy("__o").limit(head).select(*keys, size, "__o").collect()  # at most head rows
+        for r in got:
+            if r[size] <= left:
+                taken.append(tuple(r[k] for k in keys))
+                left -= r[size]
+        if len(got) < head:
+            break
+        o = got[-1]["__o"]
+        last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(o, named.schema["__o"].dataType.fields, strict=True)])
+    spark = rows.sparkSession
+    chosen = spark.createDataFrame(taken, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys))
+    # sizes are whole numbers above 0, so the budget bounds the keys
+    return rows.join(F.broadcast(chosen) if len(taken) <= 100_000 else chosen, list(keys), "left_semi")
+
+
+def quota_by_turns(rows: DataFrame, profile: str, score: str, key: str, n: int) -> DataFrame:
+    """(position, key, profile): n rows, an equal quota for each profile in its order (0, 1, ...), by turns.
+
+    A profile takes its best rows that no earlier one took; slots left over go to the first profile's n best rows.
+    rows: one for each key and profile, with its score; few profiles, and n rows at most are gathered."""
+    order = [F.desc(score), F.asc(key)]
+    n_profiles = int(rows.agg(F.max(profile)).first()[0] or 0) + 1
+    quota, seen, turns = max(1, n // n_profiles), set(), []
+    for p in range(n_profiles):
+        # what earlier profiles took is at most n rows, so so many more hold the quota
+        best = rows.filter(F.col(profile) == p).orderBy(*order).limit(quota + len(seen)).select(key).collect()
+        mine = [r[0] for r in best if r[0] not in seen][:quota]
+        seen |= set(mine)
+        turns += [(i, p, k) for i, k in enumerate(mine)]
+    chosen = [(k, p) for _, p, k in sorted(turns, key=lambda x: x[:2])][:n]
+    first = [r[0] for r in rows.filter(F.col(profile) == 0).orderBy(*order).limit(n).select(key).collect()]
+    chosen += [(k, 0) for k in first if k not in seen][: n - len(chosen)]
+    schema = f"position int, `{key}` {rows.schema[key].dataType.simpleString()}, `{profile}` int"
+    return rows.sparkSession.createDataFrame([(i, k, p) for i, (k, p) in enumerate(chosen)], schema)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str, prefix: str) -> DataFrame:
+    """Rows with a sequential id (E001, E002, ...) in an order that ends in a unique key.
+
+    Rows are dealt by ranges and numbered within them; only the ranges' sizes meet in one place."""
+    spread = stash(rows.repartitionByRange(*[F.expr(o) if isinstance(o, str) else o for o in order]).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = spread.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    out = spread.withColumn("__i", place).join(F.broadcast(before), "__p")
+    return out.withColumn(name, T.numbered(prefix, F.col("__before") + F.col("__i"))).drop("__p", "__i", "__before")
 
 
 def deduplicated(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -168,18 +168,6 @@ def merged_query_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.merged_queries(r, "query", "source", "score", "doc_id", 8, 0.3)
 
 
-@query(
-    f"""with recursive r as (select source, doc_id, n_chars::bigint s, row_number() over (partition by source order by score desc, doc_id) o from ({_RETRIEVED})),
-    f as (select source, doc_id, s, o, case when s <= 12000 then s else 0 end used, s <= 12000 taken from r where o = 1
-      union all select r.source, r.doc_id, r.s, r.o, f.used + case when f.used + r.s <= 12000 then r.s else 0 end, f.used + r.s <= 12000 from f join r on r.source = f.source and r.o = f.o + 1)
-    select source, doc_id, row_number() over (partition by source order by o) - 1 as position from f where taken"""
-)
-def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _scored(spark, sf_dir)
-    out = select.within_budget(r, "source", [F.desc("score"), F.asc("doc_id")], "doc_id", "n_chars", 12_000)
-    return out.select("source", "doc_id", "position")
-
-
 @query(
     f"""with r as ({_RETRIEVED}), w as (select *, row_number() over (partition by source order by score desc, doc_id) n from r), p as (select *, case when n = 1 then 1 when n <= 3 then 2 else 3 end pass from w)
     select doc_id, source, pass from p order by pass, score desc, doc_id limit 50"""
@@ -393,15 +381,6 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "source", "text", (F.col("score") >= 0.35).alias("selected"), F.when(F.length("text") < 150, "skip").otherwise("medium").alias("priority"), "relevance", F.coalesce("items", F.lit(0)).alias("items"))
 
 
-@query(
-    f"""select count(*) chunks_total, count(*) filter (where selected) chunks_selected, count(*) filter (where items > 0) chunks_with_evidence, sum(items)::bigint evidence_items, count(*) filter (where priority = 'skip') skipped_boilerplate,
-    count(*) - count(*) filter (where items > 0) zero_evidence_chunks, greatest(0, count(*) filter (where selected) - count(*) filter (where items > 0)) zero_evidence_selected,
-    round(sum(items) / (count(*) filter (where selected))::double, 3) yield_per_selected, round(sum(items) / count(*)::double, 3) yield_per_total from {_CHUNKS}"""
-)
-def chunk_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.yield_metrics(_chunks(spark, sf_dir))
-
-
 @query(
     f"""select doc_id, case when not selected then 'not_sent' when items > 0 then 'accepted' else 'rejected' end decision, case when selected and items > 0 then null when selected then 'no evidence extracted' when priority = 'skip' then 'skipped'
     when relevance = 0 then 'not relevant to question' else 'excluded by character budget' end reason from {_CHUNKS}"""
@@ -410,43 +389,6 @@ def chunk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.chunk_decisions(_chunks(spark, sf_dir)).select("doc_id", "decision", "reason")
 
 
-_FAILED = f"""(select source, case when not selected then 'BUDGET_EXCLUSION' when length(trim(text)) < 50 or length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g')) / greatest(length(text), 1)::double < 0.70 then 'PARSER_FAILURE'
-    when doc_id % 3 > 0 and doc_id % 3 = 1 then 'ATTRIBUTION_FAILURE' when doc_id % 3 > 0 then 'CROSS_CHUNK' when not {K.sql_any("text", tuple(x for _, t in _TOPICS for x in t))} then 'EMPTY_EXTRACTION' else 'DUPLICATE_SUPPRESSION' end stage from {_CHUNKS} where items = 0)"""
-
-
-def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir).filter("items = 0").withColumnRenamed("text", "chunk_text")
-    c = c.withColumns({"doc_items": F.col("doc_id") % 3, "snippet_match": F.col("doc_id") % 3 == 1})
-    return evidence.failure_stage(c, _TOPICS)
-
-
-@query(f"with s(stage) as (values {', '.join(f'({K.quoted(x)})' for x in evidence.FAILURE_STAGES)}) select s.stage, count(f.stage) n from s left join {_FAILED} f on s.stage = f.stage group by s.stage")
-def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.failure_summary(_failed(spark, sf_dir))
-
-
-@query(
-    f"""with c as (select source, stage, count(*) n from {_FAILED} group by all), r as (select *, row_number() over (partition by source order by n desc, stage) rn, sum(n) over (partition by source) total from c)
-    select source, stage top_stage, total::bigint failures, case when total >= 20 then 'review extraction' else 'monitor' end advice from r where rn = 1"""
-)
-def document_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _failed(spark, sf_dir).groupBy("source", "stage").agg(F.count("*").alias("n"))
-    g = c.groupBy("source").agg(F.min_by("stage", F.struct(-F.col("n"), F.col("stage"))).alias("top_stage"), F.sum("n").alias("failures"))
-    return g.withColumn("advice", F.when(F.col("failures") >= 20, "review extraction").otherwise("monitor"))
-
-
-@query(
-    f"""with e as (select doc_id, row_number() over (partition by doc_id order by t.topic, t.n) as ord, snippet from ({_TOPIC_SQL} select * from ts) t where not win),
-    c as (select doc_id, text from documents) select e.doc_id, e.ord, case when contains(c.text, substr(snippet, 1, 200)) then 1 end as chunk_number from e join c on e.doc_id = c.doc_id"""
-)
-def evidence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = K.table(spark, sf_dir, "documents")
-    s = chunking.topic_sentences(d, _TOPICS).filter("not window")
-    e = s.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("topic", "n"))).select("doc_id", "ord", "snippet")
-    c = d.select("doc_id", F.lit(1).alias("chunk_number"), F.col("text").alias("chunk_text"))
-    return evidence.attributed(e, c).select("doc_id", "ord", "chunk_number")
-
-
 _CATEGORY_SQL = f"case when category in ({', '.join(map(K.quoted, L.CATEGORIES))}) then category else coalesce(case category {' '.join(f'when {K.quoted(k)} then {K.quoted(v)}' for k, v in L.CATEGORY_ALIASES.items())} end, 'other') end"
 _TOPIC_ORDER = " ".join(f"when {K.quoted(n)} then {i}" for i, (n, _) in enumerate(_TOPICS))
 _SHOWN = "regexp_replace(regexp_replace(snippet, '\\s+', ' ', 'g'), '^ +| +$', '', 'g')"

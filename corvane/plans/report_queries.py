@@ -323,9 +323,3 @@ def support_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = n.join(c, "n_nationkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     scaled = F.when(F.col("n") >= 65, 4).when(F.col("n") >= 60, 2).when(F.col("n") >= 1, 1).otherwise(0)
     return j.select("n_regionkey", "n_nationkey", "n", evaluate.support_level(scaled).alias("level_"), F.when(F.col("n") == 0, "HIGH").when(F.col("n") < 60, "MEDIUM").alias("issue"))
-
-
-@query("select doc_id, source, rank from (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents) where rank <= 2")
-def top_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = K.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return select.top_per_group(d, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 2).select("doc_id", "source", "rank")

@@ -309,15 +309,20 @@ def recommendation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", "evidence", "risk", total.alias("score"), penalty.alias("penalty"))
 
 
+_TAKEN = "select p_partkey k, {p} profile, row_number() over (order by {s} desc, p_partkey) - 1 i from part where p_partkey not in ({seen}) qualify i < 3"
+
+
 @query(
-    """with w as (select p_partkey k, p_size, unnest(list_filter(['a', 'b', 'c'], lambda p: (p = 'a' and p_size > 25) or (p = 'b' and p_retailprice > 1050) or (p = 'c' and p_size < 10))) profile from part), f as (select *, row_number() over (partition by k order by profile) rn from w),
-    q as (select *, row_number() over (partition by profile order by p_size desc, k) turn from f where rn = 1) select k, profile, turn from q where turn <= 10"""
+    f"""with b0 as ({_TAKEN.format(p=0, s="p_size", seen="-1")}), b1 as ({_TAKEN.format(p=1, s="p_retailprice", seen="select k from b0")}), b2 as ({_TAKEN.format(p=2, s="-p_size", seen="select k from b0 union all select k from b1")}),
+    u as (select *, row_number() over (order by i, profile) - 1 as position from (select * from b0 union all select * from b1 union all select * from b2)),
+    f as (select p_partkey k, row_number() over (order by o) + 8 as position from (select p_partkey, row_number() over (order by p_size desc, p_partkey) o from part qualify o <= 10) where p_partkey not in (select k from u))
+    select position::int as position, k, profile::int profile from u union all select position::int, k, 0 from f where position < 10"""
 )
 def profile_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    wants = F.array_compact(F.array(F.when(F.col("p_size") > 25, "a"), F.when(F.col("p_retailprice") > 1050, "b"), F.when(F.col("p_size") < 10, "c")))
-    w = K.table(spark, sf_dir, "part").select(k.alias("k"), "p_size", F.explode(wants).alias("profile"))
-    return select.interleaved(w, "profile", "profile", [F.desc("p_size"), F.asc("k")], "k", 10).select("k", "profile", "turn")
+    """Ten parts for three profiles by turns: the largest, the dearest, the smallest."""
+    wants = [(F.lit(0), F.col("p_size").cast("double")), (F.lit(1), F.col("p_retailprice").cast("double")), (F.lit(2), -F.col("p_size").cast("double"))]
+    rows = K.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(*[F.struct(p.alias("profile"), s.alias("s")) for p, s in wants])).alias("w"))
+    return select.quota_by_turns(rows.select("k", "w.*"), "profile", "s", "k", 10).select("position", "k", "profile")
 
 
 @query("select user_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) rn from events) where rn = 1")

@@ -117,27 +117,72 @@ def test_retrieval_modes(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=20))
-def test_diversity_seeds_then_caps(items):
-    # restated: seeds in order, then rows within the cap, then the rest
-    from corvane.operators import select as S  # noqa: F401
-
-    ranked = sorted(((-s, i, g) for i, (g, s) in enumerate(items)))
-    seen: dict[int, int] = {}
-    passes = []
-    for _, i, g in ranked:
-        seen[g] = seen.get(g, 0) + 1
-        passes.append((1 if seen[g] == 1 else 2 if seen[g] <= 2 else 3, i))
-    assert len({i for _, i in passes}) == len(items)
-    assert sum(p == 1 for p, _ in passes) == len(seen)
+def test_diversity_seeds_then_caps(spark):
+    """Every group's best first, then up to the cap, then the rest, as a plain loop chooses them."""
+    rows = [(i, "abcd"[(i * 7) % 4], float((i * 13) % 10)) for i in range(40)]
+    ranked = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for limit, cap in ((3, 1), (7, 2), (25, 3), (60, 2)):
+        seen, passes = {}, []
+        for r in ranked:
+            seen[r[1]] = seen.get(r[1], 0) + 1
+            passes.append((1 if seen[r[1]] == 1 else 2 if seen[r[1]] <= cap else 3, -r[2], r[0]))
+        d = spark.createDataFrame(rows, "id long, g string, s double")
+        got = [(x["pass"], -x.s, x.id) for x in select.diverse(d, "g", [F.desc("s"), F.asc("id")], limit, cap).collect()]
+        assert got == sorted(passes)[:limit]
 
 
 def test_diverse_and_budget(spark):
     r = spark.createDataFrame([(1, "a", 9.0, 5), (2, "a", 8.0, 5), (3, "a", 7.0, 2), (4, "b", 1.0, 1)], "id long, g string, s double, n long")
     order = [F.desc("s"), F.asc("id")]
     assert [x.id for x in select.diverse(r, "g", order, 3, 1).collect()] == [1, 4, 2]
-    fit = select.within_budget(r.withColumn("p", F.lit(1)), "p", order, "id", "n", 8).collect()
-    assert [(x.id, x.position) for x in sorted(fit, key=lambda x: x.position)] == [(1, 0), (3, 1), (4, 2)]
+    for head in (1, 2, 100):
+        fit = select.within_budget(r, [-F.col("s"), F.col("id")], ["id"], "n", 8, head)
+        assert sorted(x.id for x in fit.collect()) == [1, 3, 4]
+
+
+def test_quotas_by_turns(spark):
+    """A row that is taken by an earlier profile does not count for a later one; free slots go to the first profile."""
+    scores = {0: {1: 9, 2: 8, 3: 7, 4: 1, 5: 0, 6: 0}, 1: {1: 9, 2: 9, 3: 1, 4: 8, 5: 7, 6: 0}}
+    rows = spark.createDataFrame([(k, p, float(s)) for p, x in scores.items() for k, s in x.items()], "k long, p int, s double")
+    assert [(r.k, r.p) for r in select.quota_by_turns(rows, "p", "s", "k", 5).orderBy("position").collect()] == [(1, 0), (4, 1), (2, 0), (5, 1), (3, 0)]
+
+
+def test_ids_run_on_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got = {r.x: r.eid for r in select.numbered(rows, ["x"], "eid", "E").collect()}
+    assert all(got[i] == f"E{i + 1:03d}" for i in range(1000))
+
+
+def test_expansion_takes_first_seen(spark):
+    rows = spark.createDataFrame([(0, 1, 5.0), (0, 2, 4.0), (0, 3, 3.0), (1, 2, 9.0), (1, 4, 8.0), (1, 5, 7.0)], "q int, k long, s double")
+    got = select.expanded(rows, "q", [F.desc("s"), F.asc("k")], "k", 2, 3).collect()
+    assert [(r.q, r.k) for r in got] == [(0, 1), (0, 2), (1, 4)]
+
+
+def test_recovery_and_diagnosis(spark):
+    text = "The plant draws 120 MW from the grid today, as the operator said. Nothing else is said in this quiet sentence of some length."
+    chunks = spark.createDataFrame(
+        [(1, 1, text, True, "evidence_dense", 0.5, 0), (1, 2, text, True, "evidence_dense", 0.1, 0), (1, 3, text, False, "evidence_dense", 0.9, 0), (1, 4, text, True, "context", 0.9, 0), (1, 5, text, True, "evidence_dense", 0.9, 2)],
+        "doc_id long, chunk_number int, chunk_text string, selected boolean, chunk_type string, relevance double, items long",
+    ).withColumn("quality", F.lit(5))
+    kept, queue, metrics = evidence.recovery_pass(chunks, ("power", "grid"), ("power",))
+    assert [(r.chunk_number, r.recovered_evidence_count) for r in queue.collect()] == [(1, 1)]
+    assert [(r.chunk_number, r.reason) for r in kept.collect()] == [(1, "numeric_claim")]
+    m = metrics.first()
+    assert (m.eligible_chunks, m.chunks_recovered, m.recovered_evidence_items, m.items_before, m.items_after, m.with_evidence_after, m.recovery_yield) == (1, 1, 1, 2, 3, 2, 1.0)
+
+
+def test_every_failure_stage(spark):
+    long = "words about nothing in particular that fill a chunk well enough to be printed"
+    cases = [
+        ("BUDGET_EXCLUSION", long, False, 0, False, False, None, None, None), ("PARSER_FAILURE", "\x00" * 60, True, 0, False, False, None, None, None), ("NO_LLM_OUTPUT", long, True, 0, False, True, None, None, None),
+        ("SCHEMA_VALIDATION_FAILURE", long, True, 0, False, True, 2, 0, 0), ("POST_PROCESSING_REJECTION", long, True, 0, False, True, 2, 2, 0), ("QUALITY_THRESHOLD_REJECTION", long, True, 0, False, True, 2, 2, 1),
+        ("ATTRIBUTION_FAILURE", long, True, 3, True, False, None, None, None), ("CROSS_CHUNK", long, True, 3, False, False, None, None, None), ("EMPTY_EXTRACTION", long, True, 0, False, False, None, None, None),
+        ("DUPLICATE_SUPPRESSION", long + " power", True, 0, False, False, None, None, None), ("UNKNOWN", None, True, 0, False, False, None, None, None),
+    ]
+    c = spark.createDataFrame(cases, "want string, chunk_text string, selected boolean, doc_items int, snippet_match boolean, called boolean, raw_items int, valid_items int, clean_items int")
+    got = evidence.failure_stage(c).collect()
+    assert all(r.stage == r.want and r.reason == evidence.FAILURE_REASONS[r.stage] for r in got) and {r.stage for r in got} == set(evidence.FAILURE_STAGES)
 
 
 def test_coverage_levels(spark):
