@@ -306,3 +306,51 @@ PERSPECTIVES_SMR = (
     ("public_acceptance", ("public", "community", "acceptance", "opposition", "sentiment", "opinion", "trust", "stakeholder", "local", "social licence", "consultation", "engagement", "perception", "support", "protest")),
 )
 CITATION = r"\[Source:\s*[^\]]*?Evidence:\s*(E\d{3,})[^\]]*\]"
+
+# -- query plans (fixed values) --------------------------------------------------------------------------------
+MODE_QUERIES = {"FACT_LOOKUP": (1, 3), "COMPARISON": (3, 5), "EXPLANATION": (3, 5), "EXPLORATORY_RESEARCH": (5, 8)}
+METRIC_ANCHORS = {
+    "gpu_count": ("{e} GPU count accelerators", "{e} 72 GPUs specifications", "{e} number of B200 GPUs"),
+    "rack_power": ("{e} total rack power kW", "{e} power consumption requirements"),
+    "cooling_capacity": ("{e} cooling requirements CDU", "{e} liquid cooling thermal"),
+    "memory_capacity": ("{e} GPU memory HBM capacity", "{e} memory bandwidth specifications"),
+    "network_bandwidth": ("{e} NVLink bandwidth fabric", "{e} interconnect bandwidth specifications"),
+    "lcoe": ("{e} levelized cost electricity LCOE", "{e} construction cost economics"),
+    "construction_cost": ("{e} construction capital cost overnight", "{e} cost schedule economics"),
+    "electric_output": ("{e} electrical output capacity MWe", "{e} power generation specifications"),
+}
+GENERIC_ANCHORS = ("{e} specifications overview", "{e} design details")
+TOPIC_EXPANSIONS = {
+    "power": ("rack power consumption total load", "DC power infrastructure distribution", "power distribution unit PDU cooling", "UPS backup power capacity"),
+    "cooling": ("liquid cooling direct liquid cooling DLC", "coolant distribution unit CDU capacity", "thermal management heat dissipation", "cooling infrastructure facility design"),
+    "networking": ("NVLink switch fabric bandwidth", "InfiniBand networking topology", "network switch interconnect bandwidth latency"),
+    "rack architecture": ("rack density form factor design", "compute tray shelf architecture layout", "rack unit U height configuration"),
+    "operations": ("deployment commissioning operations", "data center monitoring observability", "maintenance schedule management"),
+    "gpu": ("GPU memory bandwidth specifications", "GPU thermal design power TDP", "accelerator performance cluster"),
+    "nvl72": ("NVL72 rack system architecture", "NVL72 power infrastructure shelf", "NVL72 liquid cooling design", "NVL72 NVLink switch configuration"),
+    "gb200": ("GB200 NVL72 rack specifications", "GB200 power consumption infrastructure", "GB200 deployment design"),
+    "facility": ("data center facility upgrade power", "raised floor power density design", "electrical infrastructure capacity"),
+    "economics": ("SMR levelized cost electricity LCOE", "nuclear construction cost overrun", "FOAK first-of-a-kind cost premium", "NOAK nth-of-a-kind cost reduction", "economy of scale factory manufacturing", "nuclear financing interest rates overnight capital"),
+    "construction": ("SMR construction duration schedule timeline", "modular construction factory fabrication", "construction risk contingency workforce", "civil works concrete steel cost"),
+    "licensing": ("NRC design certification application", "nuclear regulatory approval process", "construction permit operating license", "SMR licensing pathway timeline risk"),
+    "reactor design": ("SMR core design thermal output MWe", "passive safety system design", "reactor coolant loop pressure vessel"),
+    "grid integration": ("grid flexibility load following baseload", "capacity factor ancillary services", "SMR dispatch flexibility hybrid energy"),
+    "fuel cycle": ("uranium fuel enrichment supply chain", "HALEU high-assay low-enriched uranium", "fuel cost nuclear operations"),
+    "deployment timeline": ("SMR commercial operation date commissioning", "deployment timeline first plant schedule"),
+    "safety": ("passive safety shutdown decay heat", "containment design accident scenario"),
+    "waste management": ("spent nuclear fuel storage disposal", "radioactive waste high-level repository"),
+    "bwrx": ("BWRX-300 design specifications GE Hitachi", "BWRX-300 construction cost licensing"),
+    "nuscale": ("NuScale SMR VOYGR design module", "NuScale licensing cost economics"),
+}
+
+# -- memo rules (fixed values): topics of a question, and the sections they require ------------------------------
+QUESTION_TOPICS = (
+    ("power", ("power", "electrical", "voltage", "utility", "grid", "ups", "bbu", "busway", "pdu")),
+    ("cooling", ("cooling", "liquid", "thermal", "cdu", "heat", "chilled water")),
+    ("networking", ("networking", "network", "nvlink", "infiniband", "ethernet", "spectrum", "connectx")),
+    ("rack architecture", ("rack", "nvl72", "rack-scale", "tray", "shelf", "cabinet")),
+    ("backup/resiliency", ("backup", "battery", "bbu", "ups", "resiliency", "redundancy")),
+    ("operations", ("operations", "commissioning", "maintenance", "monitoring")),
+)
+TOPIC_SECTIONS = {"power": "power_implications", "cooling": "cooling_implications", "networking": "networking_implications", "rack architecture": "rack_architecture_implications"}
+COVERAGE_WEIGHTS = {"strong": 1.0, "moderate": 0.6, "weak": 0.2, "none": 0.0}

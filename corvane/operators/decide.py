@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
 
@@ -123,9 +124,17 @@ def agent_scores(memos: DataFrame, areas_wanted: int = 5, evidence_wanted: int =
 
 
 def memo_warnings(memos: DataFrame, key: str) -> DataFrame:
-    """(key, code) of the quality rules that a memo breaks (documents, empty_documents, summary, items, good_items, sources, empty_snippets, facts array, known ids array)."""
-    cited = F.array_distinct(F.flatten(F.transform("facts", T.citations)))
-    rules = (
+    """(key, code) of the quality rules that a memo breaks.
+
+    memos: question, mock, documents, empty_documents, zero_chunk_documents, zero_evidence_chunks, summary, items, good_items,
+    sources, empty_snippets, chunks, high_conflicts, areas, gaps, the arrays known (evidence ids) and facts, and an array
+    for each of the sections in L.TOPIC_SECTIONS.  A topic of the question requires its section, with citations."""
+    cited = lambda c: F.flatten(F.transform(c, T.citations))
+    every = F.array_distinct(F.concat(*[cited(F.col(c)) for c in ("facts", *L.TOPIC_SECTIONS.values())]))
+    asked = R.bound(F.lower("question"), lambda q: R.labels(q, L.QUESTION_TOPICS))
+    rules = [
+        ("mock_llm", F.col("mock")),
+        ("no_sources", F.col("documents") == 0),
         ("zero_documents_loaded", F.col("documents") == 0),
         ("few_documents_loaded", F.col("documents") < 3),
         ("empty_document_text", F.col("empty_documents") > 0),
@@ -134,12 +143,51 @@ def memo_warnings(memos: DataFrame, key: str) -> DataFrame:
         ("no_evidence", F.col("items") == 0),
         ("low_evidence_count", F.col("items") < 10),
         ("low_high_quality_evidence_count", F.col("good_items") < 10),
+        ("zero_chunks_for_document", F.col("zero_chunk_documents") > 0),
+        ("zero_evidence_for_chunk", F.col("zero_evidence_chunks") > 0),
         ("insufficient_source_evidence", F.col("sources") < 3),
         ("empty_evidence_snippet", F.col("empty_snippets") > 0),
-        ("missing_confirmed_fact_citations", (F.size("facts") > 0) & (F.size(cited) == 0)),
-        ("unknown_evidence_citation", F.size(F.array_except(cited, "known")) > 0),
-    )
-    return memos.select(key, F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))).alias("code"))
+        ("missing_confirmed_fact_citations", (F.size("facts") > 0) & (F.size(cited(F.col("facts"))) == 0)),
+        ("unknown_evidence_citation", F.size(F.array_except(every, "known")) > 0),
+        ("retrieval_metrics", F.col("chunks") > 0),
+        ("coverage_matrix_metrics", F.col("areas") > 0),
+        ("research_gap_metrics", F.col("gaps") > 0),
+        ("high_severity_contradiction", F.col("high_conflicts") > 0),
+    ]
+    for topic, section in L.TOPIC_SECTIONS.items():
+        on = F.array_contains("__asked", topic)
+        rules += [(f"missing_{section}", on & (F.size(section) == 0)), (f"missing_{section.removesuffix('_implications')}_citations", on & (F.size(section) > 0) & (F.size(cited(F.col(section))) == 0))]
+    return memos.withColumn("__asked", asked).select(key, F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))).alias("code"))
+
+
+#: Programs that write their name where an author belongs.
+SKIP_AUTHORS = ("creative services", "microsoft", "adobe", "acrobat", "libreoffice", "openoffice", "latex", "indesign", "quarkxpress", "mozilla", "pdfium", "chrome", "safari", "webkit")
+
+
+def skipped_author(value: Column, skip: Sequence[str] = SKIP_AUTHORS) -> Column:
+    """Whether an author's name is a placeholder."""
+    return R.any_term(value, skip)
+
+
+def cleaned(value: Column) -> Column:
+    """A value without surplus blanks; null if nothing is left."""
+    return F.nullif(T.compact(F.coalesce(value, F.lit(""))), F.lit(""))
+
+
+def needs_more(*fields: Column) -> Column:
+    """Whether no tier filled any of the provenance fields."""
+    out = F.lit(True)
+    for c in fields:
+        out = out & c.isNull()
+    return out
+
+
+def markdown_sections(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, section, item, bullet) of every line of a markdown text that is no heading, with the heading above it."""
+    lines = rows.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    head = F.when(F.col("line").rlike("^#+ "), F.regexp_replace("line", "^#+ ", ""))
+    s = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos")))
+    return s.filter(~F.col("line").rlike("^#+ ")).select(key, "pos", "section", F.regexp_replace("line", "^[-*] ", "").alias("item"), F.col("line").rlike("^[-*] ").alias("bullet"))
 
 
 def citation_audit(answers: DataFrame, key: str, least: float = 1.0) -> DataFrame:

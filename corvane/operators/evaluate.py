@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as L
 from corvane.functions import text as T
 
 MATCH_STOP = ("a", "an", "the", "and", "or", "in", "of", "to", "for", "is", "are", "was", "were", "be", "been", "by", "on", "at", "from", "into", "that", "this", "with", "as", "its", "their", "our")
@@ -129,3 +130,113 @@ def scenario_fit(words: Column, n_risks: Column, power: Sequence[str], cooling:
     label = lambda s: F.when(s >= 0.75, "strong").when(s >= 0.45, "medium").otherwise("weak")
     worth = lambda s: F.when(s >= 0.75, 1.0).when(s >= 0.45, 0.6).otherwise(0.3)
     return label(base), label(upside), label(down), F.round((worth(base) + worth(upside) + worth(down)) / 3, 3)
+
+
+def fail_reasons(coverage: Column, hits: Column, total: Column, violations: Column) -> Column:
+    """Why an answer fails: too few of the required terms, and every prohibited one."""
+    low = F.when((total > 0) & (coverage < 0.5), F.concat(F.lit("low fact coverage: "), hits.cast("string"), F.lit("/"), total.cast("string")))
+    return F.concat(F.array_compact(F.array(low)), F.transform(violations, lambda t: F.concat(F.lit("prohibited term found: "), t)))
+
+
+def regression_verdict(metrics: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: how many metrics and items got worse or better, and whether the gate fails (a metric did)."""
+    m = metrics.agg(F.count_if(F.col("status") == "fail").alias("failed_metrics"), F.count_if(F.col("status") == "improved").alias("improved_metrics"))
+    i = items.agg(F.count_if(F.col("status") == "regressed").alias("regressed_items"), F.count_if(F.col("status") == "improved").alias("improved_items"))
+    return m.join(i, F.lit(True)).withColumn("verdict", F.when(F.col("failed_metrics") > 0, "fail").otherwise("pass"))
+
+
+def support_issues(support: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """(key, type, severity): questions whose coverage is none or weak, and those with no or a single piece of evidence."""
+    c = F.col(n)
+    issue = lambda kind, severity: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
+    level_ = support_level(c)
+    found = F.array(
+        F.when(level_ == "NONE", issue("coverage", "HIGH")).when(level_ == "WEAK", issue("coverage", "MEDIUM")),
+        F.when(c == 0, issue("evidence_sufficiency", "HIGH")).when(c == 1, issue("evidence_sufficiency", "MEDIUM")),
+    )
+    return support.select(key, F.explode(F.array_compact(found)).alias("i")).select(key, "i.*")
+
+
+def profile_influence(profiles: DataFrame, evidence: DataFrame, findings: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """(profile, evidence, findings, recommendations, balance): what each requested profile contributed; balance is its share
+    of the recommendations' touches, equal without any.  profiles: profile; evidence: profile; the others: profiles arrays."""
+    n = lambda rows, name: rows.groupBy("profile").agg(F.count("*").alias(name))
+    touched = lambda rows: rows.select(F.explode("profiles").alias("profile"))
+    p = profiles.select("profile").distinct()
+    for rows, name in ((evidence, "evidence"), (touched(findings), "findings"), (touched(recommendations), "recommendations")):
+        p = p.join(n(rows, name), "profile", "left")
+    p = p.fillna(0, ["evidence", "findings", "recommendations"])
+    total = p.agg(F.sum("recommendations").alias("__t"), F.count("*").alias("__n"))  # profiles are a vocabulary: one row of totals
+    share = F.when(F.col("__t") > 0, F.col("recommendations") / F.col("__t")).otherwise(1.0 / F.col("__n"))
+    return p.join(F.broadcast(total), F.lit(True)).withColumn("balance", F.round(share, 3)).drop("__t", "__n")
+
+
+def synthesis_counts(influence: DataFrame) -> DataFrame:
+    """One row: profiles requested, contributing, represented in findings and in recommendations."""
+    return influence.agg(
+        F.count("*").alias("profiles_requested"),
+        F.count_if(F.col("evidence") > 0).alias("profiles_contributing"),
+        F.count_if(F.col("findings") > 0).alias("profiles_represented_in_findings"),
+        F.count_if(F.col("recommendations") > 0).alias("profiles_represented_in_recommendations"),
+    )
+
+
+def missing_profiles(profiles: DataFrame) -> DataFrame:
+    """(profile, status, reason) of profiles (retrieved, attributed) without attributed evidence."""
+    reason = F.when(F.col("retrieved") == 0, "no evidence retrieved").otherwise("evidence retrieved but keyword overlap insufficient for attribution")
+    return profiles.filter("attributed = 0").select("profile", F.lit("missing").alias("status"), reason.alias("reason"))
+
+
+def coverage_score(levels: DataFrame, group: str, level: str = "level") -> DataFrame:
+    """(group, coverage_score, topics): mean weight of the topics' coverage levels."""
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.COVERAGE_WEIGHTS.items() for x in kv]), F.col(level)), F.lit(0.0))
+    return levels.groupBy(group).agg(F.round(F.avg(weight), 4).alias("coverage_score"), F.count("*").alias("topics"))
+
+
+def gap_labels(topics: Column, most: int = 3) -> Column:
+    """The first topics of a list, joined; more are an ellipsis."""
+    return F.concat(F.array_join(F.slice(topics, 1, most), ", "), F.when(F.size(topics) > most, "\u2026").otherwise(""))
+
+
+def option_averages(options: DataFrame, lists: Sequence[str]) -> DataFrame:
+    """One row: the number of options and the mean length of each of their lists."""
+    return options.agg(F.count("*").alias("option_count"), *[F.round(F.avg(F.greatest(F.size(c), F.lit(0))), 2).alias(f"average_{c}_per_option") for c in lists])
+
+
+def performance_totals(records: DataFrame) -> DataFrame:
+    """One row from stages (wall_ms, llm_ms, calls, prompt_tokens, completion_tokens)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return records.agg(
+        F.round(total("wall_ms"), 1).alias("pipeline_wall_ms"),
+        F.round(total("llm_ms"), 1).alias("llm_total_ms"),
+        F.round(total("wall_ms") - total("llm_ms"), 1).alias("llm_overhead_ms"),
+        total("calls").alias("llm_call_count"),
+        total("prompt_tokens").alias("prompt_tokens"),
+        total("completion_tokens").alias("completion_tokens"),
+        (total("prompt_tokens") + total("completion_tokens")).alias("total_tokens"),
+    )
+
+
+def trace_summary(traces: DataFrame, group: str, order: str) -> DataFrame:
+    """Per group of calls (usage: map of counts, success, error, model, ts): last model, first time, all succeeded, summed usage, errors."""
+    base = traces.groupBy(group).agg(
+        F.max_by("model", order).alias("model_name"), F.min_by("ts", order).alias("request_timestamp"), F.bool_and("success").alias("response_success"), F.count("error").alias("errors")
+    )
+    used = traces.select(group, F.explode("usage").alias("kind", "n")).groupBy(group, "kind").agg(F.sum("n").alias("n"))
+    used = used.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("usage"))  # kinds of tokens are few
+    return base.join(used, group, "left")
+
+
+def improvement(before: DataFrame, after: DataFrame, key: str, score: str) -> DataFrame:
+    """One row: mean score before and after, their difference, and how many records got better."""
+    j = before.select(key, F.col(score).alias("__b")).join(after.select(key, F.col(score).alias("__a")), key)
+    return j.agg(F.count("*").alias("n"), F.round(F.avg("__b"), 4).alias("before_"), F.round(F.avg("__a"), 4).alias("after_"), F.round(F.avg("__a") - F.avg("__b"), 4).alias("delta"), F.count_if(F.col("__a") > F.col("__b")).alias("improved"))
+
+
+def fit_label(score: Column) -> Column:
+    return F.when(score >= 0.75, "strong").when(score >= 0.45, "medium").otherwise("weak")
+
+
+def time_summary(rows: DataFrame, seconds: str) -> DataFrame:
+    """One row of a run's times."""
+    return rows.agg(F.count("*").alias("n"), *[F.round(f(seconds), 2).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("total", F.sum))])

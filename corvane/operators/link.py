@@ -75,3 +75,21 @@ def closure(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def set_overlap(a: Column, b: Column) -> Column:
     """Jaccard of two sets; 1 for two empty ones."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def overlap_report(a: Column, b: Column) -> Column:
+    """(jaccard, shared, only_a, only_b) of two sets, sorted."""
+    return F.struct(
+        F.round(set_overlap(a, b), 3).alias("jaccard"),
+        F.array_sort(F.array_intersect(a, b)).alias("shared"),
+        F.array_sort(F.array_except(a, b)).alias("only_a"),
+        F.array_sort(F.array_except(b, a)).alias("only_b"),
+    )
+
+
+def result_sources(results: DataFrame, key: str, ids: str, evidence: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(key, source_id, uri): the source of a result's first supporting evidence; null where there is none.
+
+    evidence: evidence_id, source_id; manifest: source_id, uri."""
+    first = results.select(key, F.get(F.col(ids), 0).alias("evidence_id"))
+    return first.join(evidence.select("evidence_id", "source_id"), "evidence_id", "left").join(manifest.select("source_id", "uri"), "source_id", "left").select(key, "source_id", "uri")

@@ -291,22 +291,6 @@ def list_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_regionkey", F.array_join(T.distinct_ignoring_case(F.col("a")), ",").alias("names"), T.recommendation_id(F.concat(F.lit("recommendation "), F.col("n_regionkey").cast("string"))).alias("rec"))
 
 
-_MD = "'# ' || r_name || chr(10) || 'intro' || chr(10) || '## Facts' || chr(10) || '- one ' || r_name || chr(10) || '* two' || chr(10) || '## Gaps' || chr(10) || 'text'"
-
-
-@query(
-    rf"""with l as (select r_regionkey, unnest(a) line, generate_subscripts(a, 1) pos from (select r_regionkey, string_split({_MD}, chr(10)) a from region)),
-    h as (select *, last_value(case when regexp_matches(line, '^#+ ') then regexp_replace(line, '^#+ ', '') end ignore nulls) over (partition by r_regionkey order by pos) section from l)
-    select r_regionkey, section, regexp_replace(line, '^[-*] ', '') item, regexp_matches(line, '^[-*] ') bullet from h where not regexp_matches(line, '^#+ ')"""
-)
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("# "), "r_name", F.lit("\nintro\n## Facts\n- one "), "r_name", F.lit("\n* two\n## Gaps\ntext"))
-    lines = K.table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    head = F.when(F.col("line").rlike("^#+ "), F.regexp_replace("line", "^#+ ", ""))
-    s = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy("r_regionkey").orderBy("pos")))
-    return s.filter(~F.col("line").rlike("^#+ ")).select("r_regionkey", "section", F.regexp_replace("line", "^[-*] ", "").alias("item"), F.col("line").rlike("^[-*] ").alias("bullet"))
-
-
 _NAMES = ("NVIDIA Technical Blog.pdf", "nvidia keynote.pdf", "StorageReview NVIDIA GB200 Analysis.pdf", "Vendor Whitepaper.pdf", "market analysis.pdf", "daily news.txt", "test_power_a.txt", "notes.txt", "smr report.pdf")
 _NAME = f"[{', '.join(map(K.quoted, _NAMES))}][s_suppkey % {len(_NAMES)} + 1] || ' ' || s_suppkey::varchar || case s_suppkey % 2 when 0 then '.txt' else '.pdf' end"
 

@@ -42,4 +42,4 @@ def sentence_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from corvane.plans import claim_queries, document_queries, retrieval_queries  # noqa: E402, F401
-from corvane.plans import pass_queries, report_queries  # noqa: E402, F401
+from corvane.plans import pass_queries, report_queries, review_queries  # noqa: E402, F401

@@ -127,38 +127,6 @@ def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.agent_scores(_memos(spark, sf_dir)).select("k", "planner_score", "evidence_score", "review_score", "report_score")
 
 
-_MEMO_RULES = (
-    ("zero_documents_loaded", "documents = 0"),
-    ("few_documents_loaded", "documents < 3"),
-    ("empty_document_text", "empty_documents > 0"),
-    ("missing_executive_summary", "trim(summary) = ''"),
-    ("missing_confirmed_facts", "len(facts) = 0"),
-    ("no_evidence", "items = 0"),
-    ("low_evidence_count", "items < 10"),
-    ("low_high_quality_evidence_count", "good_items < 10"),
-    ("insufficient_source_evidence", "sources < 3"),
-    ("empty_evidence_snippet", "empty_snippets > 0"),
-    ("missing_confirmed_fact_citations", "len(facts) > 0 and len(cited) = 0"),
-    ("unknown_evidence_citation", "len(list_filter(cited, lambda c: not list_contains(known, c))) > 0"),
-)
-
-
-@query(
-    f"""with m as (select k, areas % 4 documents, gaps % 2 empty_documents, case when k % 6 = 0 then ' ' else 'said' end summary, items, good_items, covered sources, k % 2 empty_snippets,
-      case k % 4 when 0 then []::varchar[] when 1 then ['plain'] when 2 then ['x [Source: a.pdf, Evidence: E001]'] else ['y [Source: b, Evidence: E009] [Source: c, Evidence: E001]'] end facts, ['E001', 'E002'] known from {_MEMO}),
-    c as (select *, list_distinct(flatten(list_transform(facts, lambda f: regexp_extract_all(f, {K.quoted(L.CITATION)}, 1)))) cited from m)
-    {" union all ".join(f"select k, {K.quoted(code)} code from c where {rule}" for code, rule in _MEMO_RULES)}"""
-)
-def memo_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    none = F.array().cast("array<string>")
-    facts = F.when(k % 4 == 0, none).when(k % 4 == 1, F.array(F.lit("plain"))).when(k % 4 == 2, F.array(F.lit("x [Source: a.pdf, Evidence: E001]"))).otherwise(F.array(F.lit("y [Source: b, Evidence: E009] [Source: c, Evidence: E001]")))
-    m = _memos(spark, sf_dir).select(
-        "k", (F.col("areas") % 4).alias("documents"), (F.col("gaps") % 2).alias("empty_documents"), F.when(k % 6 == 0, " ").otherwise("said").alias("summary"), "items", "good_items", F.col("covered").alias("sources"), (k % 2).alias("empty_snippets"), facts.alias("facts"), F.array(F.lit("E001"), F.lit("E002")).alias("known"),
-    )
-    return decide.memo_warnings(m, "k")
-
-
 @query(
     f"""with a as (select p_partkey id, case when p_partkey % 3 = 0 then p_name else p_name || ' [Source: f.pdf, Evidence: E' || lpad(p_partkey::varchar, 3, '0') || ']' end answer, p_partkey % 2 reported from part)
     select id, reported, len(regexp_extract_all(answer, {K.quoted(L.CITATION)})) found, reported <> len(regexp_extract_all(answer, {K.quoted(L.CITATION)})) discrepancy, length(answer) length from a where reported = 0"""
@@ -300,26 +268,3 @@ def question_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = link.best_target(b, "item_id", "text", themes, "theme", "name")
     rest = best.filter("theme is null").select("item_id", link.round_robin(best, "item_id", len(_THEMES)).cast("int").alias("theme"))
     return best.filter("theme is not null").select("item_id", "theme").unionByName(rest)
-
-
-@query(
-    """with b as (select doc_id, quality s from labels where toxic = 0), a as (select doc_id, (quality + length(doc_id::varchar) % 2) / 2.0 s from labels)
-    select count(*) n, round(avg(b.s), 4) before_, round(avg(a.s), 4) after_, round(avg(a.s) - avg(b.s), 4) delta, count(*) filter (where a.s > b.s) improved from b join a on a.doc_id = b.doc_id"""
-)
-def improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = K.table(spark, sf_dir, "labels")
-    b = lab.filter("toxic = 0").select("doc_id", F.col("quality").alias("b"))
-    a = lab.select("doc_id", ((F.col("quality") + F.length(F.col("doc_id").cast("string")) % 2) / 2.0).alias("a"))
-    return b.join(a, "doc_id").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("before_"), F.round(F.avg("a"), 4).alias("after_"), F.round(F.avg("a") - F.avg("b"), 4).alias("delta"), F.count_if(F.col("a") > F.col("b")).alias("improved"))
-
-
-@query(
-    """with c as (select n_regionkey, n_nationkey, count(c_custkey) n from nation left join customer on c_nationkey = n_nationkey group by all)
-    select n_regionkey, n_nationkey, n, case when n >= 65 then 'STRONG' when n >= 60 then 'MODERATE' when n >= 1 then 'WEAK' else 'NONE' end level_, case when n = 0 then 'HIGH' when n < 60 then 'MEDIUM' end issue from c"""
-)
-def support_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = K.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
-    c = K.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    j = n.join(c, "n_nationkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    scaled = F.when(F.col("n") >= 65, 4).when(F.col("n") >= 60, 2).when(F.col("n") >= 1, 1).otherwise(0)
-    return j.select("n_regionkey", "n_nationkey", "n", evaluate.support_level(scaled).alias("level_"), F.when(F.col("n") == 0, "HIGH").when(F.col("n") < 60, "MEDIUM").alias("issue"))

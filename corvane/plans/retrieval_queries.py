@@ -330,17 +330,6 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.latest(K.table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_type", "value")
 
 
-@query(
-    """select event_type, count(*) calls, round(sum(value), 4) tokens, min(ts)::varchar first_, max(ts)::varchar last_, bool_and(value is not null) ok from events group by event_type"""
-)
-def trace_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        K.table(spark, sf_dir, "events")
-        .groupBy("event_type")
-        .agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"), F.min("ts").cast("string").alias("first_"), F.max("ts").cast("string").alias("last_"), F.bool_and(F.col("value").isNotNull()).alias("ok"))
-    )
-
-
 @query(
     f"""with r as (select conv_id, turn, role, length(text) n, row_number() over (partition by conv_id order by turn) o from conversations), c as (select conv_id, count(*) turns, sum(n)::bigint chars, count(*) filter (where role = 'assistant') answers from r group by conv_id)
     select turns, count(*) conversations, sum(chars)::bigint chars, round(avg(answers / turns::double), 4) answer_share from c group by turns"""
