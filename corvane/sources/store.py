@@ -1,12 +1,15 @@
 """Evidence store: Parquet tables under one root, partitioned by domain, appended by Spark's commit protocol.
 
-A source is known by the hash of its text.  A build skips sources that the manifest already has, keeps the
-first of equal statements, and drops manifest rows whose location now holds another text; evidence of a
-replaced source stays, as orphans do, until it is compacted away.
+A source is known by the hash of its text.  A build skips sources that the manifest already has and keeps the first of
+equal statements.  The manifest is a log of versions, of which the last of a location and of a source counts: nothing is
+rewritten or deleted, so a build that breaks off leaves all tables readable.  Every step adds only what is not stored
+yet and the manifest comes last, so a repeated build completes what a broken one began.  Evidence of a replaced source
+stays, as orphans do, until it is compacted away.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import evidence as E
-from corvane.operators import select
+from corvane.operators import plugin, select
 
 TABLES = {
     "source": "source_id string, uri string, text string, domain string",
@@ -22,7 +25,7 @@ TABLES = {
     "metadata": "evidence_id string, enabled boolean, priority int, value double, overall double, version int, domain string",
     "run": "run_id string, status string, ordinal bigint, domain string",
     "contradiction": "contradiction_id string, a string, b string, reason string, domain string",
-    "manifest": "source_id string, uri string, evidence_count bigint, domain string",
+    "manifest": "source_id string, uri string, evidence_count bigint, version bigint, domain string",
     "embedding": "evidence_id string, vector array<float>, domain string",
 }
 
@@ -64,16 +67,10 @@ class Store:
     def evidence(self, evidence_id: str) -> DataFrame:
         return self.read("evidence").filter(F.col("evidence_id") == evidence_id)
 
-    def put_manifest(self, rows: DataFrame) -> None:
-        """Replace rows of the same source or location; written beside the old table, then swapped."""
-        old = self.read("manifest").join(rows.select("source_id").distinct(), "source_id", "left_anti").join(rows.select("uri").distinct(), "uri", "left_anti")
-        kept = old.unionByName(rows.select(*old.columns)) if self.exists("manifest") else rows
-        fresh = self.path("manifest.next")
-        kept.write.mode("overwrite").partitionBy("domain").parquet(fresh)
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = p(fresh).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(p(self.path("manifest")), True)
-        fs.rename(p(fresh), p(self.path("manifest")))
+    def manifest(self, domain: str | None = None) -> DataFrame:
+        """Rows in force: the last of every location, and of every source."""
+        by_uri = select.latest(self.read("manifest", domain), "uri", "version")
+        return select.latest(by_uri, "source_id", "version")
 
     def _staged(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows written under the root and read back: appends to the tables they came from cannot change them."""
@@ -85,13 +82,16 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(".staging"))
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def build(self, documents: DataFrame, domain: str, run_id: str) -> dict[str, int]:
-        """One incremental build from documents (uri, text): counts of what came, was skipped, and was added."""
+    def build(self, documents: DataFrame, domain: str, run_id: str, embed: Callable | None = None) -> dict[str, int]:
+        """One incremental build from documents (uri, text): counts of what came, was skipped, and was added.
+
+        Of equal texts the one at the least location counts.  embed, if given, makes an embedder in each worker (see
+        plugin.embeddings); statements without a vector are left out."""
         ordinal = self.read("run").count()
         state = lambda s, o: self.spark.createDataFrame([(run_id, s, o, domain)], TABLES["run"])
         self.append("run", state("RUNNING", ordinal))
-        docs = documents.withColumn("source_id", X.source_id(F.col("text"))).dropDuplicates(["source_id"])
-        new = docs.join(self.read("manifest", domain).select("source_id"), "source_id", "left_anti")
+        docs = select.deduplicated(documents.withColumn("source_id", X.source_id(F.col("text"))), ["source_id"], ["uri"])
+        new = docs.join(self.manifest(domain).select("source_id"), "source_id", "left_anti")
         new = self._staged(new, f"{run_id}-source")
         came, added = docs.count(), new.count()
         facts = 0
@@ -102,17 +102,34 @@ class Store:
             fresh = fresh.withColumns({"evidence_id": F.substring(F.sha2(F.concat_ws("|", F.lit(domain), "fingerprint"), 256), 1, 32), "domain": F.lit(domain)})
             fresh = self._staged(fresh, f"{run_id}-evidence")
             facts = fresh.count()
-            self.append("source", new.withColumn("domain", F.lit(domain)))
+            self.append("source", self._staged(new.join(self.read("source", domain).select("source_id"), "source_id", "left_anti").withColumn("domain", F.lit(domain)), f"{run_id}-sources"))
             self.append("evidence", fresh)
-            record = fresh.withColumns({"confidence": F.lit("medium"), "quality": F.lit(3), "relevance_score": F.lit(3), "specificity_score": F.lit(3), "claim": F.col("statement")})
-            record = E.store_metadata(record)
-            self.append("metadata", record.select("evidence_id", F.col("defaults.enabled").alias("enabled"), F.col("defaults.priority").alias("priority"), F.col("defaults.value").alias("value"), "overall", F.lit(1).alias("version"), "domain"))
-            counts = fresh.groupBy("source_id").agg(F.count("*").alias("evidence_count"))
-            self.put_manifest(new.select("source_id", "uri").join(counts, "source_id", "left").select("source_id", "uri", F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.lit(domain).alias("domain")))
+            held = self.read("evidence", domain).join(new.select("source_id"), "source_id", "left_semi")
+            bare = held.join(self.read("metadata", domain).select("evidence_id"), "evidence_id", "left_anti")
+            record = bare.withColumns({"confidence": F.lit("medium"), "quality": F.lit(3), "relevance_score": F.lit(3), "specificity_score": F.lit(3), "claim": F.col("statement")})
+            record = E.store_metadata(record).select("evidence_id", F.col("defaults.enabled").alias("enabled"), F.col("defaults.priority").alias("priority"), F.col("defaults.value").alias("value"), "overall", F.lit(1).alias("version"), "domain")
+            self.append("metadata", self._staged(record, f"{run_id}-metadata"))
+            if embed is not None:
+                self.embed(domain, embed)
+            counts = held.groupBy("source_id").agg(F.count("*").alias("evidence_count"))
+            rows = new.select("source_id", "uri").join(counts, "source_id", "left")
+            self.append("manifest", rows.select("source_id", "uri", F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.lit(ordinal).cast("long").alias("version"), F.lit(domain).alias("domain")))
         self._drop_staged()
         self.append("run", state("COMPLETED", ordinal + 1))
         return {"documents": came, "skipped": came - added, "added": added, "evidence": facts}
 
+    def embed(self, domain: str, make: Callable) -> None:
+        """Vectors for the evidence that has none yet; statements that get none are skipped."""
+        made = plugin.embeddings(self.read("evidence", domain).select("evidence_id", "statement"), self.read("embedding", domain).select("evidence_id", "vector"), make)
+        rows = made.filter("vector is not null").withColumn("domain", F.lit(domain))
+        self.append("embedding", self._staged(rows, f"embedding-{domain}"))
+
+    def report(self) -> DataFrame:
+        """Per domain: sources in force, their evidence, runs, and the share of runs that completed."""
+        m = self.manifest().groupBy("domain").agg(F.count("*").alias("sources"), F.sum("evidence_count").alias("evidence"))
+        r = self.runs().groupBy("domain").agg(F.count("*").alias("runs"), F.round(F.avg((F.col("status") == "COMPLETED").cast("int")), 4).alias("completed"))
+        return m.join(r, "domain", "full_outer")
+
     def health(self) -> DataFrame:
         """Per domain: sources, evidence, records, whether records and evidence agree within 5 %, readiness."""
         n = lambda name: self.read(name).groupBy("domain").agg(F.count("*").alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -254,8 +255,9 @@ def test_store_builds_incrementally(spark, tmp_path):
     again = store.build(_docs(spark, [("u1", LONG)]), "d", "r2")
     assert again == {"documents": 1, "skipped": 1, "added": 0, "evidence": 0}
     store.build(_docs(spark, [("u1", LONG + "Changed for the better with new thermal storage tanks.")]), "d", "r3")
-    m = store.read("manifest", "d").collect()
+    m = store.manifest("d").collect()
     assert sorted(r.uri for r in m) == ["u1", "u2"]
+    assert [(r.domain, r.sources, r.runs, r.completed) for r in store.report().collect()] == [("d", 2, 3, 1.0)]
     assert store.read("source").count() == 3
     assert {r.run_id: r.status for r in store.runs().collect()} == {"r1": "COMPLETED", "r2": "COMPLETED", "r3": "COMPLETED"}
     e = store.read("evidence")
@@ -264,6 +266,45 @@ def test_store_builds_incrementally(spark, tmp_path):
     assert [r.domain for r in store.domains().collect()] == ["d"]
 
 
+@pytest.mark.parametrize("after", ["source", "evidence", "metadata"])
+def test_a_broken_build_is_completed_by_the_next(spark, tmp_path, monkeypatch, after):
+    """A build that breaks off after any table leaves the others readable; its repetition adds what is missing, once."""
+    store, whole = Store(spark, str(tmp_path / "kb")), Store(spark, str(tmp_path / "whole"))
+    docs = _docs(spark, [("u1", LONG), ("u2", LONG + "Networks need a switch and more fibre for every single rack."), ("u0", LONG)])
+    whole.build(docs, "d", "r1")
+    put = Store.append
+
+    def broken(self, name, rows):
+        put(self, name, rows)
+        if name == after:
+            raise OSError("lost")
+
+    monkeypatch.setattr(Store, "append", broken)
+    with pytest.raises(OSError, match="lost"):
+        store.build(docs, "d", "r1")
+    monkeypatch.undo()
+    assert store.manifest("d").count() == 0
+    store.build(docs, "d", "r1")
+    for name in ("source", "evidence", "metadata"):
+        assert sorted(map(str, store.read(name, "d").collect())) == sorted(map(str, whole.read(name, "d").collect()))
+    assert sorted((r.uri, r.evidence_count) for r in store.manifest("d").collect()) == sorted((r.uri, r.evidence_count) for r in whole.manifest("d").collect())
+    assert sorted(r.uri for r in store.manifest("d").collect()) == ["u0", "u2"]
+
+
+def test_embedding_within_the_build(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kb"))
+    store.build(_docs(spark, [("u1", LONG)]), "d", "r1", embed=lambda: lambda texts: [[float(len(x))] if "rack" in x else None for x in texts])
+    assert store.read("embedding").count() > 0 and store.read("embedding").filter("vector is null").count() == 0
+
+
+def test_research_objects_point_to_the_latest(tmp_path):
+    assert sinks.latest_research_object(str(tmp_path)) is None
+    for n in (1, 2):
+        sinks.research_object({"n": n}, str(tmp_path), f"ro-{n}")
+    assert sinks.latest_research_object(str(tmp_path)) == {"n": 2}
+    assert sinks.linked({"ids": ["a"]}, "ids", ["b", "a", "b"]) == {"ids": ["a", "b"]}
+
+
 def test_stream_feeds_the_store(spark, tmp_path):
     _docs(spark, [("u1", LONG)]).write.parquet(str(tmp_path / "in"))
     store = Store(spark, str(tmp_path / "kb"))
