@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.rules import bound
-from corvane.sources.scratch import scratch_path, stash
+from corvane.sources.scratch import scratch_path, spread, stash
 
 __all__ = ["BLANKS", "BLANK_RE", "WORD_RE", "before_each", "bound", "bounded_broadcast", "fold", "scratch_path", "stash", "table", "text_or_empty", "words_of"]
 
@@ -19,7 +19,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
