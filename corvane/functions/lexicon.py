@@ -354,3 +354,14 @@ QUESTION_TOPICS = (
 )
 TOPIC_SECTIONS = {"power": "power_implications", "cooling": "cooling_implications", "networking": "networking_implications", "rack architecture": "rack_architecture_implications"}
 COVERAGE_WEIGHTS = {"strong": 1.0, "moderate": 0.6, "weak": 0.2, "none": 0.0}
+
+# -- research plans and proxy scores (fixed values) ------------------------------------------------------------
+SUBQUESTIONS = {
+    "FACT_LOOKUP": ("What is the specific answer to: {q}", "What sources contain this information?", "Are there any caveats or conditions on this fact?"),
+    "COMPARISON": ("What are the key dimensions for comparing in: {q}", "What are the strengths of each option?", "What are the limitations of each option?", "Which option is preferred under what conditions?"),
+    "EXPLANATION": ("What is the mechanism behind: {q}", "What are the key contributing factors?", "What evidence supports this explanation?", "Are there alternative explanations?"),
+    "RESEARCH": ("What are the key facts relevant to: {q}", "What evidence exists in the available sources?", "What are the main constraints or limitations?", "What are the practical implications?", "What gaps remain in the available evidence?"),
+}
+PROXY_EVIDENCE = r"(?i)\baccording\s+to\b|\bdata\s+shows?\b|\bevidence\s+suggests?\b|\bsource\b|\bcited\b|\breport\b|\bstudy\b|\banalysis\b"
+PROXY_LOGIC = r"(?i)\bbecause\b|\bsince\b|\btherefore\b|\bthus\b|\bconsequently\b|\bhence\b"
+PROXY_RISK = r"(?i)\brisk\b|\bchallenge\b|\bbarrier\b|\bconstraint\b|\bfail\b|\bhazard\b"

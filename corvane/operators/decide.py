@@ -81,6 +81,15 @@ def question_areas(question: Column) -> Column:
     return F.concat(F.array(F.lit("Overview")), F.array_distinct(opened), F.array(F.lit("Key Findings"), F.lit("Open Questions")))
 
 
+def subquestions(question: Column) -> Column:
+    """The questions that a research type opens, without a model."""
+    chain = None
+    for kind, templates in L.SUBQUESTIONS.items():
+        made = F.array(*[F.concat(F.lit(t.removesuffix("{q}")), question) if t.endswith("{q}") else F.lit(t) for t in templates])
+        chain = R.when(chain, research_type(question) == kind, made)
+    return chain
+
+
 def document_version(text: Column) -> Column:
     rev, ver = F.regexp_extract(text, REVISION, 1), F.regexp_extract(text, VERSION, 1)
     return F.when(rev != "", F.concat(F.lit("Revision "), F.upper(rev))).when(ver != "", F.concat(F.lit("Version "), ver))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, score
+from corvane.operators import chunking, classify, score, select
 from corvane.sources.scratch import stash
 
 
@@ -283,3 +283,51 @@ def gaps(evidence: DataFrame, topics: DataFrame, text: str = "snippet") -> DataF
     left = topics.join(found, "topic", "left_anti")
     order = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
     return left.select("topic", "priority", order.alias("urgency"))
+
+
+def cited(claim: Column, source: Column, evidence_id: Column) -> Column:
+    """A claim with its citation."""
+    return F.concat(claim, F.lit(" [Source: "), source, F.lit(", Evidence: "), F.coalesce(F.nullif(evidence_id, F.lit("")), F.lit("unknown")), F.lit("]"))
+
+
+def implications(evidence: DataFrame, group: Column, order: Sequence[Column | str], most: int = 3) -> DataFrame:
+    """(section, place, text): of every section the first claims with their citations; rows of a null section drop out.
+
+    evidence: claim, source, evidence_id."""
+    e = evidence.withColumn("section", group).filter("section is not null")
+    e = e.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(*order))).filter(F.col("place") <= most)
+    return e.select("section", "place", cited(F.col("claim"), F.col("source"), F.col("evidence_id")).alias("text"))
+
+
+def candidate_pool(evidence: DataFrame) -> DataFrame:
+    """Candidates before ranking, under the names of a pool."""
+    return evidence.select("claim", "category", F.col("snippet").alias("supporting_quote"), "source", "confidence", "relevance_score", F.col("quality").alias("source_quality_score"), "specificity_score", "quantitative_score", F.col("overall_score").alias("candidate_score"))
+
+
+def ranking_counts(candidates: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """One row: candidates, those selected, those discarded."""
+    hit = selected.select(key).distinct().withColumn("__s", F.lit(True))
+    c = candidates.select(key).join(hit, key, "left").agg(F.count("*").alias("candidate_count"), F.count("__s").alias("selected_count"))
+    return c.withColumn("discarded_count", F.col("candidate_count") - F.col("selected_count"))
+
+
+def run_trace(documents: DataFrame, chunks: DataFrame, evidence: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: chunks, selected chunks, evidence and its best score, and its rank by evidence, then by name."""
+    c = chunks.groupBy(doc).agg(F.count("*").alias("chunks"), F.count_if("selected").alias("chunks_selected"))
+    e = evidence.groupBy(doc).agg(F.count("*").alias("evidence"), F.max("overall_score").alias("best_score"))
+    t = documents.select(doc).join(c, doc, "left").join(e, doc, "left").fillna(0, ["chunks", "chunks_selected", "evidence"])
+    return select.numbered(t, [-F.col("evidence"), F.col(doc)], "rank", "").withColumn("rank", F.col("rank").cast("long"))
+
+
+def reason_histogram(rows: DataFrame, reason: str = "reason") -> DataFrame:
+    """Reasons by how often they occur, the most frequent first."""
+    return rows.groupBy(reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), reason)
+
+
+def synonyms(terms: DataFrame, registry: DataFrame) -> DataFrame:
+    """(term, canonical, entry): terms by the registry's canonical spelling, found as itself or as a synonym, whatever its case.
+
+    registry: canonical, synonyms array, entry; a vocabulary."""
+    r = registry.select("canonical", "entry", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical"), "synonyms"), F.lower))).alias("__t"))
+    r = r.groupBy("__t").agg(F.min_by(F.struct("canonical", "entry"), "canonical").alias("r"))
+    return terms.select("term").join(F.broadcast(r), F.lower(F.trim("term")) == F.col("__t"), "left").select("term", "r.canonical", "r.entry")

@@ -127,3 +127,28 @@ def evidence_support(n_linked: Column, n_known: Column) -> Column:
 def risk_support(n_risks: Column, n_specific: Column) -> Column:
     base = F.when(n_risks == 1, 0.50).when(n_risks == 2, 0.75).otherwise(1.0)
     return F.when(n_risks == 0, 0.0).otherwise(F.least(F.lit(1.0), F.round(base + F.least(F.lit(0.15), n_specific / F.greatest(n_risks, F.lit(1)) * 0.15), 3)))
+
+
+def document_priority(quality: Column) -> Column:
+    """Quality of a source as a share of the best."""
+    return quality / 5.0
+
+
+def profile_terms_score(claim: Column, topics: Column, terms: Sequence[str]) -> Column:
+    """How many of a profile's terms a claim and its topics hold."""
+    return R.term_hits(F.concat_ws(" ", claim, F.array_join(topics, " ")), terms)
+
+
+def inference_dimensions(inferences: Column, actions: Sequence[str], tradeoffs: Sequence[str]) -> dict[str, Column]:
+    """Scores of a memo's inferences (an array) by dimension, from the share of them with the words for it."""
+    n = F.size(inferences)
+    share = lambda hit: F.size(F.filter(inferences, hit)) / n
+    bonus = F.least(F.lit(0.30), n / 4.0 * 0.30)
+    score = lambda s: F.when(n == 0, 0.1).otherwise(F.round(F.least(F.lit(1.0), 0.40 + s * 0.60 + bonus), 3))
+    return {
+        "evidence": score(share(lambda x: x.rlike(L.PROXY_EVIDENCE))),
+        "reasoning": score(share(lambda x: x.rlike(L.PROXY_LOGIC))),
+        "tradeoff": score(share(lambda x: R.any_term(x, tradeoffs))),
+        "risk": score(share(lambda x: x.rlike(L.PROXY_RISK))),
+        "actionability": score(share(lambda x: (F.length(x) >= 60) & R.any_term(x, actions))),
+    }

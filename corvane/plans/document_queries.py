@@ -436,3 +436,11 @@ def new_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return K.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(R.term_hits(t, _TERMS)).alias("hits"), F.count_if(R.any_term(t, ("license", "rights"))).alias("licensed"))
+
+
+@query(f"with {_EXTRACTED_SQL.removeprefix('with ')} select md5(claim) claim, category, md5(snippet) supporting_quote, source, confidence, overall_score candidate_score, quality source_quality_score from overall")
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence before ranking, as a pool of candidates."""
+    c = evidence.candidate_pool(_extracted(spark, sf_dir))
+    digest = lambda x: F.md5(F.col(x).cast("binary")).alias(x)
+    return c.select(digest("claim"), "category", digest("supporting_quote"), "source", "confidence", "candidate_score", "source_quality_score")

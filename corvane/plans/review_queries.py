@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
-from corvane.operators import decide, evaluate, link, planner, select
+from corvane.functions import rules as R
+from corvane.operators import classify, decide, evaluate, evidence, link, planner, score, select
 from corvane.plans import carriers as K
 from corvane.plans.catalog import ORACLES, query
 from corvane.plans.document_queries import _QUESTIONS
@@ -173,8 +174,6 @@ def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence by topic."""
-    from corvane.operators import classify
-
     return K.claims(spark, sf_dir).select(F.explode(classify.topics(F.col("claim"))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
@@ -315,3 +314,106 @@ def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumn("skipped", decide.skipped_author(F.col("a")))
     p = p.withColumn("author", F.when(~F.col("skipped"), decide.cleaned(F.col("a"))))
     return p.select("id", "skipped", "author", decide.needs_more(F.col("author"), F.col("o"), F.col("pb")).alias("needs_more"))
+
+
+@query(
+    f"""select id, array_to_string(case research_type {" ".join(f"when {K.quoted(k)} then [{', '.join(K.quoted(x.removesuffix('{q}')) + ' || q' if x.endswith('{q}') else K.quoted(x) for x in xs)}]" for k, xs in L.SUBQUESTIONS.items())} end, '|') subquestions
+    from (select id, q, {K.sql_first_pattern("lower(q)", decide.RESEARCH_TYPES, "RESEARCH")} research_type from {_ASKED_SQL})"""
+)
+def subquestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("id", F.array_join(decide.subquestions(F.col("question")), "|").alias("subquestions"))
+
+
+_INFERRED = f"(select brand k, list(claim order by id) a from {K.CLAIMS_SQL} where id % 9 < 2 group by brand)"
+_PROXY = {
+    "evidence": f"regexp_matches(x, {K.quoted(L.PROXY_EVIDENCE)})",
+    "reasoning": f"regexp_matches(x, {K.quoted(L.PROXY_LOGIC)})",
+    "tradeoff": K.sql_any("x", decide.TRADEOFF_WORDS),
+    "risk": f"regexp_matches(x, {K.quoted(L.PROXY_RISK)})",
+    "actionability": f"length(x) >= 60 and {K.sql_any('x', decide.ACTION_VERBS)}",
+}
+
+
+@query(
+    f"""with d as (select k, {", ".join(f"round(least(1.0, 0.40 + len(list_filter(a, lambda x: {hit})) / len(a)::double * 0.60 + least(0.30, len(a) / 4.0 * 0.30)), 3) {name}" for name, hit in _PROXY.items())} from {_INFERRED})
+    select *, round({" + ".join(f"{w} * {n}" for n, _, w in score.DIMENSIONS)}, 3)::double total from d"""
+)
+def inference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the claims of a brand, taken as a memo's inferences."""
+    c = K.claims(spark, sf_dir).filter("id % 9 < 2").groupBy(F.col("brand").alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", "claim"))).alias("l"))
+    c = c.select("k", F.transform("l", lambda x: x["claim"]).alias("a"))
+    c = c.select("k", *[v.alias(n) for n, v in score.inference_dimensions(F.col("a"), decide.ACTION_VERBS, decide.TRADEOFF_WORDS).items()])
+    return c.withColumn("total", score.recommendation_score({n: F.col(n) for n, _, _ in score.DIMENSIONS})[0])
+
+
+@query(
+    f"""with c as (select id, claim, brand, case when id % 4 > 0 then 'E' || lpad(id::varchar, 6, '0') else '' end e, case when {K.sql_any("claim", ("cooling", "thermal"))} then 'cooling' when {K.sql_any("claim", ("power", "kw"))} then 'power' end section from {K.CLAIMS_SQL}),
+    r as (select *, row_number() over (partition by section order by id) place from c where section is not null)
+    select section, place, claim || ' [Source: ' || brand || ', Evidence: ' || coalesce(nullif(e, ''), 'unknown') || ']' as text_ from r where place <= 3"""
+)
+def implications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("claim")
+    e = K.claims(spark, sf_dir).select("id", "claim", F.col("brand").alias("source"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("E"), F.lpad(F.col("id").cast("string"), 6, "0"))).otherwise("").alias("evidence_id"))
+    group = F.when(R.any_term(c, ("cooling", "thermal")), "cooling").when(R.any_term(c, ("power", "kw")), "power")
+    return evidence.implications(e, group, ["id"]).withColumnRenamed("text", "text_")
+
+
+@query(
+    """with c as (select doc_id, count(*) n from documents group by 1), s as (select distinct doc_id from labels where quality = 1)
+    select count(*) candidate_count, count(s.doc_id) selected_count, count(*) - count(s.doc_id) discarded_count from documents d left join s on d.doc_id = s.doc_id"""
+)
+def ranking_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.ranking_counts(K.table(spark, sf_dir, "documents"), K.table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
+
+
+@query(
+    """with c as (select n_nationkey doc_id, count(s_suppkey) chunks, count(s_suppkey) filter (where s_acctbal > 0) sel from nation left join supplier on s_nationkey = n_nationkey group by 1),
+    e as (select c_nationkey doc_id, count(*) n, max(c_acctbal) b from customer where c_custkey % 7 = 0 group by 1)
+    select c.doc_id, chunks, sel chunks_selected, coalesce(n, 0) evidence, b best_score, row_number() over (order by coalesce(n, 0) desc, c.doc_id) rank from c left join e on c.doc_id = e.doc_id"""
+)
+def run_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and rank of every document of a run; nations stand for documents."""
+    n = K.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
+    c = K.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), (F.col("s_acctbal") > 0).alias("selected"))
+    e = K.table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_acctbal").alias("overall_score"))
+    return evidence.run_trace(n, c, e)
+
+
+@query(f"select reason, count(*) n from ({ORACLES['prohibited_terms']}) group by reason")
+def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.plans.claim_queries import prohibited_terms
+
+    return evidence.reason_histogram(prohibited_terms(spark, sf_dir))
+
+
+_REGISTRY = (("power draw", ("consumption", "kW"), 1), ("rack", ("cabinet", "KW"), 2), ("cooling", (), 3))
+
+
+@query(
+    f"""with r(canonical, synonyms, entry) as (values {", ".join(f"({K.quoted(c)}, [{', '.join(map(K.quoted, s))}]::varchar[], {e})" for c, s, e in _REGISTRY)}), f as (select canonical, entry, lower(unnest(list_concat([canonical], synonyms))) t from r),
+    m as (select t, min(canonical) canonical, arg_min(entry, canonical) entry from f group by t), x as (select p_partkey id, [' kw ', 'Cabinet', 'POWER draw', 'nothing', 'cooling'][p_partkey % 5 + 1] term from part)
+    select term, canonical, entry, count(*) n from x left join m on lower(trim(term)) = t group by all"""
+)
+def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = spark.createDataFrame([(c, list(s), e) for c, s, e in _REGISTRY], "canonical string, synonyms array<string>, entry int")
+    term = F.get(F.array(*map(F.lit, (" kw ", "Cabinet", "POWER draw", "nothing", "cooling"))), (F.col("p_partkey") % 5).cast("int"))
+    found = evidence.synonyms(K.table(spark, sf_dir, "part").select(term.alias("term")), registry)
+    return found.groupBy("term", "canonical", "entry").agg(F.count("*").alias("n"))
+
+
+@query(f"select doc_id, score from ({ORACLES['merged_query_chunks']}) order by score desc, doc_id limit 20")
+def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of what several queries selected."""
+    from corvane.plans.document_queries import merged_query_chunks
+
+    return select.capped_selection(merged_query_chunks(spark, sf_dir), "score", "doc_id", 20).select("doc_id", "score")
+
+
+@query(
+    f"""select id, {K.sql_hits("claim || ' ' || t", ("power", "kw", "rack"))} hits, (1 + id % 5) / 5.0::double priority from (select id, claim, array_to_string(list_filter([{", ".join(f"case when {K.sql_any('claim', t)} then {K.quoted(n)} end" for n, t in L.TOPICS)}], lambda x: x is not null), ' ') t from {K.CLAIMS_SQL})
+    order by hits desc, id limit 12"""
+)
+def profile_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims that hold most of a profile's terms, with the priority of their documents."""
+    c = K.claims(spark, sf_dir).withColumn("hits", score.profile_terms_score(F.col("claim"), classify.topics(F.col("claim")), ("power", "kw", "rack")))
+    return c.orderBy(F.desc("hits"), "id").limit(12).select("id", "hits", score.document_priority(1 + F.col("id") % 5).alias("priority"))
