@@ -2,6 +2,8 @@
 
 Every round is a few shuffles of the links, written to the shared folder; minima are combined before the
 shuffle and the joins back can be split, so a hub's links need not meet in one task.
+
+Cases: links of an id with itself and repeated links count for nothing; no links give no rows; ids are longs, not null.
 """
 
 from __future__ import annotations

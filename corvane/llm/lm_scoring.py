@@ -10,17 +10,18 @@ Three passes over the texts, each a scan without a shuffle of words:
 3. texts are scored by workers that memory-map the arrays.
 
 Arrays are files in the shared folder, written under a temporary name and renamed, so a repeated task does no
-harm; on a store that cannot be mapped, a worker maps a copy that goes with it.  Buckets hold about
+harm; on a store that cannot be mapped, the workers of an executor share a copy that goes with it.  Buckets hold about
 BUCKET_KEYS keys whatever the input's size, so no task holds the model; mapped pages, not memory, bound it.
 
 Tokens are words, A-Z lower-cased, then one end mark; a text's first token follows a start mark.  Cases: a
 null text is empty, just the end mark; unknown words take the uniform share of the lowest order; without
-learning documents all counts are 0 and the model is uniform; repeated rows count as often as they occur.
+learning documents all counts are 0 and the model is uniform; an empty table gives an empty result; repeated rows count
+as often as they occur; long texts are read whole; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
 
-import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -89,27 +90,36 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 
 
 class Files:
-    """Memory-mapped arrays of a folder."""
+    """Memory-mapped arrays of a folder.
+
+    On a store that cannot be mapped a node's workers share one copy of the files they need, in the executor's local
+    folder, which goes with the executor."""
 
     def __init__(self, folder: str):
         self.store, self.path = fs.FileSystem.from_uri(folder)
         self.local = isinstance(self.store, fs.LocalFileSystem)
-        self.copy = None
+        base = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or tempfile.gettempdir()
+        self.copy = os.path.join(base, "corvane-lm-" + hashlib.sha256(folder.encode()).hexdigest()[:16])
         self.open: dict[str, np.ndarray] = {}
 
     def get(self, name: str, kind: type) -> np.ndarray:
         if name not in self.open:
             path = f"{self.path}/{name}"
             if not self.local:
-                if self.copy is None:
-                    self.copy = tempfile.mkdtemp(prefix="lm-")
-                    atexit.register(shutil.rmtree, self.copy, ignore_errors=True)
-                with self.store.open_input_stream(path) as a, open(f"{self.copy}/{name}", "wb") as b:
-                    shutil.copyfileobj(a, b)
-                path = f"{self.copy}/{name}"
+                path = self._copied(path, name)
             self.open[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
         return self.open[name]
 
+    def _copied(self, path: str, name: str) -> str:
+        held = os.path.join(self.copy, name)
+        if not os.path.exists(held):
+            os.makedirs(self.copy, exist_ok=True)
+            fresh = f"{held}.{uuid.uuid4().hex}"
+            with self.store.open_input_stream(path) as a, open(fresh, "wb") as b:
+                shutil.copyfileobj(a, b)
+            os.replace(fresh, held)  # whoever comes second replaces equal bytes
+        return held
+
 
 class Vocabulary:
     """Numbers of words: places in the sorted hashes.  unknown is the number of every other word, start follows."""

@@ -15,7 +15,9 @@ Indexes of blocks come from two levels of running sums (buckets of a source, doc
 source.  The result depends on the rows only: reruns agree.
 
 Cases: a null text has size 0 and is never taken; a null source is a source and sorts last; a source without
-words has target 0; rows equal in id and size are interchangeable; an empty table gives an empty result.
+words has target 0; rows equal in id and size are interchangeable, so repeated rows share what is taken; sources of
+equal cap by weight go by code point; long texts are cut whole into blocks; an empty table gives an empty result; other
+columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ emptied when it holds ``cache_entries``.  The tables only save work: a count nev
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted row by row; a text that holds
 an added-token string, or characters whose class differs between Unicode versions, is encoded whole by the
-library; long texts are processed whole; an empty table gives an empty result.
+library; long texts are processed whole; an empty table gives an empty result; words equally frequent enter the table in
+order; other columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations

@@ -843,6 +843,18 @@ def test_lm_equals_brute_force_and_sums_to_one(spark):
         assert math.isclose(sum(p(w, u) for w in uni) + p("never-seen", u), 1, rel_tol=1e-9)
 
 
+def test_workers_share_a_copy_of_files_that_cannot_be_mapped(tmp_path, monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path / "local"))
+    folder = "file://" + str(tmp_path / "model")
+    lm_scoring.put(folder, "words-0", np.arange(5, dtype=np.uint64))
+    lm_scoring.put(folder, "words-1", np.zeros(0, np.uint64))
+    for _ in range(2):
+        files = lm_scoring.Files(folder)
+        files.local = False
+        assert files.get("words-0", np.uint64).tolist() == [0, 1, 2, 3, 4] and len(files.get("words-1", np.uint64)) == 0
+    assert sorted(x.name for x in (tmp_path / "local").rglob("words-*")) == ["words-0", "words-1"]
+
+
 def test_packed_counts_round_trip():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
