@@ -2,6 +2,10 @@
 
 Documents that the quality classifier rejects go; one document of each near-duplicate group stays; documents
 that hold a benchmark item go; secrets are masked in the texts; what is left is mixed to target weights.
+
+Cases: empty tables give an empty result; null texts count as empty ones and are judged like them; rows of null ids are
+no copies of each other; of repeated rows one stays; without labels of both kinds nothing is rejected; each stage states
+its ties and odd inputs in its operator's module.
 """
 
 from __future__ import annotations
