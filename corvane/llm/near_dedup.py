@@ -410,8 +410,10 @@ def _grouped(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFr
     rows = rows.join(found, "class", "left")
     rows = rows.select("id", "doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component", "class")).alias("component"))
     rows = stash(rows, "components-of-rows")
-    first = stash(rows.filter("doc is not null").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first")), "component-names")
-    return rows.join(bounded_broadcast(first, BROADCAST_IDS), "component", "left").drop("component")
+    # a row alone names its component itself
+    several = rows.filter("doc is not null").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = rows.join(bounded_broadcast(stash(several, "component-names"), BROADCAST_SKETCHES), "component", "left")
+    return rows.select("id", "doc", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("first", F.struct("doc", "id"))).alias("first"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
