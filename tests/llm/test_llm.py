@@ -305,6 +305,7 @@ def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()] + [r[1] or "" for r in ODD]
+    texts += ["it's I'll we've they're I'm he'd don't 's'S \x1c\x1f\x7f\x85\xa0 x", "é'll ß's Ǆ ǀǁ ɏ ɐ ÷ × ² ½ ª º", "a\x00b\x0b\x0c\r\n  \t  end   ", "12٣ Ⅷ ⅷ x²y", "mixed кириллица and 漢字 'll"]
     want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
     blob = open(path, "rb").read().decode()
     for room in (10, 100_000):
