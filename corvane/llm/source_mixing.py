@@ -86,16 +86,20 @@ def packed(bucketed: DataFrame, buckets: DataFrame, keep: tuple[str, ...]) -> Da
     return d.join(bounded_broadcast(buckets.select("sid", "__bucket", "first"), BROADCAST_ROWS), ["sid", "__bucket"]).drop("__h")
 
 
-def permuted(rows: DataFrame, x: str, n: str, key: tuple[str, ...], out: str, seed: int = 0) -> DataFrame:
-    """Rows with out, the place of x in a permutation of 0..n-1 that the key columns select: the swap-or-not shuffle.
+def round_keys(n: Column, *key: Column, seed: int = 0) -> Column:
+    """(key, salt) of every round of the permutation of 0..n-1 that the key columns select."""
+    made = lambda r: F.struct(F.pmod(F.xxhash64(F.lit(seed), *key, r), n).alias("key"), F.xxhash64(F.lit(seed + 1), *key, r).alias("salt"))
+    return F.transform(F.array(*[F.lit(r) for r in range(ROUNDS)]), made)
 
-    A projection a step, so that all rounds are compiled code."""
-    rows = rows.withColumn(out, F.col(x))
-    for r in range(ROUNDS):
-        rows = rows.withColumn("__partner", F.pmod(F.xxhash64(F.lit(seed), *key, F.lit(r)) % F.col(n) - F.col(out), F.col(n)))
-        keep = F.xxhash64(F.lit(seed + 1), *key, F.lit(r), F.greatest(out, "__partner")) % 2 == 0
-        rows = rows.withColumn(out, F.when(keep, F.col("__partner")).otherwise(F.col(out)))
-    return rows.drop("__partner")
+
+def permuted(x: Column, n: Column, rounds: Column) -> Column:
+    """Place of x in a permutation of 0..n-1: the swap-or-not shuffle, by the rounds' keys."""
+
+    def swap(v: Column, r: Column) -> Column:
+        partner = F.pmod(r["key"] - v, n)
+        return F.when(F.xxhash64(F.greatest(v, partner).bitwiseXOR(r["salt"])) % 2 == 0, partner).otherwise(v)
+
+    return F.aggregate(rounds, x, swap)
 
 
 def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataFrame:
@@ -127,12 +131,18 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     runs = runs.withColumns({"filled": F.sum(here).over(in_shard), "place": F.sum(here).over(in_shard.orderBy("sid")) - F.col("last")})  # place + k: a row of the shard
     runs = runs.select("shard", "sid", "filled", "place", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
     runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks"), "sid")
-    slots = runs.select("shard", "sid", "filled", "place", "blocks", F.explode(F.sequence("first", F.least(F.col("first") + piece, "last") - 1)).alias("k"))
-    slots = slots.withColumns({"place": F.col("place") + F.col("k"), "epoch": F.floor(F.col("k") / F.col("blocks")), "k": F.col("k") % F.col("blocks")})
-    slots = permuted(slots, "place", "filled", ("shard",), "slot", seed + 11)
-    slots = permuted(slots, "k", "blocks", ("sid", "epoch"), "block", seed + 7)
-    # written: no join on top derives constraints through all the rounds
-    return stash(slots.select("shard", "slot", "sid", "block"), "slots")
+    # the rounds' keys are made once a run of slots, and for every pass over the source
+    runs = runs.withColumn("in_shard", round_keys(F.col("filled"), F.col("shard"), seed=seed + 11))
+    passes = F.sequence(F.floor(F.col("first") / F.col("blocks")), F.floor((F.least(F.col("first") + piece, "last") - 1) / F.col("blocks")))
+    runs = runs.withColumn("in_source", F.transform(passes, lambda e: round_keys(F.col("blocks"), F.col("sid"), e, seed=seed + 7)))
+
+    def slot(k: Column) -> Column:
+        epoch = (F.floor(k / F.col("blocks")) - F.floor(F.col("first") / F.col("blocks"))).cast("int")
+        block = permuted(k % F.col("blocks"), F.col("blocks"), F.get("in_source", epoch))
+        return F.struct(permuted(F.col("place") + k, F.col("filled"), F.col("in_shard")).alias("slot"), block.alias("block"))
+
+    places = F.sequence("first", F.least(F.col("first") + piece, "last") - 1)
+    return runs.select("shard", "sid", F.inline(F.transform(places, slot))).select("shard", "slot", "sid", "block")
 
 
 def blocks_of(offsets: DataFrame, block: int) -> DataFrame:

@@ -414,7 +414,7 @@ def _mixed(docs):
             v, epoch = k % m, ("l", k // m)
             for r in range(source_mixing.ROUNDS):
                 partner = (_spark_hash(27, sid, epoch, r) - v) % m
-                v = partner if _spark_hash(28, sid, epoch, r, ("l", max(v, partner))) % 2 == 0 else v
+                v = partner if _spark_hash(("l", max(v, partner) ^ _spark_hash(28, sid, epoch, r))) % 2 == 0 else v
             taken.update(blocks[v])
     return taken
 
@@ -444,8 +444,8 @@ def test_targets_share_out_what_caps_cut(spark):
 
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 1000):
-        rows_ = spark.range(n).select("id", F.lit(n).cast("long").alias("n"), F.lit(3).alias("key"))
-        got = source_mixing.permuted(rows_, "id", "n", ("key",), "x").collect()
+        size = F.lit(n).cast("long")
+        got = spark.range(n).select("id", source_mixing.permuted(F.col("id"), size, source_mixing.round_keys(size, F.lit(3))).alias("x")).collect()
         assert sorted(r.x for r in got) == list(range(n))
         assert n < 1000 or sum(r.x == r.id for r in got) < 20
 
