@@ -117,7 +117,6 @@ def test_retrieval_modes(spark):
     assert [r.doc_id for r in retrieve.reranked(retrieve.top(retrieve.scored(c, "lexical", ["power"]), 5, "doc_id"), order, "doc_id", 5).collect()] == [1, 2]
 
 
-@settings(max_examples=15, deadline=None)
 def test_diversity_seeds_then_caps(spark):
     """Every group's best first, then up to the cap, then the rest, as a plain loop chooses them."""
     rows = [(i, "abcd"[(i * 7) % 4], float((i * 13) % 10)) for i in range(40)]
