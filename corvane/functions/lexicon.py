@@ -365,3 +365,10 @@ SUBQUESTIONS = {
 PROXY_EVIDENCE = r"(?i)\baccording\s+to\b|\bdata\s+shows?\b|\bevidence\s+suggests?\b|\bsource\b|\bcited\b|\breport\b|\bstudy\b|\banalysis\b"
 PROXY_LOGIC = r"(?i)\bbecause\b|\bsince\b|\btherefore\b|\bthus\b|\bconsequently\b|\bhence\b"
 PROXY_RISK = r"(?i)\brisk\b|\bchallenge\b|\bbarrier\b|\bconstraint\b|\bfail\b|\bhazard\b"
+
+# -- decision records (fixed values) ---------------------------------------------------------------------------
+STREAM_STOP = ("the", "a", "an", "of", "for", "and", "or", "to", "in", "on", "with", "what", "which", "how", "is", "are", "be", "by", "at", "that", "this", "will", "can", "should", "do", "does", "within", "into", "from", "as")
+RECORD_CAPS = {"themes": 8, "in_scope": 12, "success": 8, "unknowns": 6, "board": 6}
+DECISION_VERBS = ("approve", "decide", "select", "authorize")
+OBJECT_FIELDS = ("research_id", "question", "profile", "status", "created_at", "summary")
+OBJECT_STATES = ("running", "completed", "failed")
