@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import (
     decontamination,
+    filter_audit,
     language_id,
     license_scans,
     lm_scoring,
@@ -80,6 +81,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_lm_scoring,
         op10_language_id,
+        op12_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op3_secret_scans": secret_scans.ORACLE_SQL,
     "op6_license_scans": license_scans.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
