@@ -14,6 +14,7 @@ from corvane.llm import (
     license_scans,
     lm_scoring,
     near_dedup,
+    pii,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -81,6 +82,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_lm_scoring,
         op10_language_id,
+        op11_pii,
         op12_filter_audit,
     )
 }

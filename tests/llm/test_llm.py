@@ -77,6 +77,9 @@ def test_odd_rows(spark, odd, name):
     if name.startswith("op8_"):
         assert sorted({(r.doc_id, r.item_id) for r in got}) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 2)]
         return
+    if name.startswith("op12_"):
+        assert {(r.part, r.kept + r.removed) for r in got if r.step == 1} == {("a", 6), ("", 3), ("b", 2), ("c", 5)} and len(got) == 4 * 600
+        return
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ODD)
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     if name.startswith("op1_"):
@@ -98,6 +101,8 @@ def test_odd_rows(spark, odd, name):
         assert by[5].n_tokens == 1 and by[9].n_tokens == 60_001 and all(math.isfinite(r.score) for r in got)
     elif name.startswith("op10_"):
         assert by[11].lang_pred == "und" and by[5].lang_pred == "und" and by[1].lang_pred in ("en", "de", "fr")
+    elif name.startswith("op11_"):
+        assert by[5].spans == "" and by[5].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
