@@ -42,8 +42,8 @@ EMAIL, IP, CARD, PHONE = range(4)
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS, LONGEST_GRAM = 3, 0.5, 3, 3
 #: Instances and spans are joined by broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
-#: The bitmap has 16 bits for each n-gram, up to 64 MB.
-MOST_BITS = 29
+#: The bitmap has 64 bits for each n-gram, from 4 MB up to 64.
+LEAST_BITS, MOST_BITS = 25, 29
 
 # the strict forms; possessive, as their runs are maximal
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -232,7 +232,7 @@ def gram_counts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataF
     """gram, n: occurrences in all texts of (at least) the wanted n-grams."""
     spark = docs.sparkSession
     n_wanted = wanted.count()
-    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(16 * n_wanted + 1)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(64 * n_wanted + 1)))))
     bit = F.call_function("shiftrightunsigned", F.col("gram"), F.lit(64 - bits))
     words = wanted.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("mask")
