@@ -1,62 +1,62 @@
 """Chunks of documents.
 
-A document of at most ``most`` characters is one chunk and stays native.  Longer ones are cut in a fold over
-their sentence ends: the first end in [pos + target, pos + most), else the last one before it, else a hard cut.
-The fold reads only the offsets of the ends, in one Arrow pass over the long documents.
+A document of at most ``most`` characters is one chunk.  Longer ones are cut in a fold over the lengths of their sentences:
+at the first end in [pos + target, pos + most), else at the last one before it, else after most characters.  The fold reads
+numbers only; a chunk is then joined from its pieces, so that no chunk is sought from the text's start.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import rules as R
 from corvane.functions import text as T
 
-_END = re.compile(r"[.!?](?=[ \t\n\x0b\f\r])")
+_BETWEEN = r"(?<=[.!?])(?=[ \t\n\x0b\f\r])"
 
 
-def cut_points(text: str, target: int, most: int) -> list[int]:
-    """Ends of the chunks of a text; their concatenation is the text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    out, pos, n = [], 0, len(text)
-    while pos + most < n:
-        i = bisect.bisect_left(ends, pos + target)
-        if i < len(ends) and ends[i] < pos + most:
-            pos = ends[i]
-        else:
-            j = bisect.bisect_left(ends, pos + most) - 1
-            pos = ends[j] if j >= 0 and ends[j] > pos else pos + most
-        out.append(pos)
-    out.append(n)
-    return out
+def _spans(lengths: Column, n: Column, target: int, most: int) -> Column:
+    """array<struct<first, upto, start, end>>: chunks as ranges of pieces, and as offsets.  No piece is longer than most."""
+    cut = lambda s, upto, end: F.array(F.struct(s["first"].alias("first"), upto.alias("upto"), s["pos"].alias("start"), end.alias("end")))
+    none = F.expr("cast(array() as array<struct<first: int, upto: int, start: int, end: int>>)")
+    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "at", "pos", "first")], none.alias("cuts"))
+
+    def step(s: Column, length: Column) -> Column:
+        e = s["at"] + length
+        # the end comes too late for the chunk that is open: it closes before this piece
+        before = (s["pos"] + most < n) & (e >= s["pos"] + most) & (s["at"] > s["pos"])
+        pos, first = F.when(before, s["at"]).otherwise(s["pos"]), F.when(before, s["i"]).otherwise(s["first"])
+
+        def rest(t: Column) -> Column:
+            after = (t["pos"] + most < n) & (e >= t["pos"] + target)
+            cuts = F.when(after, F.concat(t["cuts"], cut(t, s["i"] + 1, e))).otherwise(t["cuts"])
+            return F.struct((s["i"] + 1).alias("i"), e.alias("at"), F.when(after, e).otherwise(t["pos"]).alias("pos"), F.when(after, s["i"] + 1).otherwise(t["first"]).alias("first"), cuts.alias("cuts"))
+
+        held = F.when(before, F.concat(s["cuts"], cut(s, s["i"], s["at"]))).otherwise(s["cuts"])
+        return R.bound(F.struct(pos.alias("pos"), first.alias("first"), held.alias("cuts")), rest)
+
+    return F.aggregate(lengths, start, step, lambda s: F.concat(s["cuts"], cut(s, s["i"], n)))
+
+
+def chunk_list(text: Column, target: int, most: int) -> Column:
+    """array<struct<start, end, text>> of a text that is not empty."""
+    short = lambda p: F.length(p) <= most
+    pieces = F.flatten(F.transform(F.split(text, _BETWEEN), lambda p: F.when(short(p), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)))))
+    made = lambda start, end, t: F.struct(start.alias("start"), end.alias("end"), t.alias("text"))
+    joined = lambda p: F.transform(_spans(F.transform(p, F.length), F.length(text), target, most), lambda c: made(c["start"], c["end"], F.array_join(F.slice(p, c["first"] + 1, c["upto"] - c["first"]), "")))
+    return F.when(short(text), F.array(made(F.lit(0), F.length(text), text))).otherwise(R.bound(pieces, joined))
 
 
 def chunks(docs: DataFrame, target: int = 7000, most: int = 8000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_number from 1, start_offset, end_offset, chunk_text); empty and null texts have no chunks."""
+    """(key, chunk_number from 1, start_offset, end_offset, chunk_text); empty and null texts have no chunks.  One narrow pass."""
     full = docs.select(key, F.col(text).alias("__t")).filter(F.length("__t") > 0)
-    short = full.filter(F.length("__t") <= most).select(key, F.lit(1).alias("chunk_number"), F.lit(0).alias("start_offset"), F.length("__t").alias("end_offset"), F.col("__t").alias("chunk_text"))
-    kind = full.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch["__t"], strict=True):
-                start = 0
-                for n, end in enumerate(cut_points(t, target, most), 1):
-                    rows.append((k, n, start, end, t[start:end]))
-                    start = end
-            yield pd.DataFrame(rows, columns=[key, "chunk_number", "start_offset", "end_offset", "chunk_text"])
-
-    long = full.filter(F.length("__t") > most).mapInPandas(cut, f"`{key}` {kind}, chunk_number int, start_offset int, end_offset int, chunk_text string")
-    return short.unionByName(long)
+    c = full.select(key, F.posexplode(chunk_list(F.col("__t"), target, most)).alias("__n", "__c"))
+    return c.select(key, (F.col("__n") + 1).alias("chunk_number"), F.col("__c.start").alias("start_offset"), F.col("__c.end").alias("end_offset"), F.col("__c.text").alias("chunk_text"))
 
 
 def chunk_id(name: Column, number: Column) -> Column:

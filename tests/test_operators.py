@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import collections
 import math
+import random
+import re
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -16,15 +17,31 @@ from corvane.sources.store import Store
 from corvane.streaming import ingest
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .!?\n", max_size=400))
-def test_chunks_join_to_the_text(text):
-    if not text:
-        return
-    cuts = chunking.cut_points(text, 30, 40)
-    starts = [0, *cuts[:-1]]
-    assert "".join(text[a:b] for a, b in zip(starts, cuts, strict=True)) == text
-    assert all(0 < b - a <= 40 for a, b in zip(starts, cuts, strict=True))
+def _cut_points(text, target, most):
+    """Ends of chunks by the rule, one after the other."""
+    ends = [m.end() for m in re.finditer(r"[.!?](?=[ \t\n\x0b\f\r])", text)]
+    out, pos = [], 0
+    while pos + most < len(text):
+        first = [e for e in ends if pos + target <= e < pos + most]
+        last = [e for e in ends if pos < e < pos + most]
+        pos = first[0] if first else last[-1] if last else pos + most
+        out.append(pos)
+    return [*out, len(text)]
+
+
+@pytest.mark.parametrize("target, most", [(30, 40), (1, 5), (39, 40), (7, 90)])
+def test_chunks_are_cut_by_the_rule(spark, target, most):
+    rng = random.Random(target)
+    texts = ["".join(rng.choices("ab😀é .!?\n", weights=(rng.choice((1, 9)), 9, 1, 1, rng.choice((1, 6)), rng.choice((0, 1, 3)), 0.3, 0.3, 0.3), k=rng.randint(1, 420))) for _ in range(400)]
+    texts += ["x" * n for n in (most - 1, most, most + 1, 2 * most, 3 * most + 1)] + ["x" * (most - 1) + ". y", "a. " + "x" * (2 * most) + ". " + "b. " * most]
+    got = chunking.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), target, most).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got):
+        by[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        assert [r.end_offset for r in by[i]] == _cut_points(t, target, most), t
+        assert [r.chunk_text for r in by[i]] == [t[r.start_offset : r.end_offset] for r in by[i]] and "".join(r.chunk_text for r in by[i]) == t
+        assert [r.chunk_number for r in by[i]] == list(range(1, len(by[i]) + 1))
 
 
 def test_text_without_stops_is_cut_hard(spark):
