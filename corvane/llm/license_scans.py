@@ -7,6 +7,9 @@ line, as notices often stand on lines of their own without an end mark.  A licen
 identifiers; such rules are tried in order, and a run that one has matched is spent, so fuller licences stand before
 their parts.  Every other identifier that is a licence of its own names it.
 
+SPDX expressions are read whole: every operand of AND and OR, whatever its parentheses, is a notice of its own.  "+" after a
+GNU licence is its "or later" form, after another it changes nothing; an exception (WITH) leaves its licence's name.
+
 Known sentences hold one of ANCHORS, so texts without any are passed over after a plain search.
 
 Cases: a null or empty text has no identifiers and no licence; a sentence repeated in a text gives its identifier each
@@ -51,6 +54,17 @@ LICENSES = (
     ("EUPL-1.2", True, ("european union public licence version 1 2", "eupl version 1 2", "european union public license version 1 2")),
     ("CECILL-2.1", True, ("cecill free software license agreement version 2 1",)),
     ("MS-PL", True, ("microsoft public license",)),
+    ("MIT-0", False, ("mit no attribution", "mit no attribution license")),
+    ("NCSA", False, ("university of illinois ncsa open source license", "ncsa license")),
+    ("UPL-1.0", False, ("universal permissive license version 1 0", "universal permissive license v 1 0")),
+    ("BlueOak-1.0.0", False, ("blue oak model license 1 0 0", "blue oak model license version 1 0 0")),
+    ("MulanPSL-2.0", False, ("mulan psl v2", "mulan permissive software license version 2")),
+    ("AFL-3.0", False, ("academic free license version 3 0", "academic free license 3 0")),
+    ("OSL-3.0", True, ("open software license version 3 0", "open software license 3 0")),
+    ("EUPL-1.1", True, ("eupl version 1 1", "european union public license version 1 1", "european union public licence version 1 1")),
+    ("BUSL-1.1", True, ("business source license 1 1", "business source license version 1 1")),
+    ("SSPL-1.0", True, ("server side public license version 1", "server side public license v 1")),
+    ("Elastic-2.0", True, ("elastic license 2 0", "elastic license version 2 0")),
     ("CC0-1.0", False, ("cc0 1 0 universal", "creative commons zero v1 0 universal", "cc0 1 0", "cc0")),
 )
 #: The GNU licences: part of the identifier, name, versions.
@@ -60,7 +74,9 @@ CC = {"BY": "attribution", "NC": "noncommercial", "ND": "noderivatives", "SA": "
 CC_KINDS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: How a notice begins, in normal form; what follows is the name of a licence.
-NOTICE = r"^(?:this(?: [a-z]+){1,5} (?:is|are) )?(?:licensed|released|distributed|published|provided|(?:made )?available) under (?:the terms of )?(?:the )?"
+NOTICE = r"^(?:this(?: [a-z]+){1,5} (?:is|are) )?(?:licensed|released|distributed|published|provided|(?:made )?available) under (?:the terms of )?(?:the )?|^licen[sc]e (?:the )?"
+#: A notice that ends in the word; what is between is the name.
+LICENSED = (r"^this [a-z]+ (?:is|are) (.+) licensed$", "licensed under {0}1")
 #: Sentences of licence texts and headers in normal form, and their identifiers.
 TEXTS = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -107,7 +123,7 @@ RULES = (
     ("MIT", ("mit-grant", "mit-notice")),
     ("Apache-2.0", ("Apache-2.0", "apache-file")),
 )
-ANCHORS = ("licen", "wtfpl", "permi", "redistribut", "copyright", "reserved", "domain", "later", "cc0", "unencumbered", "advertising", "eupl", "psf")
+ANCHORS = ("licen", "released", "distributed", "published", "provided", "available", "wtfpl", "permi", "redistribut", "copyright", "reserved", "domain", "later", "cc0", "unencumbered", "advertising", "eupl", "psf")
 
 
 def _normal(name: str) -> str:
@@ -134,8 +150,8 @@ def known_sentences() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]]
             forms = [f"{name} version {v}", f"{name} v{v}", f"{name} {v}", f"{_normal(short)}v{v}", f"{name} version {whole}", f"{name} v{whole}"]
             named += [(f, only) for f in forms] + [(f"{f} only", only) for f in forms]
             named += [(f"{f} {x}", later) for f in forms for x in ("or later", "or any later version", "or at your option any later version")]
-            for old in (f"{short}-{whole}", f"{short}-{whole}+"):
-                sentences[f"spdx license identifier {_normal(old)}"] = only
+            sentences[f"spdx license identifier {_normal(f'{short}-{whole}')}"] = only
+            named.append((_normal(f"{short}-{whole}"), only))
             of = name.removesuffix(" license")
             for thing in ("program", "library", "software", "file"):
                 free = f"this {thing} is free software you can redistribute it and or modify it under the terms of the {of} license"
@@ -153,28 +169,50 @@ def known_sentences() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]]
         licences.setdefault(licence, False)
         if licence not in ("Public-Domain", "All-Rights-Reserved"):
             sentences[f"spdx license identifier {_normal(licence)}"] = licence
+            named.append((_normal(licence), licence))
     sentences |= {f"licensed under {name}": spdx for name, spdx in named}
     return sentences | {re.sub(NOTICE, "licensed under ", s): i for s, i in TEXTS.items()}, tuple(rules), licences
 
 
 SENTENCES, RUNS, RESTRICTS = known_sentences()
 UNIT, BLANKS_ = "\x1e", r"[\x20\x09-\x0D]"
-#: "v. 2.0" is no end of a sentence; the parts of an SPDX expression are notices of their own.
+#: "v. 2.0" is no end of a sentence.
 VERSION = (rf"\b([vV])\.{BLANKS_}+([0-9])", "{0}1 {0}2")
-EXPRESSION = (r"(SPDX-License-Identifier:[ \t]*\(?[A-Za-z0-9.+-]+)[ \t]+(?:OR|AND)[ \t]+\(?([A-Za-z0-9.+-]+)", "{0}1" + UNIT + "SPDX-License-Identifier: {0}2")
+LATER = (r"\b([AL]?GPL-?v?[0-9][0-9.]*)\+", "{0}1-or-later")
+TAG, SPDX_ID = "SPDX-License-Identifier:", r"[A-Za-z0-9.+-]+"
+#: A field of a licence's name with operators is an SPDX expression as well.
+FIELD = (rf"((?:^|\n)[^A-Za-z0-9\n]*)[Ll]icen[sc]e:([ \t]*[( \t]*{SPDX_ID}[ \t)]+(?:OR|AND|WITH)[ \t(]+{SPDX_ID})", "{0}1" + TAG + "{0}2")
+#: An expression after its tag; what is left out of it; where its operands part.
+EXPRESSION = rf"^[ \t]*[( \t]*{SPDX_ID}(?:[ \t)]+(?:OR|AND|WITH|or|and|with)[ \t(]+{SPDX_ID})*"
+WITHOUT = rf"[ \t)]+(?:WITH|with)[ \t(]+{SPDX_ID}|\+"
+BETWEEN = r"[ \t)]+(?:OR|AND|or|and)[ \t(]+"
 BREAKS = rf":{BLANKS_}*\n|:{BLANKS_}+\(?[0-9a-e]{{1,2}}[.)]{BLANKS_}|\n[^A-Za-z0-9\n]*\n|\n[^A-Za-z0-9\n]*\(?(?:[0-9]{{1,2}}|[a-e])\){BLANKS_}|[.!?]{BLANKS_}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def expressions_apart(text: Column) -> Column:
+    """The text, with each operand of its SPDX expressions in a sentence with a tag of its own."""
+    tag = UNIT + TAG + " "
+
+    def one(p: Column) -> Column:
+        head = F.regexp_extract(p, EXPRESSION, 0)
+        operands = F.regexp_replace(F.regexp_replace(head, WITHOUT, ""), BETWEEN, tag)
+        return F.concat(F.lit(tag), operands, F.substring(p, F.length(head) + 1, F.length(p)))
+
+    parts = lambda ps: F.concat(F.get(ps, 0), F.array_join(F.transform(F.slice(ps, F.lit(2), F.size(ps)), one), ""))
+    return F.when(F.contains(text, F.lit(TAG)), bound(F.split(text, TAG), parts)).otherwise(text)
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     cut = F.regexp_replace(text, VERSION[0], VERSION[1].format("$"))
-    cut = F.regexp_replace(cut, EXPRESSION[0], EXPRESSION[1].format("$"))
+    cut = F.regexp_replace(cut, LATER[0], LATER[1].format("$"))
+    cut = expressions_apart(F.regexp_replace(cut, FIELD[0], FIELD[1].format("$")))
     cut = F.regexp_replace(cut, BREAKS, UNIT)
     low = F.regexp_replace(F.translate(cut, UPPER, LOWER), rf"[^a-z0-9\n{UNIT}]+", " ")
     low = F.replace(F.replace(low, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     known = lambda s: s.isin(*SENTENCES)
-    plain = lambda s: F.regexp_replace(F.trim(s), NOTICE, "licensed under ")
+    plain = lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), LICENSED[0], LICENSED[1].format("$")), NOTICE, "licensed under ")
     lines = lambda u: F.filter(F.transform(F.split(u, "\n"), plain), known)
     found = F.flatten(F.transform(F.split(low, UNIT), lambda u: bound(plain(F.translate(u, "\n", " ")), lambda s: F.when(known(s), F.array(s)).otherwise(lines(u)))))
     table = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,string>")
@@ -215,15 +253,21 @@ def _oracle() -> str:
     names = ", ".join(map(q, RESTRICTS))
     strict = ", ".join(q(k) for k, v in RESTRICTS.items() if v)
     unit = r"\x1e"
-    cut = f"regexp_replace(coalesce(text, ''), {q(VERSION[0])}, '{VERSION[1].format(chr(92))}', 'g')"
-    cut = f"regexp_replace({cut}, {q(EXPRESSION[0])}, {q(EXPRESSION[1].format(chr(92)).replace(UNIT, '@@'))}, 'g')".replace("@@", "' || chr(30) || '")
+    bs = chr(92)
+    cut = "coalesce(text, '')"
+    for pattern, by in (VERSION, LATER, FIELD):
+        cut = f"regexp_replace({cut}, {q(pattern)}, {q(by.format(bs))}, 'g')"
+    tag = f"chr(30) || {q(TAG + ' ')}"
+    operands = f"regexp_replace(regexp_replace(regexp_extract(p, {q(EXPRESSION)}), {q(WITHOUT)}, '', 'g'), {q(BETWEEN)}, {tag}, 'g')"
+    cut = f"array_to_string(list_transform(string_split({cut}, {q(TAG)}), lambda p, i: case when i = 1 then p else {tag} || {operands} || substr(p, length(regexp_extract(p, {q(EXPRESSION)})) + 1) end), '')"
+    plain = lambda x: f"regexp_replace(regexp_replace(trim({x}), {q(LICENSED[0])}, {q(LICENSED[1].format(bs))}), {q(NOTICE)}, 'licensed under ')"
     cut = f"regexp_replace({cut}, {q(BREAKS)}, chr(30), 'g')"
     low = f"replace(replace(regexp_replace(translate({cut}, '{UPPER}', '{LOWER}'), '[^a-z0-9\\n{unit}]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))"
     return f"""with k as (select * from (values {table}) t(s, id)), m as (select list(s) s from k),
       a as (select row_number() over () rid, doc_id, string_split({low}, chr(30)) u from documents),
-      w as (select rid, i, u[i] u, regexp_replace(trim(replace(u[i], chr(10), ' ')), {q(NOTICE)}, 'licensed under ') s from (select rid, u, unnest(range(1, len(u) + 1)) i from a)),
+      w as (select rid, i, u[i] u, {plain("replace(u[i], chr(10), ' ')")} s from (select rid, u, unnest(range(1, len(u) + 1)) i from a)),
       f as (select w.rid, w.i, 0 j, k.id from w join k on w.s = k.s
-        union all select l.rid, l.i, l.j, k.id from (select rid, i, unnest(range(1, len(string_split(u, chr(10))) + 1)) j, u from w where s not in (select s from k)) l join k on regexp_replace(trim(string_split(l.u, chr(10))[l.j]), {q(NOTICE)}, 'licensed under ') = k.s),
+        union all select l.rid, l.i, l.j, k.id from (select rid, i, unnest(range(1, len(string_split(u, chr(10))) + 1)) j, u from w where s not in (select s from k)) l join k on {plain("string_split(l.u, chr(10))[l.j]")} = k.s),
       g as (select rid, list(id order by i, j) ids from f group by rid),
       b as (select doc_id, coalesce(ids, []) ids, coalesce(array_to_string(list_transform(ids, lambda x: '|' || x || '|'), ''), '') run from a left join g on a.rid = g.rid),
       {", ".join(steps)},

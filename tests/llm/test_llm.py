@@ -607,6 +607,34 @@ def test_licences_are_found_wrapped_and_in_comments(spark):
     assert rows(con.sql(license_scans.ORACLE_SQL).df()) == rows(license_scans.licenses(docs).toPandas())
 
 
+#: SPDX expressions and the licences that they name, in the order in which they stand.
+EXPRESSIONS = (
+    ("MIT", "MIT"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0+", "GPL-2.0-or-later"), ("GPL-2.0-only", "GPL-2.0-only"), ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("LGPL-2.1+", "LGPL-2.1-or-later"),
+    ("LGPL-3.0", "LGPL-3.0-only"), ("AGPL-3.0+", "AGPL-3.0-or-later"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0+", "GPL-3.0-or-later"), ("EPL-1.0+", "EPL-1.0"), ("MPL-1.1+", "MPL-1.1"), ("Apache-2.0+", "Apache-2.0"),
+    ("MIT OR Apache-2.0", "MIT,Apache-2.0"), ("MIT AND Apache-2.0", "MIT,Apache-2.0"), ("(MIT OR Apache-2.0)", "MIT,Apache-2.0"), ("MIT OR Apache-2.0 OR BSD-3-Clause", "MIT,Apache-2.0,BSD-3-Clause"),
+    ("EPL-2.0 AND MIT AND ISC", "EPL-2.0,MIT,ISC"), ("MIT OR Apache-2.0 OR ISC OR Zlib OR 0BSD", "MIT,Apache-2.0,ISC,Zlib,0BSD"), ("GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+    ("GPL-2.0+ WITH Bison-exception-2.2", "GPL-2.0-or-later"), ("Apache-2.0 WITH LLVM-exception", "Apache-2.0"), ("Apache-2.0 WITH LLVM-exception OR MIT", "Apache-2.0,MIT"),
+    ("(GPL-2.0-only WITH Linux-syscall-note) OR MIT", "GPL-2.0-only,MIT"), ("((GPL-2.0 WITH Linux-syscall-note) OR MIT)", "GPL-2.0-only,MIT"), ("EPL-2.0 OR (GPL-2.0-only WITH Classpath-exception-2.0)", "EPL-2.0,GPL-2.0-only"),
+    ("MIT AND (Apache-2.0 OR BSD-2-Clause)", "MIT,Apache-2.0,BSD-2-Clause"), ("(MIT AND ISC) OR (Apache-2.0 AND (BSL-1.0 OR Zlib))", "MIT,ISC,Apache-2.0,BSL-1.0,Zlib"), ("( MIT   OR\tISC )", "MIT,ISC"),
+    ("mit or isc", "MIT,ISC"), ("MIT OR MIT", "MIT"), ("LicenseRef-Own OR MIT", "MIT"), ("MIT OR LicenseRef-Own", "MIT"), ("LicenseRef-Own", ""), ("BUSL-1.1", "BUSL-1.1"), ("CC-BY-SA-4.0 AND CC0-1.0", "CC-BY-SA-4.0,CC0-1.0"),
+    ("GPL-2.0+ OR LGPL-2.1+ OR AGPL-3.0+", "GPL-2.0-or-later,LGPL-2.1-or-later,AGPL-3.0-or-later"), ("MPL-2.0 OR EUPL-1.2 AND OFL-1.1", "MPL-2.0,EUPL-1.2,OFL-1.1"), ("Unlicense OR WTFPL", "Unlicense,WTFPL"), ("NONE", ""), ("", ""),
+)
+
+
+def test_spdx_expressions_are_read_whole(spark):
+    forms = ("SPDX-License-Identifier: {}\nint main();", "// SPDX-License-Identifier: {}", "/* SPDX-License-Identifier: {} */\nx", "Some words.\n# SPDX-License-Identifier: {}\n# SPDX-License-Identifier: {}\nmore")
+    cases = [(want, f.format(e, e)) for e, want in EXPRESSIONS for f in forms]
+    cases += [(want, f"# License: {e}\n") for e, want in EXPRESSIONS if " OR " in e and not e.startswith("(")]
+    cases += [("MIT", "License: MIT\n"), ("MIT", "This project is MIT licensed."), ("Apache-2.0", "license: Apache License 2.0"), ("GPL-2.0-or-later", "Licence: GPLv2+"), ("GPL-3.0-or-later", "Released under the GPL-3.0+."), ("BUSL-1.1", "Licensed under the Business Source License 1.1."), ("", "This house is well licensed."), ("", "License: see below")]
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(cases)], "doc_id long, text string")
+    got = license_scans.licenses(docs).collect()
+    order = {n: i for i, n in enumerate(("GPL-2.0-or-later", "GPL-3.0-or-later"))}  # rules come before single sentences
+    assert {(cases[r.doc_id], r.licenses) for r in got if r.licenses.split(",") != sorted(cases[r.doc_id][0].split(","), key=lambda n: order.get(n, 9))} == set()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert rows(con.sql(license_scans.ORACLE_SQL).df()) == rows(license_scans.licenses(docs).toPandas())
+
+
 def test_known_sentences_hold_an_anchor():
     assert all(any(a in s for a in license_scans.ANCHORS) for s in license_scans.SENTENCES)
 
