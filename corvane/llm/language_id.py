@@ -6,7 +6,8 @@ frequencies are counted over all learning documents.  Weights are trained by fol
 aside calibrates the probabilities.  Texts are read whole.
 
 The sample has at most ``max_fit_rows`` rows, one for each distinct text of a language.  The languages take turns
-with their texts of least hash, so copies cannot crowd it out and a rare language is in it at any size.
+with their texts of least hash, so copies cannot crowd it out and a rare language is in it at any size.  The temperature is
+fitted on a fifth of each language's rows, and on none of a language with fewer than five.
 
 Cases: ``und`` with score 0 for a null text or one without a letter; rows of null language teach nothing; a
 single learnt language is predicted with score 1; without any, and in an empty table, all is ``und``; ties go to the
@@ -173,8 +174,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
         sparse.append((at, x / max(np.sqrt((x * x).sum()), 1e-9)))
     if len(languages) < 2:
         return Model(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0) if languages else None
-    aside = np.zeros(len(got), bool)
-    aside[np.random.default_rng(3).permutation(len(got))[: len(got) // 5]] = True
+    aside = set_aside(y)
     w = ftrl([s for s, k in zip(sparse, aside, strict=True) if not k], y[~aside], len(languages))
     logits = np.array([x @ w[at] + w[BUCKETS] for (at, x), k in zip(sparse, aside, strict=True) if k]).reshape(-1, len(languages))
     best, temperature = np.inf, 1.0
@@ -185,6 +185,15 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     return Model(languages, idf, w[:BUCKETS].astype(np.float32), w[BUCKETS], temperature)
 
 
+def set_aside(y: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A fifth of each language's rows, rounded down: of fewer than five none, so that every language is learnt."""
+    out, rng = np.zeros(len(y), bool), np.random.default_rng(seed)
+    for k in np.unique(y):
+        own = np.flatnonzero(y == k)
+        out[rng.permutation(own)[: len(own) // 5]] = True
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, lang_pred and score of every row, in one narrow pass."""
     rows = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))

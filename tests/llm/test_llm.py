@@ -254,6 +254,20 @@ def test_language_sample_survives_copies(spark):
     assert language_id.fit(docs, F.lit(True), max_fit_rows=2).languages == ["de", "en"]
 
 
+def test_a_language_of_one_text_is_learnt_at_any_size(spark):
+    for n in range(3, 301):
+        y = np.array([0] + [1] * (n - 1))
+        aside = language_id.set_aside(y)
+        assert not aside[0] and aside.sum() == (n - 1) // 5
+    assert not language_id.set_aside(np.arange(40)).any()
+    words = "the of and to in that is was for with on by from this are be".split()
+    for n in (3, 25, 60):
+        said = [(i, " ".join(words[(i * k) % 16] for k in range(1, 12)) + f" {i}", "en") for i in range(n)]
+        docs = spark.createDataFrame([*said, (999, "\u03b7 \u03b3\u03c1\u03ae\u03b3\u03bf\u03c1\u03b7 \u03b1\u03bb\u03b5\u03c0\u03bf\u03cd \u03c0\u03b7\u03b4\u03ac", "el")], "doc_id long, text string, lang string")
+        got = language_id.predict(docs, language_id.fit(docs, F.lit(True))).collect()
+        assert all(r.lang_pred == ("el" if r.doc_id == 999 else "en") for r in got), n
+
+
 def test_short_texts_take_little_memory():
     """Pieces of a batch are bounded by documents as well as by bytes."""
     data, offsets = kernel.utf8(pa.array(["x"] * 10_000 + [""] * 10_000))
