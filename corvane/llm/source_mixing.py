@@ -1,29 +1,28 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of a source, document after document in a pseudorandom but fixed order, are packed into blocks of
-``block`` words; the source's documents are dealt to buckets of some thousands, and a bucket's last block may be shorter,
-so that blocks are cut where the documents were gathered.  Weights give each source a target, cut at ``max_repeats`` times its size; what is cut is
+``block`` words; only the last block of a source may be shorter.  Weights give each source a target, cut at ``max_repeats`` times its size; what is cut is
 shared out again by weight.  The output is a row of slots of one block each, dealt to shards of ``shard_slots``.
 Every shard draws multinomial counts of the sources; draws beyond a source's quota of slots are returned and
 fill the quotas that came out short (about the square root of the slots; they form one more shard).  The k-th
 slot of a source takes the block at the k-th place of the source's permutation (swap-or-not shuffle of the
-block indexes, another one for every pass over the source), and blocks are joined by index.  The mix itself, a row
+indexes of full blocks, another one for every pass over the source, which the short block closes), and blocks are joined by
+index.  So a source's taken words differ from its target by half a block at most.  The mix itself, a row
 of (shard, slot, sid, block, words, parts) for every slot, is written as Parquet; a shard is its rows by slot, in
 which the sources are shuffled.  Words of a block are joined by one blank.
 
-Indexes of blocks come from two levels of running sums (buckets of a source, documents of a bucket), so no task holds a
-source.  The result depends on the rows only: reruns agree.
+Offsets come from two levels of running sums (buckets of a source, documents of a bucket), so no task holds a source: a
+document is cut at its source's block edges where its bucket was gathered, and the pieces meet where the blocks are joined.
+The result depends on the rows only: reruns agree.
 
 Cases: a null text has size 0 and is never taken; a null source is a source and sorts last; a source without
-words has target 0; rows equal in id and size are interchangeable, so repeated rows share what is taken; sources of
+words has target 0; rows equal in id and text are interchangeable, so repeated rows share what is taken; sources of
 equal cap by weight go by code point; long texts are cut whole into blocks; an empty table gives an empty result; other
 columns may have any names, as only the named ones are read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +31,14 @@ from corvane.llm.base import BLANKS, bound, bounded_broadcast, stash, words_of
 WEIGHTS = (5, 2, 1)
 ROUNDS = 24
 BROADCAST_ROWS = 10_000
+#: A source has a bucket for so many words; a very large one has wider buckets, so that their running sum fits a task.
+BUCKET_WORDS, MOST_BUCKETS = 1 << 17, 1 << 16
 
 
 def sizes(docs: DataFrame, keep: tuple[str, ...], source: str = "source", text: str = "text") -> DataFrame:
     t = F.coalesce(docs[text], F.lit(""))
     words = F.when(F.btrim(t, F.lit(BLANKS)) == "", 0).otherwise(F.size(words_of(t)))
-    return docs.select(*keep, docs[source].alias("__source"), t.alias("__text"), words.cast("long").alias("size"))
+    return docs.select(*keep, docs[source].alias("__source"), t.alias("__text"), F.xxhash64(t).alias("__t"), words.cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
@@ -62,28 +63,29 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return s.select("__source", "sid", "source_size", "weight", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _bucketed(rows: DataFrame, n_docs: int, keep: tuple[str, ...]) -> DataFrame:
-    """Rows with __h, their place in the pseudorandom order, and their bucket."""
-    buckets = max(math.ceil(n_docs / 4_096), min(256, math.ceil(n_docs / 64)), 1)
-    return rows.withColumn("__h", F.xxhash64(*[F.col(c) for c in keep], "size")).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+def _bucketed(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Rows (with sid and source_size) with __h, their place in the pseudorandom order, and their bucket."""
+    buckets = F.least(F.ceil(F.col("source_size") / BUCKET_WORDS), F.lit(MOST_BUCKETS))
+    return rows.withColumn("__h", F.xxhash64(*[F.col(c) for c in keep], "size", "__t")).withColumn("__bucket", F.pmod("__h", F.greatest(buckets, F.lit(1))))
 
 
-def bucket_blocks(narrow: DataFrame, block: int) -> DataFrame:
-    """For every bucket (sid, __bucket) with words: first, the index of its first block, and blocks, their number.
+def bucket_starts(narrow: DataFrame) -> DataFrame:
+    """For every bucket (sid, __bucket) with words: first, the offset of its first word in the source.
 
     narrow: bucketed rows without their texts."""
-    sums = narrow.filter("size > 0").groupBy("sid", "__bucket").agg(F.ceil(F.sum("size") / block).alias("blocks"))
+    sums = narrow.filter("size > 0").groupBy("sid", "__bucket").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("first", F.coalesce(F.sum("blocks").over(w), F.lit(0)))
+    return sums.select("sid", "__bucket", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("first"))
 
 
 def packed(bucketed: DataFrame, buckets: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Offset in, and first block of, its bucket's stream of words for every document with words; the text goes along."""
+    """off, the offset in its source's stream of words, of every document with words; the text goes along."""
     # the same as size > 0, which would split the words once more in the filter
     d = bucketed.filter(F.btrim("__text", F.lit(BLANKS)) != "")
-    inside = Window.partitionBy("sid", "__bucket").orderBy("__h", *keep, "size", F.xxhash64("__text")).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return d.join(bounded_broadcast(buckets.select("sid", "__bucket", "first"), BROADCAST_ROWS), ["sid", "__bucket"]).drop("__h")
+    inside = Window.partitionBy("sid", "__bucket").orderBy("__h", *keep, "size", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = d.join(bounded_broadcast(buckets, BROADCAST_ROWS), ["sid", "__bucket"])
+    return d.withColumn("off", F.col("first") + F.col("__inside")).drop("__h", "__t", "__inside", "first")
 
 
 def round_keys(n: Column, *key: Column, seed: int = 0) -> Column:
@@ -103,7 +105,7 @@ def permuted(x: Column, n: Column, rounds: Column) -> Column:
 
 
 def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataFrame:
-    """One row for every output slot: shard, slot, sid and block.  quotas: sid, blocks, slots."""
+    """One row for every output slot: shard, slot, sid and block.  quotas: sid, blocks, full (of them, at full length), slots."""
     spark = quotas.sparkSession
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     q = quotas.filter("slots > 0").withColumn("lo", F.coalesce(F.sum("slots").over(w), F.lit(0))).withColumn("hi", F.col("lo") + F.col("slots"))
@@ -130,15 +132,16 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     here = F.col("last") - F.col("first")
     runs = runs.withColumns({"filled": F.sum(here).over(in_shard), "place": F.sum(here).over(in_shard.orderBy("sid")) - F.col("last")})  # place + k: a row of the shard
     runs = runs.select("shard", "sid", "filled", "place", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
-    runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks"), "sid")
+    runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks", "full"), "sid")
     # the rounds' keys are made once a run of slots, and for every pass over the source
     runs = runs.withColumn("in_shard", round_keys(F.col("filled"), F.col("shard"), seed=seed + 11))
     passes = F.sequence(F.floor(F.col("first") / F.col("blocks")), F.floor((F.least(F.col("first") + piece, "last") - 1) / F.col("blocks")))
-    runs = runs.withColumn("in_source", F.transform(passes, lambda e: round_keys(F.col("blocks"), F.col("sid"), e, seed=seed + 7)))
+    runs = runs.withColumn("in_source", F.transform(passes, lambda e: round_keys(F.greatest("full", F.lit(1)), F.col("sid"), e, seed=seed + 7)))
 
     def slot(k: Column) -> Column:
         epoch = (F.floor(k / F.col("blocks")) - F.floor(F.col("first") / F.col("blocks"))).cast("int")
-        block = permuted(k % F.col("blocks"), F.col("blocks"), F.get("in_source", epoch))
+        x = k % F.col("blocks")
+        block = F.when(x < F.col("full"), permuted(x, F.greatest("full", F.lit(1)), F.get("in_source", epoch))).otherwise(x)
         return F.struct(permuted(F.col("place") + k, F.col("filled"), F.col("in_shard")).alias("slot"), block.alias("block"))
 
     places = F.sequence("first", F.least(F.col("first") + piece, "last") - 1)
@@ -146,23 +149,33 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
 
 
 def blocks_of(offsets: DataFrame, block: int) -> DataFrame:
-    """sid, block, words and parts (bucket, off, n: words taken from the document at that offset) of every block of the sources."""
+    """sid, block, words and parts (off, n: words taken from the document at that offset) of every block of the sources."""
     low = lambda b: F.greatest(F.col("off"), b * block)
     high = lambda b: F.least(F.col("off") + F.col("size"), (b + 1) * block)
 
     def cut(w: Column) -> Column:
         at = F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))
         piece = lambda b: F.array_join(F.slice(w, (low(b) - F.col("off") + 1).cast("int"), (high(b) - low(b)).cast("int")), " ")
-        return F.transform(at, lambda b: F.struct((F.col("first") + b).alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
+        return F.transform(at, lambda b: F.struct(b.alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
 
     # bound, so that the words are split once a document
-    rows = offsets.select("sid", "__bucket", "off", F.inline(bound(words_of(F.col("__text")), cut)))
-    # a block's pieces are where their bucket was gathered: no shuffle
-    held = rows.groupBy("sid", "__bucket", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
-    parts = F.transform("p", lambda x: F.struct(F.col("__bucket").alias("bucket"), x["off"].alias("off"), x["n"].alias("n")))
+    rows = offsets.select("sid", "off", F.inline(bound(words_of(F.col("__text")), cut)))
+    # dealt once, as the join with the slots needs them
+    held = rows.repartition("sid", "block").groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
+    parts = F.transform("p", lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n")))
     return held.select("sid", "block", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("words"), parts.alias("parts"))
 
 
+def quotas_of(goals: DataFrame, block: int, max_repeats: int) -> DataFrame:
+    """sid, blocks, full and slots of every source with words: whole passes, then as many full blocks as come nearest to the target."""
+    size, target = F.col("source_size"), F.col("target")
+    q = goals.filter("source_size > 0").select("sid", "source_size", "target", F.ceil(size / block).alias("blocks"), F.floor(size / block).alias("full"), F.floor(target / size).alias("passes"))
+    rest, filled = target - F.col("passes") * size, F.col("full") * block
+    more = F.least(F.round(rest / block).cast("long"), F.col("full"))
+    closes = (F.col("blocks") > F.col("full")) & (2 * (rest - filled) > size - filled)
+    return q.select("sid", "blocks", "full", F.least(F.col("passes") * F.col("blocks") + F.when(closes, F.col("blocks")).otherwise(more), max_repeats * F.col("blocks")).alias("slots"))
+
+
 def mixed(
     docs: DataFrame,
     source: str = "source",
@@ -175,35 +188,32 @@ def mixed(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and the documents it was made from.
 
-    The mix has a row for every slot: shard, slot, sid, block, words, and parts, the (bucket, off, n) of the documents in it.
+    The mix has a row for every slot: shard, slot, sid, block, words, and parts, the (off, n) of the documents in it.
     It is written to path as Parquet (without one to the shared folder, where it lasts as long as the session).
-    Documents: keep columns, size, source_size, target, sid, bucket and off; off is null without words."""
+    Documents: keep columns, size, source_size, target, sid, and off, which is null without words."""
     sized = sizes(docs, keep, source, text)
     narrow = stash(sized.drop("__text"), "sizes")
     goals = stash(targets(narrow, weights, max_repeats), "targets")
-    n_docs = narrow.count()
     g = bounded_broadcast(goals, BROADCAST_ROWS).alias("g")
 
     def with_sid(rows: DataFrame) -> DataFrame:
         own = rows.drop("__source").columns
         return rows.alias("d").join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in own], "g.sid", "g.source_size", "g.target")
 
-    sized, narrow = (_bucketed(with_sid(x), n_docs, keep) for x in (sized, narrow))
-    buckets = stash(bucket_blocks(narrow, block), "buckets")
+    sized, narrow = (_bucketed(with_sid(x), keep) for x in (sized, narrow))
+    buckets = stash(bucket_starts(narrow), "buckets")
     # written once: the blocks are cut from it, and the documents' shares are counted by it
     offsets = packed(sized, buckets, keep)
-    columns = [*keep, "size", "source_size", "target", "sid", F.col("__bucket").alias("bucket"), "off"]
+    columns = [*keep, "size", "source_size", "target", "sid", "off"]
     places = stash(packed(narrow.filter("size > 0").withColumn("__text", F.lit("x")), buckets, keep).select(*columns), "offsets")
-    totals = buckets.groupBy("sid").agg(F.sum("blocks").alias("blocks"))
-    blocks = F.col("blocks")
-    quotas = goals.filter("source_size > 0").join(totals, "sid").select("sid", "blocks", F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), max_repeats * blocks).alias("slots"))
+    quotas = quotas_of(goals, block, max_repeats)
     out = picks(quotas).join(blocks_of(offsets, block), ["sid", "block"]).select("shard", "slot", "sid", "block", "words", "parts")
     if path is None:
         out = stash(out, "mix")
     else:
         out.write.parquet(path)
         out = docs.sparkSession.read.schema(out.schema).parquet(path)
-    nothing = narrow.filter("size = 0").withColumns({"bucket": F.lit(None).cast("long"), "off": F.lit(None).cast("long")})
+    nothing = narrow.filter("size = 0").withColumn("off", F.lit(None).cast("long"))
     return out, places.unionByName(nothing.select(*places.columns))
 
 
@@ -219,6 +229,6 @@ def mix(
 ) -> DataFrame:
     """keep columns, size, source_size, target and taken of every row; taken is counted in the blocks of the written mix."""
     out, rows = mixed(docs, source, text, keep, block, weights, max_repeats, path)
-    taken = out.select("sid", F.inline("parts")).groupBy("sid", "bucket", "off").agg(F.sum("n").alias("n"))
-    rows = rows.join(taken, ["sid", "bucket", "off"], "left")
+    taken = out.select("sid", F.inline("parts")).groupBy("sid", "off").agg(F.sum("n").alias("n"))
+    rows = rows.join(taken, ["sid", "off"], "left")
     return rows.select(*keep, "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
