@@ -8,10 +8,15 @@ Classes meet where a conflict is possible: on a unit with a value on both sides,
 terms, or on a subject token of two durations; and, but for durations, on names that are compatible: equal, contained in one
 another, or unknown on one side.  Names meet by equi-join on their substrings.  Pairs that differ in entity are never
 formed: ``mismatches`` counts them from the sizes of the classes.
+
+Reports of counts alone need no pairs: ``numeric_counts`` finds them in the order of values, so that its work grows with the
+classes and not with their pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from corvane.functions import text as T
 from corvane.operators import classify as C
 from corvane.sources.scratch import stash
 
+Side = Callable[[str], Column]
+
 
 def _pair_in(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     both = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
@@ -253,36 +260,154 @@ def _until_conflict(pairs: DataFrame, order: Column) -> DataFrame:
     return pairs.filter(F.col("__first").isNull() | (F.col("__o") <= F.col("__first"))).drop("__o", "__first")
 
 
-def numeric_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
-    """One row for each pair of classes and unit with a value on both sides that conflicts or is passed over: outcome
-    (conflict, or the reason), ratio, severity and topic of a conflict, pairs (claim pairs), and a_/b_ of the columns also.
-
-    found: classes of numeric_signatures.  Units are compared in order until the first that conflicts; of pairs that
-    differ in entity none is formed (see mismatches), and values that agree, or measure different things, give no row."""
-    joined, pairs = _compared(found, "unit", ("s", "ctx", "prod", "kind", *also))
-    A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    in_range = lambda x, y: x("lo").isNotNull() & y("lo").isNull() & (y("value") >= x("lo") * 0.85) & (y("value") <= x("hi") * 1.15)
-    ratio = F.abs(A("value") - B("value")) / F.nullif(F.greatest(A("value"), B("value")), F.lit(0.0))
+def _gate(A: Side, B: Side) -> Column:
+    """What rules two values out whatever they are; none if they measure different things, open if nothing does."""
     kinds = F.array_sort(F.array(A("kind"), B("kind")))
-    outcome = (
+    return (
         F.when(product_reason(A("prod"), B("prod")).isNotNull(), product_reason(A("prod"), B("prod")))
         .when(~scopes_compatible(A("s"), B("s")), "scope_mismatch")
-        .when(~metrics_compatible(A("metric"), B("metric")), F.when(_power(A("metric")) & _power(B("metric")), "metric_scope_mismatch"))
+        .when(~metrics_compatible(A("metric"), B("metric")), F.when(_power(A("metric")) & _power(B("metric")), "metric_scope_mismatch").otherwise("none"))
         .when((kinds[0] == "current") & kinds[1].isin("target", "rate"), "temporal_progression")
         .when(contexts_clash(A("ctx"), B("ctx")), "context_mismatch")
-        .when(in_range(A, B) | in_range(B, A), "range_average_compatible")
-        .when((A("meaning") == "threshold") | (B("meaning") == "threshold"), "threshold_vs_measurement")
-        .when((A("meaning") == "historical_comparison") | (B("meaning") == "historical_comparison"), "historical_progression")
-        .when(F.coalesce(ratio, F.lit(0.0)) > 0.20, "conflict")
+        .otherwise("open")
     )
+
+
+def _meanings(A: Side, B: Side) -> Column:
+    """What rules out two values, of which none is in the other's range, by their meanings."""
+    either = lambda m: (A("meaning") == m) | (B("meaning") == m)
+    return F.when(either("threshold"), "threshold_vs_measurement").when(either("historical_comparison"), "historical_progression")
+
+
+def _ratio(x: Column, y: Column) -> Column:
+    return F.abs(x - y) / F.nullif(F.greatest(x, y), F.lit(0.0))
+
+
+#: Values conflict beyond this ratio; a range takes values in from this share of its low to this share of its high end.
+FAR, LOW, HIGH = 0.20, 0.85, 1.15
+
+
+def _numeric_rows(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
+    """Rows of numeric_pairs for all units, with o."""
+    joined, pairs = _compared(found, "unit", ("s", "ctx", "prod", "kind", *also))
+    A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    in_range = lambda x, y: x("lo").isNotNull() & y("lo").isNull() & (y("value") >= x("lo") * LOW) & (y("value") <= x("hi") * HIGH)
+    ratio, gate, meaning = _ratio(A("value"), B("value")), _gate(A, B), _meanings(A, B)
+    outcome = F.when(gate == "none", None).when(gate != "open", gate).when(in_range(A, B) | in_range(B, A), "range_average_compatible").when(meaning.isNotNull(), meaning)
+    outcome = outcome.when(F.coalesce(ratio, F.lit(0.0)) > FAR, "conflict")
     clash = outcome == "conflict"
     topic = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.UNIT_TOPIC.items() for x in kv]), A("unit")), F.lit("numeric specification"))
     if topics:
         topic = first_topic(A("topics").bitwiseOR(B("topics")), topics)
     cols = [A("class").alias("class_a"), B("class").alias("class_b"), A("unit").alias("unit"), A("o").alias("o"), outcome.alias("outcome"), F.round(ratio, 6).alias("ratio"), pairs.alias("pairs")]
     cols += [F.when(clash, F.when(ratio >= 0.50, "high").otherwise("medium")).alias("severity"), F.when(clash, topic).alias("topic")]
-    out = joined.select(*cols, *[f(c).alias(f"{s}_{c}") for c in also for s, f in (("a", A), ("b", B))])
-    return _until_conflict(out, F.col("o")).drop("o")
+    return joined.select(*cols, *[f(c).alias(f"{s}_{c}") for c in also for s, f in (("a", A), ("b", B))])
+
+
+def numeric_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
+    """One row for each pair of classes and unit with a value on both sides that conflicts or is passed over: outcome
+    (conflict, or the reason), ratio, severity and topic of a conflict, pairs (claim pairs), and a_/b_ of the columns also.
+
+    found: classes of numeric_signatures.  Units are compared in order until the first that conflicts; of pairs that
+    differ in entity none is formed (see mismatches), and values that agree, or measure different things, give no row."""
+    return _until_conflict(_numeric_rows(found, also, topics), F.col("o")).drop("o")
+
+
+def near_interval(value: Column) -> tuple[Column, Column]:
+    """The least and the greatest number that does not conflict with a value: exact, as the ratio is computed in doubles."""
+    around = F.array(*[F.lit(1.0 + k * 2.0**-53) for k in range(-16, 17)])
+    near = lambda y: F.coalesce(_ratio(value, y), F.lit(0.0)) <= FAR
+    ends = lambda x: F.filter(F.transform(around, lambda f: x * f), near)
+    return F.array_min(ends(value * (1 - FAR))), F.array_max(ends(value / (1 - FAR)))
+
+
+def _running(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """For every (grp, sid, x, after) asked: cum, the n of the points of (grp, sid) with value < x, or <= x if after is 2.
+
+    Values are cut into eighths of an octave: sums run within a bucket, and over the buckets' sums, so no task sorts a group."""
+    bucket = F.when(F.col("x") > 0, F.floor(F.log2("x") * 8)).otherwise(-(10**6)).alias("bucket")
+    events = points.select("grp", "sid", F.col("value").alias("x"), F.lit(1).alias("after"), "n").unionByName(asked.select("grp", "sid", "x", "after", F.lit(0).cast("long").alias("n")))
+    events = events.groupBy("grp", "sid", bucket, "x", "after").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("grp", "sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = events.groupBy("grp", "sid", "bucket").agg(F.sum("n").alias("n")).select("grp", "sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("grp", "sid", "bucket").orderBy("x", "after").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("cum", F.sum("n").over(within)).filter("after <> 1")
+    return events.join(bases, ["grp", "sid", "bucket"]).select("grp", "sid", "x", "after", (F.col("cum") + F.col("base")).alias("cum"))
+
+
+def numeric_counts(found: DataFrame, topics: tuple = ()) -> DataFrame:
+    """(outcome, topic, n): the claim pairs that numeric_pairs stands for, by outcome; topic (of a conflict) needs classes with topics.
+
+    No pair of classes is formed.  Everything but the value and the name makes a claim's shape; there are few shapes, and a pair
+    of them has an outcome or leaves it to the values.  Then each point (distinct value) of one side counts the other side's
+    claims in the intervals that do not conflict, by running sums in the order of values.  Known names meet their own and
+    contained ones; unknown names, compatible with all, meet all known ones as one group.  Claims with several units are
+    compared until the first that conflicts: what comes after it is taken off again, which does form the pairs of classes
+    that share two units.
+
+    Rows: points times shapes of a unit."""
+    also = ("topics",) if topics else ()
+    shape = ("unit", "s", "ctx", "prod", "kind", "metric", "meaning", "ranged", *also)
+    flat = found.select("n", "e", "s", "ctx", "prod", "kind", *also, F.inline("m")).withColumn("ranged", F.col("lo").isNotNull())
+    points = flat.groupBy("e", *shape, "value", "lo", "hi").agg(F.sum("n").alias("n")).withColumn("sid", F.xxhash64(*shape))
+    points = stash(points.repartition("sid"), "points")
+    known = points.filter("e <> ''").groupBy("sid", "value", "lo", "hi").agg(F.sum("n").alias("n")).withColumn("grp", F.lit("*"))
+    own = points.select("sid", "value", "lo", "hi", "n", F.concat(F.lit("="), "e").alias("grp"))
+    grouped = stash(own.unionByName(known), "groups")
+    totals = grouped.groupBy("grp", "sid").agg(F.sum("n").alias("total"))
+
+    shapes = points.select("sid", *shape).distinct()
+    a, b = shapes.alias("a"), shapes.alias("b")
+    A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    gate, meaning = _gate(A, B), _meanings(A, B)
+    label = F.when(gate != "open", gate).when(A("ranged") != B("ranged"), "range").when(meaning.isNotNull(), meaning).otherwise("near")
+    topic = first_topic(A("topics").bitwiseOR(B("topics")), topics) if topics else F.lit(None).cast("string")
+    matched = a.join(b, A("unit") == B("unit")).select(A("sid").alias("q1"), B("sid").alias("q2"), label.alias("label"), F.coalesce(meaning, F.lit("conflict")).alias("rest"), B("ranged").alias("turned"), topic.alias("topic")).filter("label <> 'none'")
+
+    same = compatible_names(found).filter("e <> '' and other <> '' and e <= other").select(F.concat(F.lit("="), "e").alias("left"), F.concat(F.lit("="), "other").alias("right"))
+    unknown = found.sparkSession.createDataFrame([("=", "="), ("=", "*")], "left string, right string")
+    meet = same.unionByName(unknown)
+    p = meet.join(totals.select(F.col("grp").alias("left"), F.col("sid").alias("q1"), F.col("total").alias("n1")), "left").join(matched, "q1")
+    p = p.join(totals.select(F.col("grp").alias("right"), F.col("sid").alias("q2"), F.col("total").alias("n2")), ["right", "q2"])
+    itself = (F.col("left") == F.col("right")) & (F.col("q1") == F.col("q2"))
+    p = p.filter((F.col("left") != F.col("right")) | (F.col("q1") <= F.col("q2"))).withColumn("twice", F.when(itself, 1).otherwise(2))
+    p = stash(p, "shapes")
+    # all counts are doubled, as a group meets itself in ordered pairs
+    closed = p.filter("label not in ('near', 'range')").select(F.col("label").alias("outcome"), F.lit(None).cast("string").alias("topic"), F.when(itself, F.col("n1") * (F.col("n1") - 1)).otherwise(2 * F.col("n1") * F.col("n2")).alias("d"))
+    open_ = p.filter("label in ('near', 'range')")
+    clash = F.col("rest") == "conflict"
+    of_topic = F.when(clash, F.col("topic")).alias("topic")
+    all_open = open_.select(F.col("rest").alias("outcome"), of_topic, (F.col("twice") * F.col("n1") * F.col("n2")).alias("d"))
+
+    # the side with the range asks the side without one; else the left side asks the right one
+    turned = (F.col("label") == "range") & F.col("turned")
+    side = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    asks = open_.select(side("left", "right", "grp"), side("q1", "q2", "sid"), side("right", "left", "to_grp"), side("q2", "q1", "to_sid"), "label", "rest", of_topic, "twice")
+    asks = asks.join(grouped, ["grp", "sid"])
+    low, high = near_interval(F.col("value"))
+    ranged = F.col("label") == "range"
+    asks = asks.withColumns({"nl": low, "nh": high, "rl": F.when(ranged, F.col("lo") * LOW), "rh": F.when(ranged, F.col("hi") * HIGH)})
+    asked = lambda on, x1, x2, outcome, sign: F.when(on & (x1 <= x2), F.struct(x1.alias("x1"), x2.alias("x2"), outcome.alias("outcome"), F.lit(sign).alias("sign")))
+    c = F.col
+    intervals = F.array_compact(F.array(
+        asked(clash, c("nl"), c("nh"), c("rest"), -1),
+        asked(ranged, c("rl"), c("rh"), F.lit("range_average_compatible"), 1),
+        asked(ranged, c("rl"), c("rh"), c("rest"), -1),
+        asked(ranged & clash, F.greatest("nl", "rl"), F.least("nh", "rh"), c("rest"), 1),
+    ))
+    asks = asks.select(c("to_grp").alias("grp"), c("to_sid").alias("sid"), "topic", (c("n") * c("twice")).alias("w"), F.inline(intervals))
+    ends = F.array(F.struct(c("x2").alias("x"), F.lit(2).alias("after"), (c("w") * c("sign")).alias("w")), F.struct(c("x1").alias("x"), F.lit(0).alias("after"), (-c("w") * c("sign")).alias("w")))
+    asks = asks.select("grp", "sid", "outcome", F.when(c("outcome") == "conflict", c("topic")).alias("topic"), F.inline(ends))
+    asks = stash(asks.groupBy("grp", "sid", "x", "after", "outcome", "topic").agg(F.sum("w").alias("w")), "asked")
+    got = _running(grouped, asks.select("grp", "sid", "x", "after").distinct())
+    counted = asks.join(got, ["grp", "sid", "x", "after"]).select("outcome", "topic", (c("w") * c("cum")).alias("d"))
+
+    several = found.filter(F.size("m") > 1)
+    rows = _numeric_rows(several, also, topics).filter("outcome is not null")
+    first = F.min(F.when(c("outcome") == "conflict", c("o"))).over(Window.partitionBy("class_a", "class_b"))
+    late = rows.withColumn("__first", first).filter(c("o") > c("__first")).select("outcome", F.when((c("outcome") == "conflict") & F.lit(bool(topics)), c("topic")).alias("topic"), (-2 * c("pairs")).alias("d"))
+    every = closed.unionByName(all_open).unionByName(counted).unionByName(late)
+    return every.groupBy("outcome", "topic").agg((F.sum("d") / 2).cast("long").alias("n")).filter("n <> 0")
 
 
 def categorical_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tuple = ()) -> DataFrame:
@@ -314,18 +439,38 @@ def categorical_pairs(found: DataFrame, also: tuple[str, ...] = (), topics: tupl
     return _until_conflict(out, 2 * F.col("pair") + F.col("__side")).drop("__side")
 
 
+#: A token of more classes than this is met by ranges of durations, each a key of its own.
+HOT_TOKEN = 64
+
+
+def _octave(months: Column) -> Column:
+    """Quarter of an octave that a duration is in: nondecreasing, a few dozen up to a century."""
+    return F.greatest(F.floor(F.log2(F.greatest(months, F.lit(1.0))) * 4), F.lit(0)).cast("int")
+
+
 def duration_pairs(found: DataFrame) -> DataFrame:
     """Pairs of classes with disjoint durations (months) of one kind whose claims share a subject token: ratio, severity,
-    topic and pairs.  found: classes of duration_signatures; a pair is formed at its first shared token."""
-    t = found.withColumn("token", F.explode("w"))
-    a, b = t.alias("a"), t.alias("b")
+    topic and pairs.  found: classes of duration_signatures.
+
+    A pair is formed once, at the rarest token that it shares.  Of a hot token the later durations are keyed by the octave of
+    their start, and the earlier ones come to every octave from their end on, so that no task compares all with all."""
+    counts = found.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranked = found.select("class", F.explode("w").alias("token")).join(counts, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))
+    t = stash(found.drop("w").join(ranked, "class"), "durations")
+    last = t.agg(F.max(_octave(F.col("lo")))).first()[0] or 0
+    t = t.withColumn("t", F.explode("w"))
+    hot = F.col("t.df") > HOT_TOKEN
+    every = F.when(_octave(F.col("hi")) <= last, F.sequence(_octave(F.col("hi")), F.lit(last))).otherwise(F.array().cast("array<int>"))
+    a = t.withColumn("at", F.explode(F.when(hot, every).otherwise(F.array(F.lit(-1))))).alias("a")
+    b = t.withColumn("at", F.when(hot, _octave(F.col("lo"))).otherwise(-1)).alias("b")
     A, B = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    on = (A("token") == B("token")) & (A("metric") == B("metric")) & (A("class") < B("class")) & ((A("hi") < B("lo")) | (B("hi") < A("lo")))
-    on = on & (F.array_min(F.array_intersect(A("w"), B("w"))) == A("token"))
+    on = (A("t.token") == B("t.token")) & (A("metric") == B("metric")) & (A("at") == B("at")) & (A("hi") < B("lo"))
+    on = on & (F.get(F.array_intersect(A("w"), B("w")), 0) == A("t"))
     mid_a, mid_b = (A("lo") + A("hi")) / 2, (B("lo") + B("hi")) / 2
     ratio = F.abs(mid_a - mid_b) / F.greatest(mid_a, mid_b)
     topic = F.when(A("metric") == "duration_construction", "construction duration").otherwise("timeline")
-    return a.join(b, on).select(A("class").alias("class_a"), B("class").alias("class_b"), F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.5, "high").otherwise("medium").alias("severity"), topic.alias("topic"), (A("n") * B("n")).alias("pairs"))
+    low, high = F.least(A("class"), B("class")), F.greatest(A("class"), B("class"))
+    return a.join(b, on).select(low.alias("class_a"), high.alias("class_b"), F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.5, "high").otherwise("medium").alias("severity"), topic.alias("topic"), (A("n") * B("n")).alias("pairs"))
 
 
 def mismatches(found: DataFrame, on: str) -> DataFrame:
@@ -351,8 +496,8 @@ def mismatches(found: DataFrame, on: str) -> DataFrame:
 
 
 def suppression_metrics(pairs: DataFrame, mismatched: DataFrame | None = None) -> DataFrame:
-    """Claim pairs by outcome; mismatched (pairs) counts as entity_mismatch."""
-    rows = pairs.select("outcome", "pairs")
+    """Claim pairs by outcome, of rows with pairs or of numeric_counts; mismatched (pairs) counts as entity_mismatch."""
+    rows = pairs.select("outcome", F.col("n" if "n" in pairs.columns else "pairs").alias("pairs"))
     if mismatched is not None:
         rows = rows.unionByName(mismatched.select(F.lit("entity_mismatch").alias("outcome"), "pairs").filter("pairs > 0"))
     return rows.groupBy("outcome").agg(F.sum("pairs").alias("n"))

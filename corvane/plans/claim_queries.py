@@ -213,7 +213,7 @@ def numeric_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _numeric(spark, sf_dir)
-    return contradict.suppression_metrics(contradict.numeric_pairs(found), contradict.mismatches(found, "unit"))
+    return contradict.suppression_metrics(contradict.numeric_counts(found), contradict.mismatches(found, "unit"))
 
 
 @query(f"select outcome, count(*) n from ({_numeric_sql()}) group by outcome")
@@ -232,8 +232,7 @@ def suppression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select profile_topic topic, count(*) n from ({_numeric_sql()}) where outcome = 'conflict' group by all")
 def conflict_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric conflicts by the topic that a domain profile gives them."""
-    c = contradict.numeric_pairs(_numeric(spark, sf_dir), also=("topics",), topics=_TOPICS).filter("outcome = 'conflict'")
-    return c.groupBy("topic").agg(F.sum("pairs").alias("n"))
+    return contradict.numeric_counts(_numeric(spark, sf_dir), _TOPICS).filter("outcome = 'conflict'").select("topic", "n")
 
 
 _SIDES = " union all ".join(

@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,44 @@ def test_classes_stand_for_all_their_claims(spark):
     assert len({(r.a, r.b) for r in whole}) == 900 and all(r.a < r.b and (r.b - r.a) % 2 for r in whole)
 
 
+def _classes(spark, rng, n, names, values, units=("kw", "mw")):
+    """Random classes as numeric_signatures and classes make them."""
+    rows = []
+    for i in range(n):
+        m = []
+        for o, u in enumerate(units):
+            if rng.random() < 0.6 or not m and o == len(units) - 1:
+                lo = rng.choice(values) if rng.random() < 0.3 else None
+                v = rng.choice(values)
+                m.append((o, u, v, rng.choice([f"{u}_level", f"{u}_rate", "rack_power_kw"]), lo, lo and lo * rng.choice([1.0, 1.3, 4.0]), rng.choice(["primary"] * 5 + ["threshold", "historical_comparison"])))
+        rows.append((i, rng.randint(1, 4), rng.choice(names), rng.choice(["unknown", "rack", "component", "site"]), rng.choice(["general", "general", "example_deployment"]), rng.choice([0, 0, 1, 2]), rng.choice(["current", "target", "unknown"]), rng.choice([0, 1, 2, 3]), m))
+    return spark.createDataFrame(rows, "class long, n long, e string, s string, ctx string, prod int, kind string, topics int, m array<struct<o: int, unit: string, value: double, metric: string, lo: double, hi: double, meaning: string>>")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_counts_by_value_order_equal_pairs(spark, seed):
+    rng = random.Random(seed)
+    values = [0.0, 0.8, 1.0, 1.2, 1.5, 4.4, 5.5, 8.0, 10.0, 12.5, 100.0] if seed % 2 else [round(rng.random() * 10 ** rng.randint(0, 3), rng.randint(0, 3)) for _ in range(60)]
+    found = _classes(spark, rng, 150, [["", "nvl72", "gb200 nvl72", "x"], [""], ["a", "b", "ab"]][seed % 3], values)
+    pairs = contradict.numeric_pairs(found, ("topics",), (("even", ()), ("odd", ())))
+    want = {(r.outcome, r.topic): r.n for r in pairs.groupBy("outcome", "topic").agg(F.sum("pairs").alias("n")).collect()}
+    got = {(r.outcome, r.topic): r.n for r in contradict.numeric_counts(found, (("even", ()), ("odd", ()))).collect()}
+    assert got == want and len(want) > 3
+    plain = collections.Counter()
+    for (outcome, _), n in want.items():
+        plain[outcome] += n
+    assert {r.outcome: r.n for r in contradict.numeric_counts(found).collect()} == plain
+
+
+def test_counts_of_many_values_and_one_unknown_name(spark):
+    """20,000 distinct values without a name, where pairs of classes would be two hundred million."""
+    one = "cast(id as long) class, cast(1 + id % 3 as long) n, '' e, 'unknown' s, 'general' ctx, 0 prod, 'unknown' kind, array(named_struct('o', 0, 'unit', 'kw', 'value', pow(1.0007, id), 'metric', 'kw_level', 'lo', cast(null as double), 'hi', cast(null as double), 'meaning', 'primary')) m"
+    found = spark.range(20_000).selectExpr(*one.split(", ", 7)[:7], one.split(", ", 7)[7])
+    values, n = np.array([r.v for r in found.selectExpr("m[0].value v").collect()]), np.array([1 + i % 3 for i in range(20_000)])
+    want = sum(int(n[i] * n[i + 1 :][(values[i + 1 :] - values[i]) / values[i + 1 :] > 0.2].sum()) for i in range(len(values)))
+    assert [(r.outcome, r.n) for r in contradict.numeric_counts(found).collect()] == [("conflict", want)]
+
+
 def test_enrichment_leaves_set_rows_alone(spark):
     rows = [("The NVL72 rack draws 1 kW", "", ""), ("The NVL72 rack draws 1 kW", "Mine", ""), ("The NVL72 rack draws 1 kW", "", "site")]
     got = [(r.entity, r.scope) for r in contradict.enriched(_claims(spark, rows)).orderBy("id").collect()]
@@ -111,6 +150,23 @@ def test_durations(spark):
     assert got == {(1, 2): "high", (2, 3): "high"}
 
 
+def test_durations_of_a_hot_token_equal_brute_force(spark):
+    """One token in every claim, some rare ones, and claims without any other."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        lo = rng.choice([0.0, 1.0, 6.0, 11.5, 12.0, 24.0, 36.0, 60.0, 120.0, 960.0])
+        w = sorted({"plant", *rng.sample(["alpha", "beta", "gamma", *(f"r{j}" for j in range(200))], rng.randint(0, 3))} - ({"plant"} if i % 50 == 0 else set()))
+        rows.append((i, rng.randint(1, 3), lo, lo * rng.choice([1.0, 1.0, 1.5, 3.0]), rng.choice(["duration_construction", "duration_generic"]), w))
+    found = spark.createDataFrame(rows, "class long, n long, lo double, hi double, metric string, w array<string>")
+    want = {(a[0], b[0]): a[1] * b[1] for i, a in enumerate(rows) for b in rows[i + 1 :] if a[4] == b[4] and (a[3] < b[2] or b[3] < a[2]) and set(a[5]) & set(b[5])}
+    pairs = contradict.duration_pairs(found)
+    got = pairs.collect()
+    assert len(got) == len(want) > 50_000 and {(r.class_a, r.class_b): r.pairs for r in got} == want
+    plan = pairs._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_blocked_joins_are_no_cross_joins(spark):
     rows = [("a 1 kW", "", "rack"), ("air cooled", "b", "rack")]
     plans = [contradict.numeric_pairs(_numeric(spark, rows)), contradict.mismatches(_numeric(spark, rows), "unit"), contradict.categorical_pairs(contradict.classes(contradict.categorical_signatures(_claims(spark, rows))))]
