@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
+from corvane.operators import terms
 
 # Words that a recommendation is judged by.
 ACTION_VERBS = ("invest", "deploy", "build", "develop", "prioritize", "implement", "adopt", "establish", "expand", "reduce", "increase", "commission", "procure", "integrate", "partner", "launch", "accelerate", "begin", "start", "transition", "shift", "require", "mandate", "fund", "negotiate", "secure", "contract", "design", "upgrade", "replace")
@@ -254,8 +255,8 @@ def by_ordinal(left: DataFrame, right: DataFrame, group: str, left_order: str, r
 
 def templated(evidence: DataFrame, templates: DataFrame, key: str, order: str, text: str, most: int = 3) -> DataFrame:
     """Findings (template, support): templates (template, terms) that evidence touches, with its first ids."""
-    low = F.lower(F.col(text))
-    hit = evidence.select(F.col(key).alias("__k"), F.col(order).alias("__o"), low.alias("__low")).join(F.broadcast(templates), F.exists("terms", lambda t: F.contains("__low", t)))
+    e = evidence.select(F.col(key).alias("__k"), F.col(order).alias("__o"), F.col(text).alias("__t"))
+    hit = terms.labelled(e, "__t", templates.select("template", F.explode("terms").alias("term")), label="template", out="__l").withColumn("template", F.explode("__l"))
     return capped(hit.select("template", "__k", "__o"), "template", [F.asc("__o"), F.asc("__k")], most).groupBy("template").agg(F.array_sort(F.collect_list("__k")).alias("support"))
 
 

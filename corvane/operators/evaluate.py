@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as L
 from corvane.functions import text as T
 
+#: Words that do not count in a match.
 MATCH_STOP = ("a", "an", "the", "and", "or", "in", "of", "to", "for", "is", "are", "was", "were", "be", "been", "by", "on", "at", "from", "into", "that", "this", "with", "as", "its", "their", "our")
 
 

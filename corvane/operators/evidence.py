@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, score, select
-from corvane.sources.scratch import stash
+from corvane.operators import chunking, classify, score, select, terms
+from corvane.sources.scratch import bounded_broadcast, stash
 
 
 def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -265,10 +265,10 @@ def document_failures(failed: DataFrame, doc: str = "doc_id") -> DataFrame:
 def coverage(evidence: DataFrame, topics: DataFrame, source: str = "source", text: str = "snippet") -> DataFrame:
     """Coverage of every topic (topic, terms array): items, sources, mean quality of the sources, level.
 
-    topics is a vocabulary, so it is broadcast; rows are matched once and counted before the shuffle."""
-    low = F.lower(F.col(text))
-    e = evidence.select(F.col(source).alias("__s"), F.col("quality").alias("__q"), low.alias("__low"))
-    hits = e.join(F.broadcast(topics), F.exists("terms", lambda t: F.contains("__low", t)))
+    Rows are matched with all topics at once and counted before the shuffle."""
+    e = evidence.select(F.col(source).alias("__s"), F.col("quality").alias("__q"), F.col(text).alias("__t"))
+    hits = terms.labelled(e, "__t", topics.select("topic", F.explode("terms").alias("term")), label="topic", out="__l")
+    hits = hits.select(F.explode("__l").alias("topic"), "__s", "__q")
     per = hits.groupBy("topic", "__s").agg(F.count("*").alias("n"), F.max("__q").alias("q"))
     per = per.groupBy("topic").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.avg("q").alias("q"))
     n, s = F.coalesce("n", F.lit(0)), F.coalesce("sources", F.lit(0))
@@ -277,12 +277,12 @@ def coverage(evidence: DataFrame, topics: DataFrame, source: str = "source", tex
 
 
 def gaps(evidence: DataFrame, topics: DataFrame, text: str = "snippet") -> DataFrame:
-    """Topics (topic, terms, priority) that no evidence touches, most urgent first."""
-    low = F.lower(F.col(text))
-    found = evidence.select(low.alias("__low")).join(F.broadcast(topics), F.exists("terms", lambda t: F.contains("__low", t))).select("topic").distinct()
-    left = topics.join(found, "topic", "left_anti")
+    """Topics (topic, terms, priority) that no evidence touches, most urgent first, then by name; place is that order."""
+    found = terms.labelled(evidence.select(F.col(text).alias("__t")), "__t", topics.select("topic", F.explode("terms").alias("term")), label="topic", out="__l")
+    left = topics.join(found.select(F.explode("__l").alias("topic")).distinct(), "topic", "left_anti")
     order = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    return left.select("topic", "priority", order.alias("urgency"))
+    ranked = select.numbered(left.select("topic", "priority", order.alias("urgency")), [F.col("urgency"), F.col("topic")], "place", "")
+    return ranked.withColumn("place", F.col("place").cast("long")).orderBy("place")
 
 
 def cited(claim: Column, source: Column, evidence_id: Column) -> Column:
@@ -330,4 +330,4 @@ def synonyms(terms: DataFrame, registry: DataFrame) -> DataFrame:
     registry: canonical, synonyms array, entry; a vocabulary."""
     r = registry.select("canonical", "entry", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical"), "synonyms"), F.lower))).alias("__t"))
     r = r.groupBy("__t").agg(F.min_by(F.struct("canonical", "entry"), "canonical").alias("r"))
-    return terms.select("term").join(F.broadcast(r), F.lower(F.trim("term")) == F.col("__t"), "left").select("term", "r.canonical", "r.entry")
+    return terms.select("term").join(bounded_broadcast(r), F.lower(F.trim("term")) == F.col("__t"), "left").select("term", "r.canonical", "r.entry")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.scratch import bounded_broadcast
 
+#: Words that link nothing.
 STOP = ("the", "a", "an", "of", "in", "is", "are", "to", "for", "and", "or", "what", "how", "why", "does", "do", "can", "with", "that", "this", "it", "be", "by", "at", "as")
 #: Evidence categories and the areas of investigation they belong to.
 AREAS = {"power": "Power", "cooling": "Cooling", "networking": "Networking", "rack architecture": "Rack Architecture", "architecture": "Architecture", "operations": "Operations", "gpu": "GPU", "facility": "Facility", "resiliency": "Resiliency", "economics": "Economics", "construction": "Construction", "licensing": "Regulation", "reactor design": "SMR Technology", "grid integration": "Grid Integration", "fuel cycle": "Fuel Cycle", "deployment timeline": "Deployment Timeline", "safety": "Safety", "waste management": "Waste Management", "bwrx": "SMR Technology", "nuscale": "SMR Technology", "other": "Other"}
@@ -21,10 +23,10 @@ def tokens(text: Column) -> Column:
 
 
 def overlaps(items: DataFrame, item: str, text: str, targets: DataFrame, target: str, target_text: str) -> DataFrame:
-    """(item, target, overlap) of pairs that share a token.  targets is a vocabulary and is broadcast."""
+    """(item, target, overlap) of pairs that share a token.  targets is a vocabulary: broadcast if a count proves it small."""
     a = items.select(F.col(item), F.explode(tokens(F.col(text))).alias("__t"))
     b = targets.select(F.col(target), F.explode(tokens(F.col(target_text))).alias("__t"))
-    return a.join(F.broadcast(b), "__t").groupBy(item, target).agg(F.count("*").alias("overlap"))
+    return a.join(bounded_broadcast(b), "__t").groupBy(item, target).agg(F.count("*").alias("overlap"))
 
 
 def best_target(items: DataFrame, item: str, text: str, targets: DataFrame, target: str, target_text: str, default: object = None) -> DataFrame:
@@ -43,7 +45,7 @@ def area_links(evidence: DataFrame, areas: DataFrame, key: str = "id", area: str
     said = F.concat_ws(" ", F.col("category"), F.array_join("topics", " "))
     by_token = overlaps(evidence.withColumn("__s", said), key, "__s", areas, area, area).select(key, area)
     own = F.element_at(F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv]), F.col("category"))
-    by_map = evidence.select(key, own.alias(area)).join(F.broadcast(areas.select(area)), area, "left_semi").select(key, area)
+    by_map = evidence.select(key, own.alias(area)).join(bounded_broadcast(areas.select(area)), area, "left_semi").select(key, area)
     return by_token.unionByName(by_map).distinct()
 
 

@@ -344,7 +344,7 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with t(topic, terms, priority) as (values ('stop', ['that'], 'high'), ('absent', ['zzqzz'], 'low'), ('missing', ['qqzqq', 'zxzxz'], 'high'))
-    select topic, priority, case priority when 'high' then 0 when 'medium' then 1 else 2 end urgency from t where not exists (select 1 from documents where len(list_filter(terms, lambda k: contains(lower(text), k))) > 0)"""
+    select topic, priority, case priority when 'high' then 0 when 'medium' then 1 else 2 end urgency, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, topic) place from t where not exists (select 1 from documents where len(list_filter(terms, lambda k: contains(lower(text), k))) > 0)"""
 )
 def research_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = K.table(spark, sf_dir, "documents").select(F.col("text").alias("snippet"))

@@ -9,6 +9,7 @@ from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.operators import classify, decide, evaluate, evidence, link, planner, score, select
 from corvane.plans import carriers as K
+from corvane.sources.scratch import bounded_broadcast
 from corvane.plans.catalog import ORACLES, query
 from corvane.plans.document_queries import _QUESTIONS
 from corvane.plans.report_queries import _MEMO, _memos
@@ -48,19 +49,19 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with p as (select id, unnest(range(0, len(queries))) query_ord, unnest(queries) query from ({_PLAN_SQL})), t as (select *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) w from p where id < 4),
+    f"""with p as (select id, unnest(range(0, len(queries))) query_ord, unnest(queries) query from ({_PLAN_SQL})), t as (select *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) w from p),
     c as (select id k, list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+')) w from {K.CLAIMS_SQL}),
     s as (select t.id * 100 + query_ord q, c.k, len(list_intersect(t.w, c.w)) s from t, c where len(list_intersect(t.w, c.w)) > 0),
     r as (select *, row_number() over (partition by q order by s desc, k) rank from s), f as (select *, row_number() over (partition by k order by q) n from r where rank <= 10)
     select q, rank, k, s from f where n = 1 order by q, rank limit 30"""
 )
 def expanded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best claims of every query of four questions, ten each, the first query that finds one keeps it."""
-    rows = planner.query_rows(planner.plans(_questions(spark, sf_dir).filter("id < 4"), "id"), "id")
+    """The best claims of every query of the questions, ten each, the first query that finds one keeps it."""
+    rows = planner.query_rows(planner.plans(_questions(spark, sf_dir), "id"), "id")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     q = rows.select((F.col("id") * 100 + F.col("query_ord")).cast("long").alias("q"), F.explode(words("query")).alias("t"))
     c = K.claims(spark, sf_dir).select(F.col("id").alias("k"), F.explode(words("claim")).alias("t"))
-    s = c.join(F.broadcast(q), "t").groupBy("q", "k").agg(F.count("*").alias("s"))
+    s = c.join(bounded_broadcast(q), "t").groupBy("q", "k").agg(F.count("*").alias("s"))
     return select.expanded(s, "q", [F.desc("s"), F.asc("k")], "k", 10, 30).select("q", "rank", "k", "s")
 
 

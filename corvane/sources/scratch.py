@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,8 @@ def spread(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast hint only where a count proves that df has at most max_rows; else the planner shuffles."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, retrieve, select
+from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, retrieve, select, terms
 from corvane.sources import readers, sinks
 from corvane.sources.store import Store
 from corvane.streaming import ingest
@@ -167,6 +167,32 @@ def test_durations_of_a_hot_token_equal_brute_force(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("way", ["automaton", "index"])
+def test_many_terms_equal_brute_force(spark, monkeypatch, way):
+    if way == "index":
+        monkeypatch.setattr(terms, "AUTOMATON_TERMS", 0)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcé😀 ", k=n))
+    vocabulary = [(word(rng.randint(1, 6)), f"l{i % 40}") for i in range(300)] + [("", "none"), (None, "none"), ("A", "upper"), ("ab", None), ("abc", "x"), ("abc", "y")]
+    texts = [(i, word(rng.choice([0, 1, 2, 3, 30, 200])).upper() if i % 3 else word(40)) for i in range(120)] + [(900, None), (901, ""), (902, "AbC"), (902, "AbC")]
+    rows = spark.createDataFrame(texts, "k long, t string").withColumn("label", F.lit("clash"))
+    got = terms.labelled(rows, "t", spark.createDataFrame(vocabulary, "term string, label string")).collect()
+    want = lambda t: sorted({lab for w, lab in vocabulary if w and lab and t and w.lower() in t.lower()})
+    assert len(got) == len(texts) and all(r.labels == want(r.t) for r in got) and sum(len(r.labels) for r in got) > 500
+    none = terms.labelled(rows, "t", spark.createDataFrame([], "term string, label string")).collect()
+    assert len(none) == len(texts) and not any(r.labels for r in none)
+
+
+def test_a_vocabulary_of_20000_terms_in_one_pass(spark):
+    """Terms are five-digit numbers: a text of digits holds those of its windows."""
+    vocabulary = spark.range(10_000, 30_000).selectExpr("cast(id as string) term", "cast(id as string) label")
+    rng = random.Random(1)
+    texts = [(i, "".join(rng.choices("0123456789", k=400))) for i in range(200)]
+    rows = terms.labelled(spark.createDataFrame(texts, "k long, t string"), "t", vocabulary)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert all(r.labels == sorted({r.t[i : i + 5] for i in range(396) if 10_000 <= int(r.t[i : i + 5]) < 30_000}) for r in rows.collect())
+
+
 def test_blocked_joins_are_no_cross_joins(spark):
     rows = [("a 1 kW", "", "rack"), ("air cooled", "b", "rack")]
     plans = [contradict.numeric_pairs(_numeric(spark, rows)), contradict.mismatches(_numeric(spark, rows), "unit"), contradict.categorical_pairs(contradict.classes(contradict.categorical_signatures(_claims(spark, rows))))]
