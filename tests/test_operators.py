@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, retrieve, select, terms
-from corvane.sources import readers, sinks
+from corvane.sources import readers, records, sinks
 from corvane.sources.store import Store
 from corvane.streaming import ingest
 
@@ -193,6 +193,71 @@ def test_a_vocabulary_of_20000_terms_in_one_pass(spark):
     assert all(r.labels == sorted({r.t[i : i + 5] for i in range(396) if 10_000 <= int(r.t[i : i + 5]) < 30_000}) for r in rows.collect())
 
 
+QUESTION_YAML = """question_id: ONE
+domain: chips
+question: >
+  How much power
+  does it draw?
+must_include:
+  - 120 kW
+  - "rack # not this"
+must_not_include: 30 kW
+notes: x
+"""
+CASE_YAML = """claim_a: A draws 1 kW.
+claim_b: A draws 2 kW.
+expected_result: contradiction
+suppression_should_fire: true
+expected_suppression_reason: null
+"""
+PROFILE_YAML = """name: smr
+description: reactors
+topic_keywords:
+  reactor design:
+    - Reactor
+    - core
+  licensing: [NRC]
+contradiction_topics:
+  cost: {keywords: [Capex, opex]}
+  time: [months]
+domain_terms: [nuclear]
+research_gap_checks:
+  grid:
+    - Interconnection
+    - {topic: storage, keywords: [battery], priority: high}
+"""
+
+
+def test_records_from_files(spark, tmp_path):
+    """YAML, JSON and JSON lines in folders; empty, broken, misshapen and foreign files."""
+    for at, text in {
+        "gold/chips/one.yaml": QUESTION_YAML, "gold/chips/two.json": '{"question": " Second? ", "must_include": null}', "gold/chips/empty.yaml": " \n", "gold/chips/bad.yaml": "a: [1", "gold/chips/list.json": "[1, 2]",
+        "gold/lines.txt": '{"question_id": "L1"}\n\n{oops\n{"question_id": "L2", "domain": "d"}', "gold/many.yaml": "question_id: M1\n---\nquestion_id: M2\n", "gold/other.md": "question_id: no", "cases/c1.yaml": CASE_YAML, "profiles/smr.yaml": PROFILE_YAML, "profiles/zwei.yml": "description: nameless\n",
+    }.items():
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(text)
+    (tmp_path / "gold/latin.json").write_bytes(b'{"a": "\xe9"}')
+    found = records.records(spark, str(tmp_path / "gold"))
+    q = {r.question_id: r for r in records.gold_questions(found).collect()}
+    assert set(q) == {"ONE", "two", "L1", "L2", "M1", "M2"}
+    assert (q["ONE"].domain, q["ONE"].difficulty, q["ONE"].question, q["ONE"].must_include, q["ONE"].must_not_include, q["ONE"].expected_topics) == ("chips", "medium", "How much power does it draw?", ["120 kW", "rack"], ["30 kW"], [])
+    assert (q["two"].domain, q["two"].question, q["two"].must_include, q["L2"].domain, q["M1"].domain) == ("chips", "Second?", [], "d", "gold")
+    errors = {(r.path.rsplit("/", 1)[-1], r.ord): r.error for r in records.errors(found).collect()}
+    assert set(errors) == {("empty.yaml", 0), ("bad.yaml", 0), ("list.json", 0), ("lines.txt", 1), ("latin.json", 0)} and "not list" in errors["list.json", 0]
+    case = records.contradiction_cases(records.records(spark, str(tmp_path / "cases"))).first()
+    assert (case.contradiction_id, case.expected_result, case.severity, case.suppression_should_fire, case.known_limitation, case.expected_suppression_reason) == ("c1", "contradiction", None, True, False, None)
+    p = records.records(spark, str(tmp_path / "profiles"))
+    assert {(r.profile, r.description) for r in records.profiles(p).collect()} == {("smr", "reactors"), ("zwei", "nameless")}
+    assert sorted(tuple(r) for r in records.vocabulary(p).collect()) == [
+        ("smr", "contradiction_topics", "cost", 0, "capex", 0), ("smr", "contradiction_topics", "cost", 0, "opex", 1), ("smr", "contradiction_topics", "time", 1, "months", 0), ("smr", "domain_terms", "", 0, "nuclear", 0),
+        ("smr", "topic_keywords", "licensing", 1, "nrc", 0), ("smr", "topic_keywords", "reactor design", 0, "core", 1), ("smr", "topic_keywords", "reactor design", 0, "reactor", 0),
+    ]
+    assert [(r.area, r.topic, r.priority, r.keywords) for r in records.gap_checks(p).orderBy("topic").collect()] == [("grid", "Interconnection", "medium", ["interconnection"]), ("grid", "storage", "high", ["battery"])]
+    assert records.chosen(p, default="smr").first().profile == records.chosen(p, "smr").first().profile == "smr"
+    with pytest.raises(LookupError, match="zwei"):
+        records.chosen(p, "none")
+
+
 def test_blocked_joins_are_no_cross_joins(spark):
     rows = [("a 1 kW", "", "rack"), ("air cooled", "b", "rack")]
     plans = [contradict.numeric_pairs(_numeric(spark, rows)), contradict.mismatches(_numeric(spark, rows), "unit"), contradict.categorical_pairs(contradict.classes(contradict.categorical_signatures(_claims(spark, rows))))]
