@@ -142,6 +142,12 @@ def recovery_pass(chunks: DataFrame, terms: Sequence[str], topics: Sequence[str]
     return kept, queue, m.withColumn("recovery_yield", share)
 
 
+def with_recovered(evidence: DataFrame, kept: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Evidence and what a recovery pass kept, with recovered and evidence_id: the recovered continue the numbering."""
+    both = evidence.withColumn("recovered", F.lit(False)).unionByName(kept.withColumn("recovered", F.lit(True)), allowMissingColumns=True)
+    return select.numbered(both, ["recovered", *order], "evidence_id", "E")
+
+
 def recovered(chunks: DataFrame, text: str = "chunk_text", keys: Sequence[str] = ("doc_id", "chunk_number"), most: int = 4) -> DataFrame:
     """Signal sentences of chunks: at most so many each, distinct in 100 characters."""
     s = chunks.select(*keys, F.posexplode(T.sentences(F.col(text), 40)).alias("pos", "sentence"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,29 @@ _CHUNKS_SQL = f"""ch as (select c.doc_id, c.chunk_number, d.source, {_QUALITY.re
     se as (select doc_id, chunk_number from ro where o in (select unnest(t) from fo)),
     sc_ as (select co.*, se.doc_id is not null selected from co left join se on co.doc_id = se.doc_id and co.chunk_number = se.chunk_number)"""
 _EVIDENCE_SQL = _EXTRACTED_SQL.removeprefix("with ")
+#: Claims of a report, and the sentence after each.
+_PER_REPORT, _FOLLOWS = 40, " This follows from the record with that plant, noted on day {n}."
+_REPORTS_SQL = f"""docs_ as (select doc_id, text, source from documents union all select 1000000000 + id // {_PER_REPORT}, string_agg(claim || replace({K.quoted(_FOLLOWS)}, '{{n}}', id::varchar), ' ' order by id), 'src' || (id // {_PER_REPORT} % 7) from {K.CLAIMS_SQL} group by id // {_PER_REPORT})"""
+
+
+def reported(sql: str) -> Callable:
+    """A query over the documents and the reports of claims, which have numbers and units."""
+    over = re.sub(r"(from|join) documents", lambda m: m[1] + " docs_", sql.removeprefix("with "))
+    return query(f"with {_REPORTS_SQL}, {over}")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and the claims as reports (doc_id, text, source)."""
+    said = F.concat("claim", F.replace(F.lit(_FOLLOWS), F.lit("{n}"), F.col("id").cast("string")))
+    c = K.claims(spark, sf_dir).groupBy(F.floor(F.col("id") / _PER_REPORT).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", said.alias("t")))).alias("l"))
+    reports = c.select((1_000_000_000 + F.col("g")).alias("doc_id"), F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"), F.concat(F.lit("src"), F.col("g") % 7).alias("source"))
+    return K.table(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(reports)
+
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with class, signals, relevance, combined score and selected, written once."""
-    docs = K.table(spark, sf_dir, "documents").select("doc_id", "text")
-    source = K.table(spark, sf_dir, "documents").select("doc_id", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    source = documents(spark, sf_dir).select("doc_id", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
     c = classify.classified(chunking.chunks(docs, 700, 800))
     c = c.withColumns({"relevance": score.chunk_relevance(F.col("chunk_text"), _TERMS), "size": F.length("chunk_text")})
     c = c.withColumn("combined", F.round(select.combined_score(F.col("relevance"), F.col("priority"), classify.signal_score(F.col("signals"))), 6))
@@ -41,7 +62,7 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(taken, ["doc_id", "chunk_number"], "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in", "chunk_id").join(source, "doc_id")
 
 
-@query(f"with {_CHUNKS_SQL} select doc_id, chunk_number, round(combined, 6) combined, row_number() over (order by doc_id, chunk_number) position from sc_ where selected")
+@reported(f"with {_CHUNKS_SQL} select doc_id, chunk_number, round(combined, 6) combined, row_number() over (order by doc_id, chunk_number) position from sc_ where selected")
 def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that fit the character budget, in reading order."""
     c = chunk_table(spark, sf_dir).filter("selected").select("doc_id", "chunk_number", "combined")
@@ -49,7 +70,7 @@ def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stash(_extracted(spark, sf_dir).filter("overall_score >= 3.5").select("doc_id", "ord", "snippet"), "evidence")
+    return stash(_extracted(spark, sf_dir, documents(spark, sf_dir)).filter("overall_score >= 3.5").select("doc_id", "ord", "snippet", "claim", "overall_score"), "evidence")
 
 
 _ITEMS_SQL = f"""ev as materialized (select doc_id, ord, snippet from (with {_EVIDENCE_SQL} select * from overall) where overall_score >= 3.5),
@@ -75,29 +96,46 @@ def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.failures(c, e, _TOPICS)
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL} select e.doc_id, e.ord, hit.chunk_number from ev e left join hit on e.doc_id = hit.doc_id and e.ord = hit.ord")
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL} select e.doc_id, e.ord, hit.chunk_number from ev e left join hit on e.doc_id = hit.doc_id and e.ord = hit.ord")
 def evidence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence with the first of its document's chunks that holds it."""
     c = chunk_table(spark, sf_dir)
     return evidence.attributed(_evidence(spark, sf_dir), c.select("doc_id", "chunk_number", "chunk_text")).select("doc_id", "ord", "chunk_number")
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL} select doc_id, chunk_number, doc_items, snippet_match, stage, reason, signal_strength, parsed from fd_")
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL} select doc_id, chunk_number, doc_items, snippet_match, stage, reason, signal_strength, parsed from fd_")
 def failure_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir).select("doc_id", "chunk_number", "doc_items", "snippet_match", "stage", "reason", "signal_strength", "parsed")
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL}, al(stage) as (values {', '.join(f'({K.quoted(x)})' for x in evidence.FAILURE_STAGES)}) select al.stage, count(f.stage) n from al left join fd_ f on al.stage = f.stage group by al.stage")
+#: what an extractor reports on chunks, by their numbers: called, raw, valid, clean
+_REPORT = lambda k: {"called": f"{k} % 13 < 6", "raw_items": f"case when {k} % 13 > 0 then 3 end", "valid_items": f"case when {k} % 13 = 1 then 0 else 2 end", "clean_items": f"case when {k} % 13 = 2 then 0 else {k} % 13 % 2 end", "lost": f"{k} % 17 = 0"}
+_ALL_STAGES_SQL = _DIAGNOSED_SQL.replace("st as (select *, case when not selected", """rp_ as (select *, """ + ", ".join(f"{v} {n}" for n, v in _REPORT("(doc_id + chunk_number)").items()) + """ from di),
+    st as (select *, case when lost then 'UNKNOWN' when not selected""").replace("then 'PARSER_FAILURE' when doc_items", """then 'PARSER_FAILURE' when called and raw_items is null then 'NO_LLM_OUTPUT' when called and raw_items > 0 and valid_items = 0 then 'SCHEMA_VALIDATION_FAILURE'
+      when called and valid_items > 0 and clean_items = 0 then 'POST_PROCESSING_REJECTION' when called and clean_items > 0 then 'QUALITY_THRESHOLD_REJECTION' when doc_items""").replace("end stage from di)", "end stage from rp_)").replace("parsed from st)", "parsed from st where true)")
+
+
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_ALL_STAGES_SQL} select doc_id, chunk_number, stage, reason, signal_strength from fd_")
+def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages at which chunks lose their evidence, with what an extractor reported."""
+    c, e = _items(spark, sf_dir)
+    said = _REPORT("(doc_id + chunk_number)")
+    failed = evidence.failures(c, e, _TOPICS).select("doc_id", "chunk_number", "chunk_text", "selected", "doc_items", "snippet_match", "signal_strength")
+    failed = failed.withColumns({n: F.expr(v) for n, v in said.items()}).withColumn("chunk_text", F.when(~F.col("lost"), F.col("chunk_text")))
+    return evidence.failure_stage(failed, _TOPICS).select("doc_id", "chunk_number", "stage", "reason", "signal_strength")
+
+
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL}, al(stage) as (values {', '.join(f'({K.quoted(x)})' for x in evidence.FAILURE_STAGES)}) select al.stage, count(f.stage) n from al left join fd_ f on al.stage = f.stage group by al.stage")
 def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.failure_summary(_diagnosed(spark, sf_dir))
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL} select doc_id, chunk_number, signal_strength, stage, relevance from fd_ order by signal_strength desc, doc_id, chunk_number limit 10")
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL} select doc_id, chunk_number, signal_strength, stage, relevance from fd_ order by signal_strength desc, doc_id, chunk_number limit 10")
 def top_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.top_missed(_diagnosed(spark, sf_dir)).select("doc_id", "chunk_number", "signal_strength", "stage", "relevance")
 
 
-@query(
+@reported(
     f"""with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_DIAGNOSED_SQL}, ss as (select doc_id, stage, count(*) n from fd_ group by all), rr as (select doc_id, reason, count(*) n from fd_ group by all)
     select a.doc_id, a.stage top_stage, (select sum(n) from ss x where x.doc_id = a.doc_id)::bigint failed_chunks, b.reason top_reason
     from (select *, row_number() over (partition by doc_id order by n desc, stage) r from ss) a join (select *, row_number() over (partition by doc_id order by n desc, reason) r from rr) b on a.doc_id = b.doc_id and a.r = 1 and b.r = 1"""
@@ -113,14 +151,14 @@ _RECOVERED_SQL = f"""el as (select * from it where selected and items = 0 and ch
     rn as (select *, row_number() over (partition by doc_id, chunk_number order by pos) n, substr(sentence, 1, 500) snippet, {K.sql_first_terms("substr(sentence, 1, 500)", L.CATEGORY_LADDER, "other")} category from rf where d = 1)"""
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL} select el.doc_id, el.chunk_number, el.relevance, (select count(*) from rn where rn.doc_id = el.doc_id and rn.chunk_number = el.chunk_number and n <= 4) recovered_evidence_count from el")
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL} select el.doc_id, el.chunk_number, el.relevance, (select count(*) from rn where rn.doc_id = el.doc_id and rn.chunk_number = el.chunk_number and n <= 4) recovered_evidence_count from el")
 def recovery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the recovery pass reads again, with what it finds in each."""
     c, _ = _items(spark, sf_dir)
     return evidence.recovery_pass(c, _TERMS, ("power",))[1].select("doc_id", "chunk_number", "relevance", "recovered_evidence_count")
 
 
-@query(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL} select doc_id, chunk_number, n, reason, md5(snippet) digest from rn where n <= 4")
+@reported(f"with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL} select doc_id, chunk_number, n, reason, md5(snippet) digest from rn where n <= 4")
 def recovery_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the recovery pass finds, whatever its score."""
     c, _ = _items(spark, sf_dir)
@@ -128,18 +166,37 @@ def recovery_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "chunk_number", "n", "reason", F.md5(F.col("snippet").cast("binary")).alias("digest"))
 
 
-@query(
-    f"""with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL}, cn as (select el.doc_id, el.chunk_number, count(rn.n) filter (where rn.n <= 4) c from el left join rn on el.doc_id = rn.doc_id and el.chunk_number = rn.chunk_number group by all)
-    select (select count(*) from el) eligible_chunks, (select count(*) from cn where c > 0) chunks_recovered, (select count(*) from it where selected) chunks_selected, (select count(*) from it where items > 0) with_evidence_before, (select sum(items)::bigint from it) items_before"""
+#: what the recovery pass finds, scored like other evidence; ord is the chunk's number and the place in it
+_SCORED_SQL = f"""rq as (with capped as (select doc_id, 10 * chunk_number + n as ord, category, snippet from rn where n <= 4), {re.sub(r"where not regexp_matches.*?'[)][)],", "),", _EXTRACTED_SQL[_EXTRACTED_SQL.index("said as"):], count=1, flags=re.DOTALL)} select doc_id, ord // 10 chunk_number, ord % 10 n, claim, overall_score from overall)"""
+
+
+@reported(
+    f"""with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL}, {_SCORED_SQL}, cn as (select el.doc_id, el.chunk_number, count(rn.n) filter (where rn.n <= 4) c from el left join rn on el.doc_id = rn.doc_id and el.chunk_number = rn.chunk_number group by all),
+    kc as (select doc_id, chunk_number, count(*) k from rq where overall_score >= 3.5 group by all), af as (select it.items, coalesce(k, 0) k from it left join kc on it.doc_id = kc.doc_id and it.chunk_number = kc.chunk_number), e as (select (select count(*) from el) n, (select count(*) from rq where overall_score >= 3.5) kept)
+    select n eligible_chunks, (select count(*) from cn where c > 0) chunks_recovered, kept recovered_evidence_items, (select count(*) from it where selected) chunks_selected, (select count(*) from it where items > 0) with_evidence_before, (select count(*) from af where items + k > 0) with_evidence_after,
+    (select sum(items)::bigint from it) items_before, (select sum(items + k)::bigint from af) items_after, case when n > 0 then round(kept / n::double, 3) else 0.0 end recovery_yield from e"""
 )
 def recovery_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yield before and after the recovery pass."""
     c, _ = _items(spark, sf_dir)
-    m = evidence.recovery_pass(c, _TERMS, ("power",))[2]
-    return m.select("eligible_chunks", "chunks_recovered", "chunks_selected", "with_evidence_before", "items_before")
+    return evidence.recovery_pass(c, _TERMS, ("power",))[2]
+
+
+@reported(
+    f"""with {_CHUNKS_SQL}, {_ITEMS_SQL}, {_RECOVERED_SQL}, {_SCORED_SQL}, ol as (select doc_id, ord, claim, overall_score from (with {_EVIDENCE_SQL} select * from overall) where overall_score >= 3.5),
+    un as (select false recovered, doc_id, ord, claim, overall_score from ol union all select true, doc_id, 10 * chunk_number + n, claim, overall_score from rq where overall_score >= 3.5)
+    select 'E' || case when r < 1000 then lpad(r::varchar, 3, '0') else r::varchar end evidence_id, recovered, doc_id, ord, md5(claim) claim, overall_score from (select *, row_number() over (order by recovered, doc_id, ord) r from un)"""
+)
+def recovered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with what recovery keeps: the latter continues the numbering."""
+    c, e = _items(spark, sf_dir)
+    kept = evidence.recovery_pass(c, _TERMS, ("power",))[0].withColumn("ord", (10 * F.col("chunk_number") + F.col("n")).cast("long"))
+    found = evidence.with_recovered(e.withColumn("ord", F.col("ord").cast("long")), kept, ["doc_id", "ord"])
+    return found.select("evidence_id", "recovered", "doc_id", "ord", F.md5(F.col("claim").cast("binary")).alias("claim"), "overall_score")
 
 
 #: chunks as documents for the counts of a run
-@query(
+@reported(
     f"""with {_CHUNKS_SQL}, {_ITEMS_SQL} select count(*) chunks_total, count(*) filter (where selected) chunks_selected, count(*) filter (where items > 0) chunks_with_evidence, sum(items)::bigint evidence_items, count(*) filter (where priority = 'skip') skipped_boilerplate,
     count(*) - count(*) filter (where items > 0) zero_evidence_chunks, greatest(0, count(*) filter (where selected) - count(*) filter (where items > 0)) zero_evidence_selected,
     round(sum(items) / (count(*) filter (where selected))::double, 3) yield_per_selected, round(sum(items) / count(*)::double, 3) yield_per_total from it"""
@@ -148,7 +205,7 @@ def chunk_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.yield_metrics(_items(spark, sf_dir)[0])
 
 
-@query(f"with {_CHUNKS_SQL} select doc_id, chunk_number from sc_ where combined is not null and not selected")
+@reported(f"with {_CHUNKS_SQL} select doc_id, chunk_number from sc_ where combined is not null and not selected")
 def rejected_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that competed for the budget and were not selected."""
     c = chunk_table(spark, sf_dir).filter("combined is not null")
