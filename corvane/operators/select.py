@@ -6,7 +6,9 @@ the shuffle.  Orders over a whole table are taken only as top-k (limit), never a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,30 +77,52 @@ def combined_score(relevance: Column, priority: Column, signals: Column) -> Colu
     return F.when(priority != "skip", relevance + boost * 0.30 + signals * 0.25)
 
 
-def within_budget(rows: DataFrame, order: Sequence[Column | str], keys: Sequence[str], size: str, budget: int, head: int = 4096) -> DataFrame:
-    """Rows in order, each taken if it still fits the budget, so that a later smaller one may.
-
-    Heads of ``head`` rows that could fit are folded one after the other; what does not fit any more never comes back, so
-    few are needed, and no more than a head is gathered at once.  order ends in a unique key."""
-    named = rows.withColumn("__o", F.struct(*[(F.expr(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]))
-    left, last, taken = budget, None, []
-    while left > 0:
-        fits = named.filter((F.col(size) <= left) & F.col(size).isNotNull())
-        if last is not None:
-            fits = fits.filter(F.col("__o") > last)
-        got = fits.orderBy("__o").limit(head).select(*keys, size, "__o").collect()  # at most head rows
-        for r in got:
-            if r[size] <= left:
-                taken.append(tuple(r[k] for k in keys))
-                left -= r[size]
-        if len(got) < head:
-            break
-        o = got[-1]["__o"]
-        last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(o, named.schema["__o"].dataType.fields, strict=True)])
-    spark = rows.sparkSession
-    chosen = spark.createDataFrame(taken, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys))
-    # sizes are whole numbers above 0, so the budget bounds the keys
-    return rows.join(F.broadcast(chosen) if len(taken) <= 100_000 else chosen, list(keys), "left_semi")
+def _fold(size: str, left: int, names: list[str]) -> Callable:
+    """Of rows in order those that fit what is left, each after the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = left
+        for batch in batches:
+            fits = []
+            for n in batch.column(batch.schema.get_field_index(size)).to_pylist():
+                fits.append(n <= room)
+                room -= n * (n <= room)
+            yield batch.filter(pa.array(fits, pa.bool_())).select(names)
+
+    return run
+
+
+def within_budget(rows: DataFrame, order: Sequence[Column | str], size: str, budget: int, ranges: int | None = None) -> DataFrame:
+    """Rows in order, each taken if it still fits the budget, so that a later smaller one may; null sizes never fit.
+
+    Rows are dealt by ranges of the order.  Ranges whose rows all fit are taken whole, by their sums alone; the range in which
+    the budget runs out is read row by row, in one task; what is left goes on to the rows of the ranges after it that could
+    still fit.  The driver sees sums of ranges only.  order ends in a unique key."""
+    by = [(F.expr(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]
+    keyed = rows.filter(F.col(size).isNotNull()).withColumn("__o", F.struct(*by))
+    dealt = keyed.repartitionByRange(ranges, "__o") if ranges else keyed.repartitionByRange("__o")
+    dealt = stash(dealt.withColumn("__p", F.spark_partition_id()), "ranges")
+    left, first, taken, columns = budget, 0, None, rows.columns
+    while True:
+        live = dealt.filter((F.col("__p") >= first) & (F.col(size) <= left))
+        sums = sorted(live.groupBy("__p").agg(F.sum(size).alias("n")).collect())  # a row a range
+        whole, limit, tight = [], left, None
+        for p, n in sums:
+            if n > left:
+                tight = p
+                break
+            whole.append(p)
+            left -= n
+        if whole:
+            part = dealt.filter(F.col("__p").between(whole[0], whole[-1]) & (F.col(size) <= limit)).select(columns)
+            taken = part if taken is None else taken.unionByName(part)
+        if tight is None:
+            return rows.limit(0) if taken is None else taken
+        here = dealt.filter((F.col("__p") == tight) & (F.col(size) <= left)).repartition(1).sortWithinPartitions("__o")
+        part = stash(here.select(*columns).mapInArrow(_fold(size, left, columns), rows.schema), "tight")
+        taken = part if taken is None else taken.unionByName(part)
+        left -= part.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        first = tight + 1
 
 
 def quota_by_turns(rows: DataFrame, profile: str, score: str, key: str, n: int) -> DataFrame:

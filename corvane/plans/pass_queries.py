@@ -57,7 +57,7 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumns({"relevance": score.chunk_relevance(F.col("chunk_text"), _TERMS), "size": F.length("chunk_text")})
     c = c.withColumn("combined", F.round(select.combined_score(F.col("relevance"), F.col("priority"), classify.signal_score(F.col("signals"))), 6))
     c = stash(c.withColumn("chunk_id", F.struct("doc_id", "chunk_number")).drop("start_offset", "end_offset"), "chunks")
-    taken = select.within_budget(c.filter("combined is not null").select("doc_id", "chunk_number", "size", "combined"), [-F.col("combined"), F.col("doc_id"), F.col("chunk_number")], ["doc_id", "chunk_number"], "size", _BUDGET)
+    taken = select.within_budget(c.filter("combined is not null").select("doc_id", "chunk_number", "size", "combined"), [-F.col("combined"), F.col("doc_id"), F.col("chunk_number")], "size", _BUDGET)
     taken = taken.select("doc_id", "chunk_number", F.lit(True).alias("__in"))
     return c.join(taken, ["doc_id", "chunk_number"], "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in", "chunk_id").join(source, "doc_id")
 

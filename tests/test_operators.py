@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, retrieve, select, terms
-from corvane.sources import readers, records, sinks
+from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, pools, retrieve, select, terms, trace
+from corvane.sources import cache, readers, records, sinks
 from corvane.sources.store import Store
 from corvane.streaming import ingest
 
@@ -299,9 +299,94 @@ def test_diverse_and_budget(spark):
     r = spark.createDataFrame([(1, "a", 9.0, 5), (2, "a", 8.0, 5), (3, "a", 7.0, 2), (4, "b", 1.0, 1)], "id long, g string, s double, n long")
     order = [F.desc("s"), F.asc("id")]
     assert [x.id for x in select.diverse(r, "g", order, 3, 1).collect()] == [1, 4, 2]
-    for head in (1, 2, 100):
-        fit = select.within_budget(r, [-F.col("s"), F.col("id")], ["id"], "n", 8, head)
-        assert sorted(x.id for x in fit.collect()) == [1, 3, 4]
+    for ranges in (1, 2, None):
+        fit = select.within_budget(r, [-F.col("s"), F.col("id")], "n", 8, ranges)
+        assert sorted(x.id for x in fit.collect()) == [1, 3, 4] and fit.columns == r.columns
+
+
+def _greedy(rows, budget):
+    taken, left = set(), budget
+    for i, n in sorted(rows):
+        if n is not None and n <= left:
+            taken.add(i)
+            left -= n
+    return taken
+
+
+@pytest.mark.parametrize("budget", [0, 1, 17, 900, 5_000, 10**9])
+def test_budget_by_ranges_equals_the_fold(spark, budget):
+    rng = random.Random(budget)
+    for sizes in ([rng.randint(0, 60) for _ in range(900)], [rng.choice([1, 700, None]) for _ in range(900)], [2**k for k in range(20, 0, -1)]):
+        rows = list(enumerate(sizes))
+        d = spark.createDataFrame(rows, "id long, n long").repartition(5)
+        for ranges in (1, 13):
+            assert {r.id for r in select.within_budget(d, ["id"], "n", budget, ranges).collect()} == _greedy(rows, budget)
+
+
+def test_a_budget_of_a_billion_reads_one_range_by_row(spark):
+    """Two million rows of 1 to 1000: all but one range are taken or passed over by their sums."""
+    d = spark.range(2_000_000).select("id", (F.col("id") * 7919 % 1000 + 1).alias("n"))
+    got = select.within_budget(d, ["id"], "n", 900_000_000, 40)
+    n = np.arange(2_000_000, dtype=np.int64) * 7919 % 1000 + 1
+    left, want = 900_000_000, 0
+    for x in n.tolist():
+        if x <= left:
+            left -= x
+            want += 1
+    total = got.agg(F.sum("n").alias("s"), F.count("*").alias("c")).first()
+    assert (total.s, total.c) == (900_000_000 - left, want)
+
+
+def test_pools_are_compared_without_gathering_them(spark):
+    a = [("x", i) for i in range(10)] + [("x", 1), ("x", None), ("y", 1), ("w", 5)]
+    b = [("x", i) for i in range(5, 12)] + [("z", 3), ("w", 5)]
+    d = lambda rows: spark.createDataFrame(rows, "k string, m long").withColumn("side", F.lit(0))
+    keys = spark.createDataFrame([(k,) for k in ("w", "x", "y", "z", "none")], "k string")
+    got = pools.comparison(d(a), d(b), "k", "m", keys)
+    assert {r.k: (r.shared, r.only_a, r.only_b, r.jaccard) for r in got.collect()} == {"x": (5, 5, 2, 0.416667), "y": (0, 1, 0, 0.0), "z": (0, 0, 1, 0.0), "w": (1, 0, 0, 1.0), "none": (0, 0, 0, 1.0)}
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+    big = lambda lo: spark.range(lo, lo + 60_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("m"))
+    both = spark.createDataFrame([("p", "q"), ("p", "p"), ("p", "e")], "a string, b string")
+    rows = big(0).select(F.lit("p").alias("pool"), "m").unionByName(big(20_000).select(F.lit("q").alias("pool"), "m")).unionByName(spark.createDataFrame([("e", None)], "pool string, m long"))
+    est = {(r.a, r.b): r.jaccard for r in pools.estimates(pools.sketches(rows, "pool", "m"), both, "pool").collect()}
+    assert abs(est["p", "q"] - 0.5) < 0.03 and est["p", "p"] == 1.0 and ("p", "e") not in est
+
+
+def test_traces_equal_counted_values(spark, tmp_path):
+    """Three stages, the last of them twice; the trace has what a second pass would count."""
+    run = trace.Run(spark, "r1")
+    a = run.stage("read", spark.range(100).withColumn("x", F.col("id") % 7), str(tmp_path / "a"), total=F.sum("x"))
+    b = run.stage("kept", a.filter("x > 2"), str(tmp_path / "b"), total=F.sum("x"), least=F.min("x"))
+    run.stage("none", b.filter("x > 9"), str(tmp_path / "c"), total=F.sum("x"))
+    run.stage("kept", a.filter("x > 3"), str(tmp_path / "b"), total=F.sum("x"))
+    for r in (run, trace.Run(spark, "r2")):
+        r.save(str(tmp_path / "trace"))
+    got = {(r.stage, r.metric): r.value for r in trace.traces(spark, str(tmp_path / "trace")).collect()}
+    want = lambda d: d.agg(F.count("*"), F.sum("x")).first()
+    assert (got["read", "rows"], got["read", "total"]) == tuple(want(a)) and (got["kept", "rows"], got["kept", "total"]) == tuple(want(a.filter("x > 3")))
+    assert got["none", "rows"] == 0 and ("none", "total") not in got
+    assert all(r.seconds > 0 for r in trace.traces(spark, str(tmp_path / "trace")).collect())
+    t = spark.createDataFrame([("a", "scanned", 8.0), ("a", "skipped", 6.0), ("b", "scanned", 0.0)], "run_id string, metric string, value double")
+    assert {r.run_id: r.ratio for r in trace.hit_ratio(t).collect()} == {"a": 0.75, "b": 0.0}
+
+
+def test_cache_puts_gets_and_forgets(spark, tmp_path):
+    c = cache.Cache(spark, str(tmp_path / "cache"))
+    rows = lambda *r: spark.createDataFrame(r, "key string, payload string")
+    wanted = spark.createDataFrame([(k, i) for i, k in enumerate(["a", "b", "c", "d", "e", None, "a"])], "key string, payload_of int")
+    hits = lambda: {(r.key, r.payload_of): r.payload for r in c.get(wanted).collect() if r.hit}
+    assert c.get(wanted).count() == 7 and hits() == {} and c.misses(wanted).count() == 7
+    c.put(rows(("a", '{"t": 1}'), ("b", "[]"), ("c", "{broken"), (None, "{}")), 1)
+    assert hits() == {("a", 0): '{"t": 1}', ("a", 6): '{"t": 1}', ("b", 1): "[]"}
+    c.put(rows(("a", '{"t": 1}'), ("b", "[]")), 1)  # replayed
+    c.put(rows(("a", '{"t": 2}'), ("d", "4")), 2)
+    c.invalidate(spark.createDataFrame([("b",), ("x",)], "key string"), 2)
+    assert hits() == {("a", 0): '{"t": 2}', ("a", 6): '{"t": 2}', ("d", 3): "4"}
+    c.put(rows(("b", '"back"'), ("a", "late")), 3)
+    assert hits() == {("b", 1): '"back"', ("d", 3): "4"}  # a payload that is no JSON is a miss
+    assert sorted(r.payload_of for r in c.misses(wanted).collect()) == [0, 2, 4, 5, 6]
+    k = spark.createDataFrame([("u", ["c2", "c1"]), ("u", ["c1", "c2"]), ("v", ["c1"])], "q string, ids array<string>").select(cache.extraction_key(F.col("q"), F.col("ids")).alias("k")).collect()
+    assert k[0].k == k[1].k != k[2].k and len(k[0].k) == 16
 
 
 def test_quotas_by_turns(spark):
