@@ -33,7 +33,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         big = stash(_star(edges, both, True), "large-star")
         edges = stash(_star(big, big, False), "small-star")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
+        # two hashes of 64 bits for the whole set of links, whatever their order
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).first()
         if now == before:
             break
         before = now

@@ -327,8 +327,8 @@ def _grouped(docs: DataFrame, percent: int, id_column: str, text: str) -> DataFr
     similarity = percent / 100
     # a pair at the threshold agrees in SIZE * similarity tokens; 4.5 deviations below, and none above that
     pass_at = int(SIZE * similarity - 4.5 * np.sqrt(SIZE * similarity * (1 - similarity)))
-    texts = docs.select(_row_key(docs, id_column, text).alias("id"), docs[id_column].cast("long").alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    signed = stash(texts.mapInArrow(tidy(_sign), "id long, doc long, n_shingles long, ka long, kb long, sig binary"), "signatures")
+    texts = docs.select(_row_key(docs, id_column, text).alias("id"), docs[id_column].alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    signed = stash(texts.mapInArrow(tidy(_sign), f"id long, doc {docs.schema[id_column].dataType.simpleString()}, n_shingles long, ka long, kb long, sig binary"), "signatures")
     # a class's texts are fetched by its row: those of a null id never stand for one
     texts = texts.filter("doc is not null").select("id", "text")
     some = signed.filter("doc is not null and sig is not null").drop("doc")

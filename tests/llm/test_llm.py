@@ -753,6 +753,14 @@ def test_unsplittable_nodes_keep_links_to_a_hub(spark, monkeypatch, chunk, part)
     assert got == want
 
 
+def test_ids_of_text(spark):
+    rows_ = [("b", NEAR), ("a", NEAR), ("c", NEAR + " tail"), ("z", "other words than those of the first ones here"), (None, NEAR), ("e", None)]
+    docs = spark.createDataFrame(rows_, "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("a", False), "z": ("z", True), "e": ("e", True), None: (None, True)}
+    assert sorted(r.doc_id or "" for r in near_dedup.deduplicated(docs).collect()) == ["", "a", "e", "z"]
+
+
 def test_ids_on_several_texts(spark):
     """An id may stand on different texts, even where it is the least of both groups; the result does not depend on the order."""
     rows_ = [(1, NEAR), (1, "quite another text of some words that stands alone"), (2, NEAR + " tail"), (3, "quite another text of some words that stands alone"), (1, NEAR), (0, "third text of its own with enough words"), (0, NEAR.replace("word7", "x"))]
