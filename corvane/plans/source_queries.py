@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import html
 from corvane.operators import terms
 from corvane.plans import carriers as K
+from corvane.plans import job_queries
 from corvane.plans.catalog import query
-from corvane.sources import records
+from corvane.sources import binaries, records
 from corvane.sources.scratch import scratch_path
 
 
@@ -90,3 +92,36 @@ def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = K.table(spark, sf_dir, "orders").join(K.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat(F.lit("Order of "), "c_name", F.lit(".")).alias("claim"))
     held = terms.labelled(said, "claim", v).select("o_orderkey", F.explode("labels").alias("l"))
     return held.groupBy(F.split("l", "/")[0].alias("profile"), F.split("l", "/")[1].alias("topic")).agg(F.count("*").alias("claims"))
+
+
+@query(
+    """select p_partkey::varchar || '.pdf' path, case when p_partkey % 4 > 0 then p_name || ' (' || p_size || ')' end title, case when p_partkey % 3 > 0 then p_brand end author, case when p_partkey % 5 > 0 then '20' || lpad((p_size % 30)::varchar, 2, '0') || '-03-15' end published,
+    p_size % 4 pages from part where p_partkey % 11 > 0"""
+)
+def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of small PDF files made of a table; placeholders, internal titles and broken files among them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    title = F.when(k % 4 > 0, F.concat(F.lit("("), "p_name", F.lit(r" \("), size.cast("string"), F.lit(r"\))"))).otherwise("(ABC12345_draft)")
+    author = F.when(k % 3 > 0, F.concat(F.lit("<FEFF"), F.regexp_replace(F.hex("p_brand"), "(..)", "00$1"), F.lit(">"))).otherwise("(Adobe InDesign)")
+    stamp = F.when(k % 5 > 0, F.concat(F.lit("(D:20"), F.lpad((size % 30).cast("string"), 2, "0"), F.lit("0315120000)"))).otherwise("()")
+    info = F.concat(F.lit("7 0 obj << /Title "), title, F.lit(" /Author "), author, F.lit(" /CreationDate "), stamp, F.lit(" >> endobj\n"))
+    body = F.concat(F.when(k % 11 > 0, "%PDF-1.4\n").otherwise("%DOC\n"), F.lit("9 0 obj << /Title (not this) >> endobj\n"), info, F.repeat(F.lit("3 0 obj << /Type /Page >> endobj\n"), (size % 4).cast("int")), F.lit("4 0 obj << /Type /Pages >> endobj\ntrailer << /Info 7 0 R >>\n%%EOF"))
+    files = K.table(spark, sf_dir, "part").select(F.concat(k.cast("string"), F.lit(".pdf")).alias("path"), body.cast("binary").alias("content"))
+    found = binaries.embedded(files).filter("error is null")
+    return found.select("path", "title", "author", F.col("published").cast("string").alias("published"), "pages")
+
+
+@query("select vec_id::varchar evidence_id, case when vec_id % 7 > 0 then len(embedding) end n, case when vec_id % 7 > 0 then round(list_sum(embedding)::double, 3) end total from embeddings")
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of files; what cannot be read is null."""
+    body = F.when(F.col("vec_id") % 7 > 0, F.to_json("embedding")).otherwise("[1, oops")
+    files = K.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("store/"), F.col("vec_id").cast("string"), F.lit(".json")).alias("path"), body.cast("binary").alias("content"))
+    v = binaries.vectors(files)
+    return v.select("evidence_id", F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("n"), F.round(F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query(f"with {job_queries.MAIN_TEXT_SQL} select page_id, length(text) n, md5(text) digest from main")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of pages, by the density of their blocks."""
+    t = K.table(spark, sf_dir, "pages").select("page_id", html.main_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))

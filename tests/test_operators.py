@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import collections
+import io
 import math
 import random
 import re
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, pools, retrieve, select, terms, trace
-from corvane.sources import cache, readers, records, sinks
+from corvane.sources import binaries, cache, readers, records, sinks
 from corvane.sources.store import Store
 from corvane.streaming import ingest
 
@@ -258,6 +261,47 @@ def test_records_from_files(spark, tmp_path):
         records.chosen(p, "none")
 
 
+def test_embedded_metadata(spark, tmp_path):
+    """PDF with a plain and with a compressed information dictionary, updated, encrypted and broken; DOCX with and without one."""
+    pdf = lambda info, rest=b"": b"%PDF-1.5\n1 0 obj << " + info + b" >> endobj\n2 0 obj << /Type /Page >> endobj\n" + rest + b"\ntrailer << /Info 1 0 R >>"
+    packed = zlib.compress(b"1 0 << /Title (Packed) /Author (Ann) >>")
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("docProps/core.xml", "<cp:coreProperties><dc:title>Q &amp; A</dc:title><dc:creator>Microsoft Office User</dc:creator><dcterms:created xsi:type='x'>2021-04-05T00:00:00Z</dcterms:created></cp:coreProperties>")
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("word/document.xml", "<w:t>x</w:t>")
+    files = {
+        "a.pdf": pdf(rb"/Title (A \(b\) \101\\) /Subject (S) /Author (Ann) /CreationDate (D:20200102030405)"),
+        "update.pdf": pdf(b"/Title (Old)") + b"\n1 0 obj << /Title (New) >> endobj\ntrailer << /Info 1 0 R >>",
+        "packed.pdf": b"%PDF-1.5\n5 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj",
+        "wide.pdf": pdf(b"/Title <FEFF00DC0062006500720020007A>"), "draft.pdf": pdf(b"/Title (GEA34989B plan) /Author (LaTeX with hyperref)"), "locked.pdf": pdf(b"/Title (x)", b"/Encrypt 5 0 R"), "not.pdf": b"hello",
+        "q.docx": docx.getvalue(), "bare.docx": bare.getvalue(), "broken.docx": b"PK",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[-1]: r for r in binaries.embedded(binaries.files_of(spark, str(tmp_path))).collect()}
+    assert len(got) == len(files)
+    assert (got["a.pdf"].title, got["a.pdf"].subtitle, got["a.pdf"].author, str(got["a.pdf"].published), got["a.pdf"].pages) == ("A (b) A\\", "S", "Ann", "2020-01-02", 1)
+    assert got["update.pdf"].title == "New" and got["packed.pdf"].title == "Packed" and got["wide.pdf"].title == "\u00dcber z"
+    assert got["draft.pdf"].title is None and got["draft.pdf"].author is None and got["draft.pdf"].error is None
+    assert all(got[n].error and got[n].title is None for n in ("locked.pdf", "not.pdf", "bare.docx", "broken.docx"))
+    assert (got["q.docx"].title, got["q.docx"].author, str(got["q.docx"].published), got["q.docx"].pages) == ("Q & A", None, "2021-04-05", None)
+    texts = spark.createDataFrame([(r.path, "Revision b. \u00a9 2019 Example Power Corp. All rights reserved. March 2018") for r in got.values()], "path string, text string")
+    p = {r.path.rsplit("/", 1)[-1]: r for r in binaries.provenance(binaries.embedded(binaries.files_of(spark, str(tmp_path))), texts).collect()}
+    assert str(p["a.pdf"].published) == "2020-01-02" and str(p["wide.pdf"].published) == "2018-03-01" and p["a.pdf"].organisation == "Example Power Corp"
+
+
+def test_vectors_from_files(spark, tmp_path):
+    for name, v in (("a", np.arange(3, dtype="<f8")), ("b", np.array([[1, 2], [3, 4]], dtype=">i4")), ("o", np.array([{}], dtype=object))):
+        np.save(tmp_path / f"{name}.npy", v)
+    (tmp_path / "j.json").write_text("[0.5, 2]")
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "a.npy").read_bytes()[:90])
+    (tmp_path / "bad.json").write_text('{"a": 1}')
+    got = {r.evidence_id: r.vector for r in binaries.vectors(binaries.files_of(spark, str(tmp_path), "*.{npy,json}")).collect()}
+    assert got == {"a": [0.0, 1.0, 2.0], "b": [1.0, 2.0, 3.0, 4.0], "o": None, "j": [0.5, 2.0], "cut": None, "bad": None}
+
+
 def test_blocked_joins_are_no_cross_joins(spark):
     rows = [("a 1 kW", "", "rack"), ("air cooled", "b", "rack")]
     plans = [contradict.numeric_pairs(_numeric(spark, rows)), contradict.mismatches(_numeric(spark, rows), "unit"), contradict.categorical_pairs(contradict.classes(contradict.categorical_signatures(_claims(spark, rows))))]
