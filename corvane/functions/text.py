@@ -58,6 +58,11 @@ def source_id(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 32)
 
 
+def file_hash(content: Column) -> Column:
+    """Of a file's bytes."""
+    return F.sha2(content, 256)
+
+
 def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 

@@ -10,6 +10,7 @@ from corvane.functions import rules as R
 from corvane.operators import classify, evaluate, link, retrieve, score, select
 from corvane.plans import carriers as K
 from corvane.plans.catalog import ORACLES, query
+from corvane.sources.scratch import bounded_broadcast
 
 _META = "(select doc_id, toxic = 0 enabled, 1 + doc_id % 5 priority, round((doc_id % 11) / 10.0, 2)::double as worth, (1 + doc_id % 4 + quality)::double overall from labels)"
 _FACTOR = "((0.8::double + (overall - 1.0::double) / 4.0::double * 0.4::double) * (0.9::double + (priority - 1) / 4.0::double * 0.2::double) * (0.9::double + worth * 0.2::double))"
@@ -236,8 +237,7 @@ _MATCH_SQL = f"""with t(term, syn, blk) as (values {", ".join(f"({K.quoted(t)},
 
 @query(_MATCH_SQL)
 def qa_term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame(_QA, "term string, synonyms array<string>, blocked array<string>")
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, s)).cast("array<string>").alias("synonyms"), F.array(*map(F.lit, a)).cast("array<string>").alias("blocked")) for t, s, a in terms.collect()]))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, s)).cast("array<string>").alias("synonyms"), F.array(*map(F.lit, a)).cast("array<string>").alias("blocked")) for t, s, a in _QA]))
     c = K.claims(spark, sf_dir).select("id", F.col("claim").alias("answer"), each.alias("m")).select("id", "answer", "m.*")
     return evaluate.term_matches(c, ("id",))
 
@@ -344,7 +344,7 @@ def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     select p profile, count(*) findings, sum(n)::bigint evidence, round(sum(n) / sum(sum(n)) over (), 6) share from e group by p"""
 )
 def profile_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.table(spark, sf_dir, "supplier").join(F.broadcast(K.table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_regionkey")
+    s = K.table(spark, sf_dir, "supplier").join(bounded_broadcast(K.table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_regionkey")
     e = K.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
     e = e.groupBy((F.col("l_suppkey") % 9).alias("e"), F.col("n_regionkey").alias("profile")).agg(F.sum("n").alias("n"))
     g = e.groupBy("profile").agg(F.count("*").alias("findings"), F.sum("n").alias("evidence"))

@@ -9,10 +9,10 @@ from corvane.functions import lexicon as L
 from corvane.functions import rules as R
 from corvane.operators import classify, decide, evaluate, evidence, link, planner, score, select
 from corvane.plans import carriers as K
-from corvane.sources.scratch import bounded_broadcast
 from corvane.plans.catalog import ORACLES, query
 from corvane.plans.document_queries import _QUESTIONS
 from corvane.plans.report_queries import _MEMO, _memos
+from corvane.sources.scratch import bounded_broadcast
 
 _ASKED_SQL = f"(select n_nationkey id, replace([{', '.join(map(K.quoted, _QUESTIONS))}][n_nationkey % {len(_QUESTIONS)} + 1], '{{x}}', n_name) q from nation)"
 
@@ -95,7 +95,7 @@ def memo_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = (k + i) % 4
         return F.when(n == 0, facts[0]).when(n == 1, facts[1]).when(n == 2, facts[2]).otherwise(facts[3])
 
-    m = _memos(spark, sf_dir).join(F.broadcast(_questions(spark, sf_dir)), k % 25 == F.col("id"))
+    m = _memos(spark, sf_dir).join(bounded_broadcast(_questions(spark, sf_dir)), k % 25 == F.col("id"))
     m = m.select(
         "k", "question", (k % 9 == 0).alias("mock"), (F.col("areas") % 4).alias("documents"), (F.col("gaps") % 2).alias("empty_documents"), (k % 5 == 0).cast("int").alias("zero_chunk_documents"), (k % 7 == 0).cast("int").alias("zero_evidence_chunks"),
         F.when(k % 6 == 0, " ").otherwise("said").alias("summary"), "items", "good_items", F.col("covered").alias("sources"), (k % 2).alias("empty_snippets"), (k % 2).alias("chunks"), (k % 8 == 0).cast("int").alias("high_conflicts"), "areas", "gaps",

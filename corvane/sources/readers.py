@@ -19,7 +19,8 @@ STORE_SUFFIXES = (*SUFFIXES, "docx")
 DOCUMENT = "path string, name string, extension string, text string, error string"
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of PDF and DOCX files."""
     for batch in batches:
         rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
@@ -34,15 +35,13 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
                     pages = pypdf.PdfReader(io.BytesIO(content)).pages
                     text = "\n\n".join(f"[Page {i}]\n{p.extract_text()}" for i, p in enumerate(pages, 1))
-                elif kind == "docx":
+                else:
                     import io
                     import re
                     import zipfile
 
                     xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "replace")
                     text = re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", "\n", xml))
-                else:
-                    text = bytes(content).decode("utf-8", "replace")
             except Exception as e:  # a file that cannot be read is a row of the error table
                 error = f"{type(e).__name__}: {e}"
             rows.append((path, name, kind, text, error))
@@ -50,14 +49,19 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def documents(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of a folder and its subfolders, dot-paths left out; empty texts are errors."""
+    """(documents, errors) of a folder and its subfolders, dot-paths left out; empty texts are errors, bytes that are no UTF-8 are replaced.
+
+    Plain text stays in the JVM; rows come in no order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
-    wanted = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*suffixes) & ~F.col("path").rlike(r"/\.[^/]")
-    read = files.filter(wanted).select("path", "content").mapInPandas(_decode, DOCUMENT)
+    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
+    wanted = files.filter(kind.isin(*suffixes) & ~F.col("path").rlike(r"/\.[^/]")).withColumn("extension", kind)
+    packed = F.col("extension").isin("pdf", "docx")
+    plain = wanted.filter(~packed).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "extension", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error"))
+    read = plain.unionByName(wanted.filter(packed).select("path", "content").mapInPandas(_unpacked, DOCUMENT))
     body = F.trim(F.left("text", F.lit(max_chars)) if max_chars else F.col("text"))
     read = read.withColumn("text", body).withColumn("error", F.coalesce("error", F.when(F.col("text") == "", "empty text")))
     good = read.filter("error is null").drop("error").withColumns({"char_count": F.length("text"), "source_id": X.source_id(F.col("text"))})
-    return good.orderBy(F.lower("path")), read.filter("error is not null").select("path", "error")
+    return good, read.filter("error is not null").select("path", "error")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -145,9 +149,8 @@ def engagement(spec: Mapping[str, object]) -> dict[str, object]:
 
 
 def web_chunks(pages: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
-    """One chunk for each page with text, numbered by its address."""
-    from pyspark.sql import Window
+    """One chunk for each page with text, numbered in the order of addresses: web_0000_0000, web_0001_0000, ..."""
+    from corvane.operators import select
 
-    kept = pages.filter(F.trim(text) != "").withColumn("__h", F.pmod(F.xxhash64(url), F.lit(1024)))
-    n = F.row_number().over(Window.partitionBy("__h").orderBy(url)) - 1
-    return kept.select(F.format_string("web_%04d_%04d", F.col("__h"), n).alias("chunk_id"), F.col(url).alias("document_name"), F.col(text).alias("chunk_text"), F.lit("web").alias("source_type"))
+    kept = select.numbered(pages.filter(F.trim(text) != "").select(url, text), [url, text], "__n", "")
+    return kept.select(F.format_string("web_%04d_0000", F.col("__n").cast("long") - 1).alias("chunk_id"), F.col(url).alias("document_name"), F.col(text).alias("chunk_text"), F.lit("web").alias("source_type"))
