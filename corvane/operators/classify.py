@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +90,19 @@ def retrieval_defaults(kind: Column) -> Column:
     return out
 
 
-def source_quality(name: Column) -> Column:
-    """(type, score) of a document by its name."""
+#: Tiers of a profile's hints in their order, with type and score.
+TIERS = (("synthetic", "synthetic", 1), ("primary", "authoritative_primary", 5), ("secondary", "industry_vendor", 4), ("tertiary", "independent_technical", 3))
+
+
+def source_quality(name: Column, hints: Mapping[str, Sequence[str]] | None = None, rules: Sequence[tuple[Sequence[str], str, int]] = ()) -> Column:
+    """(type, score) of a document by its name: by a profile's hints (tier -> terms, any), its rules (terms, all), then the general ones."""
     made = lambda kind, score: F.struct(F.lit(kind).alias("source_type"), F.lit(score).alias("quality"))
     out = None
+    for tier, kind, score in TIERS:
+        if terms := (hints or {}).get(tier):
+            out = R.when(out, R.any_term(name, terms), made(kind, score))
+    for terms, kind, score in rules:
+        out = R.when(out, R.term_hits(name, terms) == len(terms), made(kind, score))
     for terms, kind, score in L.SOURCE_QUALITY:
         out = R.when(out, R.term_hits(name, terms) == len(terms), made(kind, score))
     return out.when(F.lower(name).endswith(".txt"), made("synthetic", 1)).otherwise(made("unknown", 2))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import terms
 from corvane.sources.scratch import bounded_broadcast
 
 #: Words that link nothing.
@@ -36,6 +37,24 @@ def best_target(items: DataFrame, item: str, text: str, targets: DataFrame, targ
     return items.select(item).join(best, item, "left").select(item, F.coalesce(F.col(target), F.lit(default)).alias(target), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
+def profile_attribution(items: DataFrame, key: str, text: str, vocabulary: DataFrame, fallback: str) -> DataFrame:
+    """(key, profile, hits): the profile of which an item's text holds most terms, the first by profile_ord of equals; fallback without any.
+
+    vocabulary: profile, profile_ord and term, a row each.  An item's terms are found at once; profiles are counted per item."""
+    v = vocabulary.select(F.to_json(F.struct("profile_ord", "profile", F.lower("term").alias("term"))).alias("label"), "term")
+    held = terms.labelled(items.select(key, F.col(text).alias("__t")), "__t", v, out="__l").select(key, F.explode("__l").alias("l"))
+    said = F.from_json("l", "profile_ord int, profile string, term string")
+    n = held.select(key, said.alias("x")).groupBy(key, "x.profile", "x.profile_ord").agg(F.count("*").alias("hits"))
+    best = n.groupBy(key).agg(F.min_by("profile", F.struct(-F.col("hits"), F.col("profile_ord"))).alias("profile"), F.max("hits").alias("hits"))
+    return items.select(key).join(best, key, "left").select(key, F.coalesce("profile", F.lit(fallback)).alias("profile"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def attribution_levels(attributed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, n, level) of every profile: how much evidence was attributed to it."""
+    n = profiles.select("profile").distinct().join(attributed.groupBy("profile").agg(F.count("*").alias("n")), "profile", "left").na.fill(0, ["n"])
+    return n.withColumn("level", F.when(F.col("n") >= 10, "STRONG").when(F.col("n") >= 3, "MODERATE").when(F.col("n") > 0, "WEAK").otherwise("NONE"))
+
+
 def round_robin(unmatched: DataFrame, order: str, n: int) -> Column:
     return (F.row_number().over(Window.orderBy(order)) - 1) % n
 

@@ -124,3 +124,12 @@ def chunk_scores(chunks: DataFrame, scores: DataFrame, key: str, score: str = "k
 def perturbed(rows: DataFrame, changes: Mapping[str, float]) -> DataFrame:
     """The rows with amounts added to columns, to six places: a planted regression that a comparison has to find."""
     return rows.withColumns({c: F.round(F.col(c) + F.lit(d), 6) for c, d in changes.items()})
+
+
+def architecture_counts(architectures: DataFrame, key: str, streams: str, lists: Sequence[str], questions: str) -> DataFrame:
+    """(key, streams, n_<list>..., research_questions): compact counts of decision architectures.
+
+    streams: an array of structs with an array of questions; lists: arrays."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    asked = F.aggregate(F.coalesce(F.transform(streams, lambda s: size(s[questions])), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + n)
+    return architectures.select(key, size(F.col(streams)).alias("streams"), *[size(F.col(c)).alias(f"n_{c}") for c in lists], asked.alias("research_questions"))
