@@ -37,6 +37,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def digit_matches(text: Column, pattern: str) -> Column:
+    """matches of a pattern that cannot match without a digit: most texts are passed over after a plain search."""
+    return F.when(~text.rlike("[0-9]"), 0).otherwise(matches(text, pattern))
+
+
 def when(chain: Column | None, condition: Column, value: object) -> Column:
     """One more branch of a chain that may not have begun."""
     return F.when(condition, value) if chain is None else chain.when(condition, value)

@@ -21,26 +21,28 @@ _BETWEEN = r"(?<=[.!?])(?=[ \t\n\x0b\f\r])"
 
 
 def _spans(lengths: Column, n: Column, target: int, most: int) -> Column:
-    """array<struct<first, upto, start, end>>: chunks as ranges of pieces, and as offsets.  No piece is longer than most."""
+    """array<struct<first, upto, start, end>>: chunks as ranges of pieces, and as offsets.  No piece is longer than most.
+
+    n, the text's length, goes along in the state: it would be counted anew at every step."""
     cut = lambda s, upto, end: F.array(F.struct(s["first"].alias("first"), upto.alias("upto"), s["pos"].alias("start"), end.alias("end")))
     none = F.expr("cast(array() as array<struct<first: int, upto: int, start: int, end: int>>)")
-    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "at", "pos", "first")], none.alias("cuts"))
+    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "at", "pos", "first")], none.alias("cuts"), n.alias("n"))
 
     def step(s: Column, length: Column) -> Column:
         e = s["at"] + length
         # the end comes too late for the chunk that is open: it closes before this piece
-        before = (s["pos"] + most < n) & (e >= s["pos"] + most) & (s["at"] > s["pos"])
+        before = (s["pos"] + most < s["n"]) & (e >= s["pos"] + most) & (s["at"] > s["pos"])
         pos, first = F.when(before, s["at"]).otherwise(s["pos"]), F.when(before, s["i"]).otherwise(s["first"])
 
         def rest(t: Column) -> Column:
-            after = (t["pos"] + most < n) & (e >= t["pos"] + target)
+            after = (t["pos"] + most < s["n"]) & (e >= t["pos"] + target)
             cuts = F.when(after, F.concat(t["cuts"], cut(t, s["i"] + 1, e))).otherwise(t["cuts"])
-            return F.struct((s["i"] + 1).alias("i"), e.alias("at"), F.when(after, e).otherwise(t["pos"]).alias("pos"), F.when(after, s["i"] + 1).otherwise(t["first"]).alias("first"), cuts.alias("cuts"))
+            return F.struct((s["i"] + 1).alias("i"), e.alias("at"), F.when(after, e).otherwise(t["pos"]).alias("pos"), F.when(after, s["i"] + 1).otherwise(t["first"]).alias("first"), cuts.alias("cuts"), s["n"].alias("n"))
 
         held = F.when(before, F.concat(s["cuts"], cut(s, s["i"], s["at"]))).otherwise(s["cuts"])
         return R.bound(F.struct(pos.alias("pos"), first.alias("first"), held.alias("cuts")), rest)
 
-    return F.aggregate(lengths, start, step, lambda s: F.concat(s["cuts"], cut(s, s["i"], n)))
+    return F.aggregate(lengths, start, step, lambda s: F.concat(s["cuts"], cut(s, s["i"], s["n"])))
 
 
 def chunk_list(text: Column, target: int, most: int) -> Column:

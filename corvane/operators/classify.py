@@ -16,7 +16,7 @@ SIGNALS = (("numeric", L.NUMERIC_CLAIM), ("entity", L.NAMED_ENTITY), ("date", L.
 
 def signals(text: Column) -> Column:
     """Counts of the six evidence signals."""
-    return F.struct(*[R.matches(text, p).alias(n) for n, p in SIGNALS])
+    return F.struct(*[(R.digit_matches if n in ("numeric", "date") else R.matches)(text, p).alias(n) for n, p in SIGNALS])
 
 
 def signal_total(s: Column) -> Column:

@@ -335,6 +335,26 @@ def _running(points: DataFrame, asked: DataFrame) -> DataFrame:
     return events.join(bases, ["grp", "sid", "bucket"]).select("grp", "sid", "x", "after", (F.col("cum") + F.col("base")).alias("cum"))
 
 
+def _after_conflicts(units: DataFrame, matched: DataFrame, names: DataFrame) -> DataFrame:
+    """(outcome, topic, d): what classes of several units say of each other after their first conflict, twice and negative.
+
+    The outcome of two shapes is looked up, so that a pair of classes costs a comparison of numbers."""
+    c = F.col
+    a = units.join(names, "e").select("other", c("class").alias("ca"), c("n").alias("na"), c("sid").alias("q1"), "o", c("value").alias("va"), c("lo").alias("la"), c("hi").alias("ha"))
+    b = units.select(c("e").alias("other"), c("class").alias("cb"), c("n").alias("nb"), c("sid").alias("q2"), c("value").alias("vb"), c("lo").alias("lb"), c("hi").alias("hb"))
+    j = a.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ca").join(matched, "q1").join(b, ["other", "q2"])
+    j = j.filter((c("ca") < c("cb")) | ((c("ca") == c("cb")) & (c("na") > 1)))
+    within = lambda lo, hi, v: lo.isNotNull() & (v >= lo * LOW) & (v <= hi * HIGH)
+    inside = (c("label") == "range") & (within(c("la"), c("ha"), c("vb")) | within(c("lb"), c("hb"), c("va")))
+    near = F.coalesce(_ratio(c("va"), c("vb")), F.lit(0.0)) <= FAR
+    outcome = F.when(~c("label").isin("near", "range"), c("label")).when(inside, "range_average_compatible").when((c("rest") != "conflict") | ~near, c("rest"))
+    pairs = F.when(c("ca") == c("cb"), c("na") * (c("na") - 1)).otherwise(2 * c("na") * c("nb"))
+    rows = j.select("ca", "cb", "o", outcome.alias("outcome"), F.when(c("rest") == "conflict", c("topic")).alias("topic"), pairs.alias("d")).filter("outcome is not null")
+    first = F.min(F.when(c("outcome") == "conflict", c("o"))).over(Window.partitionBy("ca", "cb"))
+    late = rows.withColumn("__first", first).filter(c("o") > c("__first"))
+    return late.select("outcome", F.when(c("outcome") == "conflict", c("topic")).alias("topic"), (-c("d")).alias("d"))
+
+
 def numeric_counts(found: DataFrame, topics: tuple = ()) -> DataFrame:
     """(outcome, topic, n): the claim pairs that numeric_pairs stands for, by outcome; topic (of a conflict) needs classes with topics.
 
@@ -402,10 +422,9 @@ def numeric_counts(found: DataFrame, topics: tuple = ()) -> DataFrame:
     got = _running(grouped, asks.select("grp", "sid", "x", "after").distinct())
     counted = asks.join(got, ["grp", "sid", "x", "after"]).select("outcome", "topic", (c("w") * c("cum")).alias("d"))
 
-    several = found.filter(F.size("m") > 1)
-    rows = _numeric_rows(several, also, topics).filter("outcome is not null")
-    first = F.min(F.when(c("outcome") == "conflict", c("o"))).over(Window.partitionBy("class_a", "class_b"))
-    late = rows.withColumn("__first", first).filter(c("o") > c("__first")).select("outcome", F.when((c("outcome") == "conflict") & F.lit(bool(topics)), c("topic")).alias("topic"), (-2 * c("pairs")).alias("d"))
+    every_unit = found.filter(F.size("m") > 1).select("class", "n", "e", "s", "ctx", "prod", "kind", *also, F.inline("m")).withColumn("ranged", F.col("lo").isNotNull())
+    every_unit = stash(every_unit.withColumn("sid", F.xxhash64(*shape)).select("class", "n", "e", "sid", "o", "value", "lo", "hi"), "several")
+    late = _after_conflicts(every_unit, matched, compatible_names(every_unit))
     every = closed.unionByName(all_open).unionByName(counted).unionByName(late)
     return every.groupBy("outcome", "topic").agg((F.sum("d") / 2).cast("long").alias("n")).filter("n <> 0")
 

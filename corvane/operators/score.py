@@ -44,7 +44,7 @@ def relevance_score(haystack: Column, category: Column, terms: Sequence[str], to
 
 def specificity_score(text: Column, snippet: Column) -> Column:
     low = F.lower(text)
-    n, hits = R.matches(low, L.SPECIFIC_NUMBER), R.term_hits(low, L.SPECIFIC_TERMS)
+    n, hits = R.digit_matches(low, L.SPECIFIC_NUMBER), R.term_hits(low, L.SPECIFIC_TERMS)
     return (
         F.when((n >= 2) | (hits >= 5), 5)
         .when((n >= 1) | (hits >= 3), 4)
@@ -56,7 +56,7 @@ def specificity_score(text: Column, snippet: Column) -> Column:
 
 def quantitative_score(text: Column) -> Column:
     low = F.lower(text)
-    units, bare = R.matches(low, L.UNIT_NUMBER), R.matches(low, L.BARE_NUMBER)
+    units, bare = R.digit_matches(low, L.UNIT_NUMBER), R.digit_matches(low, L.BARE_NUMBER)
     return F.when(units >= 3, 5).when(units >= 2, 4).when((units >= 1) | (bare >= 3), 3).when(bare >= 1, 2).otherwise(1)
 
 

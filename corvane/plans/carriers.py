@@ -56,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, claim, brand, size)."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size")))
     t = F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("id") % len(TEMPLATES)).cast("int"))
     for mark, value in (("{b}", F.col("brand")), ("{v}", F.col("size").cast("string")), ("{w}", (F.col("size") + 10).cast("string"))):
         t = F.replace(t, F.lit(mark), value)

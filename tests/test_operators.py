@@ -642,7 +642,7 @@ def test_small_readers(spark):
     with pytest.raises(ValueError, match="profiles"):
         readers.engagement({"title": "t", "question": "q", "objectives": ["o"]})
     w = readers.web_chunks(spark.createDataFrame([("u1", "x"), ("u2", " ")], "url string, text string")).collect()
-    assert [r.document_name for r in w] == ["u1"]
+    assert [(r.document_name, r.chunk_id) for r in w] == [("u1", "web_0000_0000")]
     v = readers.vocabulary(spark, "p", {"topics": {"a": ["X", "y"]}, "terms": ["z"]})
     assert v.count() == 3 and readers.topic_terms(v, "topics").first().terms == ["x", "y"]
     assert readers.domain_of("/a/b/", {}) == "b"
