@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import html
-from corvane.operators import terms
+from corvane.operators import terms, trace
 from corvane.plans import carriers as K
 from corvane.plans import job_queries
 from corvane.plans.catalog import query
 from corvane.sources import binaries, records
 from corvane.sources.scratch import scratch_path
+from corvane.sources.store import Store
 
 
 def _written(lines: DataFrame, tag: str) -> DataFrame:
@@ -125,3 +126,41 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of pages, by the density of their blocks."""
     t = K.table(spark, sf_dir, "pages").select("page_id", html.main_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[Store, list[tuple[str, int, int]]]:
+    """A store of two domains: a build of some documents, then one of all, of which every seventh has changed."""
+    store, counts = Store(spark, scratch_path(spark, "store")), []
+    d = K.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("uri"), "text", F.when(F.col("lang") == "en", "english").otherwise("other").alias("domain"))
+    for n in range(2):
+        for domain in ("english", "other"):
+            some = d.filter((F.col("domain") == domain) & (F.lit(n == 1) | (F.col("doc_id") % 2 == 0)))
+            text = F.when((F.col("doc_id") % 7 == 0) & F.lit(n == 1), F.concat(F.lit("New text. "), "text")).otherwise(F.col("text"))
+            got = store.build(some.select("uri", text.alias("text")), domain, f"{domain}-{n}")
+            counts.append((f"{domain}-{n}", got["documents"], got["skipped"]))
+    return store, counts
+
+
+_STORED_SQL = """d as (select doc_id, text, case when lang = 'en' then 'english' else 'other' end dom from documents where text is not null),
+    b as (select 0 n, * from d where doc_id % 2 = 0 union all select 1, doc_id, case when doc_id % 7 = 0 then 'New text. ' || text else text end, dom from d),
+    f as (select n, dom, text, min(doc_id::varchar) uri from b group by all), s as (select *, exists (select 1 from f o where o.n < f.n and o.dom = f.dom and o.text = f.text and o.n = 0) seen from f)"""
+
+
+@query(f"with {_STORED_SQL} select dom || '-' || n run_id, count(*) scanned, count(*) filter (where seen) skipped, round(count(*) filter (where seen) / count(*)::double, 3) ratio from s group by dom, n")
+def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each build scanned and skipped, and the share that it found in the store."""
+    _, counts = _built(spark, sf_dir)
+    t = spark.createDataFrame([(r, m, float(v)) for r, n, k in counts for m, v in (("scanned", n), ("skipped", k))], "run_id string, metric string, value double")
+    wide = t.groupBy("run_id").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).cast("long").alias(m) for m in ("scanned", "skipped")])
+    return wide.join(trace.hit_ratio(t), "run_id")
+
+
+@query(
+    f"""with {_STORED_SQL}, w as (select dom, uri, text, n, row_number() over (partition by dom, uri order by n desc) r from s where not seen), l as (select dom, text, max(n) n from w where r = 1 group by all)
+    select dom as domain_name, count(*) sources, 2 runs, 1.0::double completed, true ready from l group by dom"""
+)
+def store_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of a store: sources in force, runs, readiness."""
+    store, _ = _built(spark, sf_dir)
+    r = store.report().join(store.health().select("domain", "ready"), "domain")
+    return r.select(F.col("domain").alias("domain_name"), "sources", F.col("runs").cast("int").alias("runs"), "completed", "ready")

@@ -4,7 +4,7 @@ A source is known by the hash of its text.  A build skips sources that the manif
 equal statements.  The manifest is a log of versions, of which the last of a location and of a source counts: nothing is
 rewritten or deleted, so a build that breaks off leaves all tables readable.  Every step adds only what is not stored
 yet and the manifest comes last, so a repeated build completes what a broken one began.  Evidence of a replaced source
-stays, as orphans do, until it is compacted away.
+stays; ``live`` leaves it out, and ``compacted`` builds a store without it beside this one, which readers can keep.
 """
 
 from __future__ import annotations
@@ -124,12 +124,49 @@ class Store:
         rows = made.filter("vector is not null").withColumn("domain", F.lit(domain))
         self.append("embedding", self._staged(rows, f"embedding-{domain}"))
 
+    def live(self, name: str, domain: str | None = None) -> DataFrame:
+        """Rows of source, evidence, metadata or embedding that belong to sources in force, records in their last version."""
+        rows = self.metadata() if name == "metadata" else self.read(name, domain)
+        rows = rows.filter(F.col("domain") == domain) if domain and name == "metadata" else rows
+        sources = self.manifest(domain).select("source_id").distinct()
+        if name in ("source", "evidence"):
+            return rows.join(sources, "source_id", "left_semi")
+        return rows.join(self.read("evidence", domain).join(sources, "source_id", "left_semi").select("evidence_id"), "evidence_id", "left_semi")
+
+    def compacted(self, root: str, run_id: str = "compacted") -> Store:
+        """A store at another root, built from the sources in force.
+
+        Statements that a replaced source said first are found again at the sources that still say them; evidence keeps its
+        ids, and vectors are carried over.  A broken build is completed by calling it again."""
+        other = Store(self.spark, root)
+        for (domain,) in self.domains().orderBy("domain").collect():  # domains are a vocabulary
+            held = self.manifest(domain).select("source_id", "uri").join(self.read("source", domain).select("source_id", "text"), "source_id")
+            other.build(held.select("uri", "text"), domain, f"{run_id}-{domain}")
+            vectors = self.read("embedding", domain).join(other.read("evidence", domain).select("evidence_id"), "evidence_id", "left_semi")
+            other.append("embedding", vectors.join(other.read("embedding", domain).select("evidence_id"), "evidence_id", "left_anti").dropDuplicates(["evidence_id"]))
+        return other
+
     def report(self) -> DataFrame:
         """Per domain: sources in force, their evidence, runs, and the share of runs that completed."""
         m = self.manifest().groupBy("domain").agg(F.count("*").alias("sources"), F.sum("evidence_count").alias("evidence"))
         r = self.runs().groupBy("domain").agg(F.count("*").alias("runs"), F.round(F.avg((F.col("status") == "COMPLETED").cast("int")), 4).alias("completed"))
         return m.join(r, "domain", "full_outer")
 
+    def issues(self) -> DataFrame:
+        """(domain, issue) of what keeps a domain from being read: no evidence, no records, counts that differ by 5 % or more."""
+        h = self.health()
+        e, m = F.col("evidence"), F.col("metadata")
+        found = F.array(
+            F.when(e == 0, "no evidence"),
+            F.when((e > 0) & (m == 0), "no records"),
+            F.when((e > 0) & (m > 0) & (F.abs(e - m) / F.greatest(e, m) >= 0.05), "evidence and records differ"),
+        )
+        return h.select("domain", F.explode(F.array_compact(found)).alias("issue"))
+
+    def sources_of(self, domain: str | None = None) -> DataFrame:
+        """(domain, uri, source_id, evidence_count) of the sources in force, by domain and location."""
+        return self.manifest(domain).select("domain", "uri", "source_id", "evidence_count").orderBy("domain", "uri")
+
     def health(self) -> DataFrame:
         """Per domain: sources, evidence, records, whether records and evidence agree within 5 %, readiness."""
         n = lambda name: self.read(name).groupBy("domain").agg(F.count("*").alias(name))

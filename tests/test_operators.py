@@ -646,3 +646,28 @@ def test_small_readers(spark):
     v = readers.vocabulary(spark, "p", {"topics": {"a": ["X", "y"]}, "terms": ["z"]})
     assert v.count() == 3 and readers.topic_terms(v, "topics").first().terms == ["x", "y"]
     assert readers.domain_of("/a/b/", {}) == "b"
+
+
+def test_compaction_keeps_what_live_sources_say(spark, tmp_path):
+    """A statement of a replaced source stays if another source says it, under its old id; the old store stays as it is."""
+    store = Store(spark, str(tmp_path / "kb"))
+    more = "Networks need a switch and more fibre for every single rack of the power hall."
+    store.build(_docs(spark, [("u1", LONG + more), ("u2", more), ("u3", "Reactor licensing takes many months of review and of public hearings.")]), "d", "r1", embed=lambda: lambda texts: [[float(len(x))] for x in texts])
+    store.build(_docs(spark, [("u1", "Only cooling water and pumps are left here, for all the racks in the building.")]), "d", "r2", embed=lambda: lambda texts: [[float(len(x))] for x in texts])
+    before = {n: store.read(n).count() for n in ("source", "evidence", "manifest")}
+    assert {r.uri: r.evidence_count > 0 for r in store.sources_of("d").collect()}.keys() == {"u1", "u2", "u3"}
+    old = {r.statement for r in store.read("evidence").collect()} - {r.statement for r in store.live("evidence").collect()}
+    assert old and store.live("source").count() == 3 and store.live("metadata").count() == store.live("evidence").count() == store.live("embedding").count()
+    for _ in range(2):  # again, as after a break
+        small = store.compacted(str(tmp_path / "small"))
+    said = {r.statement: r.evidence_id for r in small.read("evidence").collect()}
+    was = {r.statement: r.evidence_id for r in store.read("evidence").collect()}
+    fresh = Store(spark, str(tmp_path / "fresh"))
+    fresh.build(store.live("source").select("uri", "text"), "d", "r")
+    assert set(said) == {r.statement for r in fresh.read("evidence").collect()} and any("switch" in s for s in said) and not any("forty cooling pumps" in s for s in said)
+    assert all(was[s] == i for s, i in said.items() if s in was)
+    vectors = small.read("embedding")
+    assert vectors.count() == vectors.select("evidence_id").distinct().count() > 0
+    assert {n: store.read(n).count() for n in before} == before and small.issues().count() == 0
+    store.append("source", spark.createDataFrame([("s", "u", "x", "bare")], "source_id string, uri string, text string, domain string"))
+    assert [tuple(r) for r in store.issues().collect()] == [("bare", "no evidence")]
