@@ -70,6 +70,28 @@ def test_feed_of_odd_documents(spark, tmp_path):
     assert {r.doc_id for r in got} == {None, 4, 5} and all(r.quality == 2 for r in got)
 
 
+def test_feed_without_documents(spark, tmp_path):
+    config, out = evidence_feed.load_config(), str(tmp_path / "out")
+    none = {"batches": 0, "documents": 0, "found": 0, "written": 0}
+    (tmp_path / "feed").mkdir()
+    assert evidence_feed.output(spark, out).count() == 0
+    assert evidence_feed.run(spark, str(tmp_path / "feed"), out, str(tmp_path / "state"), config) == none
+    assert evidence_feed.output(spark, out).count() == 0
+    spark.createDataFrame([], evidence_feed.DOCUMENTS).write.mode("append").parquet(str(tmp_path / "feed"))
+    assert evidence_feed.run(spark, str(tmp_path / "feed"), out, str(tmp_path / "state"), config) == none
+    assert evidence_feed.output(spark, out).count() == 0
+
+
+def test_feed_counts_more_batches_than_the_query_reports(spark, tmp_path):
+    """Progress is noted as the stream runs; files are dealt one a batch."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.limit(40).repartition(20).write.parquet(str(tmp_path / "feed"))
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    done = evidence_feed.run(spark, str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "state"), evidence_feed.load_config() | {"files_per_batch": 1})
+    assert done["documents"] == 40 and done["batches"] == len(list((tmp_path / "feed").glob("part-*"))) and done["written"] == evidence_feed.output(spark, str(tmp_path / "out")).count()
+    assert spark.conf.get("spark.sql.streaming.numRecentProgressUpdates") == kept
+
+
 def test_pages_are_rebuilt_as_they_grow(spark, tmp_path, wanted):
     pages, config = spark.read.parquet(f"{DATA}/pages.parquet"), page_corpus.load_config()
     took, out = str(tmp_path / "pages"), str(tmp_path / "out")
