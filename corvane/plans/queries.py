@@ -43,4 +43,4 @@ def sentence_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from corvane.plans import claim_queries, document_queries, retrieval_queries  # noqa: E402, F401
 from corvane.plans import pass_queries, report_queries, review_queries  # noqa: E402, F401
-from corvane.plans import cache_queries, job_queries, record_queries, source_queries, term_queries, validate_queries  # noqa: E402, F401
+from corvane.plans import cache_queries, engage_queries, job_queries, record_queries, source_queries, term_queries, validate_queries  # noqa: E402, F401

@@ -93,6 +93,11 @@ def listed(name: str, body: str = "body") -> Column:
     return _items(F.get_json_object(body, f"$['{name}']"), comments=True)
 
 
+def plain_list(name: str, body: str = "body") -> Column:
+    """A list whose items are kept as they are but for blanks."""
+    return _items(F.get_json_object(body, f"$['{name}']"))
+
+
 def flag(name: str, body: str = "body") -> Column:
     return F.coalesce(F.lower(F.get_json_object(body, f"$['{name}']")).isin("true", "1", "yes"), F.lit(False))
 
