@@ -1,6 +1,6 @@
 """Patterns, word lists and tables that results depend on, in the order in which they are tried."""
 
-# -- chunk signals ---------------------------------------------------------------------------------------
+# -- chunk signals (fixed values) ---------------------------------------------------------------------------------------
 NUMERIC_CLAIM = (
     r"(?i)(?:\d[\d,]*\.?\d*\s*(?:%|MW|GW|kW|TWh|GWh|MWh|°C|°F|(?:USD|GBP|EUR|\$|€|£)\s*(?:billion|million|thousand|bn|mn|k)?"
     r"|(?:billion|million|thousand)\s*(?:dollars|pounds|euros)?|(?:TB|GB|PB)/s|(?:PUE|CUE|WUE)|years?|months?|MW(?:th|e)?|tons?|tonnes?))"
@@ -83,7 +83,7 @@ PRIORITY_HEADERS = (
 )
 PRIORITY_BOOST = {"high": 1.0, "medium": 0.5, "low": 0.0, "skip": -999.0}
 
-# -- evidence types --------------------------------------------------------------------------------------
+# -- evidence types (fixed values) --------------------------------------------------------------------------------------
 EVIDENCE_TYPES = (
     ("comparison", r"(?i)\b(more than|less than|higher than|lower than|greater than|compared to|unlike|whereas|by contrast|in contrast|outperforms|exceeds|surpasses|vs\.?|versus|relative to|advantage over|disadvantage compared)\b"),
     ("causal", r"(?i)\b(because|due to|as a result|therefore|thus|hence|leads? to|results? in|causes?|enables?|prevents?|delays?|limits?|driven by|triggered by|attributable to|owing to|shortage[s]? .{0,30}delay|supply .{0,20}constrain)\b"),
@@ -109,7 +109,7 @@ RECOVERY_REASONS = (
     ("grid_constraint", r"(?i)\b(?:(?:transmission|grid|interconnection)\s+(?:constraint|limit|congestion|bottleneck|delay|backlog)|(?:interconnection\s+queue\s+(?:of|at|exceeds|reached)\s+\d)|(?:stranded\s+(?:asset|capacity|investment))|(?:curtail(?:ment|ed)))"),
 )
 
-# -- claims: scope, kind, context, milestones ---------------------------------------------------------------
+# -- claims: scope, kind, context, milestones (fixed values) ---------------------------------------------------------------
 SCOPES = (
     ("component", r"(?i)\bgpu\s+chip\b|\bchip\s+(?:power|tdp|die)\b|\bper\s+(?:gpu|chip|die)\b"),
     ("component", r"(?i)power shelf| psu|power supply unit|power supply|module bay| drawer|power module|network module| shelf|shelf module"),
@@ -223,12 +223,12 @@ DURATION_METRICS = (
 )
 DURATION_STOP = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "to", "of", "for", "in", "on", "at", "by", "from", "with", "and", "or", "not", "no", "its", "it", "that", "this", "these", "those", "can", "could", "will", "would", "may", "might", "must", "shall", "approximately", "about", "around", "roughly", "estimated", "expected", "projected", "anticipated", "typically", "usually", "often", "construction", "duration", "timeline", "schedule", "period", "time", "months", "years", "month", "year", "weeks", "days", "build", "commissioning", "licensing", "review", "approval", "completion", "deployment", "operation", "startup", "large", "small", "new", "first", "second", "next", "last", "initial", "planned", "proposed", "current", "historical", "traditional", "typical", "designed", "reactor", "nuclear", "plant", "facility")
 
-# -- retrieval ---------------------------------------------------------------------------------------------
+# -- retrieval (fixed values) ---------------------------------------------------------------------------------------------
 QUERY_STOP = ("a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "for", "of", "in", "on", "at", "to", "from", "by", "with", "and", "or", "but", "not", "that", "this", "these", "those", "what", "which", "who", "how", "why", "when", "where", "their", "there", "they", "than", "then", "so", "if")
 RISK_TRIGGERS = ("risk", "risks", "barrier", "barriers", "challenge", "challenges", "uncertainty", "uncertain", "constraint", "constraints", "obstacle", "obstacles", "delay", "delays", "licens", "licensing", "regulatory", "regulation", "approval", "approvals", "cost", "costs", "economics", "haleu", "fuel", "financing", "schedule", "concern", "concerns", "problem", "problems", "difficulty", "issue", "issues")
 RISK_VOCABULARY = ("risk", "risks", "barrier", "barriers", "challenge", "challenges", "uncertainty", "uncertain", "constraint", "constraints", "obstacle", "obstacles", "concern", "concerns", "licens", "regulat", "approval", "nrc", "certif", "permit", "haleu", "fuel", "supply chain", "manufacturing", "production", "availability", "shortage", "cost", "capital", "financ", "econom", "expensive", "investment", "foak", "first-of-a-kind", "affordab", "construction", "schedule", "delay", "timeline", "viab", "public acceptance", "limited", "lack", "insufficient", "unproven")
 
-# -- evidence scoring --------------------------------------------------------------------------------------
+# -- evidence scoring (fixed values) --------------------------------------------------------------------------------------
 QUESTION_STOP = ("about", "after", "also", "and", "are", "center", "data", "explain", "for", "from", "how", "implications", "into", "its", "the", "their", "this", "what", "with")
 TOPICS = (
     ("architecture", ("architecture", "compute", "gpu", "cpu", "accelerator", "platform", "system")),
@@ -246,7 +246,7 @@ SPECIFIC_NUMBER = r"\b\d+(?:\.\d+)?\s*(?:%|kw|mw|w|v|gb|tb|gb/s|tb/s)?\b"
 UNIT_NUMBER = r"\b\d+(?:[.,]\d+)?\s*(?:%|kw|mw|gw|tw|w|kv|v|gb|tb|pb|gbps|tbps|hz|ghz|°c|kpa|bar|years?|months?|days?|hours?|mwe?|mwh|gwh|x|×)\b"
 BARE_NUMBER = r"\b\d{2,}(?:[.,]\d{3})*\b"
 
-# -- questions ---------------------------------------------------------------------------------------------
+# -- questions (fixed values) ---------------------------------------------------------------------------------------------
 EXPLORATORY = ("factors", "factor", "barriers", "barrier", "challenges", "challenge", "implications", "implication", "trends", "trend", "landscape", "risks", "risk", "opportunities", "opportunity", "drivers", "driver", "overview", "summary", "analysis", "considerations", "consideration", "outlook", "prospects", "viability", "feasibility", "aspects", "aspect", "dimension", "dimensions", "issues", "issue", "concerns", "concern")
 EXPLORATORY_PHRASE = r"(?i)\bwhat (?:are|were) (?:the )?(?:main |key |primary |major |top )"
 QUESTION_MODES = (
@@ -270,12 +270,12 @@ METRIC_LOCKS = (
     ("electric_output", r"(?i)\belectric(?:al)?\s+output\b|\bmwe\b|\bkwe\b|\bpower\s+output\b|\boutput\s+capacity\b"),
 )
 
-# -- prohibited terms ----------------------------------------------------------------------------------------
+# -- prohibited terms (fixed values) ----------------------------------------------------------------------------------------
 NEGATION = r"(?i)\b(no|not|cannot|can't|never|without|neither|nor|no\s+longer)\b"
 EXEMPT = r"(?i)\b(eliminat\w*|replac\w*|remov\w*|supersed\w*|obsolet\w*|instead\s+of|rather\s+than|avoid\w*|prevent\w*|exceed\w*|surpass\w*|outperform\w*|faster\s+than|greater\s+than|higher\s+than|lower\s+than|beyond\s+what|legacy|conventional|traditional|predecessor\w*|previous\s+\w+\s+approach|used\s+to\s+rel|bottleneck|limitation|limited\s+to|constrain\w*|overhead|plagued|no\s+longer\s+need|not\s+via|not\s+using|not\s+required|not\s+necessar|mis-stat\w*|incorrect\w*|reduc\w+\s+\w+\s+overhead)"
 CONTRASTIVE = r"(?i)\b(unlike|whereas|while|although|though|however|by\s+contrast|in\s+contrast|compared\s+to|versus|vs\.?|rather|contrast|nvl72|product\s+famil\w*|lineup|portfolio|sku|scaling\s+factor|different\s+config\w*|\d+\s*[-–]\s*\d+\s*months?|multi.?year\w*|several\s+years?|decade|years?\s+to\s+build|year\s+construction)\b"
 
-# -- sources ---------------------------------------------------------------------------------------------------
+# -- sources (fixed values) ---------------------------------------------------------------------------------------------------
 SOURCE_QUALITY = (
     (("nvidia", "technical blog"), "nvidia_technical", 5), (("nvidia", "architecture"), "nvidia_technical", 5), (("nvidia", "specification"), "nvidia_technical", 5), (("nvidia", "spec"), "nvidia_technical", 5),
     (("nvidia", "platform"), "nvidia_technical", 5), (("nvidia", "blog"), "nvidia_technical", 5), (("inside the nvidia",), "nvidia_technical", 5), (("nvidia", "inside"), "nvidia_technical", 5), (("nvidia", "rubin"), "nvidia_technical", 5),

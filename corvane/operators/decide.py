@@ -17,6 +17,7 @@ ACTION_VERBS = ("invest", "deploy", "build", "develop", "prioritize", "implement
 HEDGE_VERBS = ("monitor", "evaluate", "consider", "explore", "assess", "review", "investigate", "study", "examine", "analyze", "watch", "track", "observe", "await", "continue")
 TRADEOFF_WORDS = ("however", "but", "although", "while", "trade-off", "tradeoff", "trade off", "cost", "benefit", "challenge", "constraint", "drawback", "limitation", "whereas", "despite", "downside", "upside", "offset", "compromise", "balance")
 # Marks of a document's revision, version, number and date.
+#: Versions, numbers and months of documents.
 REVISION = r"(?im)(?:^|\s)(?:revision|rev\.?)\s+([A-Z0-9][A-Z0-9._-]*)"
 VERSION = r"(?im)(?:^|\s)(?:version|ver\.?)\s+(\d+(?:\.\d+)+)"
 DOCUMENT_NUMBERS = (r"\b\d{3}[A-Z]\d{4}\b", r"\bDOE[-/][A-Z]{1,4}[-/][A-Z0-9][-\d]{2,}\b", r"\bNUREG[-/]\d{4,5}\b", r"\bNEA[-/][A-Z]{2,}[-/]\d{4}(?:/\d+)?\b", r"\bINL[-/][A-Z]{2,4}[-/]\d{2,4}[-/]\d{4,6}\b", r"\bIAEA[-/][A-Z\-]{3,}[-/]\d{4}\b")
