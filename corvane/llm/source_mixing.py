@@ -13,6 +13,7 @@ which the sources are shuffled.  Words of a block are joined by one blank.
 
 Offsets come from two levels of running sums (buckets of a source, documents of a bucket), so no task holds a source: a
 document is cut at its source's block edges where its bucket was gathered, and the pieces meet where the blocks are joined.
+Blocks that no slot takes are left out before that: whether a slot does follows from the inverse of the permutation.
 The result depends on the rows only: reruns agree.
 
 Cases: a null text has size 0 and is never taken; a null source is a source and sorts last; a source without
@@ -30,6 +31,8 @@ from corvane.llm.base import BLANKS, bound, bounded_broadcast, stash, words_of
 
 WEIGHTS = (5, 2, 1)
 ROUNDS = 24
+#: Seed of the draws; those of the permutations of sources and of shards are so much above it.
+SEED, OF_SOURCE, OF_SHARD = 20, 7, 11
 BROADCAST_ROWS = 10_000
 #: A source has a bucket for so many words; a very large one has wider buckets, so that their running sum fits a task.
 BUCKET_WORDS, MOST_BUCKETS = 1 << 17, 1 << 16
@@ -104,7 +107,12 @@ def permuted(x: Column, n: Column, rounds: Column) -> Column:
     return F.aggregate(rounds, x, swap)
 
 
-def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataFrame:
+def place_of(x: Column, n: Column, rounds: Column) -> Column:
+    """The place that permuted puts at x: every round is its own inverse, so they are gone through backwards."""
+    return permuted(x, n, F.reverse(rounds))
+
+
+def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = SEED) -> DataFrame:
     """One row for every output slot: shard, slot, sid and block.  quotas: sid, blocks, full (of them, at full length), slots."""
     spark = quotas.sparkSession
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,9 +142,9 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     runs = runs.select("shard", "sid", "filled", "place", "last", F.explode(F.sequence("first", F.col("last") - 1, F.lit(piece).cast("long"))).alias("first"))
     runs = runs.repartition(parts, "sid", "first").join(q.select("sid", "blocks", "full"), "sid")
     # the rounds' keys are made once a run of slots, and for every pass over the source
-    runs = runs.withColumn("in_shard", round_keys(F.col("filled"), F.col("shard"), seed=seed + 11))
+    runs = runs.withColumn("in_shard", round_keys(F.col("filled"), F.col("shard"), seed=seed + OF_SHARD))
     passes = F.sequence(F.floor(F.col("first") / F.col("blocks")), F.floor((F.least(F.col("first") + piece, "last") - 1) / F.col("blocks")))
-    runs = runs.withColumn("in_source", F.transform(passes, lambda e: round_keys(F.greatest("full", F.lit(1)), F.col("sid"), e, seed=seed + 7)))
+    runs = runs.withColumn("in_source", F.transform(passes, lambda e: round_keys(F.greatest("full", F.lit(1)), F.col("sid"), e, seed=seed + OF_SOURCE)))
 
     def slot(k: Column) -> Column:
         epoch = (F.floor(k / F.col("blocks")) - F.floor(F.col("first") / F.col("blocks"))).cast("int")
@@ -148,32 +156,44 @@ def picks(quotas: DataFrame, shard_slots: int = 65_536, seed: int = 20) -> DataF
     return runs.select("shard", "sid", F.inline(F.transform(places, slot))).select("shard", "slot", "sid", "block")
 
 
-def blocks_of(offsets: DataFrame, block: int) -> DataFrame:
-    """sid, block, words and parts (off, n: words taken from the document at that offset) of every block of the sources."""
+def blocks_of(offsets: DataFrame, block: int, seed: int = SEED) -> DataFrame:
+    """sid, block, words and parts (off, n: words taken from the document at that offset) of the blocks that a slot takes.
+
+    offsets: documents with off and the blocks, full and slots of their source."""
     low = lambda b: F.greatest(F.col("off"), b * block)
     high = lambda b: F.least(F.col("off") + F.col("size"), (b + 1) * block)
+    full = F.greatest("full", F.lit(1))
+    first_pass = round_keys(full, F.col("sid"), F.lit(0).cast("long"), seed=seed + OF_SOURCE)
+
+    def taken(b: Column, rounds: Column) -> Column:
+        # in its first pass a source's k-th slot takes the block at place k; the short block comes last
+        place = F.when(b < F.col("full"), place_of(b, full, rounds)).otherwise(b)
+        return F.when(F.col("slots") >= F.col("blocks"), True).otherwise(place < F.col("slots"))
 
-    def cut(w: Column) -> Column:
+    def cut(w: Column, rounds: Column) -> Column:
         at = F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))
         piece = lambda b: F.array_join(F.slice(w, (low(b) - F.col("off") + 1).cast("int"), (high(b) - low(b)).cast("int")), " ")
-        return F.transform(at, lambda b: F.struct(b.alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
+        return F.transform(F.filter(at, lambda b: taken(b, rounds)), lambda b: F.struct(b.alias("block"), (high(b) - low(b)).alias("n"), piece(b).alias("words")))
 
-    # bound, so that the words are split once a document
-    rows = offsets.select("sid", "off", F.inline(bound(words_of(F.col("__text")), cut)))
+    # bound, so that the words are split, and the rounds' keys made, once a document
+    pieces = bound(F.struct(words_of(F.col("__text")).alias("w"), first_pass.alias("r")), lambda x: cut(x["w"], x["r"]))
+    rows = offsets.select("sid", "off", F.inline(pieces))
     # dealt once, as the join with the slots needs them
     held = rows.repartition("sid", "block").groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("off", "n", "words"))).alias("p"))
     parts = F.transform("p", lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n")))
     return held.select("sid", "block", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("words"), parts.alias("parts"))
 
 
-def quotas_of(goals: DataFrame, block: int, max_repeats: int) -> DataFrame:
-    """sid, blocks, full and slots of every source with words: whole passes, then as many full blocks as come nearest to the target."""
+def with_quotas(goals: DataFrame, block: int, max_repeats: int) -> DataFrame:
+    """goals with blocks, full (of them, at full length) and slots: whole passes, then as many full blocks as come nearest to the target."""
     size, target = F.col("source_size"), F.col("target")
-    q = goals.filter("source_size > 0").select("sid", "source_size", "target", F.ceil(size / block).alias("blocks"), F.floor(size / block).alias("full"), F.floor(target / size).alias("passes"))
+    passes = F.when(size > 0, F.floor(target / size)).otherwise(0)
+    q = goals.withColumns({"blocks": F.ceil(size / block), "full": F.floor(size / block), "passes": passes})
     rest, filled = target - F.col("passes") * size, F.col("full") * block
     more = F.least(F.round(rest / block).cast("long"), F.col("full"))
     closes = (F.col("blocks") > F.col("full")) & (2 * (rest - filled) > size - filled)
-    return q.select("sid", "blocks", "full", F.least(F.col("passes") * F.col("blocks") + F.when(closes, F.col("blocks")).otherwise(more), max_repeats * F.col("blocks")).alias("slots"))
+    slots = F.least(F.col("passes") * F.col("blocks") + F.when(closes, F.col("blocks")).otherwise(more), max_repeats * F.col("blocks"))
+    return q.withColumn("slots", F.when(size > 0, slots).otherwise(0)).drop("passes")
 
 
 def mixed(
@@ -193,12 +213,12 @@ def mixed(
     Documents: keep columns, size, source_size, target, sid, and off, which is null without words."""
     sized = sizes(docs, keep, source, text)
     narrow = stash(sized.drop("__text"), "sizes")
-    goals = stash(targets(narrow, weights, max_repeats), "targets")
+    goals = stash(with_quotas(targets(narrow, weights, max_repeats), block, max_repeats), "targets")
     g = bounded_broadcast(goals, BROADCAST_ROWS).alias("g")
 
     def with_sid(rows: DataFrame) -> DataFrame:
         own = rows.drop("__source").columns
-        return rows.alias("d").join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in own], "g.sid", "g.source_size", "g.target")
+        return rows.alias("d").join(g, F.col("d.__source").eqNullSafe(F.col("g.__source"))).select(*[f"d.{c}" for c in own], *[f"g.{c}" for c in ("sid", "source_size", "target", "blocks", "full", "slots")])
 
     sized, narrow = (_bucketed(with_sid(x), keep) for x in (sized, narrow))
     buckets = stash(bucket_starts(narrow), "buckets")
@@ -206,8 +226,7 @@ def mixed(
     offsets = packed(sized, buckets, keep)
     columns = [*keep, "size", "source_size", "target", "sid", "off"]
     places = stash(packed(narrow.filter("size > 0").withColumn("__text", F.lit("x")), buckets, keep).select(*columns), "offsets")
-    quotas = quotas_of(goals, block, max_repeats)
-    out = picks(quotas).join(blocks_of(offsets, block), ["sid", "block"]).select("shard", "slot", "sid", "block", "words", "parts")
+    out = picks(goals.select("sid", "blocks", "full", "slots")).join(blocks_of(offsets, block), ["sid", "block"]).select("shard", "slot", "sid", "block", "words", "parts")
     if path is None:
         out = stash(out, "mix")
     else:

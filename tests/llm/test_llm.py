@@ -447,7 +447,7 @@ def test_mix_equals_brute_force(spark):
 
 def test_texts_are_dealt_once_and_blocks_once(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    sized = source_mixing._bucketed(source_mixing.sizes(docs, ("doc_id",)).withColumns({"sid": (F.col("doc_id") % 3).cast("int"), "source_size": F.lit(10**7)}), ("doc_id",))
+    sized = source_mixing._bucketed(source_mixing.sizes(docs, ("doc_id",)).withColumns({"sid": (F.col("doc_id") % 3).cast("int"), "source_size": F.lit(10**7), "blocks": F.lit(78_125), "full": F.lit(78_125), "slots": F.lit(1000)}), ("doc_id",))
     buckets = source_mixing.bucket_starts(sized)
     blocks = source_mixing.blocks_of(source_mixing.packed(sized, F.broadcast(buckets), ("doc_id",)), 128)
     picks = spark.createDataFrame([(0, i) for i in range(1000)], "sid int, block long").hint("shuffle_merge")
@@ -487,8 +487,9 @@ def test_targets_share_out_what_caps_cut(spark):
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 1000):
         size = F.lit(n).cast("long")
-        got = spark.range(n).select("id", source_mixing.permuted(F.col("id"), size, source_mixing.round_keys(size, F.lit(3))).alias("x")).collect()
-        assert sorted(r.x for r in got) == list(range(n))
+        keys = source_mixing.round_keys(size, F.lit(3))
+        got = spark.range(n).select("id", source_mixing.permuted(F.col("id"), size, keys).alias("x")).select("id", "x", source_mixing.place_of(F.col("x"), size, keys).alias("back")).collect()
+        assert sorted(r.x for r in got) == list(range(n)) and all(r.back == r.id for r in got)
         assert n < 1000 or sum(r.x == r.id for r in got) < 20
 
 
