@@ -9,6 +9,8 @@ from corvane.operators import engage
 from corvane.plans import carriers as K
 from corvane.plans.catalog import query
 from corvane.plans.source_queries import _written
+from corvane.sources import objects
+from corvane.sources.scratch import scratch_path
 
 _K = "c_custkey"
 
@@ -110,3 +112,30 @@ def synthesis_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = i.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_returnflag") == "R", "synthesize_memo").otherwise("plan").alias("operation"), F.when(F.col("l_linenumber") % 2 > 0, F.col("l_quantity")).alias("input_tokens"))
     runs = K.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("estimate"))
     return engage.synthesis_tokens(calls, runs, "id")
+
+
+@query(
+    """with v as (select 'S' || s_suppkey id, 1 + s_suppkey % 3 last_version, s_name from supplier), l as (select id from v order by last_version desc, id desc limit 1)
+    select v.id, last_version as version, s_name || '/' || last_version as said, v.id = l.id latest from v, l"""
+)
+def object_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects put in up to three versions, the last ones, and the latest of all."""
+    kept = objects.Objects(spark, scratch_path(spark, "objects"))
+    s = K.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), "s_name", (1 + F.col("s_suppkey") % 3).alias("last"))
+    for v in (2, 1, 3):
+        kept.put("engagement", s.filter(F.col("last") >= v).select("id", F.concat_ws("/", "s_name", F.lit(str(v))).alias("said")), "id", v)
+    top = kept.latest("engagement").select(F.col("id").alias("top"))
+    return kept.of("engagement", "said string").join(F.broadcast(top), F.col("id") == F.col("top"), "left").select("id", "version", "said", F.col("top").isNotNull().alias("latest"))
+
+
+@query(
+    """with o as (select o_custkey k, o_orderpriority section, string_agg('- order ' || o_orderkey, chr(10) order by o_orderkey) l from orders group by all), m as (select k, '## ' || section || chr(10) || chr(10) || l t, section from o
+      union all select c_custkey, '## Risks' || chr(10) || chr(10) || '_None._', 'zz' from customer)
+    select k memo, md5('# Memo of ' || k || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by section) || chr(10)) digest from m group by k"""
+)
+def memo_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memos of customers as markdown: a section for each priority of their orders, and an empty one."""
+    o = K.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("memo"), F.col("o_orderpriority").alias("section"), F.col("o_orderpriority").alias("section_ord"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("order "), "o_orderkey").alias("line"))
+    none = K.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("memo"), F.lit("Risks").alias("section"), F.lit("zz").alias("section_ord"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("line"))
+    m = objects.markdown(o.unionByName(none).withColumn("title", F.concat(F.lit("Memo of "), "memo")))
+    return m.select("memo", F.md5(F.col("markdown").cast("binary")).alias("digest"))

@@ -1,12 +1,9 @@
-"""Sinks: JSON documents, markdown, and Parquet tables."""
+"""Sinks: JSON documents, small markdown tables and memos, Parquet tables (objects.py keeps versioned objects)."""
 
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,30 +35,3 @@ def memo(title: str, sections: Mapping[str, Sequence[str] | str]) -> str:
 
 def report(summary: Mapping[str, object]) -> str:
     return json.dumps(summary, indent=2, sort_keys=True, default=str)
-
-
-def research_object(obj: Mapping[str, object], folder: str, name: str) -> str:
-    """Write a small JSON object, then the pointer to the latest one; both by rename, so neither is ever seen half-written."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-
-    def put(path: Path, text: str) -> None:
-        fresh = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-        fresh.write_text(text)
-        os.replace(fresh, path)
-
-    put(root / f"{name}.json", report(obj))
-    put(root / "latest.json", report({"name": name, "path": f"{name}.json"}))
-    return str(root / f"{name}.json")
-
-
-def latest_research_object(folder: str) -> dict[str, object] | None:
-    """The object that the pointer names; None without one."""
-    pointer = Path(folder) / "latest.json"
-    return json.loads((Path(folder) / json.loads(pointer.read_text())["path"]).read_text()) if pointer.exists() else None
-
-
-def linked(obj: Mapping[str, object], field: str, ids: Sequence[str]) -> dict[str, object]:
-    """The object with ids added to a list of it, each once, in order."""
-    held = list(obj.get(field) or [])
-    return {**obj, field: held + [i for i in dict.fromkeys(ids) if i not in held]}

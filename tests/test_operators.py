@@ -15,8 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, contradict, evaluate, evidence, link, pools, retrieve, select, terms, trace
-from corvane.sources import binaries, cache, readers, records, sinks
+from corvane.operators import chunking, classify, contradict, engage, evaluate, evidence, link, pools, retrieve, select, terms, trace
+from corvane.sources import binaries, cache, objects, readers, records, sinks
 from corvane.sources.store import Store
 from corvane.streaming import ingest
 
@@ -589,12 +589,26 @@ def test_embedding_within_the_build(spark, tmp_path):
     assert store.read("embedding").count() > 0 and store.read("embedding").filter("vector is null").count() == 0
 
 
-def test_research_objects_point_to_the_latest(tmp_path):
-    assert sinks.latest_research_object(str(tmp_path)) is None
-    for n in (1, 2):
-        sinks.research_object({"n": n}, str(tmp_path), f"ro-{n}")
-    assert sinks.latest_research_object(str(tmp_path)) == {"n": 2}
-    assert sinks.linked({"ids": ["a"]}, "ids", ["b", "a", "b"]) == {"ids": ["a", "b"]}
+def test_objects_have_versions(spark, tmp_path):
+    kept = objects.Objects(spark, str(tmp_path / "objects"))
+    assert kept.of("engagement").count() == 0 and kept.latest("engagement").count() == 0
+    rows = lambda *r: spark.createDataFrame(r, "id string, n int, links array<string>")
+    kept.put("engagement", rows(("a", 1, []), ("b", 1, ["x"]), (None, 0, [])), "id", 1)
+    kept.put("engagement", rows(("a", 1, []), ("b", 1, ["x"])), "id", 1)  # repeated
+    kept.put("model", rows(("m", 9, None)), "id", 7)
+    schema = "n int, links array<string>"
+    assert {(r.id, r.version, r.n, tuple(r.links)) for r in kept.of("engagement", schema).collect()} == {("a", 1, 1, ()), ("b", 1, 1, ("x",))}
+    linked = engage.linked(kept.of("engagement", schema), spark.createDataFrame([("b", "y", 2), ("b", "x", 1), ("b", "y", 3), ("z", "q", 1)], "id string, link string, o int"), "id", "links", "link", "o")
+    kept.put("engagement", linked.filter("id = 'b'").select("id", "n", "links"), "id", 2)
+    got = kept.latest("engagement").first()
+    assert (got.id, got.version) == ("b", 2) and kept.of("engagement", schema).filter("id = 'b'").first().links == ["x", "y"]
+    assert kept.of("model", schema).first().n == 9
+
+
+def test_memos_as_markdown(spark):
+    lines = [("m", "T", "Facts", 1, 2, "two"), ("m", "T", "Facts", 1, 1, "one"), ("m", "T", "Risks", 2, 1, None), ("n", "U", "Facts", 1, 1, "x")]
+    got = {r.memo: r.markdown for r in objects.markdown(spark.createDataFrame(lines, "memo string, title string, section string, section_ord int, ord int, line string")).collect()}
+    assert got == {"m": "# T\n\n## Facts\n\n- one\n- two\n\n## Risks\n\n_None._\n", "n": "# U\n\n## Facts\n\n- x\n"}
 
 
 def test_stream_feeds_the_store(spark, tmp_path):
