@@ -372,3 +372,12 @@ RECORD_CAPS = {"themes": 8, "in_scope": 12, "success": 8, "unknowns": 6, "board"
 DECISION_VERBS = ("approve", "decide", "select", "authorize")
 OBJECT_FIELDS = ("research_id", "question", "profile", "status", "created_at", "summary")
 OBJECT_STATES = ("running", "completed", "failed")
+
+# -- coverage rationale (fixed values) ------------------------------------------------------------------------
+COVERAGE_NONE = "No evidence items found for '{topic}'."
+COVERAGE_WEAK = "Weak evidence coverage. Only 1 evidence item found for '{topic}'."
+COVERAGE_MORE = "{level} evidence coverage. {n} evidence items across {s} {word}."
+#: from this mean quality on, or up to it
+QUALITY_NOTES = ((4.5, "High-quality sources."), (4.0, "Good-quality sources."))
+QUALITY_LOW = (1.5, "Low-quality sources only.")
+GAPS_REMAIN = "Some research gaps remain regarding {gaps}."

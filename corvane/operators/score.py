@@ -152,3 +152,23 @@ def inference_dimensions(inferences: Column, actions: Sequence[str], tradeoffs:
         "risk": score(share(lambda x: x.rlike(L.PROXY_RISK))),
         "actionability": score(share(lambda x: (F.length(x) >= 60) & R.any_term(x, actions))),
     }
+
+
+def _filled(template: str, **parts: Column) -> Column:
+    out = F.lit(template)
+    for name, value in parts.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value.cast("string"))
+    return out
+
+
+def coverage_rationale(topic: Column, n: Column, sources: Column, quality: Column, level: Column, gaps: Column) -> Column:
+    """Why a topic has its coverage level: the evidence, its sources' quality if notable, and the gaps (an array of topics) that remain."""
+    word = F.when(sources == 1, "source").otherwise("sources")
+    lead = F.when(level == "weak", _filled(L.COVERAGE_WEAK, topic=topic)).otherwise(_filled(L.COVERAGE_MORE, level=F.initcap(level), n=n, s=sources, word=word))
+    note = None
+    for least, text in L.QUALITY_NOTES:
+        note = R.when(note, quality >= least, text)
+    note = note.when(quality <= L.QUALITY_LOW[0], L.QUALITY_LOW[1])
+    listed = F.concat(F.array_join(F.slice(gaps, 1, 3), ", "), F.when(F.size(gaps) > 3, "…").otherwise(""))
+    rest = F.when(F.size(gaps) > 0, _filled(L.GAPS_REMAIN, gaps=listed))
+    return F.when(level == "none", _filled(L.COVERAGE_NONE, topic=topic)).otherwise(F.array_join(F.array_compact(F.array(lead, note, rest)), " "))

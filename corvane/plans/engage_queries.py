@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import engage
+from corvane.operators import engage, score
 from corvane.plans import carriers as K
 from corvane.plans.catalog import query
 from corvane.plans.source_queries import _written
@@ -139,3 +139,20 @@ def memo_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = K.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("memo"), F.lit("Risks").alias("section"), F.lit("zz").alias("section_ord"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("line"))
     m = objects.markdown(o.unionByName(none).withColumn("title", F.concat(F.lit("Memo of "), "memo")))
     return m.select("memo", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+_LEVEL_SQL = "case when n = 0 then 'none' when n = 1 then 'weak' when n >= 5 and s >= 2 then 'strong' else 'moderate' end"
+
+
+@query(
+    f"""with t as (select p_partkey k, p_name topic, (p_partkey % 7)::bigint n, (p_partkey % 3)::bigint s, 1.0 + (p_partkey % 9) / 2.0 q, p_partkey % 6 g from part), v as (select *, {_LEVEL_SQL} lv, list_transform(range(0, g), lambda i: 'gap ' || i) gaps from t)
+    select k id, case when lv = 'none' then 'No evidence items found for ''' || topic || '''.' else case when lv = 'weak' then 'Weak evidence coverage. Only 1 evidence item found for ''' || topic || '''.' else upper(lv[1]) || lv[2:] || ' evidence coverage. ' || n || ' evidence items across ' || s || case when s = 1 then ' source.' else ' sources.' end end
+      || case when q >= 4.5 then ' High-quality sources.' when q >= 4.0 then ' Good-quality sources.' when q <= 1.5 then ' Low-quality sources only.' else '' end || case when g > 0 then ' Some research gaps remain regarding ' || array_to_string(gaps[1:3], ', ') || case when g > 3 then '…' else '' end || '.' else '' end end rationale from v"""
+)
+def coverage_rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why topics have their coverage levels, in words."""
+    k = F.col("p_partkey")
+    t = K.table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("topic"), (k % 7).alias("n"), (k % 3).alias("s"), (1.0 + (k % 9) / 2.0).alias("q"), (k % 6).cast("int").alias("g"))
+    gaps = F.when(F.col("g") > 0, F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda i: F.concat(F.lit("gap "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    level = score.coverage_level(F.col("n"), F.col("s"))
+    return t.select("id", score.coverage_rationale(F.col("topic"), F.col("n"), F.col("s"), F.col("q"), level, gaps).alias("rationale"))
