@@ -31,11 +31,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from corvane.functions import html as H  # noqa: E402
 from corvane.functions import text as T  # noqa: E402
 from corvane.operators import chunking  # noqa: E402
+from corvane.sources.scratch import bounded_broadcast  # noqa: E402
 
 CONFIG = Path(__file__).with_suffix(".json")
 PAGES = "page_id long, url string, html string"
 CLEAN = "page_id long, url string, host string, title string, text string, fingerprint string, row long, lang string"
 CHUNKS = "page_id long, url string, host string, title string, chunk_number int, start_offset int, end_offset int, chunk_text string, lang string"
+MOST_BROADCAST = 100_000
 log = logging.getLogger("page_corpus")
 
 
@@ -45,6 +47,8 @@ def load_config(path: str | Path = CONFIG) -> dict:
         raise ValueError(f"unknown settings in {path}: {sorted(unknown)}")
     if not 0 < config["target_chars"] < config["most_chars"]:
         raise ValueError("target_chars must be above 0 and below most_chars")
+    if config["least_chars"] < 1:
+        raise ValueError("least_chars must be above 0")
     return config
 
 
@@ -56,9 +60,18 @@ def clean(pages: DataFrame, least_chars: int) -> DataFrame:
 
 
 def first_of_equal(pages: DataFrame) -> DataFrame:
-    """One page of each fingerprint: ids meet first, texts are only filtered."""
-    first = pages.groupBy("fingerprint").agg(F.min(F.struct("page_id", "url", "row")).alias("x")).select(F.col("x.row").alias("row"))
-    return pages.join(first, "row", "left_semi")
+    """One page of each fingerprint.  Only keys are shuffled to find the others, which are few as a rule and then broadcast."""
+    keys = pages.select("fingerprint", "page_id", "url", "row")
+    first = keys.groupBy("fingerprint").agg(F.min(F.struct("page_id", "url", "row"))["row"].alias("first"))
+    others = keys.join(first, "fingerprint").filter("row <> first").select("row")
+    return pages.join(bounded_broadcast(others, MOST_BROADCAST), "row", "left_anti")
+
+
+def chunked(pages: DataFrame, target: int, most: int) -> DataFrame:
+    """Chunks of pages with their facts, in one narrow pass."""
+    facts = ("page_id", "url", "host", "title")
+    c = pages.select(*facts, "lang", F.posexplode(chunking.chunk_list(F.col("text"), target, most)).alias("n", "c"))
+    return c.select(*facts, (F.col("n") + 1).alias("chunk_number"), F.col("c.start").alias("start_offset"), F.col("c.end").alias("end_offset"), F.col("c.text").alias("chunk_text"), "lang")
 
 
 def run(spark: SparkSession, pages: str, out: str, config: dict) -> dict[str, int]:
@@ -66,11 +79,7 @@ def run(spark: SparkSession, pages: str, out: str, config: dict) -> dict[str, in
     raw = spark.read.schema(PAGES).parquet(pages)
     clean(raw, config["least_chars"]).write.mode("overwrite").partitionBy("lang").parquet(f"{out}/pages")
     readable = spark.read.schema(CLEAN).parquet(f"{out}/pages")
-    kept = first_of_equal(readable)
-    parts = chunking.chunks(kept.select("row", "text"), config["target_chars"], config["most_chars"], key="row")
-    facts = readable.select("row", "page_id", "url", "host", "title", "lang")
-    chunks = parts.join(facts, "row").select("page_id", "url", "host", "title", "chunk_number", "start_offset", "end_offset", "chunk_text", "lang")
-    chunks.write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks")
+    chunked(first_of_equal(readable), config["target_chars"], config["most_chars"]).write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks")
     done = {"pages": raw.count(), "readable": readable.count(), "chunks": output(spark, out).count()}
     log.info("read %(pages)d pages, wrote %(readable)d readable ones and %(chunks)d chunks", done)
     return done

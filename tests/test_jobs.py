@@ -133,6 +133,9 @@ def test_configs_are_checked(tmp_path):
     at.write_text('{"target_chars": 5, "most_chars": 4, "least_chars": 1}')
     with pytest.raises(ValueError, match="below"):
         page_corpus.load_config(at)
+    at.write_text('{"target_chars": 3, "most_chars": 4, "least_chars": 0}')
+    with pytest.raises(ValueError, match="least_chars"):
+        page_corpus.load_config(at)
     at.write_text('{"terms": [], "topics": [], "focus": [], "per_document": 1, "least": 1, "files_per_batch": 1}')
     with pytest.raises(ValueError, match="topics"):
         evidence_feed.load_config(at)
