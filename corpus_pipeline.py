@@ -5,7 +5,7 @@ that hold a benchmark item go; secrets are masked in the texts; what is left is
 
 Cases: empty tables give an empty result; null texts count as empty ones and are judged like them; rows of null ids are
 no copies of each other; of repeated rows one stays; without labels of both kinds nothing is rejected; each stage states
-its ties and odd inputs in its operator's module.
+its ties and odd inputs in its operator's module.  A stage begins by releasing what the one before left in the driver.
 """
 
 from __future__ import annotations
@@ -15,23 +15,28 @@ from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, near_dedup, quality_classifier, secret_scans, source_mixing
 from corvane.llm.base import fold, stash, table
+from corvane.sources.scratch import release
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     labels = table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels, fold(labels["doc_id"], 5) != 0)
     return quality_classifier.good_documents(docs, model)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return near_dedup.deduplicated(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     masked = secret_scans.redacted(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -40,6 +45,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """The shares of the documents in the mix; the mix itself is written to path (else to the shared folder)."""
+    release(spark)
     return source_mixing.mix(docs, path=path)
 
 

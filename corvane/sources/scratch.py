@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,11 @@ def spread(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Broadcast hint only where a count proves that df has at most max_rows; else the planner shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop what earlier steps left in the driver: plans, broadcasts and shuffles of frames that nothing names any more.
+
+    Spark's cleaner works on what the JVM has collected, which a driver with little to do may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
