@@ -68,9 +68,11 @@ class Store:
         return self.read("evidence").filter(F.col("evidence_id") == evidence_id)
 
     def manifest(self, domain: str | None = None) -> DataFrame:
-        """Rows in force: the last of every location, and of every source."""
-        by_uri = select.latest(self.read("manifest", domain), "uri", "version")
-        return select.latest(by_uri, "source_id", "version")
+        """Rows in force: in each domain the last of every location, and of every source."""
+        m = self.read("manifest", domain)
+        for name in ("uri", "source_id"):
+            m = select.latest(m.withColumn("__k", F.struct("domain", name)), "__k", "version").drop("__k")
+        return m
 
     def _staged(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows written under the root and read back: appends to the tables they came from cannot change them."""
@@ -128,10 +130,10 @@ class Store:
         """Rows of source, evidence, metadata or embedding that belong to sources in force, records in their last version."""
         rows = self.metadata() if name == "metadata" else self.read(name, domain)
         rows = rows.filter(F.col("domain") == domain) if domain and name == "metadata" else rows
-        sources = self.manifest(domain).select("source_id").distinct()
+        sources, key = self.manifest(domain).select("domain", "source_id").distinct(), ["domain", "source_id"]
         if name in ("source", "evidence"):
-            return rows.join(sources, "source_id", "left_semi")
-        return rows.join(self.read("evidence", domain).join(sources, "source_id", "left_semi").select("evidence_id"), "evidence_id", "left_semi")
+            return rows.join(sources, key, "left_semi")
+        return rows.join(self.read("evidence", domain).join(sources, key, "left_semi").select("evidence_id"), "evidence_id", "left_semi")
 
     def compacted(self, root: str, run_id: str = "compacted") -> Store:
         """A store at another root, built from the sources in force.

@@ -685,3 +685,11 @@ def test_compaction_keeps_what_live_sources_say(spark, tmp_path):
     assert {n: store.read(n).count() for n in before} == before and small.issues().count() == 0
     store.append("source", spark.createDataFrame([("s", "u", "x", "bare")], "source_id string, uri string, text string, domain string"))
     assert [tuple(r) for r in store.issues().collect()] == [("bare", "no evidence")]
+
+
+def test_store_keeps_a_text_of_two_domains_in_both(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "store"))
+    for domain in ("a", "b"):
+        st.build(spark.createDataFrame([("1", "Rack power is 120 kW at the liquid cooled site today.")], "uri string, text string"), domain, f"r-{domain}")
+    assert {(r.domain, r.sources) for r in st.report().collect()} == {("a", 1), ("b", 1)}
+    assert sorted(r.domain for r in st.live("source").collect()) == ["a", "b"]
