@@ -11,14 +11,14 @@ from corvane.plans import carriers as K
 from corvane.plans import job_queries
 from corvane.plans.catalog import query
 from corvane.sources import binaries, records
-from corvane.sources.scratch import scratch_path
+from corvane.sources.scratch import scratch_path, spread
 from corvane.sources.store import Store
 
 
 def _written(lines: DataFrame, tag: str) -> DataFrame:
     """A column of texts written as text files and read back as records."""
     path = scratch_path(lines.sparkSession, tag)
-    lines.write.text(path)
+    lines.write.option("maxRecordsPerFile", records.PER_FILE).text(path)
     return records.records(lines.sparkSession, path)
 
 
@@ -36,7 +36,7 @@ def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" Which "), "p_type", F.lit("? ")).alias("question"), F.when(k % 2 == 0, F.col("p_name")).alias("acceptable_alternatives"),
     ))
     line = F.when(k % 7 > 0, F.concat(F.regexp_replace(must, r"\}$", ","), F.regexp_replace(rest, r"^\{", ""))).otherwise(F.concat(F.lit("{broken "), k.cast("string")))
-    q = records.gold_questions(_written(K.table(spark, sf_dir, "part").select(line), "gold"))
+    q = records.gold_questions(_written(spread(K.table(spark, sf_dir, "part")).select(line), "gold"))
     return q.select("question_id", "domain", "difficulty", "question", F.array_join("must_include", "|").alias("must_include"), F.array_join("acceptable_alternatives", "|").alias("alternatives"))
 
 
@@ -44,20 +44,15 @@ def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that cannot be read are rows."""
     k = F.col("p_partkey")
-    line = F.when(k % 7 == 0, F.concat(F.lit('{"id": '), k, F.lit(", oops}"))).otherwise(F.concat(F.lit('{"id": '), k, F.lit("}")))
-    lines = K.table(spark, sf_dir, "part").filter(k % 7 != 1).select(line)
-    lists = K.table(spark, sf_dir, "part").filter(k % 7 == 1).select("p_partkey", F.concat(F.lit("["), k, F.lit("]")).alias("value"))
-    at = scratch_path(spark, "lists")
-    lists.repartition(4, "p_partkey").write.partitionBy("p_partkey").text(at)
-    wrong = records.errors(records.records(spark, at)).select(F.regexp_extract("path", r"p_partkey=(\d+)", 1).alias("part"), F.col("error").alias("kind"))
+    # a list stands in a line after a mapping: a file that begins with a list holds no JSON lines
+    line = F.when(k % 7 == 0, F.concat(F.lit('{"id": '), k, F.lit(", oops}"))).when(k % 7 == 1, F.concat(F.lit("{}\n["), k, F.lit("]"))).otherwise(F.concat(F.lit('{"id": '), k, F.lit("}")))
     # a broken line is known by its place in the text file only; its number is read from the file again
     path = scratch_path(spark, "lines")
-    lines.write.text(path)
-    broken = records.errors(records.records(spark, path)).select("path", "ord", F.regexp_extract("error", "^(invalid JSON)", 1).alias("kind"))
+    spread(K.table(spark, sf_dir, "part")).select(line).write.option("maxRecordsPerFile", records.PER_FILE).text(path)
+    broken = records.errors(records.records(spark, path)).select("path", "ord", F.regexp_extract("error", "^(invalid JSON|.*)", 1).alias("kind"))
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    told = broken.join(whole, (name(F.col("path")) == name(F.col("file"))) & (F.col("ord") == F.col("at"))).select(F.regexp_extract("line", r"(\d+)", 1).alias("part"), "kind")
-    return told.unionByName(wrong)
+    return broken.join(whole, (name(F.col("path")) == name(F.col("file"))) & (F.col("ord") == F.col("at"))).select(F.regexp_extract("line", r"(\d+)", 1).alias("part"), "kind")
 
 
 _PROFILE_SQL = "select 'market_' || c_mktsegment profile, 'n' || c_nationkey topic, lower(c_name) term, row_number() over (partition by c_mktsegment, c_nationkey order by c_custkey) - 1 term_ord from customer"

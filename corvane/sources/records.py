@@ -12,7 +12,9 @@ rows; files are equal to the reader whatever their order.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,34 +22,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"
+#: A line, as str.splitlines cuts them.
+LINE = re.compile("[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+")
+#: Rows that a task holds at once, and records that a file gets from this library: a file is read whole.
+ROWS_AT_ONCE, PER_FILE = 5_000, 20_000
 RECORD = "path string, name string, folder string, ord int, body string, error string"
 
 
-def _mappings(text: str) -> list[tuple[str | None, str | None]]:
-    """(body, error) of the mappings in a file."""
+def _mappings(text: str) -> Iterator[tuple[str | None, str | None]]:
+    """(body, error) of the mappings in a file, line by line if it has JSON lines."""
     if not text.strip():
-        return [(None, "empty file")]
+        yield None, "empty file"
+        return
     try:
         found = [json.loads(text)]
     except ValueError:
-        lines = [line for line in text.splitlines() if line.strip()]
-        if lines[0].lstrip().startswith("{"):
-            out = []
-            for line in lines:
-                try:
-                    out.append(_checked(json.loads(line)))
-                except ValueError as e:
-                    out.append((None, f"invalid JSON: {e}"))
-            return out
+        if text.lstrip().startswith("{"):
+            for line in LINE.finditer(text):
+                if line[0].strip():
+                    try:
+                        yield _checked(json.loads(line[0]))
+                    except ValueError as e:
+                        yield None, f"invalid JSON: {e}"
+            return
         try:
             import yaml  # optional
         except ModuleNotFoundError:
-            return [(None, "YAML needs a YAML library")]
+            yield None, "YAML needs a YAML library"
+            return
         try:
             found = [x for x in yaml.safe_load_all(text) if x is not None]
         except yaml.YAMLError as e:
-            return [(None, f"invalid YAML: {' '.join(str(e).split())}")]
-    return [_checked(x) for x in found] or [(None, "empty file")]
+            yield None, f"invalid YAML: {' '.join(str(e).split())}"
+            return
+    yield from [_checked(x) for x in found] or [(None, "empty file")]
 
 
 def _checked(value: object) -> tuple[str | None, str | None]:
@@ -58,16 +66,16 @@ def _checked(value: object) -> tuple[str | None, str | None]:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
             parts = path.rstrip("/").split("/")
             name, folder = parts[-1].rsplit(".", 1)[0], parts[-2] if len(parts) > 1 else ""
             try:
                 found = _mappings(bytes(content).decode("utf-8-sig"))
             except UnicodeDecodeError as e:
-                found = [(None, f"not UTF-8: {e}")]
-            rows += [(path, name, folder, i, body, error) for i, (body, error) in enumerate(found)]
-        yield pd.DataFrame(rows, columns=["path", "name", "folder", "ord", "body", "error"])
+                found = iter([(None, f"not UTF-8: {e}")])
+            rows = ((path, name, folder, i, body, error) for i, (body, error) in enumerate(found))
+            while some := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=["path", "name", "folder", "ord", "body", "error"])
 
 
 def records(spark: SparkSession, folder: str, glob: str = "*.{yaml,yml,json,txt}") -> DataFrame:

@@ -695,6 +695,15 @@ def test_store_keeps_a_text_of_two_domains_in_both(spark, tmp_path):
     assert sorted(r.domain for r in st.live("source").collect()) == ["a", "b"]
 
 
+def test_records_of_a_long_file_come_in_bounded_batches():
+    import pandas as pd
+
+    text = "\n".join(['{"a": 1}', "", "[2]", "{oops"] * records.ROWS_AT_ONCE).encode()
+    got = list(records._parse(iter([pd.DataFrame({"path": ["/f/x.txt", "/f/y.json"], "content": [text, b"[1]"]})])))
+    assert max(map(len, got)) == records.ROWS_AT_ONCE and sum(map(len, got)) == 3 * records.ROWS_AT_ONCE + 1
+    assert [tuple(r)[3:] for r in got[0].head(2).itertuples(index=False)] == [(0, '{"a": 1}', None), (1, None, "a mapping is wanted, not list")]
+
+
 def test_links_may_be_shared_by_a_key(spark):
     rows_ = spark.createDataFrame([(i, i % 2, []) for i in range(4)], "id int, r int, l array<string>")
     links = spark.createDataFrame([(0, "b", 2), (0, "a", 1), (0, "b", 0), (1, None, 1)], "r int, link string, o int")
