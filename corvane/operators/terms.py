@@ -2,9 +2,9 @@
 
 A term is held if the lower-cased text contains it lower-cased, as in ``rules.any_term``; but the work does not grow with the
 vocabulary.  A vocabulary within AUTOMATON_TERMS and AUTOMATON_BYTES, counted first, becomes an automaton that each task
-builds from a broadcast list and runs over its texts once.  A larger one stays a table: every term is indexed by the trigram
-of it that fewest terms hold, a text's trigrams meet the index by join, and what they propose is searched for in the
-text.  Both ways give the same labels.
+builds from a broadcast list and runs over its texts once.  A larger one stays a table: every term is indexed by the run of
+1, 2, 3, 6, 12 or 24 characters of it (the longest that it has) that fewest terms hold, a text's runs of these lengths meet
+the index by join, and what they propose is searched for in the text.  Both ways give the same labels.
 
 Cases: null texts hold nothing; null and empty terms are held by no text; equal terms of several labels give them all; labels
 are distinct and sorted; repeated rows are judged row by row; texts are read whole.
@@ -22,6 +22,8 @@ from corvane.sources.scratch import bounded_broadcast, stash
 
 AUTOMATON_TERMS, AUTOMATON_BYTES = 200_000, 16 << 20
 BROADCAST_ROWS = 100_000
+#: Lengths of the runs that terms are indexed by: long terms that share their beginnings differ in long runs only.
+RUNS = (24, 12, 6, 3, 2, 1)
 
 
 def _by_automaton(rows: DataFrame, text: str, terms: list[tuple[str, list[str]]], out: str) -> DataFrame:
@@ -49,13 +51,18 @@ def _by_automaton(rows: DataFrame, text: str, terms: list[tuple[str, list[str]]]
     return kept.mapInArrow(run, schema)
 
 
-def _trigrams(low: Column, n: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def _runs(low: Column, n: int) -> Column:
+    """Hashes of all runs of n characters; equal hashes of others only propose terms in vain."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
+def _run_length(low: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(low) >= n, n) for n in RUNS])
 
 
 def _grams(low: Column) -> Column:
-    """What can be the key of a term: all runs of three characters; of shorter terms the term itself."""
-    return F.when(F.length(low) < 3, F.array(low)).otherwise(_trigrams(low, 3))
+    """What can be the key of a term: all its runs of the greatest length that it has."""
+    return F.coalesce(*[F.when(F.length(low) >= n, _runs(low, n)) for n in RUNS])
 
 
 def _by_index(rows: DataFrame, text: str, vocabulary: DataFrame, out: str) -> DataFrame:
@@ -66,8 +73,8 @@ def _by_index(rows: DataFrame, text: str, vocabulary: DataFrame, out: str) -> Da
     index = stash(index, "terms")
     kept = stash(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     low = F.lower(F.col(text))
-    lengths = [n for n in (1, 2) if index.filter(F.length("gram") == n).limit(1).count()]
-    pieces = F.array_distinct(F.concat(_trigrams(low, 3), *[_trigrams(low, n) for n in lengths]))
+    lengths = [r.n for r in index.select(_run_length(F.col("low")).alias("n")).distinct().collect()]  # six at most
+    pieces = F.array_distinct(F.concat(F.array().cast("array<long>"), *[_runs(low, n) for n in lengths]))
     met = kept.select("__row", F.explode(pieces).alias("gram")).join(bounded_broadcast(index, BROADCAST_ROWS), "gram").select("__row", F.col("low").alias("term"))
     proposed = met.groupBy("__row").agg(F.collect_set("term").alias("terms"))
     held = kept.join(proposed, "__row").select("__row", F.explode(F.filter("terms", lambda t: F.contains(low, t))).alias("low"))

@@ -11,7 +11,7 @@ from corvane.plans import carriers as K
 from corvane.plans import job_queries
 from corvane.plans.catalog import query
 from corvane.sources import binaries, records
-from corvane.sources.scratch import scratch_path, spread
+from corvane.sources.scratch import bounded_broadcast, scratch_path, spread
 from corvane.sources.store import Store
 
 
@@ -85,7 +85,7 @@ def profile_gap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims on orders, scored by the topics of the profiles that were read from files."""
     v = records.vocabulary(_profile_files(spark, sf_dir)).filter("section = 'topic_keywords'").select("term", F.concat_ws("/", "profile", "topic").alias("label"))
-    said = K.table(spark, sf_dir, "orders").join(K.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat(F.lit("Order of "), "c_name", F.lit(".")).alias("claim"))
+    said = K.table(spark, sf_dir, "orders").join(bounded_broadcast(K.table(spark, sf_dir, "customer")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat(F.lit("Order of "), "c_name", F.lit(".")).alias("claim"))
     held = terms.labelled(said, "claim", v).select("o_orderkey", F.explode("labels").alias("l"))
     return held.groupBy(F.split("l", "/")[0].alias("profile"), F.split("l", "/")[1].alias("topic")).agg(F.count("*").alias("claims"))
 

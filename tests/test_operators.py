@@ -695,6 +695,31 @@ def test_store_keeps_a_text_of_two_domains_in_both(spark, tmp_path):
     assert sorted(r.domain for r in st.live("source").collect()) == ["a", "b"]
 
 
+def test_long_terms_with_a_common_beginning_are_told_apart_by_the_index(spark, monkeypatch):
+    names = [f"customer#{i:09d}" for i in range(3000)] + ["x", "ab", "é😀z", "customer#000000007 and then the whole of it"]
+    v = spark.createDataFrame([(n, n) for n in names], "term string, label string")
+    rows_ = spark.createDataFrame([(i, f"Order of Customer#{i:09d}.") for i in range(0, 3000, 7)] + [(-1, "an É😀Z, AB"), (-2, "customer#000000007 and then the whole of it"), (-3, None)], "id long, t string")
+    key = terms._runs(F.lit("er#000000007"), 12)
+    assert len(spark.range(1).select(key.alias("k")).first().k) == 1
+    both = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(terms, "AUTOMATON_TERMS", most)
+        both.append({r.id: r.labels for r in terms.labelled(rows_, "t", v).collect()})
+    assert both[0] == both[1] and both[1][14] == ["customer#000000014"] and len(both[1]) == rows_.count()
+    low = F.col("term")
+    kept = terms._grams(low)
+    assert v.select(F.size(F.array_intersect(kept, terms._runs(F.lit("order of customer#000000014."), 12))).alias("n"), "term").filter("n = 7").count() == 1
+
+
+def test_big_side_of_a_join_is_not_broadcast_however_few_bytes_it_has(spark, tmp_path):
+    from corvane.sources import scratch
+
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = spark.range(10).join(scratch.bounded_broadcast(t, 10_000), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def test_records_of_a_long_file_come_in_bounded_batches():
     import pandas as pd
 
