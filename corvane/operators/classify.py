@@ -14,9 +14,14 @@ from corvane.functions import text as T
 SIGNALS = (("numeric", L.NUMERIC_CLAIM), ("entity", L.NAMED_ENTITY), ("date", L.DATE), ("unit", L.UNIT), ("comparative", L.COMPARATIVE), ("policy", L.POLICY))
 
 
-def signals(text: Column) -> Column:
-    """Counts of the six evidence signals."""
-    return F.struct(*[(R.digit_matches if n in ("numeric", "date") else R.matches)(text, p).alias(n) for n, p in SIGNALS])
+#: A piece between sentence ends that is not blank; one of more than eight words.  Each piece is tried once, from its start.
+_PIECE = r"(?<![^.!?\n])[ \t\r\f\x0B]*+[^.!?\n \t\r\f\x0B][^.!?\n]*+"
+_LONGER = r"(?<![^.!?\n])[ \t\r\f\x0B]*+(?:[^.!?\n \t\r\f\x0B]++[ \t\r\f\x0B]++){8}[^.!?\n \t\r\f\x0B][^.!?\n]*+"
+
+
+def signals(text: Column, low: Column | None = None) -> Column:
+    """Counts of the six evidence signals; low: the text in lower case, if it is at hand; so below."""
+    return F.struct(*[(R.digit_matches(text, p) if n in ("numeric", "date") else R.matches(text, p, low)).alias(n) for n, p in SIGNALS])
 
 
 def signal_total(s: Column) -> Column:
@@ -27,46 +32,42 @@ def signal_score(s: Column) -> Column:
     return F.least(signal_total(s) / 10.0, F.lit(1.0))
 
 
-def boilerplate(text: Column) -> Column:
-    blank = lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))
-    pieces = F.filter(F.transform(F.split(text, r"[.!?\n]+"), blank), lambda x: x != "")
-    brief = lambda p: F.size(F.filter(p, lambda x: F.size(F.split(x, r"\s+", 9)) <= 8))
-    listy = R.bound(pieces, lambda p: (F.size(p) >= 5) & (brief(p) / F.size(p) > 0.6))
-    return (F.length(F.btrim(text, F.lit(" \t\n\r\f\x0b"))) < 150) | (R.pattern_hits(text, L.TOC) >= 2) | (R.pattern_hits(text, L.LEGAL) >= 2) | (R.pattern_hits(text, L.NAVIGATION) >= 3) | listy
+def boilerplate(text: Column, low: Column | None = None) -> Column:
+    pieces, longer = R.matches(text, _PIECE), R.matches(text, _LONGER)
+    listy = (pieces >= 5) & ((pieces - longer) / F.greatest(pieces, F.lit(1)) > 0.6)
+    return (F.length(F.btrim(text, F.lit(" \t\n\r\f\x0b"))) < 150) | (R.pattern_hits(text, L.TOC, low) >= 2) | (R.pattern_hits(text, L.LEGAL, low) >= 2) | (R.pattern_hits(text, L.NAVIGATION, low) >= 3) | listy
 
 
-def hard_boilerplate(text: Column) -> Column:
-    return R.pattern_hits(text, L.HARD_BOILERPLATE) >= 1
+def hard_boilerplate(text: Column, low: Column | None = None) -> Column:
+    return R.pattern_hits(text, L.HARD_BOILERPLATE, low) >= 1
 
 
 def overriding(s: Column) -> Column:
     return (s["numeric"] >= 10) | (s["unit"] >= 8) | (s["policy"] >= 10) | (s["entity"] >= 75)
 
 
-def chunk_class(text: Column, s: Column) -> Column:
+def chunk_class(text: Column, s: Column, hard: Column, low: Column | None = None) -> Column:
     """(type, priority) of a chunk: strong signals first, then boilerplate, references, headers, signal strength."""
     made = lambda kind, priority: F.struct(F.lit(kind).alias("chunk_type"), F.lit(priority).alias("priority"))
     strength = signal_score(s)
-
-    def by(hard: Column) -> Column:
-        return (
-            F.when(~hard & overriding(s), made("evidence_dense", "high"))
-            .when(hard | boilerplate(text), made("boilerplate", "skip"))
-            .when(R.pattern_hits(text, L.REFERENCES) >= 2, made("reference", "skip"))
-            .when(R.pattern_hits(F.substring(text, 1, 400), L.PRIORITY_HEADERS) >= 1, made("evidence_dense", "high"))
-            .when((strength >= 0.6) | ((s["numeric"] >= 3) & (s["unit"] >= 2)), made("evidence_dense", "high"))
-            .when((strength >= 0.3) | (s["numeric"] >= 1) | (s["policy"] >= 1), made("evidence_dense", "medium"))
-            .otherwise(made("context", "low"))
-        )
-
-    return R.bound(hard_boilerplate(text), by)
+    return (
+        F.when(~hard & overriding(s), made("evidence_dense", "high"))
+        .when(hard | boilerplate(text, low), made("boilerplate", "skip"))
+        .when(R.pattern_hits(text, L.REFERENCES, low) >= 2, made("reference", "skip"))
+        .when(R.pattern_hits(F.substring(text, 1, 400), L.PRIORITY_HEADERS, low) >= 1, made("evidence_dense", "high"))
+        .when((strength >= 0.6) | ((s["numeric"] >= 3) & (s["unit"] >= 2)), made("evidence_dense", "high"))
+        .when((strength >= 0.3) | (s["numeric"] >= 1) | (s["policy"] >= 1), made("evidence_dense", "medium"))
+        .otherwise(made("context", "low"))
+    )
 
 
 def classified(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """Chunks with signals, chunk_type and priority.  Signals are generated, so that no later stage counts them again."""
-    c = chunks.withColumn("signals", F.explode(F.array(signals(F.col(text)))))
-    c = c.withColumn("__c", F.explode(F.array(chunk_class(F.col(text), F.col("signals")))))
-    return c.withColumns({"chunk_type": F.col("__c.chunk_type"), "priority": F.col("__c.priority")}).drop("__c")
+    """Chunks with signals, chunk_type and priority.  What is used more than once is generated, so that no later stage finds it again."""
+    once = lambda d, name, value: d.withColumn(name, F.explode(F.array(value)))
+    t, low = F.col(text), F.col("__low")
+    c = once(once(once(chunks, "__low", F.lower(t)), "signals", signals(t, low)), "__hard", hard_boilerplate(t, low))
+    c = once(c, "__c", chunk_class(t, F.col("signals"), F.col("__hard"), low))
+    return c.withColumns({"chunk_type": F.col("__c.chunk_type"), "priority": F.col("__c.priority")}).drop("__c", "__low", "__hard")
 
 
 def evidence_type(text: Column) -> Column:

@@ -733,3 +733,22 @@ def test_links_may_be_shared_by_a_key(spark):
     rows_ = spark.createDataFrame([(i, i % 2, []) for i in range(4)], "id int, r int, l array<string>")
     links = spark.createDataFrame([(0, "b", 2), (0, "a", 1), (0, "b", 0), (1, None, 1)], "r int, link string, o int")
     assert {r.id: r.l for r in engage.linked(rows_, links, "r", "l", "link", "o").collect()} == {0: ["b", "a"], 2: ["b", "a"], 1: [], 3: []}
+
+
+def test_faster_patterns_and_guards_match_the_same(spark):
+    from corvane.functions import lexicon as L
+
+    rng = random.Random(3)
+    words = "MW kW GWh MWh MW(th) MWe GB/s bn mn billion USD GBP EUR PUE GPU GPUs TPU CPU ASICs rack servers FERC NERC ISO-NE IEC IRA ISO Order NARUC ANSI PUCT DOE interconnection queue transmission planning Inflation Reduction Act renewable portfolio standard more less than compared to with vs vs. versus unlike while whereas relative Jan March Sept May 2024 1999 Q3 12 1,200.5 3.4.5 % $ € million tonnes months years contents Table of ..... all rights reserved © copyright confidential and proprietary no part this report page click here next figure source: menu references bibliography works cited [3] doi: 10.1234/ www executive summary key findings conclusion cost analysis policy é Ünit İ K ſ".split()
+    seps = (" ", " ", " ", "\n", ". ", "  ", "", ", ", "-", "! ", "\t", "?")
+    texts = ["".join(w.swapcase() * (1 + (rng.random() < 0.02)) + rng.choice(seps) if rng.random() < 0.2 else w + rng.choice(seps) for w in rng.choices(words, k=rng.randint(0, 90))) for _ in range(1500)] + ["", " \n \t. ", "a" * 900, " " * 3000]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t")).cache()
+    t, low = F.col("t"), F.col("low")
+    for p in L.FASTER:
+        assert d.filter(F.regexp_count(t, F.lit(p)) != F.regexp_count(t, F.lit(L.FASTER[p]))).count() == 0, p
+    for p in L.NEEDS:
+        assert d.filter(t.rlike(p) & (classify.R.pattern_hits(t, (p,), low) == 0)).count() == 0, p
+    blank = lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))
+    pieces = F.filter(F.transform(F.split(t, r"[.!?\n]+"), blank), lambda x: x != "")
+    long_ = F.size(F.filter(pieces, lambda x: F.size(F.split(x, r"\s+")) > 8))
+    assert d.filter((F.size(pieces) != classify.R.matches(t, classify._PIECE)) | (long_ != classify.R.matches(t, classify._LONGER))).count() == 0
