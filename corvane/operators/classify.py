@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,43 @@ from corvane.functions import text as T
 SIGNALS = (("numeric", L.NUMERIC_CLAIM), ("entity", L.NAMED_ENTITY), ("date", L.DATE), ("unit", L.UNIT), ("comparative", L.COMPARATIVE), ("policy", L.POLICY))
 
 
-#: A piece between sentence ends that is not blank; one of more than eight words.  Each piece is tried once, from its start.
-_PIECE = r"(?<![^.!?\n])[ \t\r\f\x0B]*+[^.!?\n \t\r\f\x0B][^.!?\n]*+"
-_LONGER = r"(?<![^.!?\n])[ \t\r\f\x0B]*+(?:[^.!?\n \t\r\f\x0B]++[ \t\r\f\x0B]++){8}[^.!?\n \t\r\f\x0B][^.!?\n]*+"
+#: A piece between sentence ends that is not blank; one of more than eight words.  A match takes the whole piece.
+_PIECE = r"[^.!?\n \t\r\f\x0B][^.!?\n]*"
+_LONGER = r"(?:[^.!?\n \t\r\f\x0B]+[ \t\r\f\x0B]+){8}[^.!?\n \t\r\f\x0B][^.!?\n]*"
+#: Lists of patterns that a chunk is tried for, beside the signals; headers stand in its first 400 characters.
+_LISTS = {"toc": L.TOC, "legal": L.LEGAL, "navigation": L.NAVIGATION, "references": L.REFERENCES, "hard": L.HARD_BOILERPLATE}
+_LOOKS = (*[n for n, _ in SIGNALS], *_LISTS, "header", "listy")
+
+
+def looks(text: Column) -> Column:
+    """What a text may match, as bits in the order of _LOOKS; the last one, whether it has five pieces or more and most of them
+    short, is exact."""
+    headers, piece, longer = "|".join(map(R.loose, L.PRIORITY_HEADERS)), _PIECE, _LONGER
+
+    def more(t: pa.Array) -> tuple[pa.Array, pa.Array]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = pc.count_substring_regex(t, piece)
+        short = pc.subtract(n, pc.count_substring_regex(t, longer)).cast(pa.float64())
+        listy = pc.and_(pc.greater_equal(n, 5), pc.greater(pc.divide(short, pc.max_element_wise(n, 1).cast(pa.float64())), 0.6))
+        return pc.match_substring_regex(pc.utf8_slice_codeunits(t, 0, 400), headers), listy
+
+    return R.looked(text, [*[(p,) for _, p in SIGNALS], *_LISTS.values()], more)
+
+
+def _may(bits: Column, name: str) -> Column:
+    return F.coalesce(bits.bitwiseAND(1 << _LOOKS.index(name)) != 0, F.lit(True))
+
+
+def _hits(text: Column, name: str, patterns: Sequence[str], bits: Column) -> Column:
+    """How many of the patterns a text matches; they are tried if the text may match one."""
+    return F.when(~_may(bits, name), 0).otherwise(R.pattern_hits(text, patterns, F.lower(text)))
 
 
-def signals(text: Column, low: Column | None = None) -> Column:
-    """Counts of the six evidence signals; low: the text in lower case, if it is at hand; so below."""
-    return F.struct(*[(R.digit_matches(text, p) if n in ("numeric", "date") else R.matches(text, p, low)).alias(n) for n, p in SIGNALS])
+def signals(text: Column, bits: Column) -> Column:
+    """Counts of the six evidence signals; bits: the looks of the text, so below."""
+    return F.struct(*[F.when(~_may(bits, n), 0).otherwise(R.matches(text, p)).alias(n) for n, p in SIGNALS])
 
 
 def signal_total(s: Column) -> Column:
@@ -32,29 +63,29 @@ def signal_score(s: Column) -> Column:
     return F.least(signal_total(s) / 10.0, F.lit(1.0))
 
 
-def boilerplate(text: Column, low: Column | None = None) -> Column:
-    pieces, longer = R.matches(text, _PIECE), R.matches(text, _LONGER)
-    listy = (pieces >= 5) & ((pieces - longer) / F.greatest(pieces, F.lit(1)) > 0.6)
-    return (F.length(F.btrim(text, F.lit(" \t\n\r\f\x0b"))) < 150) | (R.pattern_hits(text, L.TOC, low) >= 2) | (R.pattern_hits(text, L.LEGAL, low) >= 2) | (R.pattern_hits(text, L.NAVIGATION, low) >= 3) | listy
+def boilerplate(text: Column, bits: Column) -> Column:
+    hits = lambda n: _hits(text, n, _LISTS[n], bits)
+    short = F.length(F.btrim(text, F.lit(" \t\n\r\f\x0b"))) < 150
+    return short | (hits("toc") >= 2) | (hits("legal") >= 2) | (hits("navigation") >= 3) | (bits.bitwiseAND(1 << _LOOKS.index("listy")) != 0)
 
 
-def hard_boilerplate(text: Column, low: Column | None = None) -> Column:
-    return R.pattern_hits(text, L.HARD_BOILERPLATE, low) >= 1
+def hard_boilerplate(text: Column, bits: Column) -> Column:
+    return _hits(text, "hard", L.HARD_BOILERPLATE, bits) >= 1
 
 
 def overriding(s: Column) -> Column:
     return (s["numeric"] >= 10) | (s["unit"] >= 8) | (s["policy"] >= 10) | (s["entity"] >= 75)
 
 
-def chunk_class(text: Column, s: Column, hard: Column, low: Column | None = None) -> Column:
+def chunk_class(text: Column, s: Column, hard: Column, bits: Column) -> Column:
     """(type, priority) of a chunk: strong signals first, then boilerplate, references, headers, signal strength."""
     made = lambda kind, priority: F.struct(F.lit(kind).alias("chunk_type"), F.lit(priority).alias("priority"))
     strength = signal_score(s)
     return (
         F.when(~hard & overriding(s), made("evidence_dense", "high"))
-        .when(hard | boilerplate(text, low), made("boilerplate", "skip"))
-        .when(R.pattern_hits(text, L.REFERENCES, low) >= 2, made("reference", "skip"))
-        .when(R.pattern_hits(F.substring(text, 1, 400), L.PRIORITY_HEADERS, low) >= 1, made("evidence_dense", "high"))
+        .when(hard | boilerplate(text, bits), made("boilerplate", "skip"))
+        .when(_hits(text, "references", L.REFERENCES, bits) >= 2, made("reference", "skip"))
+        .when(_hits(F.substring(text, 1, 400), "header", L.PRIORITY_HEADERS, bits) >= 1, made("evidence_dense", "high"))
         .when((strength >= 0.6) | ((s["numeric"] >= 3) & (s["unit"] >= 2)), made("evidence_dense", "high"))
         .when((strength >= 0.3) | (s["numeric"] >= 1) | (s["policy"] >= 1), made("evidence_dense", "medium"))
         .otherwise(made("context", "low"))
@@ -63,11 +94,10 @@ def chunk_class(text: Column, s: Column, hard: Column, low: Column | None = None
 
 def classified(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     """Chunks with signals, chunk_type and priority.  What is used more than once is generated, so that no later stage finds it again."""
-    once = lambda d, name, value: d.withColumn(name, F.explode(F.array(value)))
-    t, low = F.col(text), F.col("__low")
-    c = once(once(once(chunks, "__low", F.lower(t)), "signals", signals(t, low)), "__hard", hard_boilerplate(t, low))
-    c = once(c, "__c", chunk_class(t, F.col("signals"), F.col("__hard"), low))
-    return c.withColumns({"chunk_type": F.col("__c.chunk_type"), "priority": F.col("__c.priority")}).drop("__c", "__low", "__hard")
+    t, bits = F.col(text), F.col("__looks")
+    c = R.once(R.once(chunks.withColumn("__looks", looks(t)), "signals", signals(t, bits)), "__hard", hard_boilerplate(t, bits))
+    c = R.once(c, "__c", chunk_class(t, F.col("signals"), F.col("__hard"), bits))
+    return c.withColumns({"chunk_type": F.col("__c.chunk_type"), "priority": F.col("__c.priority")}).drop("__c", "__looks", "__hard")
 
 
 def evidence_type(text: Column) -> Column:

@@ -752,3 +752,29 @@ def test_faster_patterns_and_guards_match_the_same(spark):
     pieces = F.filter(F.transform(F.split(t, r"[.!?\n]+"), blank), lambda x: x != "")
     long_ = F.size(F.filter(pieces, lambda x: F.size(F.split(x, r"\s+")) > 8))
     assert d.filter((F.size(pieces) != classify.R.matches(t, classify._PIECE)) | (long_ != classify.R.matches(t, classify._LONGER))).count() == 0
+
+
+def test_looks_miss_no_match_and_know_lists(spark):
+    rng = random.Random(4)
+    words = "MW GWh bn USD GPUs FERC Order 2023 ISO 9001 more than vs. x while whereas Jan 2024 Q3 1,200.5 % Big Blue Sky AB Table of Contents ..... all rights reserved © 2020 copyright confidential and proprietary page 3 of 4 figure 12. source: references doi: 10.1234/ [3] works cited key findings conclusions cost analysis é Ünit İ K ſ a bb ccc".split()
+    seps = (" ", " ", " ", "\n", ". ", "  ", "\x0b", ", ", "\r", "! ", "\t", "?", " ", "\x85")
+    made = ["".join(w + rng.choice(seps) for w in rng.choices(words, k=rng.randint(0, 60))) for _ in range(1500)]
+    made += ["", "x " * 198 + "conclusionary", "more\x0bthan", "contents\r\nx", "1 2 3 4", "a. b. c. d. e.", "a b c d e f g h i. " * 5, "Big\x0bSky"]
+    d = spark.createDataFrame([(t,) for t in [*made, None]], "t string").withColumn("b", classify.looks(F.col("t"))).cache()
+    t = F.col("t")
+    tried = {n: (p,) for n, p in classify.SIGNALS} | classify._LISTS
+    for name, patterns in tried.items():
+        assert d.filter((classify.R.pattern_hits(t, patterns) > 0) & ~classify._may(F.col("b"), name)).count() == 0, name
+    assert d.filter((classify.R.pattern_hits(F.substring(t, 1, 400), classify.L.PRIORITY_HEADERS) > 0) & ~classify._may(F.col("b"), "header")).count() == 0
+    assert d.filter("b is null").count() == d.filter("t is null").count() == 1
+    assert d.filter("b = 0").count() > 0  # nothing is tried where nothing can match
+
+    def listy(x):
+        p = [q for q in re.split(r"[.!?\n]+", x) if q.strip(" \t\r\f\x0b")]
+        return len(p) >= 5 and sum(len([w for w in re.split(r"[ \t\r\f\x0b]+", q) if w]) <= 8 for q in p) / len(p) > 0.6
+
+    last = 1 << classify._LOOKS.index("listy")
+    assert all(bool(r.b & last) == listy(r.t) for r in d.filter("t is not null").collect())
+    c = classify.classified(d, "t")
+    for n, p in classify.SIGNALS:
+        assert c.filter(~F.col("signals")[n].eqNullSafe(F.regexp_count(t, F.lit(p)))).count() == 0, n
