@@ -80,27 +80,36 @@ def _first_by_prefix(pieces: Column, most: int) -> Column:
     return R.bound(pieces, lambda s: R.bound(heads(s), lambda h: pick(s, h)))
 
 
-def _of_topics(pieces: Column, groups: Sequence[tuple[str, Sequence[str]]], most: int) -> Column:
-    """For every topic its snippets among the pieces, as an array of arrays."""
+def _of_topics(pieces: Column, groups: Sequence[tuple[str, Sequence[str]]], most: int, wanted: Column) -> Column:
+    """For every topic its snippets among the pieces, as an array of arrays; none for topics that are not wanted (an array)."""
     low = F.transform(pieces, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    none = F.array().cast("array<string>")
 
     def holding(p: Column, terms: Sequence[str]) -> Column:
         hit = lambda x: functools.reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(t.lower())) for t in terms], F.lit(False))
         return F.transform(F.filter(p, hit), lambda x: x["x"])
 
-    return R.bound(low, lambda p: F.array(*[_first_by_prefix(holding(p, terms), most) for _, terms in groups]))
+    lists = lambda p: F.array(*[F.when(F.get(wanted, i), _first_by_prefix(holding(p, terms), most)).otherwise(none) for i, (_, terms) in enumerate(groups)])
+    return F.when(F.exists(wanted, lambda w: w), R.bound(low, lists)).otherwise(F.array(*[none for _ in groups]))
+
+
+def _held(text: Column, groups: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """For every topic whether a text may hold a term of it, anywhere.  Lower case goes by the place of a letter for sigma only."""
+    hit = lambda low, t: F.lit(True) if set(t.lower()) & set("σς") else F.contains(low, F.lit(t.lower()))
+    return R.bound(F.lower(text), lambda low: F.array(*[functools.reduce(lambda a, b: a | b, [hit(low, t) for t in terms], F.lit(False)) for _, terms in groups]))
 
 
 def topic_lists(text: Column, groups: Sequence[tuple[str, Sequence[str]]], most: int = 4) -> Column:
-    """For every topic (snippets, window) of a compacted text: sentences that hold a term, else windows that do."""
-    none = F.array(*[F.array().cast("array<string>") for _ in groups])
+    """For every topic (snippets, window) of a compacted text: sentences that hold a term, else windows that do.
+
+    Pieces are tried for the topics only of which the whole text holds a term."""
 
-    def chosen(direct: Column) -> Column:
-        missing = F.exists(direct, lambda d: F.size(d) == 0)
-        around = F.when(missing, _of_topics(windows(text, 500, 400), groups, most)).otherwise(none)
+    def chosen(held: Column, direct: Column) -> Column:
+        missing = F.zip_with(held, direct, lambda h, d: h & (F.size(d) == 0))
+        around = R.bound(missing, lambda m: _of_topics(windows(text, 500, 400), groups, most, m))
         return F.zip_with(direct, around, lambda d, w: F.struct(F.when(F.size(d) > 0, d).otherwise(w).alias("snippets"), (F.size(d) == 0).alias("window")))
 
-    return R.bound(_of_topics(T.sentences(text, 40), groups, most), chosen)
+    return R.bound(_held(text, groups), lambda h: R.bound(_of_topics(T.sentences(text, 40), groups, most, h), lambda d: chosen(h, d)))
 
 
 def topic_sentences(docs: DataFrame, groups: Sequence[tuple[str, Sequence[str]]], most: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

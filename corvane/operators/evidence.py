@@ -26,6 +26,7 @@ def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str,
     every = R.bound(of_topics, lambda s: F.when(F.size(s) < least, F.concat(s, plain)).otherwise(s))
     rows = d.filter("__t <> ''").select(key, *keep, F.posexplode(F.slice(F.array_distinct(every), 1, per_doc)).alias("__o", "__r"))
     rows = rows.select(key, *keep, (F.col("__o") + 1).alias("ord"), "__r.category", "__r.snippet")
+    rows = R.once(rows, "claim", T.claim_text(F.col("snippet"), F.col("category")))
     hits = R.term_hits(F.col("snippet"), terms)
     return rows.select(
         key,
@@ -33,7 +34,7 @@ def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str,
         "ord",
         classify.normal_category(F.col("category")).alias("category"),
         "snippet",
-        T.claim_text(F.col("snippet"), F.col("category")).alias("claim"),
+        "claim",
         T.relevance(F.col("snippet"), terms, hits).alias("relevance"),
         T.confidence(F.col("snippet"), hits).alias("confidence"),
     )
@@ -48,7 +49,7 @@ def scored(evidence: DataFrame, terms: Sequence[str], topics: Sequence[str], qua
         "specificity_score": score.specificity_score(both, F.col("snippet")),
         "quantitative_score": score.quantitative_score(both),
     })
-    return e.withColumn("overall_score", score.overall_score(F.col("relevance_score"), F.col(quality), F.col("specificity_score"), F.col("quantitative_score")))
+    return R.once(e, "overall_score", score.overall_score(F.col("relevance_score"), F.col(quality), F.col("specificity_score"), F.col("quantitative_score")))
 
 
 def enriched(evidence: DataFrame, claim: str = "claim", name: str = "source") -> DataFrame:

@@ -778,3 +778,20 @@ def test_looks_miss_no_match_and_know_lists(spark):
     c = classify.classified(d, "t")
     for n, p in classify.SIGNALS:
         assert c.filter(~F.col("signals")[n].eqNullSafe(F.regexp_count(t, F.lit(p)))).count() == 0, n
+
+
+def test_topics_are_sought_where_the_text_holds_a_term(spark):
+    groups = (("split", ("end. Next",)), ("none", ("zzqzz",)), ("greek", ("ας",)), ("blank", ("",)))
+    long_ = "A sentence that is long enough to count, with its end. Next comes one that is long enough as well."
+    d = spark.createDataFrame([(1, long_), (2, "ΑΣΑ " + "x" * 60), (3, "Word ΑΣ " + "y" * 60), (4, ""), (5, None)], "doc_id int, text string")
+    held = {r.doc_id: r.h for r in d.select("doc_id", chunking._held(F.col("text"), groups).alias("h")).collect()}
+    assert held[1] == [True, False, True, True] and held[2][2] and held[3][2]
+    got = {(r.doc_id, r.topic): (r.snippet, r.window) for r in chunking.topic_sentences(d, groups).filter("n = 1").collect()}
+    assert got[1, "split"] == (long_, True) and (1, "none") not in got and not got[3, "greek"][1] and (2, "greek") not in got
+    assert {k for k in got if k[0] > 3} <= {(4, "blank")}
+
+
+def test_scores_are_not_found_again_by_a_filter(spark):
+    e = spark.createDataFrame([("c", "a snippet with 3 MW", "power", "r", 3)], "claim string, snippet string, category string, relevance string, quality int")
+    plan = evidence.scored(e, ("with",), ("power",)).filter("overall_score >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("overall_score" in line or "isnotnull" in line for line in plan.split("\n") if "Filter" in line) and "Generate" in plan
