@@ -5,22 +5,26 @@ Sentence ends are marked rather than looked behind for, which gives the same pie
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
+from corvane.functions import rules as R
 
 
 def compact(text: Column) -> Column:
-    """Blanks collapsed to single spaces, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Blanks collapsed to single spaces, ends trimmed.  Patterns are left to texts with a run of them."""
+    spaced = functools.reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit(" ")), "\t\n\x0b\f\r", text)
+    return F.trim(R.bound(spaced, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  +", " ")).otherwise(t)))
 
 
-def sentences(text: Column, least: int = 0) -> Column:
-    """Pieces between sentence ends, of at least so many characters."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
+def sentences(text: Column, least: int = 0, compacted: bool = False) -> Column:
+    """Pieces between sentence ends, of at least so many characters; of a compacted text without a pattern."""
+    marked = functools.reduce(lambda t, end: F.replace(t, F.lit(f"{end} "), F.lit(f"{end}\u0001")), ".!?", text) if compacted else F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
+    cut = F.split(marked, "\u0001")
     return F.filter(cut, lambda s: F.length(s) >= least) if least else cut
 
 
@@ -106,8 +110,7 @@ def capitalised(text: Column) -> Column:
 
 
 def claim_text(snippet: Column, category: Column) -> Column:
-    t = compact(snippet)
-    t = F.when(F.length(t) > 180, F.concat(F.rtrim(F.substring(t, 1, 177)), F.lit("..."))).otherwise(t)
+    t = R.bound(compact(snippet), lambda t: F.when(F.length(t) > 180, F.concat(F.rtrim(F.substring(t, 1, 177)), F.lit("..."))).otherwise(t))
     return F.concat(capitalised(category), F.lit(" note: "), t)
 
 
@@ -117,13 +120,16 @@ def confidence(snippet: Column, score: Column) -> Column:
 
 
 def relevance(snippet: Column, terms: Sequence[str], score: Column) -> Column:
-    low = F.lower(snippet)
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in sorted(terms)]))
-    return (
-        F.when(F.size(found) > 0, F.concat(F.lit("Directly relevant to the question through these terms: "), F.array_join(F.slice(found, 1, 5), ", "), F.lit(".")))
-        .when(score > 0, "Relevant as infrastructure context for the question.")
-        .otherwise("Indirect context; review against stronger source evidence before relying on it.")
-    )
+    held = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in sorted(terms)]))
+
+    def said(found: Column) -> Column:
+        return (
+            F.when(F.size(found) > 0, F.concat(F.lit("Directly relevant to the question through these terms: "), F.array_join(F.slice(found, 1, 5), ", "), F.lit(".")))
+            .when(score > 0, "Relevant as infrastructure context for the question.")
+            .otherwise("Indirect context; review against stronger source evidence before relying on it.")
+        )
+
+    return R.bound(R.bound(F.lower(snippet), held), said)
 
 
 def garbled(text: Column) -> Column:

@@ -1,8 +1,7 @@
 """Chunks of documents.
 
-A document of at most ``most`` characters is one chunk.  Longer ones are cut in a fold over the lengths of their sentences:
-at the first end in [pos + target, pos + most), else at the last one before it, else after most characters.  The fold reads
-numbers only; a chunk is then joined from its pieces, so that no chunk is sought from the text's start.
+A document of at most ``most`` characters is one chunk.  Longer ones are cut by one pattern that matches chunk after chunk: up
+to the first end in [pos + target, pos + most), else up to the last one before it, else most characters.
 """
 
 from __future__ import annotations
@@ -17,48 +16,33 @@ from pyspark.sql import functions as F
 from corvane.functions import rules as R
 from corvane.functions import text as T
 
-_BETWEEN = r"(?<=[.!?])(?=[ \t\n\x0b\f\r])"
-
-
-def _spans(lengths: Column, n: Column, target: int, most: int) -> Column:
-    """array<struct<first, upto, start, end>>: chunks as ranges of pieces, and as offsets.  No piece is longer than most.
-
-    n, the text's length, goes along in the state: it would be counted anew at every step."""
-    cut = lambda s, upto, end: F.array(F.struct(s["first"].alias("first"), upto.alias("upto"), s["pos"].alias("start"), end.alias("end")))
-    none = F.expr("cast(array() as array<struct<first: int, upto: int, start: int, end: int>>)")
-    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "at", "pos", "first")], none.alias("cuts"), n.alias("n"))
-
-    def step(s: Column, length: Column) -> Column:
-        e = s["at"] + length
-        # the end comes too late for the chunk that is open: it closes before this piece
-        before = (s["pos"] + most < s["n"]) & (e >= s["pos"] + most) & (s["at"] > s["pos"])
-        pos, first = F.when(before, s["at"]).otherwise(s["pos"]), F.when(before, s["i"]).otherwise(s["first"])
-
-        def rest(t: Column) -> Column:
-            after = (t["pos"] + most < s["n"]) & (e >= t["pos"] + target)
-            cuts = F.when(after, F.concat(t["cuts"], cut(t, s["i"] + 1, e))).otherwise(t["cuts"])
-            return F.struct((s["i"] + 1).alias("i"), e.alias("at"), F.when(after, e).otherwise(t["pos"]).alias("pos"), F.when(after, s["i"] + 1).otherwise(t["first"]).alias("first"), cuts.alias("cuts"), s["n"].alias("n"))
-
-        held = F.when(before, F.concat(s["cuts"], cut(s, s["i"], s["at"]))).otherwise(s["cuts"])
-        return R.bound(F.struct(pos.alias("pos"), first.alias("first"), held.alias("cuts")), rest)
-
-    return F.aggregate(lengths, start, step, lambda s: F.concat(s["cuts"], cut(s, s["i"], s["n"])))
+def _cuts(target: int, most: int) -> str:
+    """A pattern whose matches are the chunks of a text: the rest if it is short enough, up to the first end from target on, up to
+    the last one before it, or most characters."""
+    end = r"(?<=[.!?])(?=[ \t\n\x0b\f\r])"
+    parts = [rf".{{1,{most}}}\z", rf".{{{target},{most - 1}}}?{end}" if target < most else "", rf".{{1,{min(target, most) - 1}}}{end}" if min(target, most) > 1 else "", f".{{{most}}}"]
+    return "(?s)" + "|".join(filter(None, parts))
 
 
 def chunk_list(text: Column, target: int, most: int) -> Column:
     """array<struct<start, end, text>> of a text that is not empty."""
-    short = lambda p: F.length(p) <= most
-    pieces = F.flatten(F.transform(F.split(text, _BETWEEN), lambda p: F.when(short(p), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)))))
     made = lambda start, end, t: F.struct(start.alias("start"), end.alias("end"), t.alias("text"))
-    joined = lambda p: F.transform(_spans(F.transform(p, F.length), F.length(text), target, most), lambda c: made(c["start"], c["end"], F.array_join(F.slice(p, c["first"] + 1, c["upto"] - c["first"]), "")))
-    return F.when(short(text), F.array(made(F.lit(0), F.length(text), text))).otherwise(R.bound(pieces, joined))
+    none = F.expr("cast(array() as array<int>)")
+
+    def placed(cut: Column) -> Column:
+        n = F.transform(cut, F.length)
+        ends = F.aggregate(n, none, lambda ends, x: F.array_append(ends, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + x))
+        return R.bound(ends, lambda e: F.zip_with(cut, F.zip_with(e, n, lambda at, x: F.struct((at - x).alias("start"), at.alias("end"))), lambda t, c: made(c["start"], c["end"], t)))
+
+    long_ = R.bound(F.regexp_extract_all(text, F.lit(_cuts(target, most)), F.lit(0)), placed)
+    return F.when(F.length(text) <= most, F.array(made(F.lit(0), F.length(text), text))).otherwise(long_)
 
 
-def chunks(docs: DataFrame, target: int = 7000, most: int = 8000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_number from 1, start_offset, end_offset, chunk_text); empty and null texts have no chunks.  One narrow pass."""
-    full = docs.select(key, F.col(text).alias("__t")).filter(F.length("__t") > 0)
-    c = full.select(key, F.posexplode(chunk_list(F.col("__t"), target, most)).alias("__n", "__c"))
-    return c.select(key, (F.col("__n") + 1).alias("chunk_number"), F.col("__c.start").alias("start_offset"), F.col("__c.end").alias("end_offset"), F.col("__c.text").alias("chunk_text"))
+def chunks(docs: DataFrame, target: int = 7000, most: int = 8000, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, keep, chunk_number from 1, start_offset, end_offset, chunk_text); empty and null texts have no chunks.  One narrow pass."""
+    full = docs.select(key, *keep, F.col(text).alias("__t")).filter(F.length("__t") > 0)
+    c = full.select(key, *keep, F.posexplode(chunk_list(F.col("__t"), target, most)).alias("__n", "__c"))
+    return c.select(key, *keep, (F.col("__n") + 1).alias("chunk_number"), F.col("__c.start").alias("start_offset"), F.col("__c.end").alias("end_offset"), F.col("__c.text").alias("chunk_text"))
 
 
 def chunk_id(name: Column, number: Column) -> Column:
@@ -109,7 +93,7 @@ def topic_lists(text: Column, groups: Sequence[tuple[str, Sequence[str]]], most:
         around = R.bound(missing, lambda m: _of_topics(windows(text, 500, 400), groups, most, m))
         return F.zip_with(direct, around, lambda d, w: F.struct(F.when(F.size(d) > 0, d).otherwise(w).alias("snippets"), (F.size(d) == 0).alias("window")))
 
-    return R.bound(_held(text, groups), lambda h: R.bound(_of_topics(T.sentences(text, 40), groups, most, h), lambda d: chosen(h, d)))
+    return R.bound(_held(text, groups), lambda h: R.bound(_of_topics(T.sentences(text, 40, compacted=True), groups, most, h), lambda d: chosen(h, d)))
 
 
 def topic_sentences(docs: DataFrame, groups: Sequence[tuple[str, Sequence[str]]], most: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,14 +111,14 @@ def first_topic_chunk(text: Column, terms: Sequence[str]) -> Column:
     """The first sentence of a compacted text that holds a term, else the first window of 500 characters that does, else its
     first 500 characters if a term spans two windows; null without a term."""
     holding = lambda pieces: F.get(F.filter(pieces, lambda x: R.any_term(x, terms)), 0)
-    found = F.coalesce(F.left(holding(T.sentences(text, 40)), F.lit(500)), holding(windows(text, 500, 500)), F.left(text, F.lit(500)))
+    found = F.coalesce(F.left(holding(T.sentences(text, 40, compacted=True)), F.lit(500)), holding(windows(text, 500, 500)), F.left(text, F.lit(500)))
     return F.when(R.any_term(text, terms), found)
 
 
 def snippet_list(text: Column, least: int, most: int) -> Column:
     """Sentences of a compacted text, at most ``most``; if there are fewer than least, its windows of 500 characters fill up,
     then the first and the last two thirds of it."""
-    sentences = F.slice(F.transform(T.sentences(text, 40), lambda x: F.left(x, F.lit(500))), 1, most)
+    sentences = F.slice(F.transform(T.sentences(text, 40, compacted=True), lambda x: F.left(x, F.lit(500))), 1, most)
     plus = lambda s, more: F.concat(s, F.slice(F.array_except(more, s), F.lit(1), F.greatest(least - F.size(s), F.lit(0))))
     pieces = F.filter(windows(text, 500, 500), lambda x: F.length(x) >= 40)
     width = F.least(F.length(text), F.greatest(F.lit(40), F.floor(F.length(text) * 2 / 3).cast("int")))

@@ -47,7 +47,7 @@ def _may(bits: Column, name: str) -> Column:
 
 def _hits(text: Column, name: str, patterns: Sequence[str], bits: Column) -> Column:
     """How many of the patterns a text matches; they are tried if the text may match one."""
-    return F.when(~_may(bits, name), 0).otherwise(R.pattern_hits(text, patterns, F.lower(text)))
+    return F.when(~_may(bits, name), 0).otherwise(R.bound(F.lower(text), lambda low: R.pattern_hits(text, patterns, low)))
 
 
 def signals(text: Column, bits: Column) -> Column:

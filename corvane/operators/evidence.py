@@ -40,16 +40,24 @@ def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str,
     )
 
 
-def scored(evidence: DataFrame, terms: Sequence[str], topics: Sequence[str], quality: str = "quality") -> DataFrame:
-    """Evidence (claim, snippet, category, relevance, quality) with its four scores and the overall one."""
+def scored(evidence: DataFrame, terms: Sequence[str], topics: Sequence[str], quality: str = "quality", least: float | None = None) -> DataFrame:
+    """Evidence (claim, snippet, category, relevance, quality) with its four scores and the overall one; with least, what scores
+    at least so much: a row is dropped as soon as the best of the scores that are left would not suffice."""
     both = F.concat_ws(" ", "claim", "snippet")
     hay = F.lower(F.concat_ws(" ", "claim", "snippet", "category", "relevance"))
-    e = evidence.withColumns({
+    made = {
         "relevance_score": score.relevance_score(hay, F.col("category"), terms, topics),
         "specificity_score": score.specificity_score(both, F.col("snippet")),
         "quantitative_score": score.quantitative_score(both),
-    })
-    return R.once(e, "overall_score", score.overall_score(F.col("relevance_score"), F.col(quality), F.col("specificity_score"), F.col("quantitative_score")))
+    }
+    overall = lambda have: score.overall_score(*[F.col(n) if n in have else F.lit(5) for n in ("relevance_score", quality, "specificity_score", "quantitative_score")])
+    e = evidence if least is not None else evidence.withColumns(made)
+    if least is not None:
+        for n, value in made.items():
+            e = R.once(e, n, value)
+            e = e.filter(overall(e.columns) >= least)
+    e = R.once(e, "overall_score", overall(e.columns))
+    return e if least is None else e.filter(F.col("overall_score") >= least)
 
 
 def enriched(evidence: DataFrame, claim: str = "claim", name: str = "source") -> DataFrame:
@@ -66,8 +74,8 @@ def enriched(evidence: DataFrame, claim: str = "claim", name: str = "source") ->
 
 def sanitised(evidence: DataFrame, claim: str = "claim") -> tuple[DataFrame, DataFrame]:
     """(kept, rejected): claims that compare across documents are rejected."""
-    local = classify.source_local(F.col(claim))
-    return evidence.filter(local), evidence.filter(~local)
+    e = R.once(evidence, "__local", classify.source_local(F.col(claim)))
+    return e.filter("__local").drop("__local"), e.filter(~F.col("__local")).drop("__local")
 
 
 def new_statements(batch: DataFrame, stored: DataFrame, statement: str = "statement", order: str = "ord") -> DataFrame:
@@ -248,7 +256,7 @@ def failures(chunks: DataFrame, evidence: DataFrame, groups: Sequence[tuple[str,
     match = c.join(e, (F.col("doc_id") == F.col("__d")) & F.contains("__t", F.col("__s"))).select("doc_id", "chunk_number").distinct().withColumn("snippet_match", F.lit(True))
     j = failed.join(per, "doc_id", "left").join(match, ["doc_id", "chunk_number"], "left")
     j = j.withColumns({"doc_items": F.coalesce("doc_items", F.lit(0)), "snippet_match": F.coalesce("snippet_match", F.lit(False)), "signal_strength": score.signal_strength(F.col("signals"))})
-    parsed = F.size(F.filter(T.sentences(T.compact(F.col("chunk_text"))), lambda s: F.size(R.labels(s, groups)) > 0))
+    parsed = F.size(F.filter(T.sentences(T.compact(F.col("chunk_text")), compacted=True), lambda s: F.size(R.labels(s, groups)) > 0))
     return failure_stage(j, groups).withColumn("parsed", parsed)
 
 

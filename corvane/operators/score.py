@@ -32,32 +32,39 @@ def retrieval_score(keyword: Column, topic: Column, quality: Column) -> Column:
 
 
 def relevance_score(haystack: Column, category: Column, terms: Sequence[str], topics: Sequence[str]) -> Column:
-    n, on_topic = R.term_hits(haystack, terms), category.isin(*topics)
-    return (
-        F.when((n >= 4) | (on_topic & (n >= 2)), 5)
-        .when((n >= 2) | on_topic, 4)
-        .when((n == 1) | (category != "other"), 3)
-        .when(R.any_term(haystack, L.DOMAIN_TERMS), 2)
-        .otherwise(1)
-    )
+    on_topic = category.isin(*topics)
+
+    def by(n: Column) -> Column:
+        return (
+            F.when((n >= 4) | (on_topic & (n >= 2)), 5)
+            .when((n >= 2) | on_topic, 4)
+            .when((n == 1) | (category != "other"), 3)
+            .when(R.any_term(haystack, L.DOMAIN_TERMS), 2)
+            .otherwise(1)
+        )
+
+    return R.bound(R.term_hits(haystack, terms), by)
 
 
 def specificity_score(text: Column, snippet: Column) -> Column:
-    low = F.lower(text)
-    n, hits = R.digit_matches(low, L.SPECIFIC_NUMBER), R.term_hits(low, L.SPECIFIC_TERMS)
-    return (
-        F.when((n >= 2) | (hits >= 5), 5)
-        .when((n >= 1) | (hits >= 3), 4)
-        .when((hits >= 1) | (F.length(snippet) >= 140), 3)
-        .when(F.length(snippet) >= 60, 2)
-        .otherwise(1)
-    )
+    counts = lambda low: F.struct(R.digit_matches(low, L.SPECIFIC_NUMBER).alias("n"), R.term_hits(low, L.SPECIFIC_TERMS).alias("hits"))
+
+    def by(c: Column) -> Column:
+        return (
+            F.when((c["n"] >= 2) | (c["hits"] >= 5), 5)
+            .when((c["n"] >= 1) | (c["hits"] >= 3), 4)
+            .when((c["hits"] >= 1) | (F.length(snippet) >= 140), 3)
+            .when(F.length(snippet) >= 60, 2)
+            .otherwise(1)
+        )
+
+    return R.bound(R.bound(F.lower(text), counts), by)
 
 
 def quantitative_score(text: Column) -> Column:
-    low = F.lower(text)
-    units, bare = R.digit_matches(low, L.UNIT_NUMBER), R.digit_matches(low, L.BARE_NUMBER)
-    return F.when(units >= 3, 5).when(units >= 2, 4).when((units >= 1) | (bare >= 3), 3).when(bare >= 1, 2).otherwise(1)
+    counts = lambda low: F.struct(R.digit_matches(low, L.UNIT_NUMBER).alias("units"), R.digit_matches(low, L.BARE_NUMBER).alias("bare"))
+    by = lambda c: F.when(c["units"] >= 3, 5).when(c["units"] >= 2, 4).when((c["units"] >= 1) | (c["bare"] >= 3), 3).when(c["bare"] >= 1, 2).otherwise(1)
+    return R.bound(R.bound(F.lower(text), counts), by)
 
 
 def overall_score(relevance: Column, quality: Column, specificity: Column, quantitative: Column) -> Column:

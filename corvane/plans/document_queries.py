@@ -394,10 +394,10 @@ _EXTRACTED_SQL = f"""{_TOPIC_SQL}, {_FALLBACK_SQL}, have as (select doc_id, coun
     overall as (select *, round(0.40 * relevance_score::double + 0.22 * quality::double + 0.25 * specificity_score::double + 0.13 * quantitative_score::double, 2) overall_score from scored)"""
 
 
-def _extracted(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+def _extracted(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, least: float | None = None) -> DataFrame:
     d = (K.table(spark, sf_dir, "documents") if documents is None else documents).select("doc_id", "text", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
-    kept, _ = evidence.sanitised(evidence.extracted(d, _TERMS, _TOPICS, keep=("source", "quality")))
-    return evidence.scored(kept, _TERMS, ("power",))
+    e = evidence.scored(evidence.extracted(d, _TERMS, _TOPICS, keep=("source", "quality")), _TERMS, ("power",), least=least)
+    return evidence.sanitised(e)[0]
 
 
 @query(

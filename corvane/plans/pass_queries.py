@@ -42,24 +42,24 @@ def reported(sql: str) -> Callable:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, and the claims as reports (doc_id, text, source)."""
+    """The documents, and the claims as reports (doc_id, text, source); reports are dealt to all cores, as they may be few bytes for much work."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     said = F.concat("claim", F.replace(F.lit(_FOLLOWS), F.lit("{n}"), F.col("id").cast("string")))
-    c = K.claims(spark, sf_dir).groupBy(F.floor(F.col("id") / _PER_REPORT).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", said.alias("t")))).alias("l"))
+    c = K.claims(spark, sf_dir).withColumn("g", F.floor(F.col("id") / _PER_REPORT)).repartition(n, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", said.alias("t")))).alias("l"))
     reports = c.select((1_000_000_000 + F.col("g")).alias("doc_id"), F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"), F.concat(F.lit("src"), F.col("g") % 7).alias("source"))
     return K.table(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(reports)
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with class, signals, relevance, combined score and selected, written once."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    source = documents(spark, sf_dir).select("doc_id", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
-    c = classify.classified(chunking.chunks(docs, 700, 800))
+    docs = documents(spark, sf_dir).withColumn("quality", 1 + F.substring("source", 4, 9).cast("int") % 5)
+    c = classify.classified(chunking.chunks(docs, 700, 800, keep=("source", "quality")))
     c = c.withColumns({"relevance": score.chunk_relevance(F.col("chunk_text"), _TERMS), "size": F.length("chunk_text")})
     c = c.withColumn("combined", F.round(select.combined_score(F.col("relevance"), F.col("priority"), classify.signal_score(F.col("signals"))), 6))
     c = stash(c.withColumn("chunk_id", F.struct("doc_id", "chunk_number")).drop("start_offset", "end_offset"), "chunks")
     taken = select.within_budget(c.filter("combined is not null").select("doc_id", "chunk_number", "size", "combined"), [-F.col("combined"), F.col("doc_id"), F.col("chunk_number")], "size", _BUDGET)
     taken = taken.select("doc_id", "chunk_number", F.lit(True).alias("__in"))
-    return c.join(taken, ["doc_id", "chunk_number"], "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in", "chunk_id").join(source, "doc_id")
+    return c.join(taken, ["doc_id", "chunk_number"], "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in", "chunk_id")
 
 
 @reported(f"with {_CHUNKS_SQL} select doc_id, chunk_number, round(combined, 6) combined, row_number() over (order by doc_id, chunk_number) position from sc_ where selected")
@@ -70,7 +70,7 @@ def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stash(_extracted(spark, sf_dir, documents(spark, sf_dir)).filter("overall_score >= 3.5").select("doc_id", "ord", "snippet", "claim", "overall_score"), "evidence")
+    return stash(_extracted(spark, sf_dir, documents(spark, sf_dir), 3.5).select("doc_id", "ord", "snippet", "claim", "overall_score"), "evidence")
 
 
 _ITEMS_SQL = f"""ev as materialized (select doc_id, ord, snippet from (with {_EVIDENCE_SQL} select * from overall) where overall_score >= 3.5),

@@ -795,3 +795,42 @@ def test_scores_are_not_found_again_by_a_filter(spark):
     e = spark.createDataFrame([("c", "a snippet with 3 MW", "power", "r", 3)], "claim string, snippet string, category string, relevance string, quality int")
     plan = evidence.scored(e, ("with",), ("power",)).filter("overall_score >= 0")._jdf.queryExecution().optimizedPlan().toString()
     assert all("overall_score" in line or "isnotnull" in line for line in plan.split("\n") if "Filter" in line) and "Generate" in plan
+
+
+def test_chunks_are_cut_by_one_pattern_and_carry_columns(spark):
+    d = spark.createDataFrame([(1, "src1", "One end. " * 40 + "é😀" * 30)], "doc_id int, source string, text string")
+    c = chunking.chunks(d, 70, 80, keep=("source",))
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert r"{70,79}?" in plan and "split(" not in plan
+    got = c.orderBy("chunk_number").collect()
+    assert {r.source for r in got} == {"src1"} and "".join(r.chunk_text for r in got) == d.first().text
+    assert [(r.start_offset, r.end_offset) for r in got[:2]] == [(0, 71), (71, 143)] and got[-1].end_offset == 420
+
+
+def test_text_is_compacted_and_cut_without_patterns_as_with_them(spark):
+    rng = random.Random(7)
+    parts = ["ab", "c.", "d!", "é?", "😀", "\n", "\t", " ", "  ", "\x0b", "\x0c", "\r\n", "\u0001", ". ", " ", "\x85"]
+    d = spark.createDataFrame([(t,) for t in ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(500)] + [None, "", "   "]], "t string")
+    t, plain = F.col("t"), F.trim(F.regexp_replace("t", r"\s+", " "))
+    cut = F.split(F.regexp_replace(plain, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    assert d.filter(~T.compact(t).eqNullSafe(plain) | ~T.sentences(T.compact(t), compacted=True).eqNullSafe(cut)).count() == 0
+
+
+def test_scores_with_a_least_one_are_those_of_the_filter(spark):
+    rng = random.Random(8)
+    words = "power rack 12 MW 30 kW liquid that with from gpu of the long words here and there ups 2,500 months".split()
+    made = [(i, " ".join(rng.choices(words, k=rng.randint(1, 30))), rng.choice(["power", "other", "cooling"]), rng.choice([None, 1, 2, 3, 4, 5])) for i in range(400)]
+    e = spark.createDataFrame(made, "id int, snippet string, category string, quality int").withColumns({"claim": F.upper("snippet"), "relevance": F.lit("r")})
+    for least in (0.0, 3.0, 3.5, 4.2):
+        some = evidence.scored(e, ("that", "with"), ("power",), least=least)
+        want = evidence.scored(e, ("that", "with"), ("power",)).filter(F.col("overall_score") >= least)
+        assert sorted(map(tuple, some.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") >= 4  # a filter after every score
+
+
+def test_reports_are_dealt_to_all_cores(spark):
+    from corvane.plans import pass_queries
+
+    r = pass_queries.documents(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in r._jdf.queryExecution().executedPlan().toString()
