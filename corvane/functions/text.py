@@ -119,14 +119,18 @@ def confidence(snippet: Column, score: Column) -> Column:
     return F.when((score >= 3) & (n >= 80), "high").when((score >= 1) & (n >= 60), "medium").otherwise("low")
 
 
+#: What a relevance says: before and after the terms held, without them if there is a score, and else.
+RELEVANCE = ("Directly relevant to the question through these terms: ", ".", "Relevant as infrastructure context for the question.", "Indirect context; review against stronger source evidence before relying on it.")
+
+
 def relevance(snippet: Column, terms: Sequence[str], score: Column) -> Column:
     held = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in sorted(terms)]))
 
     def said(found: Column) -> Column:
         return (
-            F.when(F.size(found) > 0, F.concat(F.lit("Directly relevant to the question through these terms: "), F.array_join(F.slice(found, 1, 5), ", "), F.lit(".")))
-            .when(score > 0, "Relevant as infrastructure context for the question.")
-            .otherwise("Indirect context; review against stronger source evidence before relying on it.")
+            F.when(F.size(found) > 0, F.concat(F.lit(RELEVANCE[0]), F.array_join(F.slice(found, 1, 5), ", "), F.lit(RELEVANCE[1])))
+            .when(score > 0, RELEVANCE[2])
+            .otherwise(RELEVANCE[3])
         )
 
     return R.bound(R.bound(F.lower(snippet), held), said)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as L
@@ -14,18 +15,21 @@ from corvane.operators import chunking, classify, score, select, terms
 from corvane.sources.scratch import bounded_broadcast, stash
 
 
-def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]] = L.TOPICS, per_doc: int = 20, least: int = 4, key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), may_score: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Evidence of documents: topic sentences, at most per_doc; documents with fewer than least get plain snippets too.
 
-    (key, keep, ord, category, snippet, claim, relevance, confidence), distinct in (category, snippet).  One narrow pass."""
+    (key, keep, ord, category, snippet, claim, relevance, confidence), distinct in (category, snippet).  One narrow pass.
+    With may_score only items that it holds for (by keep, category, snippet) are made; ord counts the others too."""
     item = lambda category: lambda x: F.struct(category(x).alias("category"), x.alias("snippet"))
-    d = docs.select(key, *keep, T.compact(F.col(text)).alias("__t"))
+    # blank texts give no items; a filter on the compacted text would compact every text twice
+    d = docs.filter(F.col(text) != "").select(key, *keep, T.compact(F.col(text)).alias("__t"))
     d = d.select(key, *keep, "__t", F.explode(F.array(chunking.topic_lists(F.col("__t"), groups))).alias("__l"))
     of_topics = F.flatten(F.array(*[F.transform(F.get("__l", i)["snippets"], item(lambda x, name=name: F.lit(name))) for i, (name, _) in enumerate(groups)]))
     plain = F.transform(chunking.snippet_list(F.col("__t"), least, 12), item(classify.category))
     every = R.bound(of_topics, lambda s: F.when(F.size(s) < least, F.concat(s, plain)).otherwise(s))
-    rows = d.filter("__t <> ''").select(key, *keep, F.posexplode(F.slice(F.array_distinct(every), 1, per_doc)).alias("__o", "__r"))
+    rows = d.select(key, *keep, F.posexplode(F.slice(F.array_distinct(every), 1, per_doc)).alias("__o", "__r"))
     rows = rows.select(key, *keep, (F.col("__o") + 1).alias("ord"), "__r.category", "__r.snippet")
+    rows = rows if may_score is None else rows.filter(may_score(rows))
     rows = R.once(rows, "claim", T.claim_text(F.col("snippet"), F.col("category")))
     hits = R.term_hits(F.col("snippet"), terms)
     return rows.select(
@@ -40,6 +44,32 @@ def extracted(docs: DataFrame, terms: Sequence[str], groups: Sequence[tuple[str,
     )
 
 
+def may_score(terms: Sequence[str], topics: Sequence[str], least: float, quality: str = "quality") -> Callable[[DataFrame], Column]:
+    """For extracted: whether an item may score at least so much overall, told from its snippet, category and quality before its texts are made.
+
+    A run of ASCII letters and digits in a claim or a relevance stands in the snippet, the category or the fixed words around them,
+    so the longest run of a term has to; digits are in a claim only if they are in the snippet or the category."""
+
+    def hits(low: Column, sought: Sequence[str], fixed: Sequence[str]) -> Column:
+        runs = [max(re.findall("[a-z0-9]+", t.lower()), key=len, default="") for t in sought]
+        return sum((F.lit(1) if any(r in f.lower() for f in fixed) else F.contains(low, F.lit(r)).cast("int") for r in runs), F.lit(0))
+
+    def worth(rows: DataFrame) -> Column:
+        category, n_chars = classify.normal_category(F.col("category")), F.length("snippet")
+        on_topic = category.isin(*topics)
+        reaches = lambda r, spec, quant: score.overall_score(r, F.col(quality), F.lit(spec) if isinstance(spec, int) else spec, F.lit(quant)) >= least
+        relevance = lambda n: F.when((n >= 4) | (on_topic & (n >= 2)), 5).when((n >= 2) | on_topic, 4).otherwise(3)
+        plain = lambda s: F.when(s >= 5, 5).when(s >= 3, 4).when((s >= 1) | (n_chars >= 140), 3).when(n_chars >= 60, 2).otherwise(1)
+
+        def by(low: Column) -> Column:
+            words = lambda r: R.bound(hits(low, L.SPECIFIC_TERMS, ("note",)), lambda s: reaches(r, plain(s), 1))
+            return R.bound(R.bound(hits(low, terms, ("note", *T.RELEVANCE)), relevance), lambda r: F.when(~reaches(r, 5, 5), False).when(low.rlike("[0-9]"), True).when(~reaches(r, 5, 1), False).otherwise(words(r)))
+
+        return R.bound(F.lower(F.concat_ws(" ", F.col("snippet"), T.capitalised(F.col("category")), category)), by)
+
+    return worth
+
+
 def scored(evidence: DataFrame, terms: Sequence[str], topics: Sequence[str], quality: str = "quality", least: float | None = None) -> DataFrame:
     """Evidence (claim, snippet, category, relevance, quality) with its four scores and the overall one; with least, what scores
     at least so much: a row is dropped as soon as the best of the scores that are left would not suffice."""

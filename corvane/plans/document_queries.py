@@ -396,7 +396,8 @@ _EXTRACTED_SQL = f"""{_TOPIC_SQL}, {_FALLBACK_SQL}, have as (select doc_id, coun
 
 def _extracted(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, least: float | None = None) -> DataFrame:
     d = (K.table(spark, sf_dir, "documents") if documents is None else documents).select("doc_id", "text", "source", (1 + F.substring("source", 4, 9).cast("int") % 5).alias("quality"))
-    e = evidence.scored(evidence.extracted(d, _TERMS, _TOPICS, keep=("source", "quality")), _TERMS, ("power",), least=least)
+    may = None if least is None else evidence.may_score(_TERMS, ("power",), least)
+    e = evidence.scored(evidence.extracted(d, _TERMS, _TOPICS, keep=("source", "quality"), may_score=may), _TERMS, ("power",), least=least)
     return evidence.sanitised(e)[0]
 
 

@@ -13,7 +13,7 @@ from corvane.operators import chunking, classify, evidence, score, select
 from corvane.plans import carriers as K
 from corvane.plans.catalog import ORACLES, query
 from corvane.plans.document_queries import _ASCII, _CLASS, _EXTRACTED_SQL, _QUALITY, _TERMS, _TOPICS, _extracted
-from corvane.sources.scratch import stash
+from corvane.sources.scratch import dealt, scan_bytes, stash
 
 _BUDGET = 60_000
 _COMPACT = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -42,12 +42,13 @@ def reported(sql: str) -> Callable:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, and the claims as reports (doc_id, text, source); reports are dealt to all cores, as they may be few bytes for much work."""
+    """The documents, and the claims as reports (doc_id, text, source); both are dealt to all cores, as they may be few row groups for much work."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     said = F.concat("claim", F.replace(F.lit(_FOLLOWS), F.lit("{n}"), F.col("id").cast("string")))
     c = K.claims(spark, sf_dir).withColumn("g", F.floor(F.col("id") / _PER_REPORT)).repartition(n, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", said.alias("t")))).alias("l"))
     reports = c.select((1_000_000_000 + F.col("g")).alias("doc_id"), F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"), F.concat(F.lit("src"), F.col("g") % 7).alias("source"))
-    return K.table(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(reports)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(docs.select("doc_id", "text", "source"), scan_bytes(docs), "doc_id", "text").unionByName(reports)
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -834,3 +834,27 @@ def test_reports_are_dealt_to_all_cores(spark):
 
     r = pass_queries.documents(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_below_the_least_score_are_dropped_before_their_texts_are_made(spark):
+    """What may_score drops scores less, what it keeps has the same place and score; most items of plain prose go."""
+    plain, rich = "Thonen ingth velor amet dusk without anything that matters here at all, said plainly", "With that power from the rack of 40 kW and 12 GB the GPU tray aquel qui stays cool, said plainly"
+    mixed = [f"{(rich if (i + j) % 5 == 0 else plain)} {chr(97 + j)}{' voltage liquid thermal switch ups' if (i * j) % 7 == 3 else ''}" for i in range(12) for j in range(5)]
+    docs = spark.createDataFrame([(i, ". ".join(mixed[5 * i : 5 * i + 5]) + ". the end", 1 + i % 5) for i in range(12)] + [(98, " \t\n", 3), (99, "", 3), (100, None, 3)], "doc_id long, text string, quality int")
+    terms, groups = ("that", "with", "from", "qui", "aquel", "chilled water", "note: x"), (("power", ("thonen", "rack of")), ("stop", ("that ",)))
+    every = evidence.extracted(docs, terms, groups, keep=("quality",))
+    early = evidence.extracted(docs, terms, groups, keep=("quality",), may_score=evidence.may_score(terms, ("power",), 3.5))
+    of = lambda e, least: {(r.doc_id, r.ord, r.snippet, r.claim, r.overall_score) for r in evidence.scored(e, terms, ("power",), least=least).collect()}
+    assert of(early, 3.5) == of(every, 3.5) != set()
+    assert early.count() < every.count()
+
+
+def test_documents_are_dealt_to_many_tasks(spark, tmp_path):
+    """A single row group is not a single task, and rows of one key do not meet in one."""
+    from corvane.sources.scratch import dealt, scan_bytes
+
+    path = str(tmp_path / "docs.parquet")
+    spark.range(400).selectExpr("7L doc_id", "concat('text ', id) text").coalesce(1).write.parquet(path)
+    d = spark.read.parquet(path)
+    sizes = dealt(d, scan_bytes(d), "doc_id", "text", piece=scan_bytes(d) // 8).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 400 and len(sizes) >= 6 and max(r["count"] for r in sizes) < 150
